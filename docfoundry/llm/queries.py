@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_qda, quality_rules
+from . import licences, pieces, quality_qda, quality_rules, surrogates, url_filter
 from .common import table
 
 
@@ -16,5 +16,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op6_quality_rules)}
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pii(table(spark, sf_dir, "documents"))
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_classifier, op6_quality_rules, op7_url_filter, op8_sentencepiece, op9_surrogates, op10_licence_scan)}
 ORACLES: dict[str, str] = {}
