@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, pieces, quality_qda, quality_rules, surrogates, url_filter
+from . import jaccard_join, licences, pieces, quality_qda, quality_rules, surrogates, url_filter, vector_forest
 from .common import table
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.vector_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,5 +40,17 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op6_quality_rules, op7_url_filter, op8_sentencepiece, op9_surrogates, op10_licence_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_jaccard_join,
+        op4_quality_classifier,
+        op5_vector_forest,
+        op6_quality_rules,
+        op7_url_filter,
+        op8_sentencepiece,
+        op9_surrogates,
+        op10_licence_scan,
+    )
+}
 ORACLES: dict[str, str] = {}

@@ -171,7 +171,7 @@ def test_surrogates(spark):
     new = [x["surrogate"] for x in e]
     assert new[0].upper() == new[1].upper() and new[10] == new[12] and new[10].split()[0] in surrogates.GIVEN["latin", "female"]
     assert re.sub(r"\D", "", new[2])[-10:] == re.sub(r"\D", "", new[3])
-    assert surrogates._luhn(new[5]) and not surrogates._luhn(new[6]) and surrogates._iban_check(new[9][:2], new[9][4:]) == new[9][2:4]
+    assert all(surrogates._luhn(new[i]) == surrogates._luhn(originals[i]) for i in (5, 6)) and surrogates._iban_check(new[9][:2], new[9][4:]) == new[9][2:4]
     assert got[102]["text"] == new[0] and surrogates.collisions(found).count() == 0
     clean = {r["doc_id"]: r["text"] for r in docs.filter("doc_id < 100").collect()}
     assert all(got[i]["text"] == t for i, t in clean.items())
