@@ -114,12 +114,13 @@ def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     return p.select("doc_id", "p.ids", "p.decoded")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 of every document."""
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 of every document, and ids if asked for."""
     t = tokens(docs, path)
     return t.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *(["ids"] if with_ids else []),
     )
