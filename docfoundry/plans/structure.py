@@ -1 +1,241 @@
-"""To come."""
+"""Queries of lines, chunks, sections, tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from docfoundry.operators import chunking, lines, tables
+
+from .registry import query
+
+LIMIT = 64
+
+
+def ocr_document(t) -> DataFrame:
+    """documents as OCR'd Markdown: every third line becomes a heading of level 1, 2 or 3, some empty or trailing headings are added."""
+    each = t.documents.select("doc_id", F.split("text", "\n").alias("l"))
+    head = lambda x, i: F.when(i % 12 == 0, F.concat(F.lit("# "), x)).when(i % 6 == 0, F.concat(F.lit("## "), x)).when(i % 3 == 0, F.concat(F.lit("### "), x)).otherwise(x)
+    marked = F.transform("l", head)
+    middle = F.when(F.col("doc_id") % 4 == 0, F.concat(F.slice(marked, 1, 6), F.array(F.lit("## Empty")), F.slice(marked, F.lit(7), F.greatest(F.size("l"), F.lit(1))))).otherwise(marked)
+    whole = F.when(F.col("doc_id") % 5 == 0, F.array_append(middle, F.lit("# Appendix"))).otherwise(middle)
+    return each.select("doc_id", F.array_join(whole, "\n").alias("text"))
+
+
+_OCR = """raw AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+ marked AS (SELECT doc_id, list_transform(l, lambda x, i: CASE WHEN i % 12 = 1 THEN '# ' WHEN i % 6 = 1 THEN '## ' WHEN i % 3 = 1 THEN '### ' ELSE '' END || x) AS l FROM raw),
+ middle AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN list_concat(l[1:6], ['## Empty'], l[7:]) ELSE l END AS l FROM marked),
+ ocr AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN list_append(l, '# Appendix') ELSE l END AS l FROM middle),
+ opened AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM ocr)"""
+
+
+def ocr_page(t) -> DataFrame:
+    """(doc_id, page_index, markdown, images): six lines to a page, each with a picture; every third page's is empty."""
+    each = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    pages = each.groupBy("doc_id", F.floor(F.col("i") / 6).cast("int").alias("page_index")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("md"))
+    image = F.when(F.col("page_index") % 3 == 2, "").otherwise("eA==")
+    return pages.select("doc_id", "page_index", F.concat("md", F.lit("\n![p](k.jpg)")).alias("markdown"), F.create_map(F.lit("k.jpg"), image).alias("images"))
+
+
+_HEADERS = {
+    "1-URGENT": ["Name", "Amount", "Date"],
+    "2-HIGH": ["Name", "Amounts", "Date"],
+    "3-MEDIUM": ["Item", "Qty"],
+    "4-NOT SPECIFIED": ["Item name", "Qty", "Price", "Total"],
+    "5-LOW": ["name ", "amount", "dates"],
+}
+
+
+def md_table(t) -> DataFrame:
+    """(doc_id, table_index, has_header, header_cells, column_count, row_count): a customer's orders as tables, their items as rows."""
+    heads = F.create_map(*(x for k, v in _HEADERS.items() for x in (F.lit(k), F.lit(v))))
+    n = t.lineitem.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("row_count"))
+    o = t.orders.join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("h", F.coalesce(F.try_element_at(heads, "o_orderpriority"), F.lit(["Other"])))
+    index = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return o.select(F.col("o_custkey").alias("doc_id"), index.alias("table_index"), (F.col("o_orderkey") % 3 != 2).alias("has_header"), F.col("h").alias("header_cells"), F.size("h").alias("column_count"), F.coalesce("row_count", F.lit(0)).alias("row_count"))
+
+
+def table_document(t) -> DataFrame:
+    """(doc_id, text): the tables of a customer as Markdown pages."""
+    m = md_table(t).filter("table_index <= 12")
+    head = F.concat(F.lit("| "), F.array_join("header_cells", " | "), F.lit(" |\n|"), F.repeat(F.lit("---|"), F.col("column_count")))
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest("row_count", F.lit(1))), lambda i: F.concat(F.lit("| "), i.cast("string"), F.repeat(F.lit(" | x"), F.col("column_count") - 1), F.lit(" |"))), "\n")
+    page = F.concat(F.lit("## Section "), F.col("table_index").cast("string"), F.lit("\n\nText before.\n\n"), head, F.lit("\n"), rows)
+    pages = F.array_sort(F.collect_list(F.struct("table_index", page.alias("p"))))
+    return m.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda x: x["p"]), "\n\n").alias("text"))
+
+
+@query(
+    "k1_classify_lines",
+    f"""WITH {_OCR}, x AS (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}}([ \\t]|$)') THEN 'heading' ELSE 'other' END AS class FROM opened)
+    SELECT doc_id, CAST(n AS INT) AS n, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, class,
+    CASE WHEN class = 'heading' THEN CAST(length(regexp_extract(line, '^#+')) AS INT) ELSE 0 END AS level, CAST(len(regexp_extract_all(line, '[^ \\t\\n\\r\\f\\v]+')) AS BIGINT) AS tokens FROM x""",
+)
+def _(t):
+    found = lines.classify_lines(ocr_document(t))
+    return found.select("doc_id", "n", "start", F.when(F.col("kind").isin("blank", "heading"), F.col("kind")).otherwise("other").alias("class"), "level", "tokens")
+
+
+@query("k2_text_chunks")
+def _(t):
+    return chunking.text_chunks(ocr_document(t), LIMIT)
+
+
+@query("e1_chunk_index")
+def _(t):
+    return chunking.text_chunks(ocr_document(t), LIMIT).select("doc_id", "chunk_index", "start", "tokens")
+
+
+@query(
+    "e5_heading_path",
+    f"""WITH {_OCR}, x AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}([ \\t]|$)') THEN length(regexp_extract(line, '^#+')) ELSE 0 END AS level FROM opened),
+    a AS (SELECT *, max(CASE WHEN level = 1 THEN n END) OVER w AS a1, max(CASE WHEN level = 2 THEN n END) OVER w AS a2, max(CASE WHEN level = 3 THEN n END) OVER w AS a3 FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY n))
+    SELECT a.doc_id, CAST(a.n AS INT) AS n, concat_ws(' --> ', h1.line, h2.line, h3.line) AS path FROM a LEFT JOIN opened h1 ON h1.doc_id = a.doc_id AND h1.n = a.a1
+    LEFT JOIN opened h2 ON h2.doc_id = a.doc_id AND h2.n = a.a2 AND a.a2 > coalesce(a.a1, 0) LEFT JOIN opened h3 ON h3.doc_id = a.doc_id AND h3.n = a.a3 AND a.a3 > greatest(coalesce(a.a1, 0), coalesce(a.a2, 0))""",
+)
+def _(t):
+    return lines.heading_path(lines.classify_lines(ocr_document(t))).select("doc_id", "n", "path")
+
+
+@query("e8_table_title")
+def _(t):
+    return tables.table_title(lines.classify_lines(table_document(t))).filter("kind = 'table'").select("doc_id", "n", "title")
+
+
+@query("e9_table_segments")
+def _(t):
+    return tables.table_segments(md_table(t))
+
+
+@query("k5_table_decisions")
+def _(t):
+    s = tables.table_segments(md_table(t), "merge")
+    return s.groupBy("method", "merged").agg(F.count("*").alias("n"), F.min("min_score").alias("least"), F.max("max_score").alias("most"))
+
+
+@query("k3_table_chunks")
+def _(t):
+    return tables.table_chunks(lines.classify_lines(table_document(t)), "merge")
+
+
+@query("d12_table_info")
+def _(t):
+    return tables.tables_of(lines.classify_lines(table_document(t)))
+
+
+@query("h12_remove_tables")
+def _(t):
+    return tables.remove_tables(lines.classify_lines(table_document(t)))
+
+
+def both(t) -> DataFrame:
+    docs = ocr_document(t).select(F.col("doc_id"), "text").unionByName(table_document(t).select((F.col("doc_id") + 10**9).alias("doc_id"), "text"))
+    return chunking.merge_and_reindex(chunking.text_chunks(docs, LIMIT), tables.table_chunks(lines.classify_lines(docs), "merge"), LIMIT)
+
+
+@query("k4_merge_and_reindex")
+def _(t):
+    return both(t)
+
+
+@query("f9_chunks_by_position")
+def _(t):
+    return both(t).select("doc_id", "place", "type", "start")
+
+
+@query("e2_reindex_per_type")
+def _(t):
+    return both(t).select("doc_id", "type", "chunk_index", "place")
+
+
+@query("c5_chunks_inside_tables")
+def _(t):
+    docs = table_document(t)
+    return chunking.chunks_inside_tables(chunking.text_chunks(docs, 8), tables.table_chunks(lines.classify_lines(docs), "merge"))
+
+
+@query("g2_union_chunks")
+def _(t):
+    return both(t).select("doc_id", "type", "content")
+
+
+@query("d10_chunk_type_counts")
+def _(t):
+    return chunking.chunk_type_counts(both(t))
+
+
+@query("k6_summary_sections")
+def _(t):
+    return chunking.summary_sections(ocr_document(t), LIMIT)
+
+
+@query(
+    "k7_top_level_sections",
+    f"""WITH {_OCR}, x AS (SELECT *, regexp_matches(line, '^#[ \\t]') AS head FROM opened), s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section, n = max(n) OVER (PARTITION BY doc_id) AS is_last FROM x)
+    SELECT doc_id, CAST(section AS INT) AS section, string_agg(line || CASE WHEN is_last THEN '' ELSE chr(10) END, '' ORDER BY n) AS content, min(CASE WHEN head THEN line END) AS title FROM s WHERE section > 0 GROUP BY 1, 2""",
+)
+def _(t):
+    return chunking.top_level_sections(ocr_document(t)).withColumn("section", F.col("section").cast("int"))
+
+
+@query(
+    "d11_page_image_totals",
+    """WITH p AS (SELECT doc_id, ceil(len(string_split(text, chr(10))) / 6.0) AS k FROM documents) SELECT doc_id, CAST(k AS BIGINT) AS n_pages, CAST(k AS BIGINT) AS n_images FROM p""",
+)
+def _(t):
+    return ocr_page(t).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.size("images")).alias("n_images"))
+
+
+_BI = "CASE WHEN length({x}) > 1 THEN list_distinct(list_transform(range(1, length({x})), lambda i: substring({x}, i, 2))) ELSE [] END"
+_DICE = "CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
+
+
+def dice_sql(a: str, b: str) -> str:
+    return _DICE.format(a=a, b=b, x=f"({_BI.format(x=a)})", y=f"({_BI.format(x=b)})")
+
+
+@query("h3_dice", f"WITH p AS (SELECT a.p_partkey AS id, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) SELECT id, round({dice_sql('x', 'y')}, 4) AS dice FROM p")
+def _(t):
+    p = t.part.join(t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("y")), "p_partkey")
+    return p.select(F.col("p_partkey").alias("id"), F.round(tables.dice(F.col("p_name"), F.col("y")), 4).alias("dice"))
+
+
+_CELL = f"CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.8 WHEN {dice_sql('x', 'y')} >= 0.6 THEN 0.6 ELSE 0.0 END"
+_CELLS = """p AS (SELECT a.p_partkey AS id, lower(trim(a.p_type)) AS x, lower(trim(CASE WHEN b.p_partkey % 7 = 0 THEN '' WHEN b.p_partkey % 5 = 0 THEN substring(b.p_type, 1, 4) WHEN b.p_partkey % 3 = 0 THEN substring(a.p_type, 2, 50) || 'x' ELSE b.p_type END)) AS y
+ FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
+
+
+@query("h4_cell_similarity", f"WITH {_CELLS} SELECT id, CAST({_CELL} AS DOUBLE) AS similarity FROM p")
+def _(t):
+    other = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_type").alias("t2"), F.col("p_partkey").alias("k2"))
+    p = t.part.join(other, "p_partkey")
+    y = F.expr("case when k2 % 7 = 0 then '' when k2 % 5 = 0 then substring(t2, 1, 4) when k2 % 3 = 0 then concat(substring(p_type, 2, 50), 'x') else t2 end")
+    return p.select(F.col("p_partkey").alias("id"), tables.cell_similarity(F.col("p_type"), y).alias("similarity"))
+
+
+@query("h6_column_similarity", "SELECT p_partkey AS id, CAST(CASE WHEN p_size % 5 = p_size % 4 THEN 1.0 WHEN abs(p_size % 5 - p_size % 4) = 1 THEN 0.4 ELSE 0.0 END AS DOUBLE) AS similarity FROM part")
+def _(t):
+    return t.part.select(F.col("p_partkey").alias("id"), tables.column_similarity(F.col("p_size") % 5, F.col("p_size") % 4).alias("similarity"))
+
+
+@query("h5_h7_table_similarity")
+def _(t):
+    m = md_table(t)
+    info = F.struct("column_count", "header_cells", "has_header")
+    one = m.select("doc_id", "table_index", info.alias("t1"))
+    two = m.select("doc_id", (F.col("table_index") - 1).alias("table_index"), info.alias("t2"))
+    scored = one.join(two, ["doc_id", "table_index"])
+    return scored.select("doc_id", "table_index", F.round(tables.header_similarity(F.col("t1.header_cells"), F.col("t2.header_cells")), 4).alias("header"), F.round(tables.table_similarity(F.col("t1"), F.col("t2")), 4).alias("score"))
+
+
+@query("h8_continuation_decision", "SELECT p_partkey AS id, CASE WHEN p_size / 100.0 >= 0.70 THEN true WHEN p_size / 50.0 <= 0.25 THEN false END AS continues FROM part")
+def _(t):
+    return t.part.select(F.col("p_partkey").alias("id"), tables.continuation_decision(F.col("p_size") / 100.0, F.col("p_size") / 50.0).alias("continues"))
+
+
+@query("h11_html_table_info", """SELECT page_id, CAST(3 AS INT) AS column_count, 'Key|Value|Note' AS header, CAST(1 + page_id % 4 AS INT) AS row_count FROM pages""")
+def _(t):
+    row = "<tr><td>a</td><td><table><tr><th>n</th><td>1</td><td>2</td><td>3</td></tr></table></td><TD x='1'>c</TD></tr>"
+    html = F.concat(F.lit("<table class='t'><tr><th>Key</th><th> Value </th><th>Note</th></tr>"), F.repeat(F.lit(row), (1 + F.col("page_id") % 4).cast("int")), F.lit("</table>"))
+    info = t.pages.select("page_id", tables.html_table_info(html).alias("i"))
+    return info.select("page_id", "i.column_count", F.array_join("i.header_cells", "|").alias("header"), "i.row_count")
