@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def bounded_batches(df: DataFrame, rows: int = 500, size: str = "4m") -> DataFrame:
+    """df, after its session was told to hand texts to Python in small batches: by default 10,000 whole texts wait on either side.
+
+    Settings other than the defaults are left alone.
+    """
+    conf = df.sparkSession.conf
+    for key, default, small in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size)):
+        if conf.get(key, default) == default:
+            conf.set(key, small)
+    return df
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: computed once, compressed, and still there when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
@@ -90,7 +102,7 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def blocks(texts: pa.Array, size: int = 1 << 19):
+def blocks(texts: pa.Array, size: int = 1 << 17):
     """(first row, bytes, offsets) of runs of texts of about `size` bytes; a longer text is a block of its own, whole."""
     data, off = as_bytes(texts)
     i, n = 0, len(off) - 1

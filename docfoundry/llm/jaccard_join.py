@@ -57,16 +57,8 @@ def _set_ids(text: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return (C.mix((sums[ends] - sums[ends - size]) + size.astype(np.uint64)) >> np.uint64(1)).astype(np.int64), size
 
 
-def set_of(text: Column, n: int) -> Column:
-    """A struct of set_id (null without words; equal for equal sets) and the number of distinct shingles."""
-
-    @F.arrow_udf("struct<set_id:bigint,n:bigint>")
-    def ids(texts: pa.Array) -> pa.Array:
-        parts = [_set_ids(*shingles(b, off, n), len(off) - 1) for _, b, off in C.blocks(texts)]
-        one, size = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
-        return pa.StructArray.from_arrays([pa.array(one, mask=size == 0), pa.array(size.astype(np.int64))], ["set_id", "n"])
-
-    return ids.asNondeterministic()(text)
+def _signature(x: np.ndarray, band: int) -> np.ndarray:
+    return (C.mix(x + np.uint64(band)) & (_LOW48 ^ np.uint64(31))) | np.uint64(band)
 
 
 class Bands:
@@ -93,15 +85,44 @@ class Bands:
             out.append((own - 1, self.bound(size, below)))
         return out
 
+    def free(self, h: np.ndarray) -> list[int]:
+        """For each band of a set: how many non-empty words it has beyond bound + 1; negative where it has fewer."""
+        return [len(np.unique(self.places(h, band))) + self.lost(h, band, bound) - bound - 1 for band, bound in self.of(len(h))]
+
+    def lost(self, h: np.ndarray, band: int, bound: int) -> int:
+        """1 for a set with too few non-empty words for the pigeonhole principle: it gets one more, which all such sets of a band share."""
+        return int(len(h) <= 0 or len(np.unique(self.places(h, band))) <= bound)
+
+    def places(self, h: np.ndarray, band: int) -> np.ndarray:
+        return ((h >> np.uint64(32)) * np.uint64(self.words(band))) >> np.uint64(32)
+
     def sketch(self, h: np.ndarray, band: int) -> np.ndarray:
-        """A 48-bit signature of each non-empty word of a set's sketch: its place, its band and the XOR of its shingles."""
-        m = self.words(band)
-        place = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        """A 48-bit signature of each non-empty word of a set's sketch: of its place and the XOR of its shingles, and in 5 bits its band."""
+        place = self.places(h, band)
         order = np.argsort(place, kind="stable")
         place = place[order]
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         parity = np.bitwise_xor.reduceat(C.mix(h[order] + np.uint64(band)), first)
-        return C.mix(parity + place[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)) & _LOW48
+        return _signature(parity + place[first] * np.uint64(0x9E3779B97F4A7C15), band)
+
+
+def set_of(text: Column, n: int, bands: Bands) -> Column:
+    """A struct of set_id (null without words; equal for equal sets), the number of distinct shingles, and free() of the set."""
+
+    @F.arrow_udf("struct<set_id:bigint,n:bigint,free:array<int>>")
+    def ids(texts: pa.Array) -> pa.Array:
+        one, size, free = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for _, b, off in C.blocks(texts):
+            text, h = shingles(b, off, n)
+            ids, k = _set_ids(text, h, len(off) - 1)
+            ends = np.cumsum(k)
+            free += [bands.free(h[e - m : e]) if m else [] for e, m in zip(ends, k)]
+            one.append(ids)
+            size.append(k)
+        one, size = np.concatenate(one), np.concatenate(size)
+        return pa.StructArray.from_arrays([pa.array(one, mask=size == 0), pa.array(size.astype(np.int64)), pa.array(free, pa.list_(pa.int32()))], ["set_id", "n", "free"])
+
+    return ids.asNondeterministic()(text)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -114,51 +135,45 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_PACKED = "part int, node binary, band binary, free binary, run binary, sig binary, marker boolean, hot boolean"
-_WORDS = "node long, band int, free int, sig long, df int"
+_PACKED = "part int, node binary, run binary, sig binary, marker boolean, hot boolean"
+_WORDS = "node long, sig long, df int"
 
 
 def _flush(found: list, parts: int, often: int):
-    """Rows of _PACKED, one for each part, of the sketches (node, band, free, signatures) of a run of texts."""
+    """Rows of _PACKED, one for each part, of the sketches (node, signatures) of a run of texts."""
     if not found:
         return
-    run = np.array([len(x[3]) for x in found])
-    owner = np.repeat(np.arange(len(found)), run)
-    sig = np.concatenate([x[3] for x in found])
-    node, band, free = (np.array([x[k] for x in found], kind) for k, kind in enumerate((np.int64, np.uint8, np.int32)))
+    owner = np.repeat(np.arange(len(found)), [len(x[1]) for x in found])
+    sig = np.concatenate([x[1] for x in found])
+    node = np.array([x[0] for x in found], np.int64)
     values, inv, count = np.unique(sig, return_inverse=True, return_counts=True)
     hot = count > often
-    rows = {k: [] for k in ("part", "node", "band", "free", "run", "sig", "marker", "hot")}
-
-    def put(part: int, on: np.ndarray, is_hot: bool) -> None:
-        who, n = np.unique(owner[on], return_counts=True)
-        rows["part"].append(part)
-        for k, v in (("node", node[who]), ("band", band[who]), ("free", free[who]), ("run", n.astype(np.int32))):
-            rows[k].append(v.tobytes())
-        rows["sig"].append(_pack(sig[on]))
-        rows["marker"].append(False)
-        rows["hot"].append(is_hot)
-
-    part = (sig * np.uint64(parts)) >> np.uint64(48)
+    rows = {k: [] for k in ("part", "node", "run", "sig", "marker", "hot")}
+
+    def put(part: np.ndarray, on: np.ndarray, is_hot: bool) -> None:
+        order = on[np.lexsort((owner[on], part))]
+        part = np.sort(part)
+        for group in np.split(np.arange(len(order)), np.flatnonzero(np.diff(part)) + 1) if len(order) else ():
+            who, n = np.unique(owner[order[group]], return_counts=True)
+            add(int(part[group[0]]), node[who].tobytes(), n.astype(np.uint16).tobytes(), _pack(sig[order[group]]), False, is_hot)
+
+    def add(*row) -> None:
+        for k, v in zip(rows, row):
+            rows[k].append(v)
+
     cold = np.flatnonzero(~hot[inv])
-    order = cold[np.lexsort((owner[cold], part[cold]))]
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    for on in np.split(order, cuts) if len(order) else ():
-        put(int(part[on[0]]), on, False)
-    if hot.any():  # a word of very many of these sets: its count goes on once, its sets go where these texts' other ones go
+    put(((sig[cold] * np.uint64(parts)) >> np.uint64(48)).astype(np.int64), cold, False)
+    if hot.any():  # a word of very many of these sets: its count goes on once, its sets go by their own ids
         on = np.flatnonzero(hot[inv])
-        put(parts + int(node[0] % parts), on, True)
-        for p in np.unique(at := (values[hot] * np.uint64(parts)) >> np.uint64(48)):
-            rows["part"].append(int(p))
-            for k in ("node", "band", "free", "run"):
-                rows[k].append(b"")
-            rows["sig"].append(_pack(values[hot][at == p]))
-            rows["marker"].append(True)
-            rows["hot"].append(False)
-    yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("node", "band", "free", "run", "sig")), ("marker", pa.bool_()), ("hot", pa.bool_())]))
-
-
-def sketch_words(docs: DataFrame, n: int, bands: Bands, parts: int, often: int = 64, held: int = 400_000) -> DataFrame:
+        put(parts + node[owner[on]] % parts, on, True)
+        at = (values[hot] * np.uint64(parts)) >> np.uint64(48)
+        for p in np.unique(at):
+            add(int(p), b"", b"", _pack(values[hot][at == p]), True, False)
+    kinds = [("part", pa.int32()), *((k, pa.binary()) for k in ("node", "run", "sig")), ("marker", pa.bool_()), ("hot", pa.bool_())]
+    yield pa.RecordBatch.from_pydict(rows, schema=pa.schema(kinds))
+
+
+def sketch_words(docs: DataFrame, n: int, bands: Bands, parts: int, often: int = 64, held: int = 200_000) -> DataFrame:
     """The signatures of all sets, packed by `parts` ranges of signatures; within a task equal sets count once."""
 
     def pack(batches):
@@ -175,9 +190,10 @@ def sketch_words(docs: DataFrame, n: int, bands: Bands, parts: int, often: int =
                         seen.add(int(ids[i]))
                     for band, bound in bands.of(int(size[i])):
                         words = bands.sketch(h[ends[i] - size[i] : ends[i]], band)
-                        if len(words) <= bound:  # too few for the pigeonhole principle: such sets of a band all meet
-                            words = np.append(words, C.mix(np.full(1, band, np.uint64)) & _LOW48)
-                        found.append((ids[i], band, len(words) - bound - 1, words))
+                        if len(words) <= bound:  # see Bands.lost
+                            words = np.append(words, _signature(np.zeros(1, np.uint64), band))
+                        for k in range(0, len(words), 60_000):
+                            found.append((ids[i], words[k : k + 60_000]))
                         waiting += len(words)
                 if waiting > held:
                     yield from _flush(found, parts, often)
@@ -188,52 +204,49 @@ def sketch_words(docs: DataFrame, n: int, bands: Bands, parts: int, often: int =
 
 
 def shared_words(packed: DataFrame) -> DataFrame:
-    """(node, band, free, sig, df) of the words that at least two sets hold; df: how many do, or HOT where a task saw very many."""
+    """(node, sig, df) of the words that at least two sets hold; df: how many do, or HOT where a task saw very many."""
 
     def count(group: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("node", "band", "free", "sig", "df")}
-        marked = np.zeros(0, np.uint64)
-        cols = {k: [] for k in ("node", "band", "free", "sig")}
+        marked, nodes, sigs, out = np.zeros(0, np.uint64), [], [], []
+        hot = False
         for r in group.to_pylist():
             sig = _unpack(r["sig"])
             if r["marker"]:
                 marked = np.union1d(marked, sig)
                 continue
-            run = np.frombuffer(r["run"], np.int32)
-            got = {k: np.repeat(np.frombuffer(r[k], kind), run) for k, kind in (("node", np.int64), ("band", np.uint8), ("free", np.int32))} | {"sig": sig}
-            for k, v in got.items():
-                (out if r["hot"] else cols)[k].append(v)
-            if r["hot"]:
-                out["df"].append(np.full(len(sig), HOT, np.int32))
-        if cols["sig"]:
-            c = {k: np.concatenate(v) for k, v in cols.items()}
-            order = np.lexsort((c["node"], c["sig"]))
-            s, node = c["sig"][order], c["node"][order]
+            hot |= r["hot"]
+            nodes.append(np.repeat(np.frombuffer(r["node"], np.int64), np.frombuffer(r["run"], np.uint16)))
+            sigs.append(sig)
+        if sigs:
+            node, s = np.concatenate(nodes), np.concatenate(sigs)
+            order = np.lexsort((node, s))
+            node, s = node[order], s[order]
             fresh = np.ones(len(s), bool)
             fresh[1:] = (s[1:] != s[:-1]) | (node[1:] != node[:-1])  # equal sets of several tasks
-            order, s = order[fresh], s[fresh]
+            node, s = node[fresh], s[fresh]
             first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             times = np.diff(np.append(first, len(s)))
-            df = np.where(np.isin(s[first], marked), HOT, times).astype(np.int32)
+            df = np.where(np.isin(s[first], marked) | hot, HOT, times).astype(np.int32)
             keep = np.repeat(df > 1, times)
-            for k in ("node", "band", "free", "sig"):
-                out[k].append(c[k][order[keep]])
-            out["df"].append(np.repeat(df, times)[keep])
-        kinds = (("node", np.int64), ("band", np.int32), ("free", np.int32), ("sig", np.int64), ("df", np.int32))
-        return pa.table({k: (np.concatenate(out[k]) if out[k] else np.zeros(0)).astype(kind) for k, kind in kinds})
+            out = [node[keep], s[keep].astype(np.int64), np.repeat(df, times)[keep]]
+        return pa.table(dict(zip(("node", "sig", "df"), out or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)))))
 
     return packed.groupBy("part").applyInArrow(count, _WORDS)
 
 
-def prefixes(shared: DataFrame) -> DataFrame:
+def prefixes(shared: DataFrame, frees: DataFrame) -> DataFrame:
     """(sig, node, rank): of each set's words the first `bound + 1` in order of df, as far as other sets hold them.
 
-    A word of one set alone comes before all others. `free` is how many words a set has beyond bound + 1: with k shared words,
-    k - free of them are needed.
+    A word of one set alone comes before all others. frees: (node, n, free), free being how many words a set has beyond bound + 1
+    in its own band and the one below; with k shared words, k - free of them are needed. A word that came both as a hot and as
+    another one may stand twice here: that adds words, and takes none away.
     """
+    own = F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int")
+    joined = shared.join(frees, "node").withColumn("band", F.col("sig").bitwiseAND(31).cast("int"))
+    joined = joined.withColumn("spare", F.when(F.col("band") == own, F.col("free")[0]).otherwise(F.col("free")[1]))
     of_set = Window.partitionBy("node", "band")
-    ranked = shared.distinct().withColumns({"k": F.count("*").over(of_set), "rank": F.row_number().over(of_set.orderBy("df", "sig"))})
-    return ranked.filter("rank <= k - free").select("sig", "node", "rank")
+    ranked = joined.withColumns({"k": F.count("*").over(of_set), "rank": F.row_number().over(of_set.orderBy("df", "sig"))})
+    return ranked.filter("rank <= k - spare").select("sig", "node", "rank")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -274,14 +287,15 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bands:
     return pairs.join(left, "a").join(right, "b").filter(similar("a_body", "b_body")).select("a", "b")
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, n: int, bands: Bands, part_words: int = 1_000_000) -> DataFrame:
+def linked_sets(docs: DataFrame, sets: DataFrame, n: int, bands: Bands, part_words: int = 2_000_000) -> DataFrame:
     """(node, root) of every set that is similar to another one, directly or over others."""
     known = sets.filter("set_id is not null")
     words = known.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-words // part_words))
     packed = sketch_words(docs, n, bands, parts).repartition(max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
-    prefix = C.materialise(prefixes(shared_words(packed)), "prefixes")
-    size = known.groupBy("set_id").agg(F.max("n").alias("n"))
+    frees = known.groupBy(F.col("set_id").alias("node")).agg(F.max("n").alias("n"), F.first("free").alias("free"))
+    prefix = C.materialise(prefixes(shared_words(packed), frees), "prefixes")
+    size = frees.select(F.col("node").alias("set_id"), "n")
     a, b = (size.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
 
     def fitting(pairs: DataFrame) -> DataFrame:
@@ -311,11 +325,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) ->
     without words has none and links with nothing. Rows with a null id keep it, with a null component, and link with nothing.
     Rows that share an id are one document here only if their sets are linked. Extra columns are not read.
     """
-    docs = docs.select("doc_id", "text")
-    s = set_of(F.col("text"), n)
-    sets = C.materialise(docs.select("doc_id", s.alias("s")).select("doc_id", "s.set_id", "s.n"), "sets")
+    docs = C.bounded_batches(docs).select("doc_id", "text")
+    bands = Bands(num, den)
+    s = set_of(F.col("text"), n, bands)
+    sets = C.materialise(docs.select("doc_id", s.alias("s")).select("doc_id", "s.set_id", "s.n", "s.free"), "sets")
     known = sets.filter("doc_id is not null")
-    roots = linked_sets(docs.filter("doc_id is not null"), known, n, Bands(num, den))
+    roots = linked_sets(docs.filter("doc_id is not null"), known, n, bands)
     placed = known.join(roots, known["set_id"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "set_id").alias("root"))
     placed = C.materialise(placed, "placed")
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))

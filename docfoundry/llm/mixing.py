@@ -136,6 +136,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     targets: shares of all tokens by domain; without them, the domains' own shares to this power, made to add up to 1. The total
     number of expected tokens stays.
     """
+    docs = C.bounded_batches(docs)
     model = train(docs, labelled, rows)
     m = docs.select("doc_id", membership(F.col("text"), model).alias("m")).select("doc_id", "m.n_tokens", "m.posteriors")
     members = C.materialise(m, "members")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁"
 _CHUNK = re.compile(f"{_MARK}+[^{_MARK}\n]*|\n[^{_MARK}\n]*")
@@ -29,7 +31,7 @@ class Pieces:
 
     _open: dict[str, Pieces] = {}
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -110,7 +112,7 @@ def round_trip(text: Column, path: str | None = None) -> Column:
 
 def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and decoded of every document, one row for each row; extra columns are not read."""
-    p = docs.select("doc_id", round_trip(F.col("text"), path).alias("p"))
+    p = bounded_batches(docs).select("doc_id", round_trip(F.col("text"), path).alias("p"))
     return p.select("doc_id", "p.ids", "p.decoded")
 
 

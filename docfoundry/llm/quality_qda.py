@@ -92,6 +92,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.
 
     held_out: crc32(doc_id as text) mod 5 is 0 (false for a null id). Only text goes into a score: copies score alike.
     """
+    docs = C.bounded_batches(docs)
     scored = docs.select("doc_id", score(F.col("text"), train(docs, labels, rows)).alias("score"))
     return scored.select(
         "doc_id",

@@ -104,6 +104,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     Rows with a null id stay, with that null. Extra columns are not read.
     """
+    docs = C.bounded_batches(docs)
     q = docs.select("doc_id", judge(F.col("text"), train(docs, labels), **options).alias("q"))
     return q.select("doc_id", *(f"q.{c}" for c in [*COUNTS, "base_failed", "kept", "score"]))
 
@@ -113,4 +114,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     if "text" not in docs.columns:
         raise ValueError("documents need a column text")
     tag = "_quality"
+    docs = C.bounded_batches(docs)
     return docs.withColumn(tag, judge(F.col("text"), train(docs, labels), **options)).filter(F.col(f"{tag}.kept")).drop(tag)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # Given names by script and gender, honorifics by gender.
 GIVEN = {
     ("latin", "female"): "Alice Anna Carla Clara Diana Elena Emma Eva Ingrid Julia Laura Lena Maria Marta Nina Nora Olga Paula Sara Sofia Teresa Vera".split(),
@@ -136,7 +138,7 @@ def _name(full: str, gender: str, key: bytes) -> str:
     return f"{first} {shaped(last, key, 'family', sounds=True)}"
 
 
-@lru_cache(50_000)
+@lru_cache(10_000)
 def surrogate(kind: str, value: str, key: bytes, gender: str = "") -> str:
     """What stands for a value; equal values in another case or format get the same letters and digits."""
     digits = "".join(c for c in value if c in ALPHABETS["digit"])
@@ -231,13 +233,13 @@ def pseudonymise(text: Column, key: str) -> Column:
 
 def pii(docs: DataFrame, key: str = "corpus key") -> DataFrame:
     """doc_id, text with surrogates, n_entities and entities of every document, one row for each row."""
-    p = docs.select("doc_id", pseudonymise(F.col("text"), key).alias("p"))
+    p = bounded_batches(docs).select("doc_id", pseudonymise(F.col("text"), key).alias("p"))
     return p.select("doc_id", "p.text", F.size("p.entities").alias("n_entities"), "p.entities")
 
 
 def replace_in(docs: DataFrame, key: str = "corpus key") -> DataFrame:
     """The documents with surrogates in their text and all other columns as they are; n_chars, if present, counts the new text."""
-    out = docs.withColumn("text", pseudonymise(F.col("text"), key).getField("text"))
+    out = bounded_batches(docs).withColumn("text", pseudonymise(F.col("text"), key).getField("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

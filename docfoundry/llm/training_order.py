@@ -36,7 +36,7 @@ class Encoder:
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         import public_tokenizers
         import tiktoken
 
@@ -121,7 +121,7 @@ def training_order(docs: DataFrame, key: str = "epoch 0", length: int = 1024, pe
     path = path or vocabulary_path()
     e = Encoder.at(path)
     end, kind = e.end, e.kind
-    table = tokenised(docs, path)
+    table = tokenised(C.bounded_batches(docs), path)
     sums = table.groupBy("part").agg(F.sum("n").alias("k"))  # one row for each task that wrote
     before = F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = sums.select("part", F.coalesce(before, F.lit(0)).alias("base"))

@@ -136,7 +136,7 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.9, **options) ->
     (a null id's component is null; it is kept). Vectors of different lengths don't link. Rows are told apart by their ids; rows
     that repeat an id and a vector count as copies of each other. Extra columns are not read.
     """
-    e = F.col("embedding")
+    vectors, e = C.bounded_batches(vectors), F.col("embedding")
     sound = F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     all_rows = vectors.select("vec_id", "embedding", F.coalesce(sound, F.lit(False)).alias("sound"))
     good = all_rows.filter("sound").select("vec_id", "embedding")
