@@ -8,8 +8,8 @@ sets agree in all non-empty words of either but so many; hence any `bound + 1` n
 that all sets share, have one in common. The order is rarest first by the number of sets that hold a word, so words of
 passages that many texts share are hardly ever needed, and a set whose words are unique enough drops out at once.
 
-Words that sets share give pairs to verify: first each set with the smallest of a word's sets, which joins up the large groups;
-then, for words that still touch several components, the pairs across them. What was verified is exact over 64-bit shingle hashes.
+Words that sets share give pairs to verify: first, in a few rounds, sets with one set of a word's largest component, which joins
+up the large groups; then, for words that still touch several components, all pairs across them, in blocks where a word has many. What was verified is exact over 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -257,9 +257,8 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame, broadcast_rows
     return docs.join(few, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bands: Bands, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Those of the pairs (a, b) of sets whose similarity is num / den at least."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _bodies(nodes: DataFrame, docs: DataFrame, sets: DataFrame, n: int, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(node, body) of these sets (node), written: the sorted shingle hashes, made again from the texts."""
 
     @F.arrow_udf("struct<node:bigint,body:binary>")
     def bodies(texts: pa.Array) -> pa.Array:
@@ -272,6 +271,13 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bands:
             body += [_pack(np.sort(h[e - s : e] & _LOW48)) for e, s in zip(ends, size)]
         return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(body, pa.binary())], ["node", "body"])
 
+    body = _texts_of(docs, nodes, sets, broadcast_rows).select(bodies.asNondeterministic()("text").alias("s")).select("s.node", "s.body")
+    return C.materialise(body.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "bodies")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """Those of the pairs (a, b) of sets whose similarity is num / den at least."""
+
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
@@ -281,13 +287,47 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bands:
             out.append(bands.den * both >= bands.num * (len(x) + len(y) - both))
         return pa.array(out, pa.bool_())
 
-    body = _texts_of(docs, nodes, sets, broadcast_rows).select(bodies.asNondeterministic()("text").alias("s")).select("s.node", "s.body")
-    body = C.materialise(body.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "bodies")
+    body = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, sets, n)
     left, right = (body.select(F.col("node").alias(k), F.col("body").alias(f"{k}_body")) for k in ("a", "b"))
     return pairs.join(left, "a").join(right, "b").filter(similar("a_body", "b_body")).select("a", "b")
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, n: int, bands: Bands, part_words: int = 2_000_000) -> DataFrame:
+def block_links(outside: DataFrame, members: DataFrame, body: DataFrame, bands: Bands, block: int = 128) -> DataFrame:
+    """(a, b): the similar pairs of a set of `outside` and one of `members` (main, node, root) of the same main and different roots.
+
+    Both sides are cut into blocks; a task's group holds one block of either, and only links leave it.
+    """
+
+    def dealt(rows: DataFrame, other: DataFrame, side: int) -> DataFrame:
+        blocks = lambda x, k: x.groupBy("main").agg(F.ceil(F.count("*") / block).cast("int").alias(k))
+        x = rows.join(blocks(rows, "own"), "main").join(blocks(other, "other"), "main").join(body, "node")
+        at, to = F.pmod(F.xxhash64("node"), "own").cast("int"), F.explode(F.sequence(F.lit(0), F.col("other") - 1))
+        x = x.withColumn("at", at).withColumn("to", to)
+        i, j = ("at", "to") if side == 0 else ("to", "at")
+        return x.select("main", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "node", "root", "body")
+
+    def compare(group: pa.Table) -> pa.Table:
+        side, node, root = (np.array(group[k]) for k in ("side", "node", "root"))
+        bodies = [_unpack(b) for b in group["body"].to_pylist()]
+        size = np.array([len(b) for b in bodies])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = []
+        if len(left) and len(right):
+            every = np.concatenate([bodies[k] for k in right])
+            owner = np.repeat(np.arange(len(right)), size[right])
+            for k in left:
+                x = bodies[k]
+                at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+                both = np.bincount(owner[x[at] == every], minlength=len(right))
+                ok = (bands.den * both >= bands.num * (size[k] + size[right] - both)) & (root[right] != root[k])
+                found += [(max(node[k], y), min(node[k], y)) for y in node[right[ok]]]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    both = dealt(outside, members, 0).unionByName(dealt(members, outside, 1))
+    return both.groupBy("main", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def linked_sets(docs: DataFrame, sets: DataFrame, n: int, bands: Bands, part_words: int = 2_000_000, rounds: int = 3, picks: int = 8, few_pairs: int = 64) -> DataFrame:
     """(node, root) of every set that is similar to another one, directly or over others."""
     known = sets.filter("set_id is not null")
     words = known.agg(F.sum("n")).first()[0] or 0
@@ -302,20 +342,62 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, bands: Bands, part_wor
         with_sizes = pairs.distinct().join(a, "a").join(b, "b")
         return with_sizes.filter(f"{bands.den} * least(n_a, n_b) >= {bands.num} * greatest(n_a, n_b)").select("a", "b")
 
-    ahead = prefix.filter("rank <= 6")
-    centre = ahead.groupBy("sig").agg(F.min("node").alias("b"))
-    tried = C.materialise(fitting(ahead.join(centre, "sig").filter("node <> b").select(F.col("node").alias("a"), "b")), "pairs")
-    links = C.materialise(verified(tried, docs, sets, n, bands), "links")
-    roots = components(links)
+    tried = links = None
+    placed = prefix.withColumn("root", F.col("node"))
+    for seed in range(rounds):
+        turn = C.materialise(fitting(star_pairs(placed, seed, picks)), "pairs")
+        tried = turn if tried is None else tried.union(turn)
+        new = C.materialise(verified(turn, docs, sets, n, bands), "links")
+        if not new.head(1):
+            break
+        links = new if links is None else links.union(new)
+        placed = C.materialise(open_words(prefix, components(links)), "open")
+    few, outside, members = across(placed, few_pairs)
+    rest = C.materialise(fitting(few.join(tried, ["a", "b"], "left_anti")), "pairs")
+    new = C.materialise(verified(rest, docs, sets, n, bands), "links")
+    members = C.materialise(members, "members")
+    outside = C.materialise(outside, "outside")
+    if members.head(1):
+        body = _bodies(members.select("node").distinct(), docs, sets, n)
+        new = new.union(C.materialise(block_links(outside, members, body, bands), "links"))
+    return components(new if links is None else links.union(new))
+
+
+def open_words(prefix: DataFrame, roots: DataFrame) -> DataFrame:
+    """prefix rows with their set's component, of words that touch several components."""
     placed = prefix.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    open_words = placed.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("sig")
-    rest = C.materialise(placed.join(open_words, "sig", "left_semi"), "open")
-    by_root = rest.groupBy("sig", "root").count()
-    main = by_root.groupBy("sig").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    outside = rest.join(main, "sig").filter("root <> main").select("sig", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    across = outside.join(rest, "sig").filter("x_root <> root").select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b"))
-    new = C.materialise(fitting(across.distinct().join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")), "pairs")
-    return components(links.union(C.materialise(verified(new, docs, sets, n, bands), "links")))
+    several = placed.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("sig")
+    return placed.join(several, "sig", "left_semi")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def star_pairs(placed: DataFrame, seed: int, picks: int) -> DataFrame:
+    """(a, b): each set looks at `picks` of its words, those with the smallest hashes, which similar sets choose alike; of those that
+    chose a word, sets outside the word's largest component meet one set in it."""
+    w = Window.partitionBy("node").orderBy(F.xxhash64("sig", F.lit(seed)), "sig")
+    chosen = placed.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= picks)
+    by_root = chosen.groupBy("sig", "root").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64("node", "sig", F.lit(seed))).alias("centre"))
+    main = by_root.groupBy("sig").agg(F.max_by(F.struct("root", "centre"), F.struct("k", F.xxhash64("root", F.lit(seed)))).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
+    return chosen.join(main, "sig").filter("root <> m.root").select(*_pair("node", "m.centre")).distinct()
+
+
+def across(placed: DataFrame, few_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left to compare: sets that share a word and belong to different components.
+
+    Pairs (a, b) for words with at most `few_pairs` of them; for the other words, (main, node, root) of the sets outside the largest
+    component, and of all sets, gathered by that component: two rows for a set, in however many of its words they meet.
+    """
+    sizes = placed.groupBy("sig", "root").count().groupBy("sig").agg(F.max_by(F.struct("root", "count"), F.struct("count", "root")).alias("m"), F.sum("count").alias("k"))
+    many = (F.col("k") - F.col("m.count")) * F.col("k") > few_pairs
+    known = placed.join(sizes.select("sig", F.col("m.root").alias("main"), many.alias("many")), "sig")
+    light = known.filter("not many")
+    x = light.filter("root <> main").select("sig", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    pairs = x.join(light, (x["sig"] == light["sig"]) & (x["x_root"] != light["root"])).select(*_pair("x", "node")).distinct()
+    heavy = known.filter("many").select("main", "node", "root").distinct()
+    return pairs, heavy.filter("root <> main"), heavy
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
