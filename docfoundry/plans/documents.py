@@ -1 +1,156 @@
-"""To come."""
+"""Queries of texts, keys, metadata, access requests for documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docfoundry.functions import text
+from docfoundry.operators import lines, metadata, tree
+
+from .registry import query
+
+SCHEMA = """{"type":"object","required":["kind","year","note"],"additionalProperties":false,"properties":{"kind":{"enum":["Report","Báo cáo","Letter"]},
+"year":{"type":"integer"},"note":{"type":"string","maxLength":12},"when":{"type":["string","null"],"format":"date"},"ok":{"type":"boolean"},
+"amount":{"type":"number"},"who":{"type":"object","properties":{"name":{"type":"string"},"role":{"oneOf":[{"type":"null"},{"enum":["Boss","Staff"]}]}}},"tags":{"type":"array","items":{"type":"string"}}}}"""
+
+
+def metadata_raw(t):
+    """(doc_id, json): metadata with enum values in the wrong case or without marks, blanks, numbers as texts, lists; one in fifty isn't JSON."""
+    i = "doc_id"
+    return t.documents.selectExpr(
+        "doc_id",
+        f"""case when {i} % 50 = 0 then 'oops' else concat('{{"kind":"', case {i} % 4 when 0 then 'report' when 1 then 'BAO CAO' when 2 then 'Letter' else '' end, '","year":',
+        case {i} % 3 when 0 then '2001' when 1 then '"2002"' else 'null' end, ',"note":"', case {i} % 5 when 0 then '' else concat('n', {i}) end, '","amount":"', {i} % 9, '.5","ok":"true","who":{{"name":"A","role":"boss"}},"tags":["x",null,"y"]}}') end as json""",
+    )
+
+
+@query("h1_split_pages", r"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, list_transform(range(0, CAST(ceil(len(l) / 6.0) AS BIGINT)), lambda i: trim(array_to_string(l[i * 6 + 1 : i * 6 + 6], chr(10)), ' ' || chr(10) || chr(9) || chr(13))) AS p FROM x)
+ SELECT doc_id, CAST(len(list_filter(p, lambda v: v <> '')) AS INT) AS n_pages, array_to_string(list_filter(p, lambda v: v <> ''), '|') AS pages FROM p""")
+def _(t):
+    from docfoundry.sources.files import assemble_document
+
+    from .structure import ocr_page
+
+    pages = ocr_page(t).withColumn("markdown", F.regexp_replace("markdown", r"\n!\[p\]\(k\.jpg\)$", ""))
+    split = assemble_document(pages).select("doc_id", text.split_pages(F.col("text")).alias("p"))
+    return split.select("doc_id", F.size("p").alias("n_pages"), F.array_join("p", "|").alias("pages"))
+
+
+@query("a2_assemble_document", """WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, unnest(range(0, CAST(ceil(len(l) / 6.0) AS BIGINT))) AS i, l FROM x)
+ SELECT doc_id, string_agg(array_to_string(l[i * 6 + 1 : i * 6 + 6], chr(10)) || chr(10) || '![p](k.jpg)' || chr(10) || 'Page ' || (i + 1) || chr(10) || chr(10) || '---' || chr(10), '' ORDER BY i) AS text FROM p GROUP BY 1""")
+def _(t):
+    from docfoundry.sources.files import assemble_document
+
+    from .structure import ocr_page
+
+    return assemble_document(ocr_page(t))
+
+
+@query("f10_first_pages")
+def _(t):
+    from docfoundry.sources.files import assemble_document
+
+    from .structure import ocr_page
+
+    return assemble_document(ocr_page(t)).select("doc_id", text.first_pages(F.col("text"), 2).alias("text"))
+
+
+@query("h2_normalize_object_key", """SELECT page_id, 'in/' || trim(regexp_replace(regexp_replace(lower(replace(replace(replace(regexp_replace(url, '^.*/', ''), '?', '-'), '&', '-'), '#', '-')), '[[:space:]]+', '-', 'g'), '-{2,}', '-', 'g'), '-') || '.pdf' AS key
+ FROM pages WHERE regexp_replace(url, '^.*/', '') <> '' AND NOT regexp_matches(regexp_replace(url, '^.*/', ''), '[.%]')""")
+def _(t):
+    stem = F.regexp_replace("url", "^.*/", "")
+    rows = t.pages.withColumn("stem", stem).filter("stem <> '' and not stem rlike '[.%]'")
+    return rows.select("page_id", text.normalize_object_key(F.concat(F.lit("in/"), "stem", F.lit(".PDF")), F.lit("none")).alias("key"))
+
+
+@query("h13_rewrite_image_links", """SELECT page_id, 'a ![x](http://s/1_k.jpg) b <IMG class="c" src="http://s/1_k.jpg" alt="d"> ![y](other.jpg) ' || page_id AS text FROM pages""")
+def _(t):
+    md = F.concat(F.lit('a ![x](k.jpg) b <IMG class="c" src="k.jpg" alt="d"> ![y](other.jpg) '), F.col("page_id").cast("string"))
+    return t.pages.select("page_id", text.rewrite_image_links(md, F.array(F.lit("k.jpg")), F.lit("http://s/1_")).alias("text"))
+
+
+@query("h14_fold_text", "SELECT doc_id, lower(strip_accents(text)) AS text FROM documents")
+def _(t):
+    return t.documents.select("doc_id", text.fold_text("text").alias("text"))
+
+
+@query("h29_last_path_element", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS last FROM part")
+def _(t):
+    path = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat_ws(" --> ", "p_name", "p_brand", "p_type"))
+    return t.part.select(F.col("p_partkey").alias("id"), tree.last_path_element(path).alias("last"))
+
+
+@query("h31_count_tokens", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS BIGINT) AS tokens FROM documents")
+def _(t):
+    return t.documents.select("doc_id", lines.count_tokens(F.col("text")).alias("tokens"))
+
+
+@query("h32_parse_departments", """SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 2 END AS n, CASE WHEN c_custkey % 7 <> 0 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'Manager' ELSE 'Staff' END END AS role FROM customer""")
+def _(t):
+    claim = F.expr("case when c_custkey % 7 = 0 then 'bad' else concat('[{\"Id\":\"', c_nationkey, '\",\"IsPrimary\":true,\"Role\":\"', case when c_nationkey % 2 = 0 then 'Manager' else 'Staff' end, '\"},{\"Id\":\"x\",\"Role\":\"Staff\"}]') end")
+    d = t.customer.select(F.col("c_custkey").alias("id"), text.parse_departments(claim).alias("d"))
+    return d.select("id", F.size("d").alias("n"), F.get("d", F.lit(0))["role"].alias("role"))
+
+
+@query("h17_h18_template_rules", """SELECT * FROM (VALUES ('kind', 'keyword', '"other"'), ('year', 'integer', '0'), ('note', 'keyword', '""'), ('when', 'datetime', '"0001-01-01"'), ('ok', 'bool', 'false'), ('amount', 'float', '0'), ('who', 'keyword', '""'), ('tags', 'keyword', '[]')) v(key, index_type, default_value)
+ WHERE EXISTS (SELECT 1 FROM documents)""")
+def _(t):
+    import json
+
+    rules = metadata.Template.of(SCHEMA)
+    rows = [(k, rules.index_type(k), json.dumps(v)) for k, v in rules.defaults().items()]
+    keys = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(r, ("key", "index_type", "default_value")))) for r in rows))
+    return t.documents.select(F.inline(keys)).distinct()
+
+
+
+@query("k12_finish_metadata")
+def _(t):
+    raw = metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
+    found = raw.select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
+    return found.select("doc_id", "m.*")
+
+
+@query("h15_normalize_enum", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Report' WHEN 1 THEN 'Báo cáo' WHEN 2 THEN 'Letter' ELSE 'other' END AS kind, 'Boss' AS role FROM documents WHERE doc_id % 50 <> 0 AND doc_id % 3 = 0""")
+def _(t):
+    raw = metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
+    m = raw.filter("doc_id % 3 = 0 and doc_id % 50 <> 0").select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
+    return m.select("doc_id", F.get_json_object("m.json", "$.kind").alias("kind"), F.get_json_object("m.json", "$.who.role").alias("role"))
+
+
+@query("h16_coerce_required", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2001' ELSE '0' END AS year, CASE doc_id % 4 WHEN 3 THEN 'other' ELSE 'set' END AS kind FROM documents WHERE doc_id % 50 <> 0 AND doc_id % 3 <> 1""")
+def _(t):
+    raw = metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
+    m = raw.filter("doc_id % 3 <> 1 and doc_id % 50 <> 0").select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
+    kind = F.get_json_object("m.json", "$.kind")
+    return m.select("doc_id", F.get_json_object("m.json", "$.year").alias("year"), F.when(kind == "other", "other").otherwise("set").alias("kind"))
+
+
+@query("h19_flatten_payload", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2001' ELSE '0' END AS year, 'A' AS who_name, '["x","y"]' AS tags FROM documents WHERE doc_id % 50 <> 0 AND doc_id % 3 <> 1""")
+def _(t):
+    raw = metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
+    m = raw.filter("doc_id % 3 <> 1 and doc_id % 50 <> 0").select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
+    at = lambda k: F.get_json_object("m.payload", f"$['{k}']")
+    return m.select("doc_id", at("year").alias("year"), at("who.name").alias("who_name"), at("tags").alias("tags"))
+
+
+@query("h20_validate_metadata", """SELECT doc_id, doc_id % 50 <> 0 AND doc_id % 3 <> 1 AS is_valid, CASE WHEN doc_id % 50 = 0 THEN 'not JSON' WHEN doc_id % 3 = 1 THEN 'year: invalid' ELSE '' END AS errors FROM documents""")
+def _(t):
+    raw = metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
+    m = raw.select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
+    return m.select("doc_id", "m.is_valid", "m.errors")
+
+
+@query("k18_read_documents", """SELECT d.id, CASE WHEN d.is_deleted THEN 'not found' WHEN d.dataset_id % 3 = 0 THEN 'denied' ELSE 'ok' END AS outcome, CASE WHEN NOT d.is_deleted AND d.dataset_id % 3 <> 0 THEN coalesce(d.summary, d.qa_summary) END AS content FROM document d
+ UNION ALL SELECT -1 - c_custkey, 'not found', NULL FROM customer""", "document")
+def _(t):
+    from docfoundry.operators.access import active
+    from docfoundry.operators.upkeep import resolve_content
+
+    asked = t.document.select("id").union(t.customer.select(-1 - F.col("c_custkey")))
+    docs = active(t.document).withColumn("_there", F.lit(True))
+    may = t.dataset.select(F.col("id").alias("dataset_id")).filter("dataset_id % 3 <> 0").withColumn("_may", F.lit(True))
+    j = asked.join(docs, "id", "left").join(may, "dataset_id", "left")
+    outcome = F.when(F.col("_there").isNull(), "not found").when(F.col("_may").isNull(), "denied").otherwise("ok")
+    content = F.when(outcome == "ok", resolve_content(F.lit("summary"), F.col("summary"), F.col("qa_summary"), F.col("ocr_content")))
+    return j.select("id", outcome.alias("outcome"), content.alias("content"))

@@ -1 +1,102 @@
-"""To come."""
+"""Queries of prompts, responses, packed chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docfoundry.functions import text
+from docfoundry.operators import chunking, questions
+
+from .registry import query
+from .structure import LIMIT, both, ocr_document, ocr_page
+
+
+def sections(t):
+    return chunking.summary_sections(ocr_document(t), LIMIT)
+
+
+def names(t):
+    return t.documents.select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_name")).filter("doc_id % 7 <> 0")
+
+
+def model_response(t):
+    """(id, text): turns of conversations with an answer at the end, a tag before it, or nothing."""
+    end = F.element_at(F.array(F.lit(" Yes."), F.lit(" no"), F.lit("<think>x"), F.lit("")), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    return t.conversations.select("conv_id", "turn", F.concat("text", end).alias("text"))
+
+
+@query("h22_extract_choice", r"""SELECT conv_id, turn, CASE WHEN regexp_matches(r, '(?i)\bno\b') AND (NOT regexp_matches(r, '(?i)\byes\b')) THEN 'no' WHEN regexp_matches(r, '(?i)\byes\b') THEN 'Yes' END AS choice
+ FROM (SELECT conv_id, turn, 'a b ' || CASE (conv_id + turn) % 4 WHEN 0 THEN ' Yes.' WHEN 1 THEN ' NO' WHEN 2 THEN 'no, then yes' ELSE 'x' END AS r FROM conversations) x""")
+def _(t):
+    end = F.element_at(F.array(F.lit(" Yes."), F.lit(" NO"), F.lit("no, then yes"), F.lit("x")), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    return t.conversations.select("conv_id", "turn", text.extract_choice(F.concat(F.lit("a b "), end), ["Yes", "no"]).alias("choice"))
+
+
+@query("h23_clean_response", r"""SELECT conv_id, turn, trim(text || CASE (conv_id + turn) % 4 WHEN 0 THEN ' Yes.' WHEN 1 THEN ' no' WHEN 2 THEN 'x' ELSE '' END, ' ' || chr(10) || chr(9) || chr(13)) AS text FROM conversations""")
+def _(t):
+    return model_response(t).select("conv_id", "turn", text.clean_response(F.col("text")).alias("text"))
+
+
+@query("h24_repair_json", """SELECT conv_id, turn, text, 'C:\\dir' AS path FROM conversations""")
+def _(t):
+    body = F.concat(F.lit('Here:\n```json\n{"path": "C:\\dir", "text": "'), "text", F.lit('"}\n```'))
+    fixed = t.conversations.select("conv_id", "turn", text.repair_json(body).alias("j"))
+    return fixed.select("conv_id", "turn", *(F.from_json("j", "text string, path string")[c].alias(c) for c in ("text", "path")))
+
+
+@query("d13_summary_merge_lists")
+def _(t):
+    return questions.summary_merge_lists(sections(t))
+
+
+@query("k8_summary_prompts")
+def _(t):
+    return questions.summary_prompts(sections(t), names(t)).select("doc_id", "section", "prompt").union(questions.merge_prompts(sections(t)).select("doc_id", F.lit(0), "prompt"))
+
+
+@query("k9_qa_prompts")
+def _(t):
+    return questions.qa_prompts(both(t))
+
+
+@query("k10_metadata_prompts", """SELECT doc_id, 'Schema:' || chr(10) || '{"p":' || (doc_id % 3) || '}' || chr(10) || chr(10) || 'Text:' || chr(10) || trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS prompt FROM documents WHERE doc_id % 4 <> 3 AND text <> ''""")
+def _(t):
+    docs = t.documents.select("doc_id", F.when(F.col("doc_id") % 4 != 3, F.col("doc_id") % 3).alias("template_id"), F.col("text").alias("content"))
+    schemas = docs.select("template_id").distinct().filter("template_id is not null").withColumn("json_schema", F.concat(F.lit('{"p":'), F.col("template_id").cast("string"), F.lit("}")))
+    return questions.metadata_prompts(docs, schemas)
+
+
+def responses(t):
+    tables = both(t).filter("type = 'Table'").select("doc_id", "place")
+    body = F.concat(F.lit('<think>[{"question":"Q'), F.col("place").cast("string"), F.lit('\n?","answer":"C:\\d","category":"c","qa_type":"t"},{"question":"R","answer":"b"}]'))
+    return tables.select("doc_id", "place", F.when(F.col("place") % 5 == 0, "sorry").otherwise(body).alias("text"))
+
+
+@query("k11_parse_qa_responses")
+def _(t):
+    return questions.parse_qa_responses(responses(t)).select("doc_id", "place", F.size("qas").alias("n"), F.get("qas", F.lit(0))["question"].alias("first"))
+
+
+@query("k13_qa_table")
+def _(t):
+    return questions.exploded_qas(questions.qa_table(both(t), questions.parse_qa_responses(responses(t))))
+
+
+@query("a8_chunks_to_json")
+def _(t):
+    return questions.chunks_from_json(questions.chunks_to_json(both(t)))
+
+
+@query("k23_index_documents")
+def _(t):
+    from docfoundry.operators.points import build_points
+
+    chunks = both(t).select(F.lpad(F.col("doc_id").cast("string"), 36, "0").alias("document_id"), (F.col("doc_id") % 9).alias("dataset_id"), F.col("place").alias("chunk_index"), "type", "needs_summary", F.when(F.col("needs_summary"), F.substring("content", 1, 40)).alias("summary"), "content")
+    payloads = t.documents.select(F.lpad(F.col("doc_id").cast("string"), 36, "0").alias("document_id"), F.create_map(F.lit("lang"), "lang").alias("payload"))
+    points = build_points(chunks, payloads, lambda x: F.array(F.length(x).cast("float")))
+    return points.select("point_id", "dataset_id", "chunk_type", "content_full", F.try_element_at("payload", F.lit("lang")).alias("lang"))
+
+
+@query("a1_ocr_pages", "SELECT count(*) AS n_pages, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(range(0, CAST(ceil(len(string_split(text, chr(10))) / 6.0) AS BIGINT))) AS i FROM documents) x")
+def _(t):
+    return ocr_page(t).agg(F.count("*").alias("n_pages"), F.countDistinct("doc_id").alias("n_docs"))

@@ -1 +1,89 @@
-"""To come."""
+"""Queries of the event stream, on its batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docfoundry.operators.questions import progress_report
+from docfoundry.streaming import events as ev
+
+from .registry import query
+
+_TYPE = "CASE event_type WHEN 'signup' THEN 'Started' WHEN 'purchase' THEN 'GetMarkdown' WHEN 'error' THEN 'Failed' ELSE 'Processing' END"
+_E = f"e AS (SELECT event_id, ts, user_id, CAST(user_id AS STRING) AS task_id, {_TYPE} AS type, value, 'page ' || (event_id % 7) || '/7' AS message FROM events WHERE event_id % 41 <> 0)"
+
+
+def raw(t):
+    """(data, ts): events as JSON; every 41st row is broken, every 37th has its keys in the other style."""
+    task, kind = F.col("user_id").cast("string"), F.expr(_TYPE)
+    rest = [F.col("event_id").alias("eventId"), F.concat(F.lit("page "), (F.col("event_id") % 7).cast("string"), F.lit("/7")).alias("message"), F.col("value").alias("processingTime"), F.lit("s").alias("status")]
+    one = F.to_json(F.struct(task.alias("taskId"), kind.alias("eventType"), *rest))
+    two = F.to_json(F.struct(task.alias("task_id"), kind.alias("event_type"), *rest))
+    return t.events.select(F.when(F.col("event_id") % 41 == 0, "{broken").when(F.col("event_id") % 37 == 0, two).otherwise(one).alias("data"), "ts")
+
+
+def valid(t):
+    return ev.parse_events(raw(t)).filter("is_valid")
+
+
+def attached(t):
+    tasks = t.events.select("user_id").distinct().filter("user_id % 5 <> 0").select(F.col("user_id").cast("string").alias("task_id"), F.col("user_id").alias("document_id"))
+    return ev.attach_document(valid(t), tasks)
+
+
+@query("i1_parse_events", f"WITH {_E} SELECT true AS is_valid, event_id, task_id, type AS event_type, message FROM e UNION ALL SELECT false, NULL, NULL, NULL, NULL FROM events WHERE event_id % 41 = 0")
+def _(t):
+    return ev.parse_events(raw(t)).select("is_valid", "event_id", "task_id", "event_type", "message")
+
+
+@query("i2_attach_document", f"WITH {_E} SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN user_id END AS document_id FROM e")
+def _(t):
+    return attached(t).select("event_id", "document_id")
+
+
+@query("i3_job_state", f"""WITH {_E}, f AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (type IN ('GetMarkdown', 'Failed')) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM e WHERE user_id % 5 <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+ SELECT user_id AS document_id, CASE arg_max(type, n) WHEN 'GetMarkdown' THEN 'Succeeded' WHEN 'Failed' THEN 'Failed' ELSE 'Processing' END AS status, arg_max(type, n) = 'GetMarkdown' AS is_ocred, CAST(count(*) AS INT) AS n_events FROM f WHERE ended = 0 GROUP BY 1""")
+def _(t):
+    return ev.job_state(attached(t))
+
+
+@query("i4_save_logs", f"WITH {_E} SELECT user_id AS document_id, CAST(max(event_id) AS STRING) AS last FROM e WHERE event_id % 3 = 0 AND user_id % 5 <> 0 GROUP BY 1")
+def _(t):
+    logs = F.to_json(F.array(F.struct(F.col("event_id").cast("string").alias("message"), F.lit(1.0).alias("processingTime"))))
+    e = attached(t).filter("document_id is not null").withColumns({"event_type": F.lit("SaveLog"), "data": F.when(F.col("event_id") % 3 == 0, logs).otherwise("[]")})
+    return ev.save_logs(e).select("document_id", F.col("logs")[0]["message"].alias("last"))
+
+
+@query("i5_notifications", f"WITH {_E} SELECT user_id AS document_id, event_id, CASE type WHEN 'GetMarkdown' THEN 'Succeeded' WHEN 'Failed' THEN 'Failed' ELSE 'Processing' END AS status, message FROM e WHERE user_id % 5 <> 0")
+def _(t):
+    return ev.notifications(attached(t))
+
+
+@query("i6_notification_history", f"""WITH {_E}, m AS (SELECT max(ts) AS now FROM e), h AS (SELECT *, max(ts) OVER (PARTITION BY user_id, type) AS last, row_number() OVER (PARTITION BY user_id, type ORDER BY ts, event_id) AS place FROM e WHERE user_id % 5 <> 0)
+ SELECT user_id AS document_id, type AS event_type, event_id, CAST(place AS INT) AS place FROM h, m WHERE last >= now - INTERVAL 1 HOUR""")
+def _(t):
+    e = attached(t)
+    now = e.agg(F.max("ts").alias("now"))
+    return ev.notification_history(e.join(now, F.lit(True)), F.col("now"))
+
+
+@query("i7_persisted_history", "SELECT user_id AS document_id, CAST(i AS INT) AS place, 'm' || i AS message FROM (SELECT user_id, unnest(range(0, user_id % 4)) AS i FROM (SELECT DISTINCT user_id FROM events) u) x")
+def _(t):
+    logs = t.events.select("user_id").distinct().filter("user_id % 4 > 0").select(F.col("user_id").alias("document_id"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("user_id") % 4 - 1), lambda i: F.struct(F.concat(F.lit("m"), i.cast("string")).alias("message"), F.lit(1.0).alias("processingTime"))).alias("logs"))
+    return ev.persisted_history(logs, "ocr").select("document_id", "place", "message")
+
+
+@query("e11_latest_status", f"WITH {_E} SELECT task_id, arg_max(type, event_id) AS event_type, arg_max(message, event_id) AS message FROM (SELECT * FROM e WHERE (user_id, ts) IN (SELECT (user_id, max(ts)) FROM e GROUP BY user_id)) x GROUP BY 1")
+def _(t):
+    return ev.latest_status(valid(t))
+
+
+@query("f11_retain_last", f"WITH {_E} SELECT event_id FROM e ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def _(t):
+    return ev.retain_last(valid(t)).select("event_id")
+
+
+@query("d14_progress_report", f"""WITH {_E}, l AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) AS n FROM e)
+ SELECT task_id, max(CASE WHEN n = 1 THEN 's' END) AS status, CAST(max(CASE WHEN n = 1 THEN event_id % 7 END) AS INT) AS done, 7 AS total, round(sum(value), 2) AS seconds FROM l GROUP BY 1""")
+def _(t):
+    return progress_report(valid(t)).withColumn("seconds", F.round("seconds", 2))
