@@ -8,7 +8,6 @@ records have the same number of bytes, so slot s lies in shard s div k at byte (
 from __future__ import annotations
 
 import base64
-import re
 from hashlib import blake2b
 
 import numpy as np
@@ -20,8 +19,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,12 +28,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """One worker's byte-pair encoder. No pre-token holds white space after another character, so chunks of white space and what
-    follows are encoded on their own, each distinct one once while it is held."""
+    """One worker's byte-pair encoder."""
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
@@ -45,8 +41,6 @@ class Encoder:
         self.model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = len(ranks)
         self.kind = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.most = most
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -55,16 +49,7 @@ class Encoder:
         return cls._open[path]
 
     def encode(self, text: str) -> bytes:
-        chunks = _CHUNK.findall(text)
-        got = [self.known.get(c) for c in chunks]
-        if None in got:
-            if len(self.known) > self.most:
-                self.known.clear()
-            for c in chunks:
-                if c not in self.known:
-                    self.known[c] = np.array(self.model.encode_ordinary(c), self.kind).tobytes()
-            got = [self.known[c] for c in chunks]
-        return b"".join(got)
+        return np.array(self.model.encode_ordinary(text), self.kind).tobytes()
 
 
 class Permutation:
