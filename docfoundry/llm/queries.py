@@ -66,4 +66,45 @@ QUERIES = {
         op10_licence_scan,
     )
 }
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _jaccard_sql() -> str:
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+    c(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.x, l.y FROM c JOIN l ON l.x = c.y)
+    SELECT x AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(y) AS component_id FROM c LEFT JOIN n ON n.doc_id = x GROUP BY x"""
+
+
+def _vector_sql() -> str:
+    return """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+    c(x, y) AS (SELECT vec_id, vec_id FROM e UNION SELECT c.x, l.y FROM c JOIN l ON l.x = c.y),
+    n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+    SELECT c.x AS vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(c.y) AS component_id, c.x = min(c.y) AS kept FROM c LEFT JOIN n ON n.x = c.x GROUP BY c.x"""
+
+
+def _licence_sql() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    places, shares = [], []
+    for phrase, label in licences.PHRASES:
+        here = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+        places.append(f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: {here})) - 1 AS i FROM t")
+    for label, text in licences.TEMPLATES:
+        own = ", ".join(f"'{w}'" for w in sorted(set(text.split())))
+        shares.append(f"SELECT doc_id, '{label}' AS label, len(list_intersect(l, [{own}])) / {len(set(text.split()))} AS share FROM lines")
+    return f"""WITH t AS (SELECT doc_id, {_LOWER} AS x, regexp_extract_all({_LOWER}, '{word}') AS w FROM documents), base AS ({" UNION ALL ".join(places)}),
+    lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '{word}')) AS l FROM t),
+    met AS (SELECT * FROM ({" UNION ALL ".join(shares)}) x WHERE share >= 0.8),
+    b AS (SELECT doc_id, count(*) AS n, min(i) AS f, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY 1),
+    a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM met) x GROUP BY 1),
+    m AS (SELECT doc_id, max(share) AS share FROM met GROUP BY 1)
+    SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.f AS BIGINT) AS first_word, CAST(b.z AS BIGINT) AS last_word, coalesce(b.labels, '') AS base_labels,
+    coalesce(a.labels, '') AS labels, CAST(CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(m.share, 0.0) END AS DOUBLE) AS score FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+#: op1, op3, op4, op6, op7, op8 and op9 rest on ciphers, trained models or a tokenizer, which SQL doesn't have: tests hold them to brute force.
+ORACLES: dict[str, str] = {"op2_jaccard_join": _jaccard_sql(), "op5_vector_forest": _vector_sql(), "op10_licence_scan": _licence_sql()}
