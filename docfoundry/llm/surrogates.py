@@ -44,11 +44,12 @@ KINDS = {
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
     "card": r"(?<![\w.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![\w-])(?!\.[0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w]|\.[0-9])",
-    "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![\w])|(?<![\w.])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\w])",
+    "phone": r"(?<![\w.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{3,4}){2}(?!\w)|(?<![\w.])\+[0-9]{1,3}[ .-]?[0-9]{1,3}(?:[ .-][0-9]{2}){4}(?!\w)|(?<![\w.])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!\w)",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "name": rf"\b(?:{'|'.join(h for hs in HONORIFICS.values() for h in hs)})\.? (?P<name>{_CAPITAL} {_CAPITAL}|{_CYRILLIC} {_CYRILLIC})\b",
 }
 _FOUND = {k: re.compile(v) for k, v in KINDS.items()}
+_TAKEN = "\uffff"  # stands over what is found already; no pattern matches it
 _HINT = re.compile(r"[0-9]{2}|@|[=:]|\b(?:M|H|F|S|Г)")
 
 
@@ -171,34 +172,24 @@ def surrogate(kind: str, value: str, key: bytes, gender: str = "") -> str:
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of each entity of a text, in order; of two that overlap, the kind named first stays."""
+    """(start, end, kind, gender) of each entity of a text, in order. Kinds are sought in the order of KINDS, each in what is left."""
     if not _HINT.search(text):
         return []
-    taken: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []
+    rest = text
     for kind, pattern in _FOUND.items():
-        for m in pattern.finditer(text):
-            group = kind if kind in pattern.groupindex else 0
-            a, b = m.span(group)
-            value = text[a:b]
-            if kind == "iban" and _iban_check(value[:2], value[4:]) != value[2:4]:
-                continue
-            if kind == "secret" and not re.search("[0-9]", value):
+        own = []
+        for m in pattern.finditer(rest):
+            a, b = m.span(kind if kind in pattern.groupindex else 0)
+            value = rest[a:b]
+            if kind == "iban" and _iban_check(value[:2], value[4:]) != value[2:4] or kind == "secret" and not re.search("[0-9]", value):
                 continue
             gender = next((g for g, hs in HONORIFICS.items() if m.group().split(" ")[0].rstrip(".") in hs), "") if kind == "name" else ""
-            taken.append((a, b, kind, gender))
-    if len(taken) < 2:
-        return taken
-    order = list(KINDS)
-    out: list[tuple[int, int, str, str]] = []
-    reach = -1
-    for x in sorted(taken, key=lambda x: (x[0], order.index(x[2]))):
-        if x[0] >= reach:
-            out.append(x)
-            reach = x[1]
-        elif order.index(x[2]) < order.index(out[-1][2]):
-            out[-1] = x
-            reach = x[1]
-    return out
+            own.append((a, b, kind, gender))
+        for a, b, *_ in own:
+            rest = f"{rest[:a]}{_TAKEN * (b - a)}{rest[b:]}"
+        found += own
+    return sorted(found)
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[dict]]:

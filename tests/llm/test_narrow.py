@@ -178,6 +178,12 @@ def test_surrogates(spark):
     assert surrogates.replace_in(docs.withColumn("extra", F.lit(1))).columns == ["doc_id", "text", "extra"]
 
 
+def test_neighbours_are_told_apart():
+    text = "+1 (826) 555-4081 190.137.223.204 7536784127813050 4845168114407329 a.1@b.example.com 10.0.0.1, +33 1 23 45 67 89 (555) 123-4567 12"
+    got = [(text[a:b], kind) for a, b, kind, _ in surrogates.find(text)]
+    assert got == [("+1 (826) 555-4081", "phone"), ("190.137.223.204", "ip"), ("7536784127813050", "card"), ("4845168114407329", "card"), ("a.1@b.example.com", "email"), ("10.0.0.1", "ip"), ("+33 1 23 45 67 89", "phone"), ("(555) 123-4567", "phone")]
+
+
 def test_permutations_move_everything():
     key = b"k" * 16
     for size in (2, 3, 10, 97, 1000):
