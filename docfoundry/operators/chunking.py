@@ -133,7 +133,7 @@ def chunks_inside_tables(texts: DataFrame, tables: DataFrame) -> DataFrame:
     return texts.join(t, inside, "left_semi").select("doc_id", "chunk_index")
 
 
-def _only_trivial(content: Column) -> Column:
+def is_trivial(content: Column) -> Column:
     """Whether every line of a content is blank, a heading, a rule or part of HTML."""
     blocks = F.transform(F.split(content, r"\n[ \t]*(?=\n|$)"), lambda b: F.regexp_replace(b, r"(?s)(^|\n) {0,3}<[A-Za-z/!?].*$", ""))
     rest = F.flatten(F.transform(blocks, lambda b: F.split(b, "\n")))
@@ -159,7 +159,7 @@ def merge_and_reindex(texts: DataFrame, tables: DataFrame, max_tokens: int = MAX
             keep("chunk_index", "chunk_index").alias("chunk_index"),
         )
 
-    t = joined(t, F.min_by).withColumn("_alone", _only_trivial(F.col("content")))
+    t = joined(t, F.min_by).withColumn("_alone", is_trivial(F.col("content")))
     ahead = Window.partitionBy("doc_id").orderBy(F.desc("chunk_index"))
     last = F.row_number().over(ahead) == 1
     t = t.withColumn("_island", F.sum((~F.col("_alone") | last).cast("int")).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))

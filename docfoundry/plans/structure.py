@@ -239,3 +239,39 @@ def _(t):
     html = F.concat(F.lit("<table class='t'><tr><th>Key</th><th> Value </th><th>Note</th></tr>"), F.repeat(F.lit(row), (1 + F.col("page_id") % 4).cast("int")), F.lit("</table>"))
     info = t.pages.select("page_id", tables.html_table_info(html).alias("i"))
     return info.select("page_id", "i.column_count", F.array_join("i.header_cells", "|").alias("header"), "i.row_count")
+
+
+@query("h10_strip_nested_tables", "SELECT page_id, '<table>b' || page_id || 'd</table><table>f</table>' AS html FROM pages")
+def _(t):
+    html = F.concat(F.lit("a<TABLE x='1'>b"), F.col("page_id").cast("string"), F.lit("<table><tr>c</tr></table>d</table>e<table>f</table>g"))
+    return t.pages.select("page_id", tables.strip_nested_tables(html).alias("html"))
+
+
+@query("h25_is_trivial", "SELECT page_id, page_id % 4 < 3 AS trivial FROM pages")
+def _(t):
+    content = F.element_at(F.array(F.lit("# a"), F.lit("# a\n\n---\n## b"), F.lit("<div>\nx\n</div>\n\n# c"), F.lit("# a\ntext")), (F.col("page_id") % 4 + 1).cast("int"))
+    return t.pages.select("page_id", chunking.is_trivial(content).alias("trivial"))
+
+
+@query("e10_line_state", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+ SELECT doc_id, CAST(n AS INT) AS n, n % 5 = 0 OR (n // 5) % 2 = 1 AS is_code FROM l""")
+def _(t):
+    fenced = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 5 == 0, "```").otherwise(x))
+    found = lines.classify_lines(t.documents.select("doc_id", F.array_join(fenced, "\n").alias("text")))
+    return found.select("doc_id", "n", (F.col("kind") == "code").alias("is_code"))
+
+
+@query("a4_load_tables", "SELECT 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation")
+def _(t):
+    from docfoundry.sources.files import load_tables
+
+    found = load_tables(t.spark, t.sf_dir, ["region", "nation"])
+    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in found.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query("a5_list_objects")
+def _(t):
+    from docfoundry.sources.files import list_objects
+
+    return list_objects(t.spark, t.sf_dir).select(F.substring_index("key", "/", -1).alias("key"), "size")
