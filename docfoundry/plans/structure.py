@@ -56,8 +56,8 @@ def md_table(t) -> DataFrame:
 
 
 def table_document(t) -> DataFrame:
-    """(doc_id, text): the tables of a customer as Markdown pages."""
-    m = md_table(t).filter("table_index <= 12")
+    """(doc_id, text): the tables of a customer as Markdown pages, a document for each run of twelve; doc_id is the customer times 10**9 and the run."""
+    m = md_table(t).withColumn("doc_id", F.expr("cast(doc_id as bigint) * 1000000000 + (table_index - 1) div 12"))
     head = F.concat(F.lit("| "), F.array_join("header_cells", " | "), F.lit(" |\n|"), F.repeat(F.lit("---|"), F.col("column_count")))
     rows = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest("row_count", F.lit(1))), lambda i: F.concat(F.lit("| "), i.cast("string"), F.repeat(F.lit(" | x"), F.col("column_count") - 1), F.lit(" |"))), "\n")
     page = F.concat(F.lit("## Section "), F.col("table_index").cast("string"), F.lit("\n\nText before.\n\n"), head, F.lit("\n"), rows)

@@ -242,3 +242,16 @@ def test_tables_in_texts(spark):
     assert [c["content"] for c in chunks] == [text[text.index("| Name") : text.index("| b | 2 |") + 9], text[text.index("<table>") : text.rindex("</table>") + 8]]
     assert [c["title"] for c in chunks] == ["# T", "# T"] and all(text[c["start"] : c["end"] + 1] == c["content"] for c in chunks)
     assert tables.remove_tables(ls).first()["text"] == "# T\n\n\n\nPage 2\n\n\n\n\n\nend"
+
+
+def test_table_documents_keep_every_table(spark):
+    from docfoundry.plans import structure
+    from docfoundry.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    sections = F.size(F.regexp_extract_all("text", F.lit(r"(?m)^## Section (\d+)$"), F.lit(1)))
+    got = structure.table_document(t).select(F.floor(F.col("doc_id") / 10**9).alias("customer"), sections.alias("n")).collect()
+    want = {r["o_custkey"]: r["count"] for r in t.orders.groupBy("o_custkey").count().collect()}
+    assert max(want.values()) > 12 and max(r["n"] for r in got) == 12
+    assert {c: sum(r["n"] for r in got if r["customer"] == c) for c in want} == want
+    assert tables.tables_of(lines.classify_lines(structure.table_document(t))).count() == t.orders.count()
