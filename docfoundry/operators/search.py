@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -84,50 +85,52 @@ DISTANCES: dict[str, Callable] = {
 }
 
 
-def vector_top_k(requests: DataFrame, points: DataFrame, k: int = 10, threshold: float = 0.3, distance: str = "cosine", allowed: DataFrame | None = None, most: int = 2000) -> DataFrame:
-    """(request_id, point_id, document_id, score, rank): the k best points of each request, exactly.
+def vector_top_k(requests: DataFrame, points: DataFrame, k: int = 10, threshold: float = 0.3, distance: str = "cosine", allowed: DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """(request_id, point_id, document_id, score, rank): the k best points of each request, exactly, for any number of requests.
 
-    Request vectors (a batch of `most` at most; more is an error) go to all tasks; each keeps the k best of a batch of points for a
-    request, and those few rows are ranked. allowed: (request_id, dataset_id) pairs outside of which a request sees nothing.
+    Requests are dealt by a hash of their ids into blocks of about `block`, points into blocks of four times that. Each pair of blocks
+    meets in one group by an equality join on both block numbers and keeps the k best of its points for a request; those few rows are
+    ranked. allowed: (request_id, dataset_id) pairs outside of which a request sees nothing.
     """
-    rows = requests.select("request_id", "vector").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} requests in a batch")
-    if not rows:
-        rows = []
-    ids = np.array([r["request_id"] for r in rows], np.int64)
-    q = np.array([r["vector"] for r in rows], float).reshape(len(rows), -1)
-    score = DISTANCES[distance]
-    pairs = None
-    if allowed is not None:
-        near = allowed.join(F.broadcast(requests.select("request_id")), "request_id", "left_semi").groupBy("dataset_id").agg(F.collect_set("request_id").alias("_who"))
-        pairs = points.join(near, "dataset_id").select("point_id", "document_id", "vector", "_who")
-    use = points.select("point_id", "document_id", "vector", F.lit(None).cast("array<bigint>").alias("_who")) if pairs is None else pairs
-
-    def best(batches):
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            x = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-            s = score(x, q)
-            who = b.column("_who")
-            if who.null_count < b.num_rows:
-                may = np.zeros(s.shape, bool)
-                lists = who.to_pylist()
-                for j, i in enumerate(ids):
-                    may[:, j] = [i in w for w in map(set, lists)]
-                s = np.where(may, s, -np.inf)
-            point = np.array(b.column("point_id"))
-            take = min(k, len(x))
-            out = []
-            for j in range(len(ids)):
-                top = np.lexsort((point, -s[:, j]))[:take]
-                top = top[s[top, j] >= threshold]
-                out.append((np.full(len(top), ids[j]), top, s[top, j]))
-            at = np.concatenate([o[1] for o in out])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), b.column("point_id").take(pa.array(at)), b.column("document_id").take(pa.array(at)), pa.array(np.concatenate([o[2] for o in out]))], ["request_id", "point_id", "document_id", "score"])
-
-    found = use.mapInArrow(best, "request_id long, point_id long, document_id long, score double")
+    n_asked, n_points = (max(1, ceil(df.count() / size)) for df, size in ((requests, block), (points, 4 * block)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = requests.select("request_id", "vector", dealt("request_id", n_asked).alias("_asked"))
+    if allowed is None:
+        p = points.select("point_id", "document_id", "vector", F.lit(None).cast("array<bigint>").alias("_who"), every(n_asked).alias("_asked"))
+    else:
+        near = allowed.join(q.select("request_id", F.col("_asked").alias("_by")), "request_id").groupBy("dataset_id", "_by").agg(F.collect_set(F.col("request_id").cast("bigint")).alias("_who"))
+        p = points.join(near, "dataset_id").select("point_id", "document_id", "vector", "_who", F.col("_by").alias("_asked"))
+    q = q.withColumn("_block", every(n_points))
+    p = p.withColumn("_block", dealt("point_id", n_points))
+    score, limited = DISTANCES[distance], allowed is not None
+    matrix = lambda t: t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+    schema = pa.schema([("request_id", pa.int64()), ("point_id", pa.int64()), ("document_id", pa.int64()), ("score", pa.float64())])
+
+    def best(have: pa.Table, ask: pa.Table) -> pa.Table:
+        if not have.num_rows or not ask.num_rows:
+            return schema.empty_table()
+        s = score(matrix(have), matrix(ask))
+        ids = np.array(ask.column("request_id"))
+        if limited:
+            who = have.column("_who").combine_chunks()
+            row = np.repeat(np.arange(len(who)), who.value_lengths().to_numpy(zero_copy_only=False))
+            own, column = np.unique(ids, return_inverse=True)
+            may = np.zeros((len(s), len(own)), bool)
+            may[row, np.searchsorted(own, who.flatten().to_numpy(zero_copy_only=False))] = True
+            may = may[:, column]
+            s = np.where(may, s, -np.inf)
+        point = np.array(have.column("point_id"))
+        out = []
+        for j in range(len(ids)):
+            top = np.lexsort((point, -s[:, j]))[:k]
+            top = top[s[top, j] >= threshold]
+            out.append((np.full(len(top), ids[j]), top, s[top, j]))
+        of, at, scores = (np.concatenate(x) for x in zip(*out))
+        rows = have.select(["point_id", "document_id"]).take(pa.array(at))
+        return pa.Table.from_arrays([pa.array(of), *rows.columns, pa.array(scores)], ["request_id", "point_id", "document_id", "score"]).cast(schema)
+
+    found = p.groupBy("_asked", "_block").cogroup(q.groupBy("_asked", "_block")).applyInArrow(best, "request_id long, point_id long, document_id long, score double")
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "point_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
