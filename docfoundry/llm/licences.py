@@ -1,6 +1,8 @@
 """Licence scans: fixed phrases, and templates found by an exact set-similarity join.
 
-A text block (a line) meets a template if it holds `threshold` of the template's distinct words. Words are ordered by their
+A text block meets a template if it holds `threshold` of the template's distinct words. Blocks are the lines, and within each
+paragraph of several lines, for each template, windows of twice its length with a stride of its length, so that a notice wrapped
+over lines lies in one of them whole. Words are ordered by their
 frequency in the whole corpus, rarest first. A block that meets a template of n words with least overlap o holds one of the
 first n - o + 1 of them (prefix filter), has o words itself (length filter), and after its first match at place i of the
 template and place j of the block no more than min(n - i, m - j) words are left to be shared (positional filter). What passes
@@ -48,8 +50,8 @@ def _n_words(s: Column) -> Column:
     return ((F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def ordered_templates(words: DataFrame, templates: list[tuple[str, str]], threshold: float) -> list[tuple[str, list[str], int]]:
-    """(label, distinct words with the rarest first, least overlap) of each template.
+def ordered_templates(words: DataFrame, templates: list[tuple[str, str]], threshold: float) -> list[tuple[str, list[str], int, int]]:
+    """(label, distinct words with the rarest first, least overlap, length in words) of each template.
 
     Frequencies are numbers of texts over all of `words` (one array a row); only the templates' own words are counted, so the
     counts that reach the driver are as many as those words at most.
@@ -60,31 +62,36 @@ def ordered_templates(words: DataFrame, templates: list[tuple[str, str]], thresh
     out = []
     for label, t in templates:
         own = sorted(set(t.split()), key=lambda w: (n.get(w, 0), w))
-        out.append((label, own, ceil(threshold * len(own) - 1e-9)))
+        out.append((label, own, ceil(threshold * len(own) - 1e-9), len(t.split())))
     return out
 
 
-def _matches(lines: Column, templates: list[tuple[str, list[str], int]]) -> Column:
-    """An array of (label, containment) of every block and template that meet the threshold."""
+def _matches(blocks: Column, templates: list[tuple[str, list[str], int, int]], windows: bool = False) -> Column:
+    """An array of (label, containment) of every block and template that meet the threshold; with `windows`, of a block's best window."""
 
-    def of_line(words: Column) -> Column:
+    def of_block(words: Column) -> Column:
         found = []
-        for label, own, least in templates:
+        for label, own, least, n in templates:
             prefix = own[: len(own) - least + 1]
             first = lambda i, prefix=prefix: F.array_contains(words, prefix[i])
             # the first word of the template's prefix that the block holds leaves len(own) - i to share: at least `least`
             bound = F.coalesce(*(F.when(first(i), F.lit(len(own) - i)) for i in range(len(prefix))), F.lit(0))
             shared = F.size(F.array_intersect(words, F.lit(own)))
-            found.append(F.when((F.size(words) >= least) & (F.least(bound, F.size(words)) >= least) & (shared >= least), F.struct(F.lit(label).alias("label"), (shared / len(own)).alias("containment"))))
+            passed = (F.size(words) >= least) & (F.least(bound, F.size(words)) >= least) & (shared >= least)
+            if windows:
+                starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n))
+                shared = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(words, i, 2 * n), F.lit(own)))))  # noqa: B023
+            share = F.when(passed, shared / len(own))
+            found.append(F.when(share >= least / len(own), F.struct(F.lit(label).alias("label"), share.alias("containment"))))
         return F.array_compact(F.array(*found))
 
-    return F.flatten(F.transform(lines, of_line))
+    return F.flatten(F.transform(blocks, of_block))
 
 
 def licence_scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document, one row for each row.
 
-    score: 1 with a base phrase, else the greatest containment of a template that a line meets, else 0. A null text is an empty
+    score: 1 with a base phrase, else the greatest containment of a template that a line or a window over lines meets, else 0. A null text is an empty
     one: no words, no labels, score 0.
     """
     phrases = PHRASES if phrases is None else phrases
@@ -92,12 +99,13 @@ def licence_scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None,
     text = F.coalesce(F.col("text"), F.lit(""))
     spread = docs.select("doc_id", text.alias("text"), spaced(text).alias("s")).withColumn("words", F.split("s", "  ?"))
     order = ordered_templates(spread.select("words"), templates, threshold)
-    prefixes = sorted({w for _, own, least in order for w in own[: len(own) - least + 1]})
-    lines = F.transform(
-        F.split(F.regexp_replace(F.translate(F.col("text"), _UPPER, _LOWER), _BETWEEN_IN_LINE, " "), "\n"),
-        lambda line: F.array_distinct(F.split(F.trim(line), " ")),
-    )
-    near = F.filter(lines, lambda words: F.arrays_overlap(words, F.lit(prefixes)))
+    prefixes = sorted({w for _, own, least, _ in order for w in own[: len(own) - least + 1]})
+    low = F.regexp_replace(F.translate(F.col("text"), _UPPER, _LOWER), _BETWEEN_IN_LINE, " ")
+    lines = F.transform(F.split(low, "\n"), lambda line: F.array_distinct(F.split(F.trim(line), " ")))
+    wrapped = F.filter(F.transform(F.split(low, "\n ?\n"), lambda p: F.trim(p, F.lit(" \n"))), lambda p: p.contains("\n"))
+    paragraphs = F.transform(wrapped, lambda p: F.split(p, "[ \n]+"))
+    near = lambda blocks: F.filter(blocks, lambda words: F.arrays_overlap(words, F.lit(prefixes)))
+    met = F.concat(_matches(near(lines), order), _matches(near(paragraphs), order, windows=True))
     s = F.col("s")
     marked = [(f" {p.replace(' ', '  ')} ", p, label) for p, label in phrases]
     places = [(F.length(s) - F.length(F.replace(s, F.lit(m), F.lit("")))) / len(m) for m, _, _ in marked]
@@ -107,7 +115,7 @@ def licence_scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None,
         *(n.cast("long").alias(f"_n{i}") for i, n in enumerate(places)),
         *(F.when(s.contains(m), _n_words(F.substring_index(s, m, 1))).alias(f"_a{i}") for i, (m, _, _) in enumerate(marked)),
         *(F.when(s.contains(m), _n_words(s) - _n_words(F.substring_index(s, m, -1)) - len(p.split())).alias(f"_z{i}") for i, (m, p, _) in enumerate(marked)),
-        F.when(F.arrays_overlap("words", F.lit(prefixes)), _matches(near, order)).alias("_met"),
+        F.when(F.arrays_overlap("words", F.lit(prefixes)), met).alias("_met"),
     )
     i = range(len(phrases))
     base = F.array_compact(F.array(*(F.when(F.col(f"_n{k}") > 0, F.lit(phrases[k][1])) for k in i)))

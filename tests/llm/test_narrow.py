@@ -139,6 +139,18 @@ def test_scan_base(spark):
         assert g["labels"] == ",".join(sorted(labels)) and g["score"] == pytest.approx(1.0 if at else score)
 
 
+def test_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions\r\n * are met:"
+    cc0 = "\n".join("To the extent possible under law, the author has waived all copyright and related rights to this work.".split())
+    far = "this source code form is\n" + "x " * 60 + "\nsubject to the terms of the mozilla public license v 2 0"
+    texts = [mit, bsd, cc0, "w " * 301 + "\n" + mit + "\n" + "v " * 77, mit.replace("\n", "\n\n"), far, "q\n\n" + bsd + "\n\n" + cc0, "a\nb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(licences.licence_scan(docs).collect())
+    assert [got[i]["labels"] for i in range(len(texts))] == ["mit", "bsd", "cc0", "mit", "", "", "bsd,cc0", ""]
+    assert [got[i]["score"] for i in range(len(texts))] == [1, 1, 1, 1, 0, 0, 1, 0]
+
+
 def test_urls(spark):
     urls = ["http://A.Com/x?q", "nothing", None, "https://example.com/en/a#b", "https://www.Example.com/en/", "ftp://x.net/es/", "a://b.net/esx", "://net/fr/", "http://xexample.com/en/", "http://com", "http://é.org/路径", "x://y://z.com/", "http://h.org/" + "p" * 5000]
     pages = common.table(spark, SF, "pages").select("page_id", "url").union(spark.createDataFrame([(10**9 + i, u) for i, u in enumerate(urls)], "page_id long, url string"))
