@@ -25,7 +25,7 @@ GIVEN = {
     ("cyrillic", "female"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Софья Юлия".split(),
     ("cyrillic", "male"): "Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Юрий".split(),
 }
-HONORIFICS = {"female": "Mrs Ms Miss Frau Mme Señora Госпожа".split(), "male": "Mr Herr Señor Господин".split()}
+HONORIFICS = {"female": "Mrs Ms Miss Frau Mme Señora Госпожа".split(), "male": "Mr Herr Señor Господин".split(), "": "Dr Prof Doctor Professor Доктор Профессор".split()}
 ALPHABETS = {
     "digit": "0123456789",
     "latin": "abcdefghijklmnopqrstuvwxyz",
@@ -37,6 +37,9 @@ SOUNDS = {k: (v, "".join(c for c in ALPHABETS[k] if c not in v)) for k, v in {"l
 
 _CAPITAL = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
 _CYRILLIC = "[А-Я][а-я]+"
+_TITLE = rf"(?:{'|'.join(h for hs in HONORIFICS.values() for h in hs)})"
+_PARTS = [rf"(?:[A-Z]['’])?(?:{_CAPITAL})+(?:-(?:{_CAPITAL})+)*", rf"{_CYRILLIC}(?:-{_CYRILLIC})*"]
+_INITIALS = [r"[A-ZÀ-ÖØ-Þ]\.", r"[А-Я]\."]
 KINDS = {
     "email": r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![A-Za-z])",
     "secret": r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth[_-]?key)\b\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_+/.-]{8,})",
@@ -46,11 +49,12 @@ KINDS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w]|\.[0-9])",
     "phone": r"(?<![\w.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{3,4}){2}(?!\w)|(?<![\w.])\+[0-9]{1,3}[ .-]?[0-9]{1,3}(?:[ .-][0-9]{2}){4}(?!\w)|(?<![\w.])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!\w)",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "name": rf"\b(?:{'|'.join(h for hs in HONORIFICS.values() for h in hs)})\.? (?P<name>{_CAPITAL} {_CAPITAL}|{_CYRILLIC} {_CYRILLIC})\b",
+    "name": rf"\b{_TITLE}\.?(?: {_TITLE}\.?)* (?!{_TITLE}\b)(?P<name>{'|'.join(f'(?:(?:{p}|{i}) ){{0,2}}{p}' for p, i in zip(_PARTS, _INITIALS))})(?!\w)",
 }
 _FOUND = {k: re.compile(v) for k, v in KINDS.items()}
 _TAKEN = "\uffff"  # stands over what is found already; no pattern matches it
-_HINT = re.compile(r"[0-9]{2}|@|[=:]|\b(?:M|H|F|S|Г)")
+_HINT = re.compile(r"[0-9]{2}|@|[=:]|\b(?:M|H|F|S|D|P|Г|Д|П)")
+_WORD = re.compile(rf"(?<!\w)(?:(?:{'|'.join(_PARTS)})(?!\w)|{'|'.join(_INITIALS)})")
 
 
 def _round(key: bytes, tweak: str, k: int, x: int) -> int:
@@ -124,23 +128,26 @@ def _iban_check(country: str, account: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in f'{account}{country}00')) % 97:02d}"
 
 
-def _name(full: str, gender: str, key: bytes) -> str:
-    first, last = full.split(" ")
-    script = "cyrillic" if re.match("[А-я]", first) else "latin"
-    pools = {g: GIVEN[script, g] for g in ("female", "male")}
-    if own := [g for g, names in pools.items() if first in names]:
-        names = pools[own[0]]
-        first = names[moved(names.index(first), len(names), key, f"given|{script}|{own[0]}")]
-    else:
-        while True:  # stays outside the lists, so that no two given names meet
-            first = shaped(first, key, f"given|{gender}", sounds=True)
-            if not any(first in names for names in pools.values()):
-                break
-    return f"{first} {shaped(last, key, 'family', sounds=True)}"
+def _name(full: str, key: bytes) -> str:
+    """The surrogates of a name's parts: a part has the same one wherever it stands, so that mentions of a person stay together."""
+    out = []
+    for part in full.split(" "):
+        script = "cyrillic" if re.match("[А-я]", part) else "latin"
+        pools = {g: GIVEN[script, g] for g in ("female", "male")}
+        if own := [g for g, names in pools.items() if part in names]:
+            names = pools[own[0]]
+            part = names[moved(names.index(part), len(names), key, f"given|{script}|{own[0]}")]
+        else:
+            while True:  # stays outside the lists, so that no two parts meet
+                part = shaped(part, key, "family", sounds=True)
+                if not any(part in names for names in pools.values()):
+                    break
+        out.append(part)
+    return " ".join(out)
 
 
 @lru_cache(10_000)
-def surrogate(kind: str, value: str, key: bytes, gender: str = "") -> str:
+def surrogate(kind: str, value: str, key: bytes) -> str:
     """What stands for a value; equal values in another case or format get the same letters and digits."""
     digits = "".join(c for c in value if c in ALPHABETS["digit"])
     if kind == "email":
@@ -168,11 +175,29 @@ def surrogate(kind: str, value: str, key: bytes, gender: str = "") -> str:
     if kind == "iban":
         account = shaped(value[4:], key, f"iban|{value[:2]}")
         return value[:2] + _iban_check(value[:2], account) + account
-    return _name(value, gender, key) if kind == "name" else shaped(value, key, kind)
+    return _name(value, key) if kind == "name" else shaped(value, key, kind)
+
+
+def _is_secret(before: str, value: str) -> bool:
+    """A value without digits is one after a password's key, and after any key with an equals sign or a quote."""
+    return bool(re.search("[0-9]", value) or "=" in before or before[-1] in "\"'" or before.lower().startswith("passw"))
+
+
+def _mentions(rest: str, parts: set[str], gender: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """Runs of the parts of names that are found in a text already, wherever they stand; an initial counts beside another part only."""
+    runs: list[list[re.Match]] = []
+    for m in _WORD.finditer(rest):
+        if m.group() in parts:
+            if runs and rest[runs[-1][-1].end() : m.start()] == " ":
+                runs[-1].append(m)
+            else:
+                runs.append([m])
+    return [(r[0].start(), r[-1].end(), "name", gender.get(r[-1].group(), "")) for r in runs if any(not m.group().endswith(".") for m in r)]
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of each entity of a text, in order. Kinds are sought in the order of KINDS, each in what is left."""
+    """(start, end, kind, gender) of each entity of a text, in order. Kinds are sought in the order of KINDS, each in what is left;
+    last, every other mention of the parts of a name that a title has shown."""
     if not _HINT.search(text):
         return []
     found: list[tuple[int, int, str, str]] = []
@@ -182,21 +207,23 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(rest):
             a, b = m.span(kind if kind in pattern.groupindex else 0)
             value = rest[a:b]
-            if kind == "iban" and _iban_check(value[:2], value[4:]) != value[2:4] or kind == "secret" and not re.search("[0-9]", value):
+            if kind == "iban" and _iban_check(value[:2], value[4:]) != value[2:4] or kind == "secret" and not _is_secret(m.group()[: a - m.start()], value):
                 continue
             gender = next((g for g, hs in HONORIFICS.items() if m.group().split(" ")[0].rstrip(".") in hs), "") if kind == "name" else ""
             own.append((a, b, kind, gender))
         for a, b, *_ in own:
             rest = f"{rest[:a]}{_TAKEN * (b - a)}{rest[b:]}"
         found += own
+    if names := [(text[a:b].split(" "), gender) for a, b, kind, gender in found if kind == "name"]:
+        found += _mentions(rest, {p for ps, _ in names for p in ps}, {ps[-1]: gender for ps, gender in reversed(names)})
     return sorted(found)
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[dict]]:
     out, at, entities = [], 0, []
-    for a, b, kind, gender in find(text):
+    for a, b, kind, _ in find(text):
         value = text[a:b]
-        new = surrogate(kind, value, key, gender)
+        new = surrogate(kind, value, key)
         entities.append({"kind": kind, "start": a, "length": b - a, "surrogate": new, "original": blake2b(f"{kind}|{value}".encode(), key=key, digest_size=12).hexdigest()})
         out += [text[at:a], new]
         at = b

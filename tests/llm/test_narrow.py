@@ -190,6 +190,28 @@ def test_surrogates(spark):
     assert surrogates.replace_in(docs.withColumn("extra", F.lit(1))).columns == ["doc_id", "text", "extra"]
 
 
+def test_mentions_of_a_person_stay_together(spark):
+    text = "Smith called. Mrs Anna Smith met Anna Smith; Mrs Smith and Smith left. Prof. Dr. Jean-Luc O. Meyer-Lang saw Mr McAdam, Dr Meyer-Lang and Господин Иван Петров. Петров, A. Plan"
+    gone = ["Smith", "Anna", "Jean", "Luc", "Meyer", "Lang", "McAdam", "Иван", "Петров"]
+    docs = spark.createDataFrame([(1, text), (2, "Mr Smith"), (3, "no title: Anna Smith")], "doc_id long, text string")
+    found = surrogates.pii(docs)
+    got = by_id(found.collect())
+    new = got[1]["text"]
+    assert not any(w in new for w in gone) and got[3]["text"] == "no title: Anna Smith"
+    last, first = re.search(r"^(\w+) called\. Mrs (\w+) ", new).groups()
+    assert new.startswith(f"{last} called. Mrs {first} {last} met {first} {last}; Mrs {last} and {last} left. Prof. Dr. ") and new.endswith(", A. Plan")
+    assert got[2]["text"] == f"Mr {last}" and first in surrogates.GIVEN["latin", "female"]
+    assert re.search(r"Prof\. Dr\. \S+ \S\. (\S+) saw", new)[1] == re.search(r", Dr (\S+) and", new)[1]
+    assert surrogates.collisions(found).count() == 0
+
+
+def test_secrets_without_digits():
+    hidden = ["password: correcthorse", "token = abcdefghij", "api_key: 'abcdefghij'"]
+    for text in hidden:
+        assert [k for _, _, k, _ in surrogates.find(text)] == ["secret"] and text[-7:] not in surrogates.replace(text, b"k" * 16)[0]
+    assert surrogates.find("The secret: everything changes") == []
+
+
 def test_neighbours_are_told_apart():
     text = "+1 (826) 555-4081 190.137.223.204 7536784127813050 4845168114407329 a.1@b.example.com 10.0.0.1, +33 1 23 45 67 89 (555) 123-4567 12"
     got = [(text[a:b], kind) for a, b, kind, _ in surrogates.find(text)]
