@@ -36,6 +36,23 @@ def test_job_state_stream_is_its_batch_twin(spark, tmp_path):
     assert {r["document_id"]: (r["document_id"], *r["s"]) for r in last} == want
 
 
+def test_job_state_gathers_no_events(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(1 if i % 3 == 0 else r.randrange(2, 60), r.randrange(300), i, r.choice(["Started", "Processing", "Processing", "Other", "GetMarkdown", "Failed"] if i % 4 == 0 else ["Started", "Processing"])) for i in range(3000)]
+    rows += [(70, 5, 9000, "Failed")] * 2 + [(71, 1, 9001, "Started"), (None, 1, 9002, "Started")]
+    want = {}
+    for d, _, _, kind in sorted((x for x in rows if x[0]), key=lambda x: x[:3]):
+        status, n = want.get(d, (None, 0))
+        if kind in ev.STATUS and status not in ev.FINAL:
+            want[d] = (ev.STATUS[kind], n + 1)
+    got = ev.job_state(spark.createDataFrame(rows, "document_id long, ts int, event_id long, event_type string"))
+    assert {x["document_id"]: (x["status"], x["n_events"]) for x in got.collect()} == want
+    assert all(x["is_ocred"] == (x["status"] == "Succeeded") for x in got.collect())
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_logs_are_written_again_alike(spark, tmp_path):
     rows = [(1, 10, "SaveLog", '[{"message":"a","processingTime":1.0}]', "2024-01-01 00:00:00"), (2, 10, "SaveLog", "[]", "2024-01-01 00:00:01")]
     e = spark.createDataFrame(rows, "event_id long, document_id long, event_type string, data string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
