@@ -1,8 +1,10 @@
-"""Chunks of Markdown texts along their headings: a fixed number of window passes, all partitioned by document."""
+"""Chunks of Markdown texts along their headings.
 
-from __future__ import annotations
+Lines meet their document once (one exchange by doc_id); all later windows and groups are by document or finer and need no other.
+Lines are first brought together to sections, each a heading with what follows it, so that the passes over levels see few rows.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,126 +13,165 @@ from .lines import classify_lines, count_tokens
 
 DEPTH, MAX_TOKENS, SUMMARY_TOKENS = 5, 8192, 100_000
 _TRIVIAL = ("heading", "html", "rule", "blank")
-_SUBS = [f"s{k}" for k in range(1, DEPTH + 1)]
-
-
-def _cut(lines: DataFrame, is_open, depth: int) -> DataFrame:
-    """lines with s1 .. s5: the number of the part of each level, 0 for what stands before the first heading or isn't cut."""
-    for k in range(1, DEPTH + 1):
-        part = Window.partitionBy("doc_id", *_SUBS[: k - 1])
-        cut = F.sum((F.col("level") == k).cast("int")).over(part.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-        lines = lines.withColumn(f"s{k}", F.when(is_open(F.sum("tokens").over(part)), cut).otherwise(0) if k <= depth else F.lit(0))
-    return lines
+_LEVELS = range(1, DEPTH + 1)
 
 
-def _titles(lines: DataFrame) -> DataFrame:
-    """lines with h1 .. h5: the heading line of the part of each level that a line lies in, null outside."""
-    for k in range(1, DEPTH + 1):
-        part = Window.partitionBy("doc_id", *_SUBS[:k]).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-        lines = lines.withColumn(f"h{k}", F.when(F.col(f"s{k}") > 0, F.first("line").over(part)))
-    return lines
+def _in_order(n: Column, text: Column, by: str = "") -> Column:
+    """The texts of a group in the order of n, joined."""
+    ordered = F.sort_array(F.collect_list(F.struct(n.alias("n"), text.alias("t"))))
+    return F.array_join(F.transform(ordered, lambda x: x["t"]), by)
 
 
-def _body(line: Column, is_last: Column, n: Column) -> Column:
-    """Lines of a group in order, each but a text's last one with its newline."""
-    ordered = F.array_sort(F.collect_list(F.struct(n.alias("n"), F.when(is_last, line).otherwise(F.concat(line, F.lit("\n"))).alias("t"))))
-    return F.array_join(F.transform(ordered, lambda x: x["t"]), "")
-
-
-def _fragments(lines: DataFrame) -> DataFrame:
-    size = F.sum(F.length("line") + F.when(F.col("is_last"), 0).otherwise(1))
-    return lines.groupBy("doc_id", *_SUBS).agg(
-        F.min("n").alias("n"),
+def _sections(lines: DataFrame) -> DataFrame:
+    """(doc_id, n, level, head, start, size, tokens, trivial, blank, content): runs of lines from one heading of level 1 to 5 to the next;
+    n is the run's first line, level 0 if it has no heading."""
+    cuts = F.col("level").between(1, DEPTH)
+    so_far = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    runs = lines.withColumn("_first", F.coalesce(F.max(F.when(cuts, F.col("n"))).over(so_far), F.lit(1)))
+    whole = F.when(F.col("is_last"), F.col("line")).otherwise(F.concat("line", F.lit("\n")))
+    return runs.groupBy("doc_id", F.col("_first").alias("n")).agg(
+        F.coalesce(F.max(F.when(cuts, F.col("level"))), F.lit(0)).alias("level"),
+        F.max(F.when(cuts, F.col("head"))).alias("head"),
         F.min("start").alias("start"),
-        size.cast("long").alias("size"),
+        F.sum(F.length(whole)).alias("size"),
         F.sum("tokens").alias("tokens"),
         F.bool_and(F.col("kind").isin(*_TRIVIAL)).alias("trivial"),
         F.bool_and(F.col("kind") == "blank").alias("blank"),
-        _body(F.col("line"), F.col("is_last"), F.col("n")).alias("content"),
-        F.concat_ws(" --> ", *(F.first(f"h{k}", ignorenulls=True) for k in range(1, DEPTH + 1))).alias("path"),
+        _in_order(F.col("n"), whole).alias("content"),
     )
 
 
-def _pending(lines: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(doc_id, n, prefix, tokens, start, end): heading lines of parts without a chunk, for the chunk that takes them.
+def _parts(sections: DataFrame, is_open, depth: int) -> DataFrame:
+    """Sections with p0 .. p5, q1 .. q5 and keep: the part of each level that a section lies in, named by its first line, 0 for the whole text;
+    whether a heading of that level began it; and whether no cut level leaves the section before its first heading."""
+    rows = sections.withColumns({"p0": F.lit(0), "keep": F.lit(True)})
+    for k in _LEVELS:
+        part = Window.partitionBy("doc_id", f"p{k - 1}").orderBy("n")
+        all_of = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        mark = F.when(F.col("level") == k, F.col("n"))
+        cut = F.when(is_open(F.sum("tokens").over(all_of)), F.max(mark).over(part.rowsBetween(Window.unboundedPreceding, 0))) if k <= depth else F.lit(None).cast("int")
+        any_cut = is_open(F.sum("tokens").over(all_of)) & F.max(mark).over(all_of).isNotNull() if k <= depth else F.lit(False)
+        rows = rows.withColumns({f"q{k}": cut.isNotNull(), f"p{k}": F.coalesce(cut, f"p{k - 1}"), "_cut": any_cut})
+        rows = rows.withColumn("keep", F.col("keep") & (F.col(f"q{k}") | ~F.col("_cut"))).drop("_cut")
+    return rows
+
+
+def _fragments(sections: DataFrame, is_open, depth: int) -> DataFrame:
+    """(doc_id, n, begins, head, p, keep, start, size, tokens, trivial, blank, content, path): what is left uncut. begins: the level of the
+    part whose heading it starts with, 0 if there is none; p: the array p0 .. p5."""
+    rows = _parts(sections, is_open, depth)
+    began = F.coalesce(*(F.when((F.col("level") == k) & F.col(f"q{k}"), k) for k in _LEVELS), F.lit(0))
+    shape = F.struct(began.alias("begins"), "head", F.array(*(f"p{k}" for k in range(DEPTH + 1))).alias("p"), F.array(*(f"q{k}" for k in _LEVELS)).alias("q"), "keep", "start")
+    grouped = rows.groupBy("doc_id", f"p{DEPTH}").agg(
+        F.min_by(shape, "n").alias("f"),
+        F.min("n").alias("n"),
+        F.sum("size").alias("size"),
+        F.sum("tokens").alias("tokens"),
+        F.bool_and("trivial").alias("trivial"),
+        F.bool_and("blank").alias("blank"),
+        _in_order(F.col("n"), F.col("content")).alias("content"),
+    )
+    so_far = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    titles = [F.when(F.col("f.q")[k - 1], F.last(F.when(F.col("f.begins") == k, F.col("f.head")), ignorenulls=True).over(so_far)) for k in _LEVELS]
+    return grouped.withColumn("path", F.concat_ws(" --> ", *titles)).select("doc_id", "n", "f.*", "size", "tokens", "trivial", "blank", "content", "path")
+
+
+def _with_waiting(fragments: DataFrame) -> DataFrame:
+    """Fragments that are chunks with `waiting`: the headings (level, ahead, at, head, start) of parts without a chunk that they take.
 
-    Within its parent a part without chunks hands its heading line to the first chunk of the next part that has one; those at the
-    end hand theirs to the parent's last chunk. What comes from higher levels stands further in front.
+    Within its parent a part without chunks hands its heading to the first chunk of the next part that has one; those at the end hand
+    theirs to the parent's last chunk. What comes from higher levels stands further in front.
     """
-    chunk = pieces.filter("is_chunk").select("doc_id", *_SUBS, "n")
-    found = []
-    for k in range(1, DEPTH + 1):
-        key, parent = ["doc_id", *_SUBS[:k]], ["doc_id", *_SUBS[: k - 1]]
-        heads = lines.filter((F.col(f"s{k}") > 0) & (F.col("level") == k)).groupBy(*key).agg(F.min_by("line", "n").alias("line"), F.min("start").alias("start"))
-        first = chunk.filter(F.col(f"s{k}") > 0).groupBy(*key).agg(F.min("n").alias("first"))
-        last = chunk.groupBy(*parent).agg(F.max("n").alias("last"))
-        after = Window.partitionBy(*parent).orderBy(f"s{k}").rowsBetween(0, Window.unboundedFollowing)
-        placed = heads.join(first, key, "left").withColumn("next", F.first("first", ignorenulls=True).over(after)).filter("first is null")
-        to = placed.join(last, parent, "left").withColumn("n", F.coalesce("next", "last")).filter("n is not null")
-        found.append(to.select("doc_id", "n", F.lit(k).alias("level"), F.col("next").isNotNull().cast("int").alias("ahead"), F.col(f"s{k}").alias("at"), "line", "start"))
-    all_found = reduce(DataFrame.unionByName, found)
-    order = F.array_sort(F.collect_list(F.struct("level", "ahead", "at", "line", "start")))
-    grouped = all_found.groupBy("doc_id", "n").agg(order.alias("p"))
-    ends = lambda x: x["start"] + F.length(x["line"])
-    tail = F.filter("p", lambda x: x["ahead"] == 0)
-    head = F.filter("p", lambda x: x["ahead"] == 1)
-    return grouped.select(
-        "doc_id",
-        "n",
-        F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("prefix"),
-        F.array_min(F.transform(head, lambda x: x["start"])).alias("from"),
-        F.array_max(F.transform(tail, ends)).alias("to"),
+    placed = fragments.withColumn("_c", F.when(F.col("is_chunk"), F.struct("n", "p")))
+    by_doc = "ignore nulls over (partition by doc_id order by n)"
+    placed = placed.withColumns({"_next": F.expr(f"lead(_c) {by_doc}"), "_last": F.expr(f"lag(_c) {by_doc}")})
+    k = F.col("begins")
+    same = lambda c, level: F.coalesce(F.get(F.col(f"{c}.p"), level) == F.get("p", level), F.lit(False))
+    empty = (k > 0) & ~F.col("is_chunk") & ~same("_next", k)
+    to = F.when(same("_next", k - 1), F.col("_next.n")).when(same("_last", k - 1), F.col("_last.n"))
+    heading = F.struct(k.alias("level"), same("_next", k - 1).cast("int").alias("ahead"), F.col("n").alias("at"), "head", "start")
+    body = F.struct("start", "size", "tokens", "path", "content")
+    none = lambda c: F.lit(None).cast(placed.select(c.alias("x")).schema["x"].dataType)
+    moves = F.array(
+        F.when(F.col("is_chunk"), F.struct(F.col("n").alias("to"), body.alias("own"), none(heading).alias("w"))),
+        F.when(empty & to.isNotNull(), F.struct(to.alias("to"), none(body).alias("own"), heading.alias("w"))),
     )
+    moved = placed.select("doc_id", F.inline(F.filter(moves, lambda x: x.isNotNull())))
+    taken = moved.groupBy("doc_id", F.col("to").alias("n")).agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list("w")).alias("waiting"))
+    return taken.select("doc_id", "n", "own.*", "waiting")
 
 
 def text_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, depth: int = DEPTH) -> DataFrame:
     """(doc_id, chunk_index, type, needs_summary, tokens, path, content, start, end) of texts cut where headings are, level by level,
     as long as a part has max_tokens or more. Texts without a line other than headings, HTML and rules have no chunk."""
-    lines = _titles(_cut(classify_lines(docs), lambda tokens: tokens >= max_tokens, depth))
+    return chunks_of_lines(classify_lines(docs), max_tokens, depth)
+
+
+def chunks_of_lines(lines: DataFrame, max_tokens: int = MAX_TOKENS, depth: int = DEPTH) -> DataFrame:
+    """text_chunks() of lines that are classified already."""
     over = F.col("tokens") >= max_tokens
-    pieces = _fragments(lines).withColumn("is_chunk", ~F.col("blank") & (over | ~F.col("trivial")))
-    joined = pieces.filter("is_chunk").join(_pending(lines, pieces), ["doc_id", "n"], "left")
+    pieces = _fragments(_sections(lines), lambda tokens: tokens >= max_tokens, depth).withColumn("is_chunk", ~F.col("blank") & (over | ~F.col("trivial")))
+    taken = _with_waiting(pieces)
+    some = F.size("waiting") > 0
+    prefix = F.when(some, F.array_join(F.transform("waiting", lambda x: x["head"]), "\n"))
+    ahead = F.array_min(F.transform(F.filter("waiting", lambda x: x["ahead"] == 1), lambda x: x["start"]))
+    behind = F.array_max(F.transform(F.filter("waiting", lambda x: x["ahead"] == 0), lambda x: x["start"] + F.length(x["head"])))
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))
-    return joined.select(
+    return taken.select(
         "doc_id",
         index.alias("chunk_index"),
         F.when(over, "Summary").otherwise("Text").alias("type"),
         over.alias("needs_summary"),
-        (F.col("tokens") + F.coalesce(count_tokens(F.col("prefix")), F.lit(0))).alias("tokens"),
+        (F.col("tokens") + F.coalesce(count_tokens(prefix), F.lit(0))).alias("tokens"),
         "path",
-        F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit("\n"), "content")).otherwise(F.col("content")).alias("content"),
-        F.coalesce("from", "start").alias("start"),
-        F.coalesce("to", F.col("start") + F.col("size")).alias("end"),
+        F.when(some, F.concat(prefix, F.lit("\n"), "content")).otherwise(F.col("content")).alias("content"),
+        F.coalesce(ahead, "start").alias("start"),
+        F.coalesce(behind, F.col("start") + F.col("size")).alias("end"),
     )
 
 
 def summary_sections(docs: DataFrame, limit: int = SUMMARY_TOKENS, depth: int = DEPTH) -> DataFrame:
     """(doc_id, section, content, path, title, tokens): the whole text up to `limit` tokens, else its parts; what stands before the first
     heading of a level that is cut is left out."""
-    lines = _titles(_cut(classify_lines(docs), lambda tokens: tokens > limit, depth))
-    for k in range(1, DEPTH + 1):
-        cut = F.max(f"s{k}").over(Window.partitionBy("doc_id", *_SUBS[: k - 1])) > 0
-        lines = lines.withColumn(f"_in{k}", ~cut | (F.col(f"s{k}") > 0))
-    kept = _fragments(lines.filter(" and ".join(f"_in{k}" for k in range(1, DEPTH + 1)))).filter("not blank or tokens > 0")
+    kept = _fragments(_sections(classify_lines(docs)), lambda tokens: tokens > limit, depth).filter("keep and (not blank or tokens > 0)")
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")).alias("section"), "content", "path", F.substring_index("path", " --> ", -1).alias("title"), "tokens")
 
 
 def top_level_sections(docs: DataFrame) -> DataFrame:
-    """(doc_id, section, content, title): texts cut at headings of level 1, or 2 if there are none, or whole."""
+    """(doc_id, section, content, title, path): texts cut at headings of level 1, or 2 if there are none, or whole; the path is the title."""
     by_doc = Window.partitionBy("doc_id")
     lines = classify_lines(docs)
     level = F.when(F.max((F.col("level") == 1).cast("int")).over(by_doc) == 1, 1).when(F.max((F.col("level") == 2).cast("int")).over(by_doc) == 1, 2)
     lines = lines.withColumn("_cut", level).withColumn("section", F.sum((F.col("level") == F.coalesce("_cut", F.lit(0))).cast("int") * F.col("_cut").isNotNull().cast("int")).over(by_doc.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
     kept = lines.filter("_cut is null or section > 0")
-    found = kept.groupBy("doc_id", "section").agg(_body(F.col("line"), F.col("is_last"), F.col("n")).alias("content"), F.min_by(F.when(F.col("_cut").isNotNull(), F.col("line")), "n").alias("title"), F.bool_and(F.col("kind") == "blank").alias("blank"))
-    return found.filter("not blank").select("doc_id", F.greatest("section", F.lit(1)).alias("section"), "content", F.coalesce("title", F.lit("")).alias("title"))
+    whole = F.when(F.col("is_last"), F.col("line")).otherwise(F.concat("line", F.lit("\n")))
+    found = kept.groupBy("doc_id", "section").agg(_in_order(F.col("n"), whole).alias("content"), F.min_by(F.when(F.col("_cut").isNotNull(), F.col("head")), "n").alias("title"), F.bool_and(F.col("kind") == "blank").alias("blank"))
+    title = F.coalesce("title", F.lit(""))
+    return found.filter("not blank").select("doc_id", F.greatest("section", F.lit(1)).alias("section"), "content", title.alias("title"), title.alias("path"))
+
+
+def union_chunks(texts: DataFrame, tables: DataFrame) -> DataFrame:
+    """Text chunks and table chunks in one table (doc_id, chunk_index, type, needs_summary, tokens, path, content, start, end, is_table);
+    a table's chunk_index is its table_index."""
+    columns = ["doc_id", "chunk_index", "type", "needs_summary", "tokens", "path", "content", "start", "end", "is_table"]
+    t = tables.withColumns({"chunk_index": F.col("table_index"), "type": F.lit("Table"), "needs_summary": F.lit(False), "is_table": F.lit(True)})
+    return texts.withColumn("is_table", F.lit(False)).select(columns).unionByName(t.select(columns))
+
+
+def _inside(chunks: DataFrame) -> DataFrame:
+    """union_chunks() with `inside`: text chunks that a table of their document contains. A table's end is inclusive, a text's isn't.
+
+    Of the tables that start no later than a chunk, the one that ends last decides: a running maximum, no join of intervals.
+    """
+    w = Window.partitionBy("doc_id").orderBy("start", F.desc("is_table"), "chunk_index").rowsBetween(Window.unboundedPreceding, 0)
+    return chunks.withColumn("inside", ~F.col("is_table") & F.coalesce(F.col("end") <= F.max(F.when(F.col("is_table"), F.col("end"))).over(w), F.lit(False)))
 
 
 def chunks_inside_tables(texts: DataFrame, tables: DataFrame) -> DataFrame:
-    """(doc_id, chunk_index) of text chunks that a table of their document contains. A table's end is inclusive, a text's isn't."""
-    t = tables.select("doc_id", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    inside = (texts["doc_id"] == t["doc_id"]) & (t["t_start"] <= texts["start"]) & (texts["end"] <= t["t_end"])
-    return texts.join(t, inside, "left_semi").select("doc_id", "chunk_index")
+    """(doc_id, chunk_index) of text chunks that a table of their document contains."""
+    places = ["doc_id", "start", "end"]
+    t = tables.select(*places, F.lit(0).alias("chunk_index"), F.lit(True).alias("is_table"))
+    return _inside(texts.select(*places, "chunk_index", F.lit(False).alias("is_table")).unionByName(t)).filter("inside").select("doc_id", "chunk_index")
 
 
 def is_trivial(content: Column) -> Column:
@@ -140,41 +181,44 @@ def is_trivial(content: Column) -> Column:
     return F.forall(rest, lambda x: (F.trim(x) == "") | x.rlike(r"^ {0,3}#{1,6}([ \t]|$)") | x.rlike(r"^ {0,3}([-*_])[ \t]*(\1[ \t]*){2,}$"))
 
 
+def _joined(chunks: DataFrame, keep) -> DataFrame:
+    return chunks.groupBy("doc_id", "is_table", "_island").agg(
+        _in_order(F.col("chunk_index"), F.col("content"), "\n").alias("content"),
+        F.sum("tokens").alias("tokens"),
+        *(keep(c, "chunk_index").alias(c) for c in ("type", "needs_summary", "path", "start", "end")),
+        keep("chunk_index", "chunk_index").alias("chunk_index"),
+    )
+
+
+def merge_inside_tables(chunks: DataFrame) -> DataFrame:
+    """union_chunks() after text chunks inside a table joined the chunk before; a document's first chunk never does."""
+    w = Window.partitionBy("doc_id", "is_table").orderBy("chunk_index")
+    t = _inside(chunks).withColumn("_first", F.row_number().over(w) == 1)
+    t = t.withColumn("_island", F.sum((~F.col("inside") | F.col("_first")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _joined(t, F.min_by).drop("_island")
+
+
+def merge_trivial_forward(chunks: DataFrame) -> DataFrame:
+    """union_chunks() after text chunks of headings only joined the chunk after; a document's last chunk stays."""
+    ahead = Window.partitionBy("doc_id", "is_table").orderBy(F.desc("chunk_index"))
+    t = chunks.withColumns({"_alone": ~F.col("is_table") & is_trivial(F.col("content")), "_last": F.row_number().over(ahead) == 1})
+    t = t.withColumn("_island", F.sum((~F.col("_alone") | F.col("_last")).cast("int")).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    return _joined(t, F.max_by).drop("_island")
+
+
 def merge_and_reindex(texts: DataFrame, tables: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Text chunks inside a table join the chunk before, heading-only chunks the chunk after; what then exceeds max_tokens needs a
     summary; chunks are numbered for each type and ordered by where they started."""
-    by_doc = Window.partitionBy("doc_id").orderBy("chunk_index")
-    so_far = by_doc.rowsBetween(Window.unboundedPreceding, 0)
-    inside = chunks_inside_tables(texts, tables).withColumn("_in", F.lit(True))
-    t = texts.join(inside, ["doc_id", "chunk_index"], "left").withColumn("_first", F.row_number().over(by_doc) == 1)
-    t = t.withColumn("_island", F.sum((F.col("_in").isNull() | F.col("_first")).cast("int")).over(so_far))
-
-    def joined(rows: DataFrame, keep) -> DataFrame:
-        order = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
-        return rows.groupBy("doc_id", "_island").agg(
-            F.array_join(F.transform(order, lambda x: x["content"]), "\n").alias("content"),
-            F.sum("tokens").alias("tokens"),
-            F.count("*").alias("_members"),
-            *(keep(c, "chunk_index").alias(c) for c in ("type", "needs_summary", "path", "start", "end")),
-            keep("chunk_index", "chunk_index").alias("chunk_index"),
-        )
-
-    t = joined(t, F.min_by).withColumn("_alone", is_trivial(F.col("content")))
-    ahead = Window.partitionBy("doc_id").orderBy(F.desc("chunk_index"))
-    last = F.row_number().over(ahead) == 1
-    t = t.withColumn("_island", F.sum((~F.col("_alone") | last).cast("int")).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
-    t = joined(t, F.max_by).withColumn("needs_summary", F.col("needs_summary") | (F.col("tokens") > max_tokens))
+    t = merge_trivial_forward(merge_inside_tables(union_chunks(texts, tables)))
+    t = t.withColumn("needs_summary", ~F.col("is_table") & (F.col("needs_summary") | (F.col("tokens") > max_tokens)))
     t = t.withColumn("type", F.when(F.col("needs_summary"), "Summary").otherwise(F.col("type")))
-    columns = ["doc_id", "type", "needs_summary", "tokens", "path", "content", "start", "end", "_place", "_table"]
-    both = t.withColumns({"_place": F.col("chunk_index"), "_table": F.lit(0)}).select(columns).unionByName(
-        tables.select("doc_id", F.lit("Table").alias("type"), F.lit(False).alias("needs_summary"), "tokens", "path", "content", "start", "end", F.col("table_index").alias("_place"), F.lit(1).alias("_table"))
-    )
-    index = F.row_number().over(Window.partitionBy("doc_id", "type").orderBy("_place"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "_table", "_place"))
-    return both.withColumns({"chunk_index": index, "place": place}).drop("_place", "_table")
+    index = F.row_number().over(Window.partitionBy("doc_id", "type").orderBy("chunk_index"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "is_table", "chunk_index"))
+    return t.withColumns({"place": place, "_index": index}).select("doc_id", "type", "needs_summary", "tokens", "path", "content", "start", "end", F.col("_index").alias("chunk_index"), "place")
 
 
 def chunk_type_counts(chunks: DataFrame) -> DataFrame:
-    """(doc_id, n_text, n_table, n_summary, n_tokens) of every document with chunks."""
+    """(doc_id, n_text, n_table, n_summary, n_tokens) of every document with chunks, and of all of them in a row without doc_id."""
     counts = [F.count_if(F.col("type") == k).alias(f"n_{k.lower()}") for k in ("Text", "Table", "Summary")]
-    return chunks.groupBy("doc_id").agg(*counts, F.sum("tokens").alias("n_tokens"))
+    per_doc = chunks.filter("doc_id is not null").rollup("doc_id")
+    return per_doc.agg(*counts, F.sum("tokens").alias("n_tokens"))

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FENCE = r"^ {0,3}(```|~~~)"
+# the mark that opened a fence closes it, as often or more often; without one the fence lasts to the end
+_FENCE = r"(?dm)^ {0,3}(```|~~~)"
+_FENCED = r"(?dm)^ {0,3}(?:(`{3,})[^`\n]*|(~{3,})[^\n]*)$(?s:.*?)(?:^ {0,3}(?:\1`*|\2~*)[ \t\r]*$|\z)"
 _HTML = r"^ {0,3}<[A-Za-z/!?]"
 _DELIMITER = r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$"
+_UNDERLINE = r"^ {0,3}(=+|-+)[ \t\r]*$"
+_SOME_UNDERLINE = r"(?dm)^ {0,3}(=+|-+)[ \t\r]*$"
+_INDENTED = r"^(?: {4}| {0,3}\t)"
 
 
 def count_tokens(text: Column) -> Column:
@@ -15,56 +20,92 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+")).cast("long")
 
 
+def _marked_lines(text: Column) -> Column:
+    """An array of structs (line, code) of a text's lines, code telling those of fenced blocks with their fences."""
+    plain = lambda lines: F.transform(lines, lambda x: F.struct(x.alias("line"), F.lit(False).alias("code")))
+    between, code = F.split(text, _FENCED), F.regexp_extract_all(text, F.lit(_FENCED), F.lit(0))
+    last = F.size(between) - 1
+
+    def part(x: Column, i: Column) -> Column:
+        # what stands between two blocks begins and ends with a newline that belongs to neither of its lines
+        front, back = (i > 0).cast("int"), (i < last).cast("int")
+        inner = F.substr(x, front + 1, F.greatest(F.length(x) - front - back, F.lit(0)))
+        none = (last > 0) & F.when((i > 0) & (i < last), F.length(x) < 2).otherwise(x == "")
+        lines = F.when(none, F.array().cast("array<string>")).otherwise(F.split(inner, "\n"))
+        fenced = F.transform(F.coalesce(F.split(F.get(code, i), "\n"), F.array().cast("array<string>")), lambda y: F.struct(y.alias("line"), F.lit(True).alias("code")))
+        return F.concat(plain(lines), fenced)
+
+    return F.when(text.rlike(_FENCE), F.flatten(F.transform(between, part))).otherwise(plain(F.split(text, "\n")))
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, start, line, is_last): lines from 1, with the place of their first character. Null texts have none."""
-    each = docs.filter("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    """(doc_id, n, start, line, is_last, code, under): lines from 1, with the place of their first character. Null texts have none.
+
+    code: within a fenced block; under: the next line if that underlines a title, else null.
+    """
+    each = docs.filter("text is not null").select("doc_id", "text", _marked_lines(F.col("text")).alias("l"))
+    below = lambda i: F.get("l", i + 1)["line"]
+    marked = F.transform("l", lambda x, i: F.struct(x["line"].alias("line"), x["code"].alias("code"), F.when(below(i).rlike(_UNDERLINE), below(i)).alias("under")))
+    unmarked = F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["code"].alias("code"), F.lit(None).cast("string").alias("under")))
+    opened = each.select("doc_id", F.posexplode(F.when(F.col("text").rlike(_SOME_UNDERLINE), marked).otherwise(unmarked)).alias("_i", "l"))
+    rows = opened.select("doc_id", (F.col("_i") + 1).alias("n"), "l.*")
     # the place of a line is the length of those before it, with their newlines
-    opened = each.select("doc_id", F.size("lines").alias("_all"), F.posexplode("lines").alias("_i", "line"))
-    before = Window.partitionBy("doc_id").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")
-    return opened.select("doc_id", (F.col("_i") + 1).alias("n"), start.alias("start"), "line", (F.col("_i") + 1 == F.col("_all")).alias("is_last"))
+    by_doc = Window.partitionBy("doc_id").orderBy("n")
+    length = F.length("line") + 1
+    return rows.withColumns({"start": (F.sum(length).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)) - length).cast("long"), "is_last": F.lead("n").over(by_doc).isNull()})
 
 
 def classify_lines(docs: DataFrame) -> DataFrame:
-    """split_lines() with kind (heading, table, html, rule, list, code, quote, paragraph, blank), level (0 without), tokens.
+    """(doc_id, n, start, line, is_last, kind, level, head, tokens): kind is heading, table, html, rule, list, code, quote, paragraph or
+    blank; level that of a heading, at its first line, else 0; head the text of a heading, at its first line.
 
-    A fence opens code up to the next fence; a line that begins with a tag opens HTML up to a blank line; lines with bars are a table
-    if the second of them is a row of dashes.
+    A fence opens code up to a fence of its own mark; four blanks after a blank line or a heading open code too, unless a list goes on.
+    A line that begins with a tag opens HTML up to a blank line; lines with bars are a table if the second of them is a row of dashes;
+    a row of = or - below a line of text makes both a heading (of a longer paragraph, its last line).
     """
     by_doc = Window.partitionBy("doc_id").orderBy("n")
     so_far = by_doc.rowsBetween(Window.unboundedPreceding, 0)
-    line = F.col("line")
-    rows = split_lines(docs).withColumns({"fence": line.rlike(_FENCE), "blank": F.trim(F.regexp_replace(line, r"\s", " ")) == ""})
-    rows = rows.withColumn("fences", F.sum(F.col("fence").cast("int")).over(so_far))
-    rows = rows.withColumn("code", F.col("fence") | (F.col("fences") % 2 == 1))
-    rows = rows.withColumns({
-        "_blank_at": F.max(F.when(F.col("blank") & ~F.col("code"), F.col("n"))).over(so_far),
-        "_html_at": F.max(F.when(~F.col("code") & line.rlike(_HTML), F.col("n"))).over(so_far),
-    })
-    rows = rows.withColumn("html", ~F.col("code") & ~F.col("blank") & F.coalesce(F.col("_html_at") > F.coalesce("_blank_at", F.lit(0)), F.lit(False)))
-    rows = rows.withColumn("_bar", ~F.col("code") & ~F.col("html") & line.contains("|"))
-    rows = rows.withColumn("_run", F.sum((~F.col("_bar")).cast("int")).over(so_far))
-    in_run = Window.partitionBy("doc_id", "_run", "_bar").orderBy("n")
-    rows = rows.withColumn("_second", F.when(F.col("_bar"), F.nth_value(line.rlike(_DELIMITER), 2).over(in_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    line, code = F.col("line"), F.col("code")
+    rows = split_lines(docs).withColumns({"blank": ~code & ~line.rlike(r"\S"), "_tag": ~code & line.rlike(_HTML)})
+    rows = rows.withColumns({"_blank_at": F.max(F.when(F.col("blank"), F.col("n"))).over(so_far), "_html_at": F.max(F.when(F.col("_tag"), F.col("n"))).over(so_far)})
+    rows = rows.withColumn("html", ~code & ~F.col("blank") & F.coalesce(F.col("_html_at") > F.coalesce("_blank_at", F.lit(0)), F.lit(False)))
+    rows = rows.withColumn("_bar", ~code & ~F.col("html") & line.contains("|"))
+    rows = rows.withColumns({"_before": F.coalesce(F.lag("_bar").over(by_doc), F.lit(False)), "_dashes": F.coalesce(F.lead(F.col("_bar") & line.rlike(_DELIMITER)).over(by_doc), F.lit(False))})
+    opens = F.when(F.col("_bar") & ~F.col("_before"), F.col("_dashes"))
+    rows = rows.withColumn("_table", F.col("_bar") & F.last(opens, ignorenulls=True).over(so_far))
     marks = F.length(F.regexp_extract(line, r"^ {0,3}(#{1,6})(?:[ \t]|$)", 1))
     kind = (
-        F.when(F.col("code"), "code")
+        F.when(code, "code")
         .when(F.col("blank"), "blank")
         .when(F.col("html"), "html")
-        .when(F.coalesce("_second", F.lit(False)), "table")
+        .when(F.col("_table"), "table")
         .when(marks > 0, "heading")
         .when(line.rlike(r"^ {0,3}([-*_])[ \t]*(\1[ \t]*){2,}$"), "rule")
         .when(line.rlike(r"^ {0,3}([-*+]|\d{1,9}[.)])([ \t]|$)"), "list")
         .when(line.rlike(r"^ {0,3}>"), "quote")
+        .when(line.rlike(_INDENTED), "indented")
         .otherwise("paragraph")
     )
-    return rows.select("doc_id", "n", "start", "line", "is_last", kind.alias("kind"), F.when(kind == "heading", marks).otherwise(0).alias("level"), count_tokens(line).alias("tokens"))
+    rows = rows.withColumn("kind", kind)
+    flush = F.col("kind") != "indented"
+    title = (F.col("kind") == "paragraph") & F.col("under").isNotNull() & ~line.rlike(_UNDERLINE)
+    rows = rows.withColumns({
+        "_title": title,
+        "_below": F.coalesce(F.lag(title).over(by_doc), F.lit(False)),
+        "_above": F.last(F.when(flush, F.col("kind")), ignorenulls=True).over(so_far),
+        "_text": F.last(F.when(flush & ~F.col("blank"), F.col("kind")), ignorenulls=True).over(so_far),
+    })
+    goes_on = F.when(F.col("_text") == "list", "list").when(F.col("_above").isin("paragraph", "quote"), F.col("_above")).otherwise("code")
+    found = F.when(F.col("_title") | F.col("_below"), "heading").when(flush, F.col("kind")).otherwise(goes_on)
+    level = F.when(F.col("_title"), F.when(F.col("under").contains("="), 1).otherwise(2)).when(F.col("kind") == "heading", marks).otherwise(0)
+    head = F.when(F.col("_title"), F.concat(line, F.lit("\n"), "under")).when(F.col("kind") == "heading", line)
+    return rows.select("doc_id", "n", "start", "line", "is_last", found.alias("kind"), level.alias("level"), head.alias("head"), count_tokens(line).alias("tokens"))
 
 
 def heading_path(lines: DataFrame) -> DataFrame:
     """lines with path: the enclosing headings of each line, joined by ` --> `; a heading ends those of its level and deeper ones."""
     so_far = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     at = {f"_at{k}": F.max(F.when(F.col("level") == k, F.col("n"))).over(so_far) for k in range(1, 7)}
-    title = {f"_t{k}": F.last(F.when(F.col("level") == k, F.col("line")), ignorenulls=True).over(so_far) for k in range(1, 7)}
+    title = {f"_t{k}": F.last(F.when(F.col("level") == k, F.col("head")), ignorenulls=True).over(so_far) for k in range(1, 7)}
     shown = [F.when(F.col(f"_at{k}") > F.greatest(F.lit(0), F.lit(0), *(F.coalesce(f"_at{j}", F.lit(0)) for j in range(1, k))), F.col(f"_t{k}")) for k in range(1, 7)]
     return lines.withColumns({**at, **title}).withColumn("path", F.concat_ws(" --> ", *shown)).drop(*at, *title)

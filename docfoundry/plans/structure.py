@@ -130,7 +130,8 @@ def _(t):
 
 def both(t) -> DataFrame:
     docs = ocr_document(t).select(F.col("doc_id"), "text").unionByName(table_document(t).select((F.col("doc_id") + 10**9).alias("doc_id"), "text"))
-    return chunking.merge_and_reindex(chunking.text_chunks(docs, LIMIT), tables.table_chunks(lines.classify_lines(docs), "merge"), LIMIT)
+    found = lines.classify_lines(docs)
+    return chunking.merge_and_reindex(chunking.chunks_of_lines(found, LIMIT), tables.table_chunks(found, "merge"), LIMIT)
 
 
 @query("k4_merge_and_reindex")

@@ -18,17 +18,29 @@ def level_of(line):
     return len(m[1]) if m else 0
 
 
-def heads(text, level):
-    at, out = 0, []
-    for line in text.split("\n"):
-        if level_of(line) == level:
-            out.append((at, line))
+RULE = r" {0,3}([-*_])[ \t]*(\1[ \t]*){2,}$"
+
+
+def all_heads(text):
+    """[(line number, place, level, heading)], titles over a row of = or - among them."""
+    lines, at, out = text.split("\n"), 0, []
+    for i, line in enumerate(lines):
+        below = lines[i + 1] if i + 1 < len(lines) else ""
+        if level_of(line):
+            out.append((i, at, level_of(line), line))
+        elif line.strip() and not re.match(RULE, line) and not re.match(r"=+$", line) and re.match(r" {0,3}(=+|-+)[ \t]*$", below):
+            out.append((i, at, 1 if "=" in below else 2, f"{line}\n{below}"))
         at += len(line) + 1
     return out
 
 
+def heads(text, level):
+    return [(at, head) for _, at, k, head in all_heads(text) if k == level]
+
+
 def trivial(text):
-    return all(not x.strip() or level_of(x) or re.match(r" {0,3}([-*_])[ \t]*(\1[ \t]*){2,}$", x) for x in text.split("\n"))
+    of_heads = {i + k for i, _, _, head in all_heads(text) for k in range(head.count("\n") + 1)}
+    return all(i in of_heads or not x.strip() or re.match(RULE, x) for i, x in enumerate(text.split("\n")))
 
 
 def model_chunks(text, limit, level=1, path=(), base=0):
@@ -82,7 +94,7 @@ def random_markdown(rng):
         if kind < 0.45:
             out.append("#" * rng.randint(1, 6) + " " + rng.choice(["A", "B c", "Long title here"]))
         elif kind < 0.55:
-            out.append(rng.choice(["", "---", "  "]))
+            out.append(rng.choice(["", "---", "===", "  "]))
         else:
             out.append(" ".join(rng.choice("abc") for _ in range(rng.randint(1, 9))))
     return "\n".join(out) + rng.choice(["", "\n", "\n\n"])
@@ -135,6 +147,22 @@ def test_line_kinds(spark):
     assert got == ["heading", "blank", "table", "table", "table", "table", "blank", "code", "code", "code", "html", "html", "blank", "paragraph", "list", "list", "quote", "rule", "paragraph", "paragraph"]
 
 
+def test_titles_fences_and_indents(spark):
+    cases = {
+        "Title\n=====\ntext": ["heading", "heading", "paragraph"],
+        "a\nTitle\n---\n---": ["paragraph", "heading", "heading", "rule"],
+        "~~~\n```\n# no\n~~~\n# yes": ["code"] * 4 + ["heading"],
+        "````\n```\n````\n\n```x\n": ["code"] * 3 + ["blank", "code", "code"],
+        "\n\n```\na\n```\n\n~~~\nb\n~~~\n~~~\n~~~": ["blank", "blank", "code", "code", "code", "blank", *["code"] * 5],
+        "x\n\n    code\n    more\n\n- a\n\n    b\n\nx\n    y": ["paragraph", "blank", "code", "code", "blank", "list", "blank", "list", "blank", "paragraph", "paragraph"],
+    }
+    found = lines.classify_lines(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    for i, (text, want) in enumerate(cases.items()):
+        own = sorted((r for r in found if r["doc_id"] == i), key=lambda r: r["n"])
+        assert [r["kind"] for r in own] == want, text
+        assert [r["line"] for r in own] == text.split("\n") and all(text[r["start"] :].startswith(r["line"]) for r in own)
+
+
 def test_heading_path(spark):
     d = spark.createDataFrame([(1, "x\n# A\n### C\ny\n## B\nz\n# D\nw")], "doc_id long, text string")
     got = [r["path"] for r in lines.heading_path(lines.classify_lines(d)).orderBy("n").collect()]
@@ -233,6 +261,32 @@ def test_table_segments(spark, policy):
         assert r["segment"] == seg and (r["min_score"] == pytest.approx(least, abs=2e-4) if least is not None else r["min_score"] is None)
 
 
+def test_nested_tables(spark):
+    cases = ["a<table>b<table x='1'>c</table>d</table>e", "<table-x>q</table-x>", "</table><table>a<table>b</table>c</table>", "<TABLE/>x</TABLE>", "<table", "", "no"]
+
+    def model(html):
+        out, depth, i = [], 0, 0
+        while i < len(html):
+            m = re.compile(r"<table(?=[\s>/]|$)[^>]*>?", re.I).match(html, i)
+            if m:
+                depth += 1
+                out.append("<table>" * (depth == 1))
+                i = m.end()
+            elif html[i : i + 8].lower() == "</table>":
+                depth -= 1
+                out.append("</table>" * (depth == 0))
+                i += 8
+            else:
+                out.append(html[i] * (depth == 1))
+                i += 1
+        return "".join(out)
+
+    rows = spark.createDataFrame([(c,) for c in cases], "html string").select("html", tables.strip_nested_tables(F.col("html")).alias("got")).collect()
+    for r in rows:
+        assert r["got"] == model(r["html"]), r["html"]
+    assert rows[0]["got"] == "<table>bd</table>" and rows[1]["got"] == "" and rows[3]["got"] == "<table>x</table>"
+
+
 def test_tables_in_texts(spark):
     text = "# T\n\n| Name | Amount |\n|---|---|\n| a | 1 |\n\nPage 2\n\n| Name | Amount |\n|---|---|\n| b | 2 |\n\n<table><tr><th>X</th></tr><tr><td><table><tr><th>q</th><th>r</th></tr></table></td></tr></table>\n\nend"
     ls = lines.classify_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))
