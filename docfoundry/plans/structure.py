@@ -65,6 +65,96 @@ def table_document(t) -> DataFrame:
     return m.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda x: x["p"]), "\n\n").alias("text"))
 
 
+_NL = "chr(10)"
+_HEADS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _HEADERS.items())
+_MD = f"""md AS (SELECT o_custkey AS cust, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS table_index, o_orderkey % 3 <> 2 AS has_header, CASE o_orderpriority {_HEADS} ELSE ['Other'] END AS h, coalesce(n, 0) AS row_count
+ FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey)"""
+_PLACED = f"""{_MD}, page AS (SELECT cust * 1000000000 + (table_index - 1) // 12 AS doc_id, table_index, h, greatest(row_count, 1) AS k, '## Section ' || table_index || {_NL} || {_NL} || 'Text before.' || {_NL} || {_NL} AS front,
+ '| ' || array_to_string(h, ' | ') || ' |' || {_NL} || '|' || repeat('---|', len(h)) || {_NL} || array_to_string(list_transform(range(1, greatest(row_count, 1) + 1), lambda i: '| ' || i || repeat(' | x', len(h) - 1) || ' |'), {_NL}) AS body FROM md),
+ placed AS (SELECT *, row_number() OVER w AS j, coalesce(sum(length(front) + length(body) + 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(front) AS "start", coalesce(sum(k + 7) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 5 AS first_n
+ FROM page WINDOW w AS (PARTITION BY doc_id ORDER BY table_index)),
+ paged AS (SELECT doc_id, string_agg(front || body, {_NL} || {_NL} ORDER BY table_index) AS text FROM page GROUP BY 1)"""
+_BI = "CASE WHEN length({x}) > 1 THEN list_distinct(list_transform(range(1, length({x})), lambda i: substring({x}, i, 2))) ELSE [] END"
+_DICE = "CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
+
+
+def dice_sql(a: str, b: str) -> str:
+    return _DICE.format(a=a, b=b, x=f"({_BI.format(x=a)})", y=f"({_BI.format(x=b)})")
+
+
+_CELL = f"CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.8 WHEN {dice_sql('x', 'y')} >= 0.6 THEN 0.6 ELSE 0.0 END"
+_SIMILAR = f"""hs AS (SELECT DISTINCT h, array_to_string(h, '|') AS k FROM md), cells AS (SELECT a.k AS a, b.k AS b, len(a.h) AS n, len(b.h) AS m, lower(trim(a.h[i])) AS x, lower(trim(b.h[i])) AS y FROM hs a, hs b, range(1, 10) r(i) WHERE i <= least(len(a.h), len(b.h))),
+ sim AS (SELECT a, b, CAST(sum({_CELL}) AS DOUBLE) / least(n, m) * (CAST(least(n, m) AS DOUBLE) / greatest(n, m)) AS s FROM cells GROUP BY a, b, n, m), simmap AS (SELECT map(list(a || '~' || b), list(s)) AS sims FROM sim)"""
+
+
+def fold_sql(tables: str, policy: str) -> str:
+    """fold: the decision on each row of `tables` (doc_id, j, key, c, has_header), one after the other."""
+    column = "CASE WHEN r.c = t.c THEN 1.0 WHEN abs(r.c - t.c) = 1 THEN 0.4 ELSE 0.0 END"
+    scores = f"list_transform(f.refs, lambda r: CASE WHEN t.has_header THEN 0.8 * f.sims[r.k || '~' || t.key] + 0.2 * {column} ELSE 0.7 + 0.2 * {column} END)"
+    own = "CASE WHEN {h} THEN [{{'k': {t}.key, 'c': {t}.c, 'j': {t}.j}}] ELSE [] END"
+    return f"""{_SIMILAR}, fold AS (SELECT t.doc_id, t.j, 1 AS segment, CAST([] AS DOUBLE[]) AS scores, [{{'k': t.key, 'c': t.c, 'j': t.j}}][1:0] AS used, {own.format(h='t.has_header', t='t')} AS refs, 'first' AS method, false AS merged, sims FROM {tables} t, simmap WHERE t.j = 1
+ UNION ALL SELECT doc_id, j, CASE WHEN merged THEN segment ELSE segment + 1 END, scores, used, CASE WHEN merged THEN list_concat(used, own) ELSE own END, method, merged, sims FROM (
+ SELECT *, coalesce(sure, {str(policy == 'merge').lower()}) AS merged, CASE WHEN sure IS NULL THEN 'grey' ELSE 'heuristic' END AS method FROM (
+ SELECT *, CASE WHEN len(scores) = 0 THEN NULL WHEN list_min(scores) >= 0.7 THEN true WHEN list_max(scores) <= 0.25 THEN false END AS sure FROM (
+ SELECT t.doc_id, t.j, f.segment, {scores} AS scores, f.refs AS used, {own.format(h='t.has_header', t='t')} AS own, f.sims FROM fold f JOIN {tables} t ON t.doc_id = f.doc_id AND t.j = f.j + 1) a) b) c)"""
+
+
+_BY_CUSTOMER = "cand AS (SELECT cust AS doc_id, table_index AS j, array_to_string(h, '|') AS key, len(h) AS c, has_header FROM md)"
+_BY_PAGE = "cand AS (SELECT doc_id, j, array_to_string(h, '|') AS key, len(h) AS c, true AS has_header FROM placed)"
+_SPANS = f"""{_BY_PAGE}, {fold_sql('cand', 'merge')}, spans AS (SELECT f.doc_id, f.segment, min(p."start") AS "start", max(p."start" + length(p.body) - 1) AS "end", min(p.table_index) AS first FROM fold f JOIN placed p ON p.doc_id = f.doc_id AND p.j = f.j GROUP BY 1, 2),
+ tchunk AS (SELECT s.*, substring(d.text, CAST(s."start" + 1 AS BIGINT), CAST(s."end" - s."start" + 1 AS BIGINT)) AS content FROM spans s JOIN paged d ON d.doc_id = s.doc_id)"""
+_TOKENS = "len(regexp_extract_all({x}, '[^ \\t\\n\\r\\f\\v]+'))"
+
+
+def parts_sql(source: str, is_open: str, depth: int = 5) -> str:
+    """frag: the uncut parts of `source` (doc_id, text), as SURVEY's set form has them. is_open: a condition on tokens."""
+    steps, last = [], "sect0"
+    for k in range(1, depth + 1):
+        w = f"PARTITION BY doc_id, p{k - 1} ORDER BY n"
+        over = f"(sum(tokens) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+        opened = is_open.format(tokens=over)
+        steps.append(f"""cut{k} AS (SELECT *, CASE WHEN {opened} THEN max(CASE WHEN level = {k} THEN n END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS c{k},
+ {opened} AND max(CASE WHEN level = {k} THEN 1 ELSE 0 END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) = 1 AS any{k} FROM {last}),
+ sect{k} AS (SELECT *, coalesce(c{k}, p{k - 1}) AS p{k} FROM cut{k})""")
+        last = f"sect{k}"
+    ks = range(1, depth + 1)
+    began = "CASE " + " ".join(f"WHEN level = {k} AND c{k} IS NOT NULL THEN {k}" for k in ks) + " ELSE 0 END"
+    keep = " AND ".join(f"(c{k} IS NOT NULL OR NOT any{k})" for k in ks)
+    path = "concat_ws(' --> ', " + ", ".join(f"CASE WHEN q[{k}] THEN last_value(CASE WHEN begins = {k} THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END" for k in ks) + ")"
+    return f"""split AS (SELECT doc_id, unnest(string_split(text, {_NL})) AS line, generate_subscripts(string_split(text, {_NL}), 1) AS n, len(string_split(text, {_NL})) AS k FROM {source}),
+ lined AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}([ \\t]|$)') THEN length(regexp_extract(line, '^#+')) ELSE 0 END AS level, line || CASE WHEN n = k THEN '' ELSE {_NL} END AS whole, {_TOKENS.format(x='line')} AS tokens FROM split),
+ headed AS (SELECT *, coalesce(max(CASE WHEN level BETWEEN 1 AND 5 THEN n END) OVER (PARTITION BY doc_id ORDER BY n), 1) AS f, sum(length(whole)) OVER (PARTITION BY doc_id ORDER BY n) - length(whole) AS start FROM lined),
+ sect0 AS (SELECT doc_id, f AS n, 0 AS p0, max(CASE WHEN level BETWEEN 1 AND 5 THEN level ELSE 0 END) AS level, max(CASE WHEN level BETWEEN 1 AND 5 THEN line END) AS line, min(start) AS start, sum(tokens) AS tokens, bool_and(level > 0 OR trim(line) = '') AS trivial, bool_and(trim(line) = '') AS blank, string_agg(whole, '' ORDER BY headed.n) AS content FROM headed GROUP BY doc_id, f),
+ {', '.join(steps)},
+ shaped AS (SELECT *, {began} AS begins, {keep} AS keep, [{', '.join(f'c{k} IS NOT NULL' for k in ks)}] AS q, [{', '.join(f'p{k}' for k in range(depth + 1))}] AS p FROM {last}),
+ frag0 AS (SELECT doc_id, min(n) AS n, arg_min(begins, n) AS begins, arg_min(line, n) AS line, arg_min(keep, n) AS keep, arg_min(q, n) AS q, arg_min(p, n) AS p, min(start) AS start, sum(tokens) AS tokens, bool_and(trivial) AS trivial, bool_and(blank) AS blank, string_agg(content, '' ORDER BY n) AS content FROM shaped GROUP BY doc_id, p{depth}),
+ frag AS (SELECT *, {path} AS path FROM frag0)"""
+
+
+def chunks_sql(source: str, limit: int) -> str:
+    """chunk: the text chunks of `source` (doc_id, text)."""
+    return f"""{parts_sql(source, '{tokens} >= ' + str(limit))}, marked_frag AS (SELECT *, NOT blank AND (tokens >= {limit} OR NOT trivial) AS is_chunk FROM frag),
+ near AS (SELECT *, lead(CASE WHEN is_chunk THEN {{'n': n, 'p': p}} END IGNORE NULLS) OVER w AS nx, lag(CASE WHEN is_chunk THEN {{'n': n, 'p': p}} END IGNORE NULLS) OVER w AS pv FROM marked_frag WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+ pend AS (SELECT doc_id, coalesce(nx.p[begins] = p[begins], false) AS ahead, CASE WHEN coalesce(nx.p[begins] = p[begins], false) THEN nx.n WHEN coalesce(pv.p[begins] = p[begins], false) THEN pv.n END AS goes, begins, n, line, start FROM near WHERE begins > 0 AND NOT is_chunk AND NOT coalesce(nx.p[begins + 1] = p[begins + 1], false)),
+ pre AS (SELECT doc_id, goes, string_agg(line, {_NL} ORDER BY begins, ahead, n) AS prefix, min(CASE WHEN ahead THEN start END) AS a, max(CASE WHEN NOT ahead THEN start + length(line) END) AS z FROM pend WHERE goes IS NOT NULL GROUP BY 1, 2),
+ chunk AS (SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY c.n) AS INT) AS chunk_index, CASE WHEN tokens >= {limit} THEN 'Summary' ELSE 'Text' END AS type, tokens >= {limit} AS needs_summary, CAST(tokens + coalesce({_TOKENS.format(x='prefix')}, 0) AS BIGINT) AS tokens, path,
+ coalesce(prefix || {_NL}, '') || content AS content, CAST(coalesce(a, start) AS BIGINT) AS "start", CAST(coalesce(z, start + length(content)) AS BIGINT) AS "end" FROM marked_frag c LEFT JOIN pre ON pre.doc_id = c.doc_id AND pre.goes = c.n WHERE is_chunk)"""
+
+
+_OCR_DOCS = f"""{_OCR}, ocr_docs AS (SELECT doc_id, array_to_string(l, {_NL}) AS text FROM ocr)"""
+_BOTH = f"""{_OCR_DOCS}, {_PLACED}, {_SPANS}, all_docs AS (SELECT doc_id, text FROM ocr_docs UNION ALL SELECT doc_id + 1000000000, text FROM paged), {chunks_sql('all_docs', LIMIT)},
+ every AS (SELECT *, false AS t FROM chunk UNION ALL SELECT doc_id + 1000000000, CAST(segment AS INT), 'Table', false, CAST({_TOKENS.format(x='content')} AS BIGINT), '', content, CAST("start" AS BIGINT), CAST("end" AS BIGINT), true FROM tchunk),
+ inner_one AS (SELECT *, NOT t AND EXISTS (SELECT 1 FROM tchunk x WHERE x.doc_id + 1000000000 = every.doc_id AND x."start" <= every."start" AND every."end" <= x."end") AS inside FROM every),
+ isle AS (SELECT *, sum(CASE WHEN inside AND chunk_index > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, t ORDER BY chunk_index) AS g FROM inner_one),
+ one AS (SELECT doc_id, t, min(chunk_index) AS chunk_index, arg_min(type, chunk_index) AS type, arg_min(needs_summary, chunk_index) AS needs_summary, sum(tokens) AS tokens, arg_min(path, chunk_index) AS path, string_agg(content, {_NL} ORDER BY chunk_index) AS content, arg_min("start", chunk_index) AS "start", arg_min("end", chunk_index) AS "end" FROM isle GROUP BY doc_id, t, g),
+ alone AS (SELECT *, NOT t AND len(list_filter(string_split(content, {_NL}), lambda x: NOT (trim(x) = '' OR regexp_matches(x, '^#{{1,6}}([ \\t]|$)')))) = 0 AS a, row_number() OVER (PARTITION BY doc_id, t ORDER BY chunk_index DESC) = 1 AS z FROM one),
+ isle2 AS (SELECT *, sum(CASE WHEN NOT a OR z THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, t ORDER BY chunk_index DESC) AS g FROM alone),
+ two AS (SELECT doc_id, t, max(chunk_index) AS i, arg_max(type, chunk_index) AS type, arg_max(needs_summary, chunk_index) AS needs_summary, sum(tokens) AS tokens, arg_max(path, chunk_index) AS path, string_agg(content, {_NL} ORDER BY chunk_index) AS content, arg_max("start", chunk_index) AS "start", arg_max("end", chunk_index) AS "end" FROM isle2 GROUP BY doc_id, t, g),
+ three AS (SELECT doc_id, t, i, CASE WHEN NOT t AND (needs_summary OR tokens > {LIMIT}) THEN 'Summary' ELSE type END AS type, NOT t AND (needs_summary OR tokens > {LIMIT}) AS needs_summary, CAST(tokens AS BIGINT) AS tokens, path, content, "start", "end" FROM two),
+ merged AS (SELECT doc_id, type, needs_summary, tokens, path, content, "start", "end", CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY i) AS INT) AS chunk_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "start", t, i) AS INT) AS place FROM three)"""
+_SECTIONS = f"""{_OCR_DOCS}, {parts_sql('ocr_docs', '{tokens} > ' + str(LIMIT))}, sections AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INT) AS section, content, path, list_last(string_split(path, ' --> ')) AS title, CAST(tokens AS BIGINT) AS tokens FROM frag WHERE keep AND (NOT blank OR tokens > 0))"""
+
+
 @query(
     "k1_classify_lines",
     f"""WITH {_OCR}, x AS (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}}([ \\t]|$)') THEN 'heading' ELSE 'other' END AS class FROM opened)
@@ -76,12 +166,12 @@ def _(t):
     return found.select("doc_id", "n", "start", F.when(F.col("kind").isin("blank", "heading"), F.col("kind")).otherwise("other").alias("class"), "level", "tokens")
 
 
-@query("k2_text_chunks")
+@query("k2_text_chunks", f"WITH {_OCR_DOCS}, {chunks_sql('ocr_docs', LIMIT)} SELECT * FROM chunk")
 def _(t):
     return chunking.text_chunks(ocr_document(t), LIMIT)
 
 
-@query("e1_chunk_index")
+@query("e1_chunk_index", f"WITH {_OCR_DOCS}, {chunks_sql('ocr_docs', LIMIT)} SELECT doc_id, chunk_index, \"start\", tokens FROM chunk")
 def _(t):
     return chunking.text_chunks(ocr_document(t), LIMIT).select("doc_id", "chunk_index", "start", "tokens")
 
@@ -97,75 +187,119 @@ def _(t):
     return lines.heading_path(lines.classify_lines(ocr_document(t))).select("doc_id", "n", "path")
 
 
-@query("e8_table_title")
+@query("e8_table_title", f"WITH {_PLACED} SELECT doc_id, CAST(first_n + i AS INT) AS n, '## Section ' || table_index AS title FROM placed, range(0, 100) r(i) WHERE i <= k + 1")
 def _(t):
     return tables.table_title(lines.classify_lines(table_document(t))).filter("kind = 'table'").select("doc_id", "n", "title")
 
 
-@query("e9_table_segments")
+@query("e9_table_segments", f"WITH RECURSIVE {_MD}, {_BY_CUSTOMER}, {fold_sql('cand', 'split')} SELECT doc_id, CAST(j AS INT) AS table_index, segment, round(list_min(scores), 4) AS min_score, round(list_max(scores), 4) AS max_score, method, merged FROM fold")
 def _(t):
     return tables.table_segments(md_table(t))
 
 
-@query("k5_table_decisions")
+@query(
+    "k5_table_decisions",
+    f"""WITH RECURSIVE {_MD}, {_BY_CUSTOMER}, {fold_sql('cand', 'merge')} SELECT doc_id, CAST(j AS INT) AS table_index, segment, array_to_string(list_transform(used, lambda r: r.j), ',') AS refs, CAST(len(scores) AS INT) AS n_scores,
+    round(coalesce(list_sum(list_transform(scores, lambda x: round(x, 4))), 0.0), 3) AS total, round(list_min(scores), 4) AS min_score, round(list_max(scores), 4) AS max_score, method, merged FROM fold
+    UNION ALL SELECT NULL, NULL, CAST(count(*) AS INT), NULL, NULL, NULL, NULL, NULL, method, merged FROM fold GROUP BY method, merged""",
+)
 def _(t):
-    s = tables.table_segments(md_table(t), "merge")
-    return s.groupBy("method", "merged").agg(F.count("*").alias("n"), F.min("min_score").alias("least"), F.max("max_score").alias("most"))
+    found = tables.table_decisions(md_table(t), "merge")
+    total = F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 3)
+    rows = found.select("doc_id", "table_index", "segment", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"), F.size("scores").alias("n_scores"), total.alias("total"), "min_score", "max_score", "method", "merged")
+    totals = tables.decision_totals(found).select(F.col("n").cast("int").alias("segment"), "method", "merged")
+    return rows.unionByName(totals, allowMissingColumns=True).select(rows.columns)
 
 
-@query("k3_table_chunks")
+@query("k3_table_chunks", f"WITH RECURSIVE {_PLACED}, {_SPANS} SELECT doc_id, segment AS table_index, '## Section ' || first AS title, '' AS path, CAST({_TOKENS.format(x='content')} AS BIGINT) AS tokens, content, CAST(\"start\" AS BIGINT) AS \"start\", CAST(\"end\" AS BIGINT) AS \"end\" FROM tchunk")
 def _(t):
     return tables.table_chunks(lines.classify_lines(table_document(t)), "merge")
 
 
-@query("d12_table_info")
+@query("d12_table_info", f"""WITH {_PLACED} SELECT doc_id, CAST(j AS INT) AS table_index, CAST("start" AS BIGINT) AS "start", CAST("start" + length(body) - 1 AS BIGINT) AS "end", CAST(first_n AS INT) AS first_n, CAST(first_n + k + 1 AS INT) AS last_n, CAST(len(h) AS INT) AS column_count,
+ array_to_string(list_transform(h, lambda x: trim(x)), '|') AS header, true AS has_header, CAST(k AS INT) AS row_count FROM placed""")
 def _(t):
-    return tables.tables_of(lines.classify_lines(table_document(t)))
+    found = tables.tables_of(lines.classify_lines(table_document(t)))
+    return found.withColumn("header", F.array_join("header_cells", "|")).drop("header_cells")
 
 
-@query("h12_remove_tables")
+@query("h12_remove_tables", f"WITH {_PLACED} SELECT doc_id, regexp_replace(string_agg(front, {_NL} || {_NL} ORDER BY table_index), '\\s+$', '') AS text FROM placed GROUP BY 1")
 def _(t):
     return tables.remove_tables(lines.classify_lines(table_document(t)))
 
 
-def both(t) -> DataFrame:
+def both_kinds(t) -> tuple[DataFrame, DataFrame]:
+    """Text chunks and table chunks of documents and of documents full of tables."""
     docs = ocr_document(t).select(F.col("doc_id"), "text").unionByName(table_document(t).select((F.col("doc_id") + 10**9).alias("doc_id"), "text"))
     found = lines.classify_lines(docs)
-    return chunking.merge_and_reindex(chunking.chunks_of_lines(found, LIMIT), tables.table_chunks(found, "merge"), LIMIT)
+    return chunking.chunks_of_lines(found, LIMIT), tables.table_chunks(found, "merge")
+
+
+def union_of(t) -> DataFrame:
+    return chunking.union_chunks(*both_kinds(t))
 
 
-@query("k4_merge_and_reindex")
+def both(t) -> DataFrame:
+    return chunking.merge_and_reindex(*both_kinds(t), LIMIT)
+
+
+@query("k4_merge_and_reindex", f"WITH RECURSIVE {_BOTH} SELECT * FROM merged")
 def _(t):
     return both(t)
 
 
-@query("f9_chunks_by_position")
+@query("f9_chunks_by_position", f"WITH RECURSIVE {_BOTH} SELECT doc_id, place, type, \"start\" FROM merged")
 def _(t):
     return both(t).select("doc_id", "place", "type", "start")
 
 
-@query("e2_reindex_per_type")
+@query("e2_reindex_per_type", f"WITH RECURSIVE {_BOTH} SELECT doc_id, type, chunk_index, place FROM merged")
 def _(t):
     return both(t).select("doc_id", "type", "chunk_index", "place")
 
 
-@query("c5_chunks_inside_tables")
+@query("c5_chunks_inside_tables", f"WITH RECURSIVE {_PLACED}, {_SPANS}, {chunks_sql('paged', 8)} SELECT c.doc_id, chunk_index FROM chunk c WHERE EXISTS (SELECT 1 FROM tchunk x WHERE x.doc_id = c.doc_id AND x.\"start\" <= c.\"start\" AND c.\"end\" <= x.\"end\")")
 def _(t):
     docs = table_document(t)
     return chunking.chunks_inside_tables(chunking.text_chunks(docs, 8), tables.table_chunks(lines.classify_lines(docs), "merge"))
 
 
-@query("g2_union_chunks")
+@query("e3_merge_inside_tables", f"""WITH RECURSIVE {_BOTH} SELECT doc_id, t AS is_table, chunk_index, CAST(tokens AS BIGINT) AS tokens, content FROM one""")
 def _(t):
-    return both(t).select("doc_id", "type", "content")
+    return chunking.merge_inside_tables(union_of(t)).select("doc_id", "is_table", "chunk_index", "tokens", "content")
 
 
-@query("d10_chunk_type_counts")
+def headings_only(t) -> DataFrame:
+    """Chunks in the shape of union_chunks(): the lines of documents, every other one a heading."""
+    each = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    content = F.when(F.col("i") % 2 == 0, F.concat(F.lit("# "), "line")).otherwise(F.col("line"))
+    return each.select("doc_id", (F.col("i") + 1).alias("chunk_index"), F.lit("Text").alias("type"), F.lit(False).alias("needs_summary"), F.lit(1).cast("long").alias("tokens"), F.lit("").alias("path"), content.alias("content"), F.col("i").cast("long").alias("start"), (F.col("i") + 1).cast("long").alias("end"), F.lit(False).alias("is_table"))
+
+
+@query(
+    "e4_merge_trivial_forward",
+    f"""WITH x AS (SELECT doc_id, unnest(string_split(text, {_NL})) AS line, generate_subscripts(string_split(text, {_NL}), 1) AS n FROM documents), y AS (SELECT doc_id, n, CASE WHEN n % 2 = 1 THEN '# ' ELSE '' END || line AS content FROM x),
+    a AS (SELECT *, n % 2 = 1 OR trim(content) = '' AS alone, n = max(n) OVER (PARTITION BY doc_id) AS z FROM y), g AS (SELECT *, sum(CASE WHEN NOT alone OR z THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n DESC) AS g FROM a)
+    SELECT doc_id, CAST(max(n) AS INT) AS chunk_index, count(*) AS tokens, string_agg(content, {_NL} ORDER BY n) AS content FROM g GROUP BY doc_id, g""",
+)
+def _(t):
+    return chunking.merge_trivial_forward(headings_only(t)).select("doc_id", "chunk_index", "tokens", "content")
+
+
+@query("g2_union_chunks", f"WITH RECURSIVE {_BOTH} SELECT doc_id, type, content FROM every")
+def _(t):
+    return union_of(t).select("doc_id", "type", "content")
+
+
+@query(
+    "d10_chunk_type_counts",
+    f"""WITH RECURSIVE {_BOTH} SELECT doc_id, count(*) FILTER (type = 'Text') AS n_text, count(*) FILTER (type = 'Table') AS n_table, count(*) FILTER (type = 'Summary') AS n_summary, CAST(sum(tokens) AS BIGINT) AS n_tokens FROM merged GROUP BY ROLLUP (doc_id)""",
+)
 def _(t):
     return chunking.chunk_type_counts(both(t))
 
 
-@query("k6_summary_sections")
+@query("k6_summary_sections", f"WITH {_SECTIONS} SELECT * FROM sections")
 def _(t):
     return chunking.summary_sections(ocr_document(t), LIMIT)
 
@@ -187,21 +321,12 @@ def _(t):
     return ocr_page(t).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.size("images")).alias("n_images"))
 
 
-_BI = "CASE WHEN length({x}) > 1 THEN list_distinct(list_transform(range(1, length({x})), lambda i: substring({x}, i, 2))) ELSE [] END"
-_DICE = "CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
-
-
-def dice_sql(a: str, b: str) -> str:
-    return _DICE.format(a=a, b=b, x=f"({_BI.format(x=a)})", y=f"({_BI.format(x=b)})")
-
-
 @query("h3_dice", f"WITH p AS (SELECT a.p_partkey AS id, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) SELECT id, round({dice_sql('x', 'y')}, 4) AS dice FROM p")
 def _(t):
     p = t.part.join(t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("y")), "p_partkey")
     return p.select(F.col("p_partkey").alias("id"), F.round(tables.dice(F.col("p_name"), F.col("y")), 4).alias("dice"))
 
 
-_CELL = f"CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.8 WHEN {dice_sql('x', 'y')} >= 0.6 THEN 0.6 ELSE 0.0 END"
 _CELLS = """p AS (SELECT a.p_partkey AS id, lower(trim(a.p_type)) AS x, lower(trim(CASE WHEN b.p_partkey % 7 = 0 THEN '' WHEN b.p_partkey % 5 = 0 THEN substring(b.p_type, 1, 4) WHEN b.p_partkey % 3 = 0 THEN substring(a.p_type, 2, 50) || 'x' ELSE b.p_type END)) AS y
  FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
 
@@ -219,7 +344,9 @@ def _(t):
     return t.part.select(F.col("p_partkey").alias("id"), tables.column_similarity(F.col("p_size") % 5, F.col("p_size") % 4).alias("similarity"))
 
 
-@query("h5_h7_table_similarity")
+@query("h5_h7_table_similarity", f"""WITH {_MD}, {_SIMILAR}, p AS (SELECT a.cust AS doc_id, a.table_index, a.has_header AS x, b.has_header AS y, s, CASE WHEN len(a.h) = len(b.h) THEN 1.0 WHEN abs(len(a.h) - len(b.h)) = 1 THEN 0.4 ELSE 0.0 END AS c
+ FROM md a JOIN md b ON b.cust = a.cust AND b.table_index = a.table_index + 1 JOIN sim ON sim.a = array_to_string(a.h, '|') AND sim.b = array_to_string(b.h, '|'))
+ SELECT doc_id, CAST(table_index AS INT) AS table_index, round(s, 4) AS header, round(CASE WHEN x AND y THEN 0.8 * s + 0.2 * c WHEN x THEN 0.7 + 0.2 * c WHEN y THEN 0.1 + 0.2 * c ELSE 0.5 + 0.4 * c END, 4) AS score FROM p""")
 def _(t):
     m = md_table(t)
     info = F.struct("column_count", "header_cells", "has_header")
