@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session; where that is unset, a folder in the warehouse, or on a
+    local master, which has no other machine, a temporary one."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='docfoundry-')}"
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    path = spark.conf.get("spark.checkpoint.dir", None) or (f"file://{tempfile.mkdtemp(prefix='docfoundry-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/docfoundry-scratch")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -33,13 +35,75 @@ def bounded_batches(df: DataFrame, rows: int = 500, size: str = "4m") -> DataFra
     return df
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, compressed, and still there when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+def materialise(df: DataFrame, tag: str, rows: int | None = None, per_file: int = 50_000, folder: str | None = None, narrow: bool = False) -> DataFrame:
+    """df as a table in the shared folder: computed once, compressed, and still there when executors are lost.
+
+    rows: about how many rows to expect at most. A table that needs fewer files of `per_file` rows than there are shuffle partitions is
+    brought together first, so that it doesn't become a file for each of them: by a shuffle of its rows, or where `narrow` says that
+    only a scan comes before, by larger tasks.
+    """
+    path = f"{folder or shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    files = None if rows is None else max(1, -(-rows // per_file))
+    if files is not None and files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        few = df.coalesce(files) if narrow else df.repartition(files)
+    else:
+        few = df
+    few.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run, in one folder, which drop() deletes once its results stand elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, tag: str, rows: int | None = None, per_file: int = 50_000, narrow: bool = False) -> DataFrame:
+        return materialise(df, tag, rows, per_file, self.folder, narrow)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+HOT_KEYS = 100_000
+
+
+def join_weighted(left: DataFrame, right: DataFrame, key: str, weight: str, n: int) -> DataFrame:
+    """left, of n rows, with the columns of right's row for its key, null without one.
+
+    right has one row a key, and in `weight` how many rows of left have that key. Keys of more than n / HOT_KEYS rows, fewer than HOT_KEYS
+    by count, are broadcast, so their rows stay where they are; the others are joined by a shuffle. Null keys meet no one.
+    """
+    hot = F.col(weight) > max(1, n // HOT_KEYS)
+    few, rest = F.broadcast(right.filter(hot).drop(weight)), right.filter(~hot).drop(weight)
+    some = left.filter(F.col(key).isNotNull())
+    parts = [some.join(few, key), some.join(few.select(key), key, "left_anti").join(rest, key, "left")]
+    return parts[0].unionByName(parts[1]).unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
+_BITS = 1 << 27  #: of a bitmap of ids: 16 MB
+
+
+def select_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id", keep: bool = True, broadcast_rows: int = 200_000) -> DataFrame:
+    """docs whose `column` is among the one column of ids, distinct and written; or, with keep=False, the others, nulls among them.
+
+    Few ids are broadcast. Of more, a bitmap of hashes of bounded size is, so that only documents whose bit is set are shuffled to be
+    compared with the ids themselves.
+    """
+    ids = ids.toDF("_id")
+    how = "left_semi" if keep else "left_anti"
+    if ids.count() <= broadcast_rows:
+        return docs.join(F.broadcast(ids), F.col(column) == F.col("_id"), how)
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(29)), F.lit(_BITS))
+    maps = ids.select(place("_id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_map"))
+    bit = "(cast(conv(hex(substring(_map, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bitmap_bit_position(_p) % 8 as int)) & 1"
+    marked = docs.withColumn("_p", place(column)).join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_bucket"), "left")
+    marked = marked.withColumn("_may", F.col(column).isNotNull() & F.coalesce(F.expr(bit) == 1, F.lit(False)))
+    may = marked.filter("_may").select(docs.columns).join(ids, F.col(column) == F.col("_id"), how)
+    return may if keep else may.unionByName(marked.filter("not _may").select(docs.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """(node, root) of every node of the links (a, b), root being the smallest node that links lead to.
 
     Alternates the two star operations on a table of edges until it stays as it is: every node then hangs on its root. All
-    steps are joins and aggregates; a node with very many links is one row of a skewed join, which Spark splits.
+    steps are joins and aggregates; a node with very many links is one row of a skewed join, which Spark splits. rows: about how many
+    links there are at most.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges")
+    edges = scratch.keep(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges", rows)
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
@@ -28,4 +29,4 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours move to the smallest of these
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(root.select("hi", F.col("m").alias("lo")))
-        edges = materialise(small.distinct(), "edges")
+        edges = scratch.keep(small.distinct(), "edges", rows)

@@ -9,7 +9,8 @@ that all sets share, have one in common. The order is rarest first by the number
 passages that many texts share are hardly ever needed, and a set whose words are unique enough drops out at once.
 
 Words that sets share give pairs to verify: first, in a few rounds, sets with one set of a word's largest component, which joins
-up the large groups; then, for words that still touch several components, all pairs across them, in blocks where a word has many. What was verified is exact over 64-bit shingle hashes.
+up the large groups; then, for words that still touch several components, all pairs across them, in blocks where a word has many.
+Pairs are verified on the 64-bit hashes of all their shingles; sets whose 63-bit ids are equal count as equal.
 """
 
 from __future__ import annotations
@@ -186,7 +187,7 @@ def sketch_words(docs: DataFrame, n: int, bands: Bands, parts: int, often: int =
                 for i in np.flatnonzero(size):
                     if int(ids[i]) in seen:
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 200_000:
                         seen.add(int(ids[i]))
                     for band, bound in bands.of(int(size[i])):
                         words = bands.sketch(h[ends[i] - size[i] : ends[i]], band)
@@ -249,16 +250,8 @@ def prefixes(shared: DataFrame, frees: DataFrame) -> DataFrame:
     return ranked.filter("rank <= k - spare").select("sig", "node", "rank")
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame, broadcast_rows: int) -> DataFrame:
-    """The rows of docs that stand for these sets: for each the one with the smallest id."""
-    first = sets.join(nodes, sets["set_id"] == nodes["node"], "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    first = C.materialise(first, "texts")
-    few = F.broadcast(first) if first.count() <= broadcast_rows else first
-    return docs.join(few, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
-
-
-def _bodies(nodes: DataFrame, docs: DataFrame, sets: DataFrame, n: int, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(node, body) of these sets (node), written: the sorted shingle hashes, made again from the texts."""
+def _bodies(nodes: DataFrame, docs: DataFrame, known: DataFrame, n: int, rows: int, scratch: C.Scratch, broadcast_rows: int = 200_000) -> DataFrame:
+    """(node, body) of these sets (node), written: the sorted shingle hashes, made again from the text of each set's first document."""
 
     @F.arrow_udf("struct<node:bigint,body:binary>")
     def bodies(texts: pa.Array) -> pa.Array:
@@ -268,26 +261,27 @@ def _bodies(nodes: DataFrame, docs: DataFrame, sets: DataFrame, n: int, broadcas
             ids, size = _set_ids(text, h, len(off) - 1)
             ends = np.cumsum(size)
             node += ids.tolist()
-            body += [_pack(np.sort(h[e - s : e] & _LOW48)) for e, s in zip(ends, size)]
+            body += [h[e - s : e].tobytes() for e, s in zip(ends, size)]
         return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(body, pa.binary())], ["node", "body"])
 
-    body = _texts_of(docs, nodes, sets, broadcast_rows).select(bodies.asNondeterministic()("text").alias("s")).select("s.node", "s.body")
-    return C.materialise(body.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "bodies")
+    first = scratch.keep(known.join(nodes, "node", "left_semi").select("first_id").distinct(), "texts", rows)
+    body = C.select_ids(docs, first, broadcast_rows=broadcast_rows).select(bodies.asNondeterministic()("text").alias("s")).select("s.node", "s.body")
+    # documents that share an id with a first one are no reason to keep their sets
+    return scratch.keep(body.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "bodies", rows, 8_000)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bands: Bands) -> DataFrame:
+def verified(pairs: DataFrame, body: DataFrame, bands: Bands) -> DataFrame:
     """Those of the pairs (a, b) of sets whose similarity is num / den at least."""
 
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(left.to_pylist(), right.to_pylist()):
-            x, y = _unpack(x), _unpack(y)
+        for x, y in zip(left, right):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(bands.den * both >= bands.num * (len(x) + len(y) - both))
         return pa.array(out, pa.bool_())
 
-    body = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, sets, n)
     left, right = (body.select(F.col("node").alias(k), F.col("body").alias(f"{k}_body")) for k in ("a", "b"))
     return pairs.join(left, "a").join(right, "b").filter(similar("a_body", "b_body")).select("a", "b")
 
@@ -308,7 +302,7 @@ def block_links(outside: DataFrame, members: DataFrame, body: DataFrame, bands:
 
     def compare(group: pa.Table) -> pa.Table:
         side, node, root = (np.array(group[k]) for k in ("side", "node", "root"))
-        bodies = [_unpack(b) for b in group["body"].to_pylist()]
+        bodies = [np.frombuffer(b.as_buffer(), np.uint64) for chunk in group["body"].chunks for b in chunk]
         size = np.array([len(b) for b in bodies])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = []
@@ -327,40 +321,42 @@ def block_links(outside: DataFrame, members: DataFrame, body: DataFrame, bands:
     return both.groupBy("main", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, n: int, bands: Bands, part_words: int = 2_000_000, rounds: int = 3, picks: int = 8, few_pairs: int = 64) -> DataFrame:
-    """(node, root) of every set that is similar to another one, directly or over others."""
-    known = sets.filter("set_id is not null")
+def linked_sets(docs: DataFrame, known: DataFrame, n: int, bands: Bands, rows: int, scratch: C.Scratch, part_words: int = 1_000_000, rounds: int = 3, picks: int = 8, few_pairs: int = 64) -> DataFrame:
+    """(node, root) of every set that is similar to another one, directly or over others.
+
+    known: (node, n, free, first_id, copies), one row for each set; rows: the number of documents.
+    """
     words = known.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-words // part_words))
     packed = sketch_words(docs, n, bands, parts).repartition(max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
-    frees = known.groupBy(F.col("set_id").alias("node")).agg(F.max("n").alias("n"), F.first("free").alias("free"))
-    prefix = C.materialise(prefixes(shared_words(packed), frees), "prefixes")
-    size = frees.select(F.col("node").alias("set_id"), "n")
-    a, b = (size.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
+    prefix = scratch.keep(prefixes(shared_words(packed), known.select("node", "n", "free")), "prefixes", 8 * rows)
+    a, b = (known.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
 
     def fitting(pairs: DataFrame) -> DataFrame:
         with_sizes = pairs.distinct().join(a, "a").join(b, "b")
         return with_sizes.filter(f"{bands.den} * least(n_a, n_b) >= {bands.num} * greatest(n_a, n_b)").select("a", "b")
 
+    def check(pairs: DataFrame) -> DataFrame:
+        body = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, known, n, rows, scratch)
+        return scratch.keep(verified(pairs, body, bands), "links", rows)
+
     tried = links = None
     placed = prefix.withColumn("root", F.col("node"))
     for seed in range(rounds):
-        turn = C.materialise(fitting(star_pairs(placed, seed, picks)), "pairs")
+        turn = scratch.keep(fitting(star_pairs(placed, seed, picks)), "pairs", rows)
         tried = turn if tried is None else tried.union(turn)
-        new = C.materialise(verified(turn, docs, sets, n, bands), "links")
+        new = check(turn)
         if not new.head(1):
             break
         links = new if links is None else links.union(new)
-        placed = C.materialise(open_words(prefix, components(links)), "open")
+        placed = scratch.keep(open_words(prefix, components(links, scratch, rows)), "open", rows)
     few, outside, members = across(placed, few_pairs)
-    rest = C.materialise(fitting(few.join(tried, ["a", "b"], "left_anti")), "pairs")
-    new = C.materialise(verified(rest, docs, sets, n, bands), "links")
-    members = C.materialise(members, "members")
-    outside = C.materialise(outside, "outside")
+    new = check(scratch.keep(fitting(few.join(tried, ["a", "b"], "left_anti")), "pairs", rows))
+    members = scratch.keep(members, "members", rows)
     if members.head(1):
-        body = _bodies(members.select("node").distinct(), docs, sets, n)
-        new = new.union(C.materialise(block_links(outside, members, body, bands), "links"))
-    return components(new if links is None else links.union(new))
+        body = _bodies(members.select("node").distinct(), docs, known, n, rows, scratch)
+        new = new.union(scratch.keep(block_links(scratch.keep(outside, "outside", rows), members, body, bands), "links", rows))
+    return components(new if links is None else links.union(new), scratch, rows)
 
 
 def open_words(prefix: DataFrame, roots: DataFrame) -> DataFrame:
@@ -404,34 +400,42 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) ->
     """doc_id, n_shingles and component_id of every document, one row for each row.
 
     Words are runs other than space and 0x09-0x0D, A-Z lower-cased; a text of fewer than n words has one shingle of them all; one
-    without words has none and links with nothing. Rows with a null id keep it, with a null component, and link with nothing.
-    Rows that share an id are one document here only if their sets are linked. Extra columns are not read.
+    without words, empty or null, has none and links with nothing. Rows with a null id keep it, with a null component, and link with
+    nothing. Repeated rows have one set and so one component; rows that share an id are one document here only if their sets are
+    linked. Texts are taken whole, however long. Extra columns, whatever their names, are not read; an empty table gives none back.
     """
     docs = C.bounded_batches(docs).select("doc_id", "text")
-    bands = Bands(num, den)
+    scratch, bands, rows = C.Scratch(docs.sparkSession), Bands(num, den), docs.count()
     s = set_of(F.col("text"), n, bands)
-    sets = C.materialise(docs.select("doc_id", s.alias("s")).select("doc_id", "s.set_id", "s.n", "s.free"), "sets")
-    known = sets.filter("doc_id is not null")
-    roots = linked_sets(docs.filter("doc_id is not null"), known, n, bands)
-    placed = known.join(roots, known["set_id"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "set_id").alias("root"))
-    placed = C.materialise(placed, "placed")
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-    return out.unionByName(sets.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
-
-
-def keep_first(docs: DataFrame, broadcast_rows: int = 2_000_000, **options) -> DataFrame:
+    sets = scratch.keep(docs.select("doc_id", s.alias("s")).select("doc_id", F.col("s.set_id").alias("node"), "s.n", "s.free"), "sets", rows, 8_000, narrow=True)
+    one = sets.filter("doc_id is not null and node is not null").groupBy("node")
+    known = scratch.keep(one.agg(F.max("n").alias("n"), F.first("free").alias("free"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "known", rows)
+    roots = linked_sets(docs.filter("doc_id is not null"), known, n, bands, rows, scratch)
+    linked = scratch.keep(known.join(roots, "node", "left").select("node", "first_id", "copies", "root"), "linked", rows)
+    least = linked.filter("root is not null").groupBy("root").agg(F.min("first_id").alias("least"), F.count("*").alias("weight"))
+    of_set = C.join_weighted(linked, least, "root", "weight", rows).select("node", F.coalesce("least", "first_id").alias("component_id"), "copies", "root")
+    # a set of one document that is like no other is its own component, and needs no row here
+    of_set = scratch.keep(of_set.filter("copies > 1 or root is not null").drop("root"), "components", rows)
+    keyed = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    placed = C.join_weighted(keyed, of_set, "node", "copies", rows).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = C.materialise(placed, "placed", rows)
+    scratch.drop()
+    return placed
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The document with the smallest id of each group of near copies, with all its columns; rows without an id stay.
 
     Of rows that share an id, all stay if the id does and their texts differ; repeated rows are near copies of one another: one stays.
+    Empty and null texts are like nothing and stay; an empty table stays empty.
     """
-    found = C.materialise(jaccard_join(docs, **options), "groups")
+    found = jaccard_join(docs, **options)
+    rows = found.count()
     many = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.min("component_id").alias("c"))
-    gone = C.materialise(many.filter("c <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
-    twice = many.filter("k > 1 and c = doc_id").select(F.col("doc_id").alias("_twice"))
-    few = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    kept = docs.join(few, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = C.materialise(many.filter("c <> doc_id").select("doc_id"), "gone", rows)
+    twice = C.materialise(many.filter("k > 1 and c = doc_id").select("doc_id"), "twice", rows)
+    kept = C.select_ids(docs, gone, keep=False)
     if not twice.head(1):
         return kept
-    once = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(once)
+    once = C.select_ids(kept, twice).dropDuplicates(["doc_id", "text"])
+    return C.select_ids(kept, twice, keep=False).unionByName(once)

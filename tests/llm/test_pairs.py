@@ -131,6 +131,6 @@ def test_sketch_distance_bounds_the_difference():
 def test_components(spark):
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 200)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(120)]
-    got = dict(tuple(r) for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect())
+    got = dict(tuple(r) for r in graph.components(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark)).collect())
     want = roots(700, links)
     assert got == {x: want[x] for p in links if p[0] != p[1] for x in p}
