@@ -1,6 +1,7 @@
 """Vector near duplicates against brute force."""
 
 import numpy as np
+import pytest
 
 from docfoundry.llm import common, vector_forest
 from tests.llm.test_pairs import roots
@@ -33,7 +34,7 @@ def test_links_are_exact_and_found(spark):
     x = clustered(1)
     want, component = brute(list(range(len(x))), x.astype(float))
     for leaf in (10**6, 200):
-        got = sorted(vector_forest.vector_duplicates(frame(spark, x), leaf=leaf, block=150).collect())
+        got = sorted(vector_forest.vector_duplicates(frame(spark, x), leaf=leaf, block=150 if leaf > len(x) else 300).collect())
         n = np.array([r["n_links"] for r in got])
         assert (n <= want).all()
         if leaf > len(x):
@@ -42,6 +43,26 @@ def test_links_are_exact_and_found(spark):
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("dim", [64, 384, 1024])
+def test_recall_at_default_settings(spark, dim):
+    """Pairs from just over the threshold upwards; the leaf's size is the default one."""
+    n = 12_000 if dim < 1000 else 8_000
+    x = clustered(dim, n, dim)
+    assert vector_forest.plan(n, 3000, 0.9, 0.15, 0.97)[0] >= 2
+    want, _ = brute(list(range(n)), x.astype(float))
+    got = sorted(vector_forest.vector_duplicates(frame(spark, x)).collect())
+    found = np.array([r["n_links"] for r in got])
+    assert (found <= want).all() and want.sum() > n and found.sum() >= 0.9 * want.sum()
+
+
+def test_deep_trees_leave_few_copies():
+    for dim in (64, 1024):
+        x = np.random.default_rng(dim).normal(size=(4000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        row, leaf = vector_forest.grow(x, 6, 0.15, np.random.default_rng(1)).leaves(x)
+        assert len(row) < 2.2 * len(x) and np.bincount(leaf).max() < 4 * len(x) / 64
+
+
 def test_given_vectors(spark):
     v = common.table(spark, "/root/testdata/sf0.1", "embeddings")
     rows = v.orderBy("vec_id").collect()
