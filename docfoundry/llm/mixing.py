@@ -1,13 +1,15 @@
 """Soft-membership mixing: domain posteriors of every document, then nonnegative rates that bring token totals to target weights.
 
-With v_d the document's share of all tokens, p_dk its posteriors, w_k the targets and q_k = sum_d v_d p_dk, the rates minimise
-sum_k (sum_d v_d r_d p_dk - w_k)^2 / q_k + ridge * sum_d v_d (r_d - 1)^2 over r_d >= 0. In the metric of v_d a gradient step for one
-document needs its own posteriors and the k residuals only. So a pass over the documents replays the residuals of all steps so
-far to get each rate, and sums the k new ones: no rate is stored, moved or gathered.
+With v_d the document's share of all tokens, p_dk its posteriors, w_k the targets and M = sum_d v_d p_d p_d', the rates r_d >= 0
+minimise the distance of sum_d v_d r_d p_d from w in the metric of the inverse of M, beginning at 1. In the metric of v_d a gradient
+step for one document needs its own posteriors and the k residuals only, and a step of length 1 goes all the way as long as no rate
+is cut off at 0. So a pass over the documents replays the residuals of the few steps so far to get each rate, and sums the k new
+ones: no rate is stored, moved or gathered.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -77,15 +79,18 @@ def membership(text: Column, model: Domains) -> Column:
 
 @dataclass
 class Rates:
-    """The steps taken so far: each a residual for each domain, over q."""
+    """The steps taken so far, each a residual for each domain times the inverse of M; targets and what the rates achieve, as shares of
+    all tokens by domain; whether they are as near as was asked."""
 
-    ridge: float
     steps: list[np.ndarray] = field(default_factory=list)
+    targets: np.ndarray | None = None
+    achieved: np.ndarray | None = None
+    converged: bool = True
 
     def __call__(self, p: np.ndarray) -> np.ndarray:
         r = np.ones(len(p))
         for e in self.steps:
-            r = np.maximum(0, r - (p @ e + self.ridge * (r - 1)) / (1 + self.ridge))
+            r = np.maximum(0, r - p @ e)
         return r
 
 
@@ -97,40 +102,53 @@ def rate(posteriors: Column, rates: Rates) -> Column:
     return of(posteriors)
 
 
-def solve(members: DataFrame, names: list[str], targets: dict[str, float] | None, power: float, ridge: float, most: int, near: float) -> Rates:
-    """Projected-gradient steps over members (n_tokens, posteriors) until every domain is within `near` of its target, `most` at most."""
+def solve(members: DataFrame, names: list[str], targets: dict[str, float] | None, power: float, most: int, near: float) -> Rates:
+    """Projected-gradient steps over members (n_tokens, posteriors) until every domain is within `near` of its target.
+
+    Targets that no rates can reach, or that `most` steps don't, end with the nearest rates and a warning.
+    """
+
+    def totals(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
+        """The expected tokens of each domain, and of each pair of domains the tokens that M weighs."""
 
-    def totals(rates: Rates) -> np.ndarray:
         def sums(batches):
             for batch in batches:
                 if batch.num_rows:
-                    p = batch.column("posteriors").flatten().to_numpy().reshape(batch.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names)), pa.int32()), pa.array((np.array(batch.column("n_tokens")) * rates(p)) @ p)], ["k", "s"])
+                    p, n = batch.column("posteriors").flatten().to_numpy().reshape(batch.num_rows, -1), np.array(batch.column("n_tokens"))
+                    both = p.T @ (p * n[:, None]) if not rates.steps else np.zeros((0, 0))
+                    found = np.concatenate([(n * rates(p)) @ p, both.ravel()])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found)), pa.int32()), pa.array(found)], ["k", "s"])
 
-        got = members.mapInArrow(sums, "k int, s double").groupBy("k").agg(F.sum("s")).collect()
-        out = np.zeros(len(names))
-        for k, s in got:
-            out[k] = s
-        return out
+        got = {k: s for k, s in members.mapInArrow(sums, "k int, s double").groupBy("k").agg(F.sum("s")).collect()}
+        found = np.array([got.get(k, 0.0) for k in range(len(names) * (1 + len(names)))])
+        return found[: len(names)], found[len(names) :].reshape(len(names), -1)
 
-    rates = Rates(ridge)
-    have = totals(rates)
+    rates = Rates()
+    have, both = totals(rates)
     everything = have.sum()
+    rates.achieved = rates.targets = have
     if not everything:
         return rates
-    q = have / everything
+    q, inverse = have / everything, np.linalg.pinv(both / everything, rcond=1e-9, hermitian=True)
     want = np.array([targets.get(k, 0.0) for k in names]) if targets else q**power
-    want = want / want.sum()
-    for _ in range(most):
-        residual = have / everything - want
-        if np.abs(residual).max() <= near:
+    rates.targets, rates.achieved = want / want.sum(), q
+    stuck, before = 0, np.inf
+    while True:
+        residual = rates.achieved - rates.targets
+        gap = float(np.abs(residual).max())
+        rates.converged = gap <= near
+        stuck = stuck + 1 if gap > 0.98 * before else 0
+        if rates.converged or stuck == 5 or len(rates.steps) == most:
             break
-        rates.steps.append(residual / np.maximum(q, 1e-12))
-        have = totals(rates)
+        before = min(gap, before)
+        rates.steps.append(inverse @ residual)
+        rates.achieved = totals(rates)[0] / everything
+    if not rates.converged:
+        warnings.warn(f"rates end {gap:.2g} from the targets after {len(rates.steps)} steps", stacklevel=2)
     return rates
 
 
-def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, power: float = 0.5, ridge: float = 1e-3, most: int = 40, near: float = 1e-4, rows: int = 4000) -> tuple[Domains, DataFrame, Rates]:
+def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, power: float = 0.5, most: int = 60, near: float = 1e-4, rows: int = 4000) -> tuple[Domains, DataFrame, Rates]:
     """The classifier, (doc_id, n_tokens, posteriors) of every document, and the rates.
 
     targets: shares of all tokens by domain; without them, the domains' own shares to this power, made to add up to 1. The total
@@ -139,8 +157,8 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     docs = C.bounded_batches(docs)
     model = train(docs, labelled, rows)
     m = docs.select("doc_id", membership(F.col("text"), model).alias("m")).select("doc_id", "m.n_tokens", "m.posteriors")
-    members = C.materialise(m, "members")
-    return model, members, solve(members, model.names, targets, power, ridge, most, near)
+    members = C.materialise(m, "members", docs.count(), 8_000, narrow=True)
+    return model, members, solve(members, model.names, targets, power, most, near)
 
 
 def copies(doc_id: Column, r: Column, key: str) -> Column:
@@ -149,18 +167,26 @@ def copies(doc_id: Column, r: Column, key: str) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, key: str = "mix", **options) -> DataFrame:
-    """doc_id, n_tokens, domains, posteriors, rate and copies of every document, one row for each row.
+    """doc_id, n_tokens, domains, posteriors, rate and copies of every document, one row for each row; and, the same in all rows, targets
+    and achieved (shares of all tokens in the order of domains) and converged.
 
-    A null or empty text has no tokens and the classifier's posteriors of an empty text. Without labelled rows there is one domain.
+    A null or empty text has no tokens and the classifier's posteriors of an empty text; texts are taken whole. A null id has copies like
+    any other. Repeated rows are rated alike. Without labelled rows there is one domain. Extra columns, whatever their names, are not
+    read; an empty table gives none back.
     """
     model, members, rates = fit(docs, labelled, **options)
     out = members.withColumn("rate", rate(F.col("posteriors"), rates))
-    return out.select("doc_id", "n_tokens", F.lit(model.names).alias("domains"), "posteriors", "rate", copies(F.col("doc_id"), F.col("rate"), key).alias("copies"))
+    shares = [F.lit([float(x) for x in v]).cast("array<double>").alias(k) for k, v in (("targets", rates.targets), ("achieved", rates.achieved))]
+    return out.select("doc_id", "n_tokens", F.lit(model.names).alias("domains"), "posteriors", "rate", copies(F.col("doc_id"), F.col("rate"), key).alias("copies"), *shares, F.lit(rates.converged).alias("converged"))
 
 
 def apply_mix(docs: DataFrame, labelled: DataFrame, key: str = "mix", **options) -> DataFrame:
-    """The documents, each as often as copies() says, with all their columns."""
+    """The documents, each as often as copies() says, with all their columns, whatever their names. Ids repeat from here on.
+
+    Posteriors are taken from the text once more: ids needn't be unique, so a join with the members would shuffle whole texts.
+    """
     model, _, rates = fit(docs, labelled, **options)
-    scored = docs.withColumn("_rate", rate(membership(F.col("text"), model).getField("posteriors"), rates))
-    times = scored.withColumn("_copies", copies(F.col("doc_id"), F.col("_rate"), key)).filter("_copies > 0")
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_rate", "_copies", "_copy")
+    r = rate(membership(F.col("text"), model).getField("posteriors"), rates)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    times = docs.select(whole.alias("d"), r.alias("r")).select("d", copies(F.col("d.doc_id"), F.col("r"), key).alias("k")).filter("k > 0")
+    return times.select("d", F.explode(F.sequence(F.lit(1), F.col("k")))).select("d.*")

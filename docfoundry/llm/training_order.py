@@ -78,27 +78,36 @@ class Permutation:
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """(part, at, doc_id, n, ids): each document's ids and the end mark, and where they begin in the stream of their task.
+    """(unit, file, block, at, doc_id, n, ids): each document's ids and the end mark, and where they begin in the stream of their unit.
 
-    Written to the shared folder, so that order and places stay, whatever is lost later.
+    A unit is what one task reads of one block of a file, so files and blocks in order are the table in order, however it was split;
+    rows that come from no file are in the order of their partitions. Written to the shared folder, so that places stay, whatever is
+    lost later.
     """
+    from_file = docs.select("doc_id", "text", F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("block"))
 
     def rows(batches):
-        part, at, e = TaskContext.get().partitionId(), 0, Encoder.at(path)
+        part, count, last, at, e = TaskContext.get().partitionId(), -1, None, 0, Encoder.at(path)
         end = np.array([e.end], e.kind).tobytes()
         for batch in batches:
             ids = [e.encode(t or "") + end for t in batch.column("text").to_pylist()]
             n = np.array([len(x) // e.kind.itemsize for x in ids], np.int64)
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), pa.array(starts), batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(ids, pa.binary())], ["part", "at", "doc_id", "n", "ids"])
+            unit, start = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            for i, here in enumerate(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist())):
+                if here != last:
+                    last, count, at = here, count + 1, 0
+                unit[i], start[i] = (part << 32) + count, at
+                at += int(n[i])
+            block = pa.array([b if f else part for f, b in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(unit), batch.column("file"), block, pa.array(start), batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(ids, pa.binary())], ["unit", "file", "block", "at", "doc_id", "n", "ids"])
 
-    return C.materialise(docs.select("doc_id", "text").mapInArrow(rows, "part int, at long, doc_id long, n long, ids binary"), "tokens")
+    return C.materialise(from_file.mapInArrow(rows, "unit long, file string, block long, at long, doc_id long, n long, ids binary"), "tokens")
 
 
 def training_order(docs: DataFrame, key: str = "epoch 0", length: int = 1024, per_shard: int = 8192, path: str | None = None) -> DataFrame:
     """One row for each sequence: slot, shard, byte_offset, sequence, n_tokens, doc_ids (in order) and record (ids, little-endian).
 
+    The stream is the table in the order of its files, however tasks split them: the same key gives the same shards on any cluster.
     Partition i holds shard i in order of slots. The last sequence is filled up with end marks, which n_tokens doesn't count. A null
     or empty text is its end mark alone; a null id is a null in doc_ids. Repeated rows are encoded as often as they come. Without
     rows there are no sequences.
@@ -107,9 +116,9 @@ def training_order(docs: DataFrame, key: str = "epoch 0", length: int = 1024, pe
     e = Encoder.at(path)
     end, kind = e.end, e.kind
     table = tokenised(C.bounded_batches(docs), path)
-    sums = table.groupBy("part").agg(F.sum("n").alias("k"))  # one row for each task that wrote
-    before = F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = sums.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    sums = table.groupBy("unit").agg(F.sum("n").alias("k"), F.first("file").alias("file"), F.first("block").alias("block"))  # one row for each block read
+    before = F.sum("k").over(Window.orderBy("file", "block", "unit").rowsBetween(Window.unboundedPreceding, -1))
+    base = sums.select("unit", F.coalesce(before, F.lit(0)).alias("base"))
     total = table.agg(F.sum("n")).first()[0] or 0
     size = -(-total // length)
     stride = length * kind.itemsize + 1
@@ -160,7 +169,7 @@ def training_order(docs: DataFrame, key: str = "epoch 0", length: int = 1024, pe
             ["slot", "shard", "byte_offset", "sequence", "n_tokens", "doc_ids", "record"],
         )
 
-    cut = table.join(F.broadcast(base), "part").select("base", "at", "doc_id", "ids").mapInArrow(pieces, "shard int, slot long, place int, sequence long, doc_id long, ids binary")
+    cut = table.join(F.broadcast(base), "unit").select("base", "at", "doc_id", "ids").mapInArrow(pieces, "shard int, slot long, place int, sequence long, doc_id long, ids binary")
     dealt = cut.repartitionById(max(1, -(-size // per_shard)), F.col("shard")).sortWithinPartitions("slot", "place")
     return dealt.mapInArrow(records, "slot long, shard int, byte_offset long, sequence long, n_tokens int, doc_ids array<long>, record binary")
 

@@ -70,7 +70,8 @@ def train(labelled: DataFrame, size: int = 1024, rows: int = 2000) -> Weights:
         return Weights([0.0] * size, -20.0 if not share[0] else 20.0)
     model = LogisticRegression(maxIter=40, regParam=0.005).fit(data)
     data.unpersist()
-    return Weights([float(model.coefficients[f.indexOf(str(i))]) for i in range(size)], float(model.intercept))
+    found = model.coefficients.toArray()  # one fetch, not one for each bucket
+    return Weights([float(found[f.indexOf(str(i))]) for i in range(size)], float(model.intercept))
 
 
 def block_score(host: Column, path: Column, w: Weights) -> Column:
