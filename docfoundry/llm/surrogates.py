@@ -11,6 +11,7 @@ import re
 from functools import lru_cache
 from hashlib import blake2b
 from math import isqrt, prod
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,10 @@ GIVEN = {
     ("latin", "male"): "Adam Alan Boris Carl David Erik Felix Frank Hans Hugo Ivan James John Karl Leo Louis Mark Oscar Paul Peter Simon Thomas".split(),
     ("cyrillic", "female"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Софья Юлия".split(),
     ("cyrillic", "male"): "Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Юрий".split(),
+    ("greek", "female"): "Άννα Ελένη Ειρήνη Μαρία Σοφία Χριστίνα".split(),
+    ("greek", "male"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
-HONORIFICS = {"female": "Mrs Ms Miss Frau Mme Señora Госпожа".split(), "male": "Mr Herr Señor Господин".split(), "": "Dr Prof Doctor Professor Доктор Профессор".split()}
+HONORIFICS = {"female": "Mrs Ms Miss Frau Mme Señora Госпожа Κυρία".split(), "male": "Mr Herr Señor Господин Κύριος".split(), "": "Dr Prof Doctor Professor Доктор Профессор".split()}
 ALPHABETS = {
     "digit": "0123456789",
     "latin": "abcdefghijklmnopqrstuvwxyz",
@@ -33,13 +36,29 @@ ALPHABETS = {
     "greek": "αβγδεζηθικλμνξοπρστυφχψω",
 }
 HEX = "0123456789abcdef"
-SOUNDS = {k: (v, "".join(c for c in ALPHABETS[k] if c not in v)) for k, v in {"latin": "aeiou", "cyrillic": "аеиоуыэюя"}.items()}
+SOUNDS = {k: (v, "".join(c for c in ALPHABETS[k] if c not in v)) for k, v in {"latin": "aeiou", "cyrillic": "аеиоуыэюя", "greek": "αεηιουω"}.items()}
+SCRIPTS = {"latin": (0xDF, 0x180), "greek": (0x390, 0x3CF), "cyrillic": (0x430, 0x530)}
 
-_CAPITAL = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
-_CYRILLIC = "[А-Я][а-я]+"
+
+def _marked(script: str, vowels: bool) -> str:
+    """The letters of a script with marks, or outside its plain alphabet, that have one capital letter each."""
+    first, last = SCRIPTS[script]
+    letters = [c for c in map(chr, range(first, last)) if c.islower() and len(c.upper()) == 1 and c.upper().lower() == c and c not in ALPHABETS[script]]
+    return "".join(c for c in letters if (normalize("NFD", c)[0] in SOUNDS[script][0]) == vowels)
+
+
+MARKED = {k: tuple(m for m in (_marked(k, True), _marked(k, False)) if len(m) > 1) for k in SCRIPTS}
+CLASS_OF = {c: m for ms in MARKED.values() for m in ms for c in m}
+
+_CAPITAL = "[A-ZÀ-ÖØ-ÞĀ-Ž][a-zß-öø-ÿĀ-ž]+"
+_CYRILLIC = "[А-ЯЁ][а-яё]+"
+_GREEK = "[Α-ΩΆ-Ώ][α-ωά-ώΐΰ]+"
 _TITLE = rf"(?:{'|'.join(h for hs in HONORIFICS.values() for h in hs)})"
-_PARTS = [rf"(?:[A-Z]['’])?(?:{_CAPITAL})+(?:-(?:{_CAPITAL})+)*", rf"{_CYRILLIC}(?:-{_CYRILLIC})*"]
-_INITIALS = [r"[A-ZÀ-ÖØ-Þ]\.", r"[А-Я]\."]
+_PARTS = [rf"(?:[A-Z]['’])?(?:{_CAPITAL})+(?:-(?:{_CAPITAL})+)*", rf"{_CYRILLIC}(?:-{_CYRILLIC})*", rf"{_GREEK}(?:-{_GREEK})*"]
+_INITIALS = [r"[A-ZÀ-ÖØ-Þ]\.", r"[А-Я]\.", r"[Α-Ω]\."]
+# Words before a name that has no title.
+_CUES = r"(?:[Mm]y name is|[Nn]ame:|[Cc]ontact:?|[Dd]ear|[Ss]igned:?|[Aa]uthor:|[Rr]egards,|[Ss]incerely,)"
+_GIVEN = "|".join(sorted({n for names in GIVEN.values() for n in names}))
 KINDS = {
     "email": r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![A-Za-z])",
     "secret": r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth[_-]?key)\b\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_+/.-]{8,})",
@@ -50,10 +69,12 @@ KINDS = {
     "phone": r"(?<![\w.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{3,4}){2}(?!\w)|(?<![\w.])\+[0-9]{1,3}[ .-]?[0-9]{1,3}(?:[ .-][0-9]{2}){4}(?!\w)|(?<![\w.])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!\w)",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "name": rf"\b{_TITLE}\.?(?: {_TITLE}\.?)* (?!{_TITLE}\b)(?P<name>{'|'.join(f'(?:(?:{p}|{i}) ){{0,2}}{p}' for p, i in zip(_PARTS, _INITIALS))})(?!\w)",
+    # without a title: after a cue, or where a listed given name comes first; two parts at least
+    "untitled": rf"(?:\b{_CUES}\s+(?P<untitled>{'|'.join(f'{p} (?:(?:{p}|{i}) )?{p}' for p, i in zip(_PARTS, _INITIALS))})|(?<!\w)(?P<listed>(?:{_GIVEN}) (?:{'|'.join(f'(?:(?:{p}|{i}) )?{p}' for p, i in zip(_PARTS, _INITIALS))})))(?!\w)",
 }
 _FOUND = {k: re.compile(v) for k, v in KINDS.items()}
 _TAKEN = "\uffff"  # stands over what is found already; no pattern matches it
-_HINT = re.compile(r"[0-9]{2}|@|[=:]|\b(?:M|H|F|S|D|P|Г|Д|П)")
+_HINT = re.compile(rf"[0-9]{{2}}|@|[=:]|\b(?:{_TITLE})\b|\b{_CUES}|\b(?:{_GIVEN})\b")
 _WORD = re.compile(rf"(?<!\w)(?:(?:{'|'.join(_PARTS)})(?!\w)|{'|'.join(_INITIALS)})")
 
 
@@ -93,7 +114,7 @@ def _class(c: str, hexadecimal: bool, sounds: bool) -> str:
     for name, letters in ALPHABETS.items():
         if low in letters:
             return next((s for s in SOUNDS.get(name, ()) if low in s), letters) if sounds else letters
-    return ""
+    return CLASS_OF.get(low, "") if len(low) == 1 else ""
 
 
 def shaped(s: str, key: bytes, tweak: str, hexadecimal: bool = False, sounds: bool = False) -> str:
@@ -132,7 +153,7 @@ def _name(full: str, key: bytes) -> str:
     """The surrogates of a name's parts: a part has the same one wherever it stands, so that mentions of a person stay together."""
     out = []
     for part in full.split(" "):
-        script = "cyrillic" if re.match("[А-я]", part) else "latin"
+        script = next((k for k, p in (("cyrillic", _CYRILLIC), ("greek", _GREEK)) if re.match(p[: p.index("]") + 1], part)), "latin")
         pools = {g: GIVEN[script, g] for g in ("female", "male")}
         if own := [g for g, names in pools.items() if part in names]:
             names = pools[own[0]]
@@ -205,14 +226,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for kind, pattern in _FOUND.items():
         own = []
         for m in pattern.finditer(rest):
-            a, b = m.span(kind if kind in pattern.groupindex else 0)
+            a, b = m.span(m.lastgroup or 0)
             value = rest[a:b]
-            if kind == "iban" and _iban_check(value[:2], value[4:]) != value[2:4] or kind == "secret" and not _is_secret(m.group()[: a - m.start()], value):
+            if kind == "iban" and _iban_check(value[:2], value[4:]) != value[2:4] or kind == "secret" and not _is_secret(m.group()[: a - m.start()], value) or kind == "card" and value.isdigit() and len(value) != 16 and not _luhn(value):
                 continue
             gender = next((g for g, hs in HONORIFICS.items() if m.group().split(" ")[0].rstrip(".") in hs), "") if kind == "name" else ""
-            own.append((a, b, kind, gender))
-        for a, b, *_ in own:
-            rest = f"{rest[:a]}{_TAKEN * (b - a)}{rest[b:]}"
+            own.append((a, b, "name" if kind == "untitled" else kind, gender))
+        if own:
+            left, at = [], 0
+            for a, b, *_ in own:
+                left += [rest[at:a], _TAKEN * (b - a)]
+                at = b
+            rest = "".join([*left, rest[at:]])
         found += own
     if names := [(text[a:b].split(" "), gender) for a, b, kind, gender in found if kind == "name"]:
         found += _mentions(rest, {p for ps, _ in names for p in ps}, {ps[-1]: gender for ps, gender in reversed(names)})
@@ -250,13 +275,20 @@ def pseudonymise(text: Column, key: str) -> Column:
 
 
 def pii(docs: DataFrame, key: str = "corpus key") -> DataFrame:
-    """doc_id, text with surrogates, n_entities and entities of every document, one row for each row."""
+    """doc_id, text with surrogates, n_entities and entities of every document, one row for each row.
+
+    Texts are taken whole. A null text stays null and an empty one empty, both without entities; a null id stays null; repeated rows get
+    the same surrogates. Extra columns, whatever their names, are not read; an empty table gives none back.
+    """
     p = bounded_batches(docs).select("doc_id", pseudonymise(F.col("text"), key).alias("p"))
     return p.select("doc_id", "p.text", F.size("p.entities").alias("n_entities"), "p.entities")
 
 
 def replace_in(docs: DataFrame, key: str = "corpus key") -> DataFrame:
-    """The documents with surrogates in their text and all other columns as they are; n_chars, if present, counts the new text."""
+    """The documents with surrogates in their text and all other columns as they are; n_chars, if present, counts the new text.
+
+    Null and empty texts and null ids stay; repeated rows stay, and stay alike; an empty table gives none back.
+    """
     out = bounded_batches(docs).withColumn("text", pseudonymise(F.col("text"), key).getField("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
