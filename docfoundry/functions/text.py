@@ -10,7 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_FOOTER = r"(?:\r?\n|\r)Page\s+[0-9]+(?:\r?\n|\r){2}-{3}(?:\r?\n|\r)"
+#: The footer of a page, characters that object keys can't have, and what stands between the words of an answer.
+_FOOTER = r"(?:\r?\n|\r)Page\s+\d+(?:\r?\n|\r){2}-{3}(?:\r?\n|\r)"
+_UNSAFE = r"[\\{}^%`\]\[\"<>#|?$&]"
+_SEPARATORS = r"[\s,;:.!?()\[\]'\"]+"
+_END = "<|return|>"
 
 
 def split_pages(text: Column) -> Column:
@@ -48,9 +52,8 @@ def normalize_object_key(name: Column, fallback: Column) -> Column:
     file = F.trim(F.regexp_extract(whole, r"(?s)([^/]*)$", 1))
     ext = F.regexp_extract(file, r"(?s)(\.[^.]+)$", 1)
     stem = F.when(ext != "", F.substr(file, F.lit(1), F.length(file) - F.length(ext))).otherwise(F.regexp_replace(file, r"\.$", ""))
-    clean = F.regexp_replace(stem, r"(?![\t\n\x0b\f\r\x85])\p{Cc}", "")
-    clean = F.regexp_replace(F.regexp_replace(clean, r"[\t\n\x0b\f\r\x85]", ""), r"[\s\p{Z}]+", "-")
-    clean = F.regexp_replace(F.regexp_replace(clean, r"[\\{}^%`\]\[\"<>#|?$&]", "-"), "-{2,}", "-")
+    clean = F.regexp_replace(F.regexp_replace(stem, r"\p{Cc}", ""), r"[\s\p{Z}]+", "-")
+    clean = F.regexp_replace(F.regexp_replace(clean, _UNSAFE, "-"), "-{2,}", "-")
     clean = F.regexp_replace(F.lower(clean), "^-+|-+$", "")
     made = F.substring(F.concat(F.when(F.trim(clean) == "", fallback).otherwise(clean), F.lower(ext)), 1, 255)
     return F.when(F.coalesce(F.trim(name), F.lit("")) == "", fallback).otherwise(F.concat(path, made))
@@ -75,15 +78,16 @@ def extract_choice(text: Column, choices: list[str]) -> Column:
     # the text up to the last whole word that is this choice tells where it stands
     place = [F.length(F.regexp_extract(text, rf"(?is)^(.*)\b{re.escape(c)}\b", 1)) + F.when(text.rlike(rf"(?i)\b{re.escape(c)}\b"), 1).otherwise(-1) for c in choices]
     ranked = F.array_max(F.array(*(F.when(p > 0, F.struct(p.alias("at"), F.lit(-i).alias("i"), F.lit(c).alias("c"))) for i, (p, c) in enumerate(zip(place, choices)))))
-    parts = F.reverse(F.filter(F.split(trimmed, r"[\s,;:.!?()\[\]'\"]+"), lambda x: x != ""))
+    parts = F.reverse(F.filter(F.split(trimmed, _SEPARATORS), lambda x: x != ""))
     known = F.filter(parts, lambda x: F.lower(x).isin(*(c.lower() for c in choices)))
     token = F.coalesce(*(F.when(F.lower(F.get(known, F.lit(0))) == c.lower(), c) for c in choices))
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(None).cast("string")).otherwise(F.coalesce(exact, ranked["c"], token))
 
 
-def clean_response(text: Column, end: str = "<|im_end|>") -> Column:
-    """Without the opening think tag and the end mark, trimmed."""
-    return F.regexp_replace(F.replace(F.regexp_replace(text, "<think>", ""), F.lit(end), F.lit("")), r"^\s+|\s+$", "")
+def clean_response(text: Column, thinking: bool = False, end: str = _END) -> Column:
+    """Without the end mark, trimmed; of a thinking model, without opening think tags in any case. Null is empty."""
+    kept = F.regexp_replace(text, "(?i)<think>", "") if thinking else text
+    return F.coalesce(F.regexp_replace(F.replace(kept, F.lit(end), F.lit("")), r"^\s+|\s+$", ""), F.lit(""))
 
 
 _ESCAPE = re.compile(r'\\(?:[\\"/bfnrt]|u[0-9a-fA-F]{4})|\\')

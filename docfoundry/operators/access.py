@@ -16,6 +16,12 @@ def active(df: DataFrame, include_deleted: bool = False) -> DataFrame:
     return df if include_deleted else df.filter(~F.col("is_deleted"))
 
 
+def resolve_content(content_type: Column, summary: Column, qa_summary: Column, ocr: Column) -> Column:
+    """The text that a content type asks for; null for an unknown type."""
+    kind = F.lower(content_type)
+    return F.when(kind == "summary", F.coalesce(summary, qa_summary)).when(kind == "fullcontent", ocr)
+
+
 def can(mask: Column, permission: int) -> Column:
     return mask.bitwiseAND(F.lit(permission)) == permission
 
@@ -86,3 +92,20 @@ def share_lookup(shares: DataFrame, dataset_id=None, dataset_item_id=None, user_
         if value is not None:
             shares = shares.filter(F.col(name) == value)
     return shares
+
+
+def dataset_documents(items: DataFrame, documents: DataFrame, accessible: DataFrame) -> DataFrame:
+    """(user_id, dataset_id, document_id, file_name) of the documents in datasets that a user (user_id, dataset_id) may see."""
+    names = documents.select(F.col("id").alias("document_id"), "file_name")
+    return items.filter("document_id is not null").select("dataset_id", "document_id").join(accessible, "dataset_id").join(names, "document_id").select("user_id", "dataset_id", "document_id", "file_name")
+
+
+def read_documents(requests: DataFrame, documents: DataFrame, accessible: DataFrame) -> DataFrame:
+    """(request_id, id, outcome, content) of requests (request_id, user_id, id, content_type): not found, denied, or ok with the content
+    that the type asks for."""
+    docs = active(documents).withColumn("_there", F.lit(True)).drop("user_id", "request_id", "content_type")
+    may = accessible.select("user_id", "dataset_id").distinct().withColumn("_may", F.lit(True))
+    j = requests.join(docs, "id", "left").join(may, ["user_id", "dataset_id"], "left")
+    outcome = F.when(F.col("_there").isNull(), "not found").when(F.col("_may").isNull(), "denied").otherwise("ok")
+    content = resolve_content(F.col("content_type"), F.col("summary"), F.col("qa_summary"), F.col("ocr_content"))
+    return j.select("request_id", "id", outcome.alias("outcome"), F.when(outcome == "ok", content).alias("content"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfoundry.functions.text import folded
@@ -99,16 +100,20 @@ class Template:
         required, specs = set(self.schema.get("required", [])), self.schema.get("properties", {})
         return {k: self.default(specs[k]) if k in required and k in specs and v in (None, "") else v for k, v in node.items()}
 
-    def errors(self, node, patched: frozenset[str] = frozenset()) -> list[str]:
+    def errors(self, node, patched: frozenset[str] = frozenset(), schema: dict | None = None) -> list[str]:
+        """What is wrong with a node, objects within it included, under their dotted paths."""
         if not isinstance(node, dict):
             return ["not an object"]
-        specs = self.schema.get("properties", {})
-        out = [f"{k}: required" for k in self.schema.get("required", []) if k not in node]
-        if self.schema.get("additionalProperties") is False:
+        schema = self.schema if schema is None else schema
+        specs = schema.get("properties", {})
+        out = [f"{k}: required" for k in schema.get("required", []) if k not in node]
+        if schema.get("additionalProperties") is False:
             out += [f"{k}: unknown" for k in node if k not in specs]
         for k, spec in specs.items():
             if k in node and not any(self._fits(node[k], b, k in patched) for b in (spec.get("oneOf") or [spec])):
                 out.append(f"{k}: invalid")
+            elif isinstance(node.get(k), dict) and "properties" in spec:
+                out += [f"{k}.{e}" for e in self.errors(node[k], schema=spec)]
         return out
 
     @staticmethod
@@ -150,6 +155,84 @@ class Template:
         return text.strip().lower() == "true" if kind == "boolean" and text.strip().lower() in ("true", "false") else text
 
 
+def template_rules(templates: DataFrame) -> DataFrame:
+    """(template_id, key, index_type, default_value as JSON) of each top-level property of schemas (template_id, json_schema).
+
+    A schema's own properties are read as rows; of alternatives (oneOf) the first that isn't null tells the type.
+    """
+    branch = "type:string,format:string,enum:string,items:string,properties:string"
+    kind = f"struct<properties:map<string,struct<{branch},oneOf:array<struct<{branch}>>>>>"
+    rows = templates.select("template_id", F.explode(F.from_json("json_schema", kind)["properties"]).alias("key", "spec"))
+    spec = F.col("spec")
+    own = F.array(F.struct(*(spec[c].alias(c) for c in ("type", "format", "enum", "items", "properties"))))
+    every = F.concat(F.coalesce(spec["oneOf"], F.array().cast(f"array<struct<{branch}>>")), own)
+    named = lambda b: F.filter(F.regexp_extract_all(F.coalesce(b["type"], F.lit("")), F.lit("[a-z]+"), F.lit(0)), lambda t: t != "null")
+    types = F.flatten(F.transform(every, named))
+    shape = lambda b: F.when(b["properties"].isNotNull(), "object").when(b["items"].isNotNull(), "array").when(b["format"].isin("date", "date-time"), "datetime").otherwise(F.get(named(b), F.lit(0)))
+    indexed = F.get(F.filter(F.transform(every, shape), lambda x: x.isNotNull()), F.lit(0))
+    pick = lambda table, value, other: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), value), other)
+    as_json = {k: json.dumps(v) for k, v in TYPE_DEFAULTS.items()}
+    form = pick({k: json.dumps(v) for k, v in FORMAT_DEFAULTS.items()}, F.lower(spec["format"]), pick(as_json, F.get(types, F.lit(0)), F.lit('""')))
+    default = F.when(F.exists(every, lambda b: b["enum"].isNotNull()), F.lit('"other"')).otherwise(form)
+    return rows.select("template_id", "key", pick(INDEX_TYPES, indexed, F.lit("keyword")).alias("index_type"), default.alias("default_value"))
+
+
+def _per_row(kind: str, known: dict[str, Template], of: Callable) -> Callable:
+    """An Arrow function of (template name, JSON text); of(template, node) gets what parsed. Null for an unknown template or null text."""
+
+    @F.arrow_udf(kind)
+    def run(names: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for name, raw in zip(names.to_pylist(), texts.to_pylist()):
+            t = known.get(name or "")
+            out.append(None if t is None or raw is None else of(t, raw))
+        return pa.array(out, pa.struct([("is_valid", pa.bool_()), ("errors", pa.string())]) if kind.startswith("struct") else pa.string())
+
+    return run
+
+
+def _dump(node) -> str:
+    return json.dumps(node, ensure_ascii=False, sort_keys=True)
+
+
+def _rewritten(template: Column, text: Column, templates: dict[str, str], change: Callable) -> Column:
+    def of(t: Template, raw: str) -> str:
+        try:
+            return _dump(change(t, json.loads(raw)))
+        except ValueError:
+            return raw
+
+    return _per_row("string", {k: Template.of(v) for k, v in templates.items()}, of)(template, text)
+
+
+def normalize_enum(template: Column, text: Column, templates: dict[str, str]) -> Column:
+    """The JSON text with texts that equal an enum value but for case and marks replaced by it; bad JSON as it is."""
+    return _rewritten(template, text, templates, lambda t, node: t.normalised(node))
+
+
+def coerce_required(template: Column, text: Column, templates: dict[str, str]) -> Column:
+    """The JSON text with required fields that are there but null or empty set to their defaults; bad JSON as it is."""
+    return _rewritten(template, text, templates, lambda t, node: t.coerced(node) if isinstance(node, dict) else node)
+
+
+def flatten_payload(template: Column, text: Column, templates: dict[str, str]) -> Column:
+    """The payload by dotted path, as JSON; bad JSON as it is."""
+    return _rewritten(template, text, templates, lambda t, node: t.flat(node))
+
+
+def validate_metadata(template: Column, text: Column, templates: dict[str, str]) -> Column:
+    """A struct (is_valid, errors) of a JSON text against its template's schema."""
+
+    def of(t: Template, raw: str) -> dict:
+        try:
+            errors = t.errors(json.loads(raw))
+        except ValueError:
+            errors = ["not JSON"]
+        return {"is_valid": not errors, "errors": "; ".join(errors)}
+
+    return _per_row("struct<is_valid:boolean,errors:string>", {k: Template.of(v) for k, v in templates.items()}, of)(template, text)
+
+
 def finish_metadata(template: Column, text: Column, templates: dict[str, str]) -> Column:
     """A struct for each response: json (checked metadata, or the template's defaults), is_valid, extracted, errors, payload (JSON).
 

@@ -31,10 +31,10 @@ def page_offset(rows: DataFrame, page: int, size: int) -> tuple[DataFrame, int,
     return rows.orderBy(F.desc("updated_at"), F.desc("id")).offset((max(page, 1) - 1) * size).limit(size), total, ceil(total / size)
 
 
-def folder_listing(items: DataFrame, parent_id: int | None) -> DataFrame:
-    """A folder's children by type, sort order, name."""
-    own = items.filter(F.col("parent_id").isNull() if parent_id is None else F.col("parent_id") == parent_id)
-    return own.orderBy("item_type", "sort_order", "name", "id")
+def folder_listing(items: DataFrame) -> DataFrame:
+    """items with place: that of each among the children of its folder, or of its dataset's top, by type, sort order, name."""
+    folder = Window.partitionBy("dataset_id", "parent_id").orderBy("item_type", "sort_order", "name", "id")
+    return items.withColumn("place", F.row_number().over(folder))
 
 
 def newest_per(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docfoundry.functions.text import clean_response
+
+from .metadata import finish_metadata
+
 
 def point_id(document_id: Column, index: Column) -> Column:
     """The first 28 characters of the document's id and the index in little-endian hexadecimal."""
@@ -61,3 +65,20 @@ def write_points(points: DataFrame, path: str, files_per_dataset: int = 8) -> No
     """Write points by dataset, replacing the datasets that come; a large dataset is spread over several files."""
     spread = points.repartition(F.col("dataset_id"), F.pmod(F.xxhash64("point_id"), F.lit(files_per_dataset)))
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(path)
+
+
+def index_documents(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metadata: DataFrame, known: DataFrame, templates: dict[str, str], old: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
+    """All points after the documents of `chunks` were indexed: the old ones of other documents, and these documents' new ones.
+
+    chunks: (document_id, dataset_id, chunk_index, type, needs_summary, content). A chunk that needs a summary takes the cached one
+    (document_id, chunk_index, summary), else the response to its prompt (document_id, chunk_index, text), cleaned; without either it is
+    indexed as text. Payloads are those known (document_id, payload as JSON), else what finish_metadata() makes of the responses
+    (document_id, template, json).
+    """
+    key = ["document_id", "chunk_index"]
+    answers = responses.select(*key, F.nullif(clean_response(F.col("text"), thinking=True), F.lit("")).alias("_made"))
+    summed = chunks.join(cached.select(*key, F.col("summary").alias("_cached")), key, "left").join(answers, key, "left")
+    summed = summed.withColumn("summary", F.when(F.col("needs_summary"), F.coalesce("_cached", "_made"))).drop("_cached", "_made")
+    fresh = metadata.join(known.select("document_id"), "document_id", "left_anti").select("document_id", finish_metadata(F.col("template"), F.col("json"), templates)["payload"].alias("payload"))
+    payloads = known.select("document_id", "payload").unionByName(fresh).select("document_id", F.from_json("payload", "map<string,string>").alias("payload"))
+    return reindex_points(old, build_points(summed, payloads, embedder).select(old.columns))

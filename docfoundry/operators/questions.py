@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,9 @@ QA = "array<struct<question:string,answer:string,category:string,qa_type:string>
 
 
 def fill(template: str, *values: Column) -> Column:
-    """A template with {0}, {1} .. replaced; what values hold isn't looked at again."""
-    out, rest = [], template
-    for i, v in enumerate(values):
-        before, _, rest = rest.partition(f"{{{i}}}")
-        out += [F.lit(before), F.coalesce(v, F.lit(""))]
-    return F.concat(*out, F.lit(rest))
+    """A template with {0}, {1} .. replaced, in any order and as often as they come; what values hold isn't looked at again."""
+    parts = re.split(r"\{(\d+)\}", template)
+    return F.concat(*(F.coalesce(values[int(x)], F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)))
 
 
 def summary_prompts(sections: DataFrame, names: DataFrame, template: str = "Summarise {0}:\n{1}") -> DataFrame:
@@ -45,9 +44,23 @@ def merge_prompts(summaries: DataFrame, template: str = "Merge these summaries.\
     return summary_merge_lists(summaries).filter("n > 1").select("doc_id", fill(template, F.col("outline"), F.col("bodies")).alias("prompt"))
 
 
-def qa_prompts(chunks: DataFrame, template: str = "Ask about the table {0}:\n{1}", kinds: tuple[str, ...] = ("Table",)) -> DataFrame:
-    """(doc_id, place, prompt) of chunks of these kinds: tables only, unless told otherwise."""
-    return chunks.filter(F.col("type").isin(*kinds)).select("doc_id", "place", fill(template, F.col("path"), F.col("content")).alias("prompt"))
+#: What each form of question prompt asks of: chunks of these kinds; {0} .. are file name, summary, title, path and content.
+FORMS = {
+    "text": (("Text", "Summary"), "Ask about this part of {0}.\n{1}\n{4}"),
+    "table": (("Table",), "Ask about the table {2} ({3}) of {0}.\n{1}\n{4}"),
+    "combined": (("Text", "Summary", "Table"), "Ask about {2} ({3}) of {0}.\n{1}\n{4}"),
+}
+
+
+def qa_prompts(chunks: DataFrame, form: str = "table", names: DataFrame | None = None, summaries: DataFrame | None = None, template: str | None = None) -> DataFrame:
+    """(doc_id, place, prompt) of the chunks that a form asks of; file names (doc_id, file_name) and summaries (doc_id, summary) are empty
+    where there are none."""
+    kinds, usual = FORMS[form]
+    rows = chunks.filter(F.col("type").isin(*kinds))
+    for df, column in ((names, "file_name"), (summaries, "summary")):
+        rows = rows.withColumn(column, F.lit("")) if df is None else rows.drop(column).join(df.select("doc_id", column), "doc_id", "left")
+    title = F.col("title") if "title" in chunks.columns else F.substring_index("path", " --> ", -1)
+    return rows.select("doc_id", "place", fill(template or usual, F.col("file_name"), F.col("summary"), title, F.col("path"), F.col("content")).alias("prompt"))
 
 
 def metadata_prompts(documents: DataFrame, schemas: DataFrame, template: str = "Schema:\n{0}\n\nText:\n{1}", pages: int = 10) -> DataFrame:
@@ -57,7 +70,7 @@ def metadata_prompts(documents: DataFrame, schemas: DataFrame, template: str = "
 
 def parse_qa_responses(responses: DataFrame) -> DataFrame:
     """(doc_id, place, qas) of responses (doc_id, place, text): the list a response holds, empty where it doesn't parse."""
-    parsed = F.from_json(repair_json(clean_response(F.col("text"))), QA)
+    parsed = F.from_json(repair_json(clean_response(F.col("text"), thinking=True)), QA)
     return responses.select("doc_id", "place", F.coalesce(F.filter(parsed, lambda q: q["question"].isNotNull()), F.array().cast(QA)).alias("qas"))
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .access import denied
+
 SIMILAR = 0.3
 
 
@@ -50,26 +52,39 @@ def holding(queries: DataFrame, names: DataFrame) -> DataFrame:
     return quick.unionByName(slow).distinct()
 
 
-def name_search(queries: DataFrame, names: DataFrame, top: int = 20) -> DataFrame:
-    """(query_id, id, similarity, rank): names that contain the text or are similar, the nearest first, `top` for each query."""
-    near = trigram_join(queries, names)
+def name_search(queries: DataFrame, names: DataFrame, top: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank): names that contain the text or are similar, the nearest first, `top` for each query.
+
+    allowed: (request_id, dataset_id) from granted(), request_id being a query's; names (with dataset_id) elsewhere aren't found.
+    """
     texts = queries.select("query_id", "text")
-    found = holding(queries, names).join(near, ["query_id", "id"], "left_anti").join(texts, "query_id").join(names.select("id", "name"), "id")
+    near, held = trigram_join(queries, names), holding(queries, names)
+    if allowed is not None:
+        may = allowed.select(F.col("request_id").alias("query_id"), "dataset_id")
+        seen = lambda pairs: pairs.join(names.select("id", "dataset_id"), "id").join(may, ["query_id", "dataset_id"], "left_semi").drop("dataset_id")
+        near, held = seen(near).select("query_id", "id", "similarity"), seen(held).select("query_id", "id")
+    found = held.join(near, ["query_id", "id"], "left_anti").join(texts, "query_id").join(names.select("id", "name"), "id")
     rest = found.select("query_id", "id", trigram_similarity(F.col("name"), F.col("text")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
     return near.unionByName(rest).withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def metadata_filter(conditions: dict) -> Column:
-    """All of the conditions on payload columns: equality of a text, integer or boolean; (low, high) bounds of a number, either None."""
+def metadata_filter(conditions: dict, lists: tuple[str, ...] = ()) -> Column:
+    """All of the conditions on payload columns: equality of a text, integer, boolean or floating number, or (low, high) bounds of a
+    number, either None. A column of `lists` fits if any of its elements does."""
+
+    def one(value: Column, key: str, want) -> Column:
+        if isinstance(want, (bool, str, int)):
+            return value == F.lit(want)
+        if isinstance(want, float):
+            return (value >= want) & (value <= want)
+        if isinstance(want, tuple) and len(want) == 2:
+            return (F.lit(True) if want[0] is None else value >= want[0]) & (F.lit(True) if want[1] is None else value <= want[1])
+        raise ValueError(f"no condition of this kind: {key}={want!r}")
+
     out = F.lit(True)
     for key, want in conditions.items():
-        if isinstance(want, (bool, str, int)):
-            out = out & (F.col(key) == F.lit(want))
-        elif isinstance(want, tuple) and len(want) == 2:
-            out = out & (F.lit(True) if want[0] is None else F.col(key) >= want[0]) & (F.lit(True) if want[1] is None else F.col(key) <= want[1])
-        else:
-            raise ValueError(f"no condition of this kind: {key}={want!r}")
+        out = out & (F.exists(key, lambda v: one(v, key, want)) if key in lists else one(F.col(key), key, want))  # noqa: B023
     return F.coalesce(out, F.lit(False))
 
 
@@ -85,22 +100,40 @@ DISTANCES: dict[str, Callable] = {
 }
 
 
+def distance(kind: str, a: Column, b: Column) -> Column:
+    """DISTANCES of two vector columns of a row, without numpy: cosine, dot, or euclid (here a distance, not its negative)."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda acc, v: acc + v)
+    if kind == "cosine":
+        return dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
+    if kind == "dot":
+        return dot(a, b)
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda acc, v: acc + v))
+
+
+def sound(vector: Column) -> Column:
+    """Whether a vector can be compared: not null, not empty, and all of its components finite numbers."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+
+
 def vector_top_k(requests: DataFrame, points: DataFrame, k: int = 10, threshold: float = 0.3, distance: str = "cosine", allowed: DataFrame | None = None, block: int = 1000) -> DataFrame:
     """(request_id, point_id, document_id, score, rank): the k best points of each request, exactly, for any number of requests.
 
     Requests are dealt by a hash of their ids into blocks of about `block`, points into blocks of four times that. Each pair of blocks
     meets in one group by an equality join on both block numbers and keeps the k best of its points for a request; those few rows are
-    ranked. allowed: (request_id, dataset_id) pairs outside of which a request sees nothing.
+    ranked. allowed: (request_id, dataset_id) pairs outside of which a request sees nothing. Vectors that are not sound() find nothing
+    and are not found; vectors of different lengths never meet.
     """
+    requests, points = (df.filter(sound(F.col("vector"))) for df in (requests, points))
     n_asked, n_points = (max(1, ceil(df.count() / size)) for df, size in ((requests, block), (points, 4 * block)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = requests.select("request_id", "vector", dealt("request_id", n_asked).alias("_asked"))
+    length = F.size("vector").alias("_size")
+    q = requests.select("request_id", "vector", length, dealt("request_id", n_asked).alias("_asked"))
     if allowed is None:
-        p = points.select("point_id", "document_id", "vector", F.lit(None).cast("array<bigint>").alias("_who"), every(n_asked).alias("_asked"))
+        p = points.select("point_id", "document_id", "vector", length, F.lit(None).cast("array<bigint>").alias("_who"), every(n_asked).alias("_asked"))
     else:
         near = allowed.join(q.select("request_id", F.col("_asked").alias("_by")), "request_id").groupBy("dataset_id", "_by").agg(F.collect_set(F.col("request_id").cast("bigint")).alias("_who"))
-        p = points.join(near, "dataset_id").select("point_id", "document_id", "vector", "_who", F.col("_by").alias("_asked"))
+        p = points.join(near, "dataset_id").select("point_id", "document_id", "vector", length, "_who", F.col("_by").alias("_asked"))
     q = q.withColumn("_block", every(n_points))
     p = p.withColumn("_block", dealt("point_id", n_points))
     score, limited = DISTANCES[distance], allowed is not None
@@ -130,7 +163,7 @@ def vector_top_k(requests: DataFrame, points: DataFrame, k: int = 10, threshold:
         rows = have.select(["point_id", "document_id"]).take(pa.array(at))
         return pa.Table.from_arrays([pa.array(of), *rows.columns, pa.array(scores)], ["request_id", "point_id", "document_id", "score"]).cast(schema)
 
-    found = p.groupBy("_asked", "_block").cogroup(q.groupBy("_asked", "_block")).applyInArrow(best, "request_id long, point_id long, document_id long, score double")
+    found = p.groupBy("_asked", "_block", "_size").cogroup(q.groupBy("_asked", "_block", "_size")).applyInArrow(best, "request_id long, point_id long, document_id long, score double")
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "point_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -141,9 +174,21 @@ def first_point_per_document(top: DataFrame) -> DataFrame:
     return top.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def granted(requests: DataFrame, wanted: DataFrame, accessible: DataFrame) -> DataFrame:
+    """(request_id, dataset_id) that requests (request_id, user_id) may look into: the datasets that they want (request_id, dataset_id), or
+    without any all that are accessible (user_id, dataset_id). A request for a dataset that its user may not see gets nothing at all."""
+    asked = wanted.join(requests.select("request_id", "user_id"), "request_id")
+    rejected = denied(asked, accessible).select("request_id").distinct()
+    named = asked.join(rejected, "request_id", "left_anti").select("request_id", "dataset_id").distinct()
+    free = requests.select("request_id", "user_id").join(wanted.select("request_id").distinct(), "request_id", "left_anti")
+    return named.unionByName(free.join(accessible, "user_id").select("request_id", "dataset_id"))
+
+
 def vector_search(requests: DataFrame, points: DataFrame, documents: DataFrame, allowed: DataFrame, conditions: dict | None = None, **options) -> DataFrame:
-    """(request_id, document_id, point_id, score, content, file_name) of the best point of each document; a summary point shows its full text."""
-    seen = points.filter(metadata_filter(conditions)) if conditions else points
+    """(request_id, document_id, point_id, score, content, file_name) of the best point of each document; a summary point shows its full
+    text. allowed: what granted() gives."""
+    lists = tuple(f.name for f in points.schema if f.dataType.typeName() == "array")
+    seen = points.filter(metadata_filter(conditions, lists)) if conditions else points
     top = first_point_per_document(vector_top_k(requests, seen, allowed=allowed, **options))
     text = points.select("point_id", F.when(F.col("chunk_type") == "summary", F.col("content_full")).otherwise(F.col("content")).alias("content"))
     names = documents.select(F.col("id").alias("document_id"), "file_name")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .access import active
+from .access import active, resolve_content  # noqa: F401
 
 #: Minutes that a bucket's cached files live.
 LIFETIMES = {"ocr": 30}
@@ -31,10 +31,13 @@ def jobs_by_status(jobs: DataFrame, stage: str, status: str) -> DataFrame:
     return jobs.filter(F.col(f"status_{stage}") == status)
 
 
-def resolve_content(content_type: Column, summary: Column, qa_summary: Column, ocr: Column) -> Column:
-    """The text that a content type asks for; null for an unknown type."""
-    kind = F.lower(content_type)
-    return F.when(kind == "summary", F.coalesce(summary, qa_summary)).when(kind == "fullcontent", ocr)
+def ilike_contains(text: Column, asked: str) -> Column:
+    """Whether a text holds another, whatever the case; % and _ of what is asked for are wildcards."""
+    return text.ilike(f"%{asked}%")
+
+
+def ilike_prefix(text: Column, asked: str) -> Column:
+    return text.ilike(f"{asked}%")
 
 
 def stuck_uploads(documents: DataFrame, now: Column) -> DataFrame:
@@ -79,9 +82,12 @@ def indexable(documents: DataFrame) -> DataFrame:
 
 
 def verify_uploads(documents: DataFrame, objects: DataFrame) -> DataFrame:
-    """(id, reason) of documents (id, object_key, file_size) against stored objects (key, size[, head])."""
-    found = objects.select(F.col("key").alias("object_key"), "size").withColumn("_there", F.lit(True))
-    return documents.join(found, "object_key", "left").select("id", F.when(F.col("_there").isNull(), "missing").when(F.col("size") != F.col("file_size"), "size differs").otherwise("ok").alias("reason"))
+    """(id, reason) of documents (id, object_key, file_size) against stored objects (key, size, head): missing, of another size, no PDF by
+    its first bytes (head, binary, blanks before %PDF allowed), or ok."""
+    found = objects.select(F.col("key").alias("object_key"), "size", "head").withColumn("_there", F.lit(True))
+    pdf = F.regexp_replace(F.hex("head"), "^(20|09|0A|0B|0C|0D)+", "").startswith("25504446")
+    reason = F.when(F.col("_there").isNull(), "missing").when(F.col("size") != F.col("file_size"), "size differs").when(~F.coalesce(pdf, F.lit(False)), "not a PDF").otherwise("ok")
+    return documents.join(found, "object_key", "left").select("id", reason.alias("reason"))
 
 
 def orphan_objects(objects: DataFrame, keys: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from docfoundry.functions import text
 from docfoundry.operators import lines, metadata, tree
 
 from .registry import query
+from .relations import _ACCESSIBLE
 
 SCHEMA = """{"type":"object","required":["kind","year","note"],"additionalProperties":false,"properties":{"kind":{"enum":["Report","Báo cáo","Letter"]},
 "year":{"type":"integer"},"note":{"type":"string","maxLength":12},"when":{"type":["string","null"],"format":"date"},"ok":{"type":"boolean"},
@@ -46,7 +47,8 @@ def _(t):
     return assemble_document(ocr_page(t))
 
 
-@query("f10_first_pages")
+@query("f10_first_pages", r"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, list_transform(range(0, CAST(ceil(len(l) / 6.0) AS BIGINT)), lambda i: trim(array_to_string(l[i * 6 + 1 : i * 6 + 6], chr(10)) || chr(10) || '![p](k.jpg)', ' ' || chr(10) || chr(9) || chr(13))) AS p FROM x)
+ SELECT doc_id, array_to_string(p[1:2], chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS text FROM p""")
 def _(t):
     from docfoundry.sources.files import assemble_document
 
@@ -55,18 +57,19 @@ def _(t):
     return assemble_document(ocr_page(t)).select("doc_id", text.first_pages(F.col("text"), 2).alias("text"))
 
 
-@query("h2_normalize_object_key", """SELECT page_id, 'in/' || trim(regexp_replace(regexp_replace(lower(replace(replace(replace(regexp_replace(url, '^.*/', ''), '?', '-'), '&', '-'), '#', '-')), '[[:space:]]+', '-', 'g'), '-{2,}', '-', 'g'), '-') || '.pdf' AS key
- FROM pages WHERE regexp_replace(url, '^.*/', '') <> '' AND NOT regexp_matches(regexp_replace(url, '^.*/', ''), '[.%]')""")
+@query("h2_normalize_object_key", r"""WITH x AS (SELECT page_id, trim(regexp_replace(url, '^.*/', '')) AS stem FROM pages),
+ y AS (SELECT page_id, trim(lower(regexp_replace(regexp_replace(regexp_replace(stem, '\s+', '-', 'g'), '[\\{}^%`\]\["<>#|?$&]', '-', 'g'), '-{2,}', '-', 'g')), '-') AS k FROM x)
+ SELECT page_id, 'in/' || CASE WHEN k = '' THEN 'none' ELSE k END || '.pdf' AS key FROM y""")
 def _(t):
     stem = F.regexp_replace("url", "^.*/", "")
-    rows = t.pages.withColumn("stem", stem).filter("stem <> '' and not stem rlike '[.%]'")
-    return rows.select("page_id", text.normalize_object_key(F.concat(F.lit("in/"), "stem", F.lit(".PDF")), F.lit("none")).alias("key"))
+    return t.pages.select("page_id", text.normalize_object_key(F.concat(F.lit("in/"), stem, F.lit(".PDF")), F.lit("none")).alias("key"))
 
 
-@query("h13_rewrite_image_links", """SELECT page_id, 'a ![x](http://s/1_k.jpg) b <IMG class="c" src="http://s/1_k.jpg" alt="d"> ![y](other.jpg) ' || page_id AS text FROM pages""")
+@query("h13_rewrite_image_links", """SELECT doc_id, text || ' ![' || source || '](http://s/' || lang || '/page1_k' || doc_id % 7 || '.jpg) b <IMG class="c" src="http://s/' || lang || '/page1_k' || doc_id % 7 || '.jpg" alt="d"> ![y](other.jpg)' AS text FROM documents""")
 def _(t):
-    md = F.concat(F.lit('a ![x](k.jpg) b <IMG class="c" src="k.jpg" alt="d"> ![y](other.jpg) '), F.col("page_id").cast("string"))
-    return t.pages.select("page_id", text.rewrite_image_links(md, F.array(F.lit("k.jpg")), F.lit("http://s/1_")).alias("text"))
+    key = F.concat(F.lit("k"), (F.col("doc_id") % 7).cast("string"), F.lit(".jpg"))
+    md = F.concat("text", F.lit(" !["), "source", F.lit("]("), key, F.lit(') b <IMG class="c" src="'), key, F.lit('" alt="d"> ![y](other.jpg)'))
+    return t.documents.select("doc_id", text.rewrite_image_links(md, F.array(key), F.concat(F.lit("http://s/"), "lang", F.lit("/page1_"))).alias("text"))
 
 
 @query("h14_fold_text", "SELECT doc_id, lower(strip_accents(text)) AS text FROM documents")
@@ -92,65 +95,72 @@ def _(t):
     return d.select("id", F.size("d").alias("n"), F.get("d", F.lit(0))["role"].alias("role"))
 
 
-@query("h17_h18_template_rules", """SELECT * FROM (VALUES ('kind', 'keyword', '"other"'), ('year', 'integer', '0'), ('note', 'keyword', '""'), ('when', 'datetime', '"0001-01-01"'), ('ok', 'bool', 'false'), ('amount', 'float', '0'), ('who', 'keyword', '""'), ('tags', 'keyword', '[]')) v(key, index_type, default_value)
- WHERE EXISTS (SELECT 1 FROM documents)""")
+def template(t):
+    """(template_id, json_schema): a schema for each customer, its properties and types by nation and segment."""
+    own = """concat('{"type":"object","properties":{"', c_name, '":', case c_custkey % 9 when 0 then '{"type":"integer"}' when 1 then '{"type":["null","number"]}' when 2 then '{"type":"boolean"}'
+     when 3 then '{"type":"string","format":"date"}' when 4 then '{"oneOf":[{"type":"null"},{"enum":["A","B"]}]}' when 5 then '{"type":"array","items":{"type":"string"}}' when 6 then '{"type":"string","format":"date-time"}'
+     when 7 then '{"oneOf":[{"type":"null"},{"type":"integer"}]}' else '{"type":"string"}' end, ',"', c_mktsegment, '":{"type":"object","properties":{"x":{"type":"integer"}}}}}') as json_schema"""
+    return t.customer.selectExpr("c_custkey as template_id", own)
+
+
+@query("h17_h18_template_rules", """SELECT c_custkey AS template_id, c_name AS key, CASE c_custkey % 9 WHEN 0 THEN 'integer' WHEN 1 THEN 'float' WHEN 2 THEN 'bool' WHEN 3 THEN 'datetime' WHEN 6 THEN 'datetime' WHEN 7 THEN 'integer' ELSE 'keyword' END AS index_type,
+ CASE c_custkey % 9 WHEN 0 THEN '0' WHEN 1 THEN '0' WHEN 2 THEN 'false' WHEN 3 THEN '"0001-01-01"' WHEN 4 THEN '"other"' WHEN 5 THEN '[]' WHEN 6 THEN '"0001-01-01T00:00:00"' WHEN 7 THEN '0' ELSE '""' END AS default_value FROM customer
+ UNION ALL SELECT c_custkey, c_mktsegment, 'keyword', '""' FROM customer""")
 def _(t):
-    import json
+    return metadata.template_rules(template(t))
+
+
+def typed(t):
+    """metadata_raw() with numbers and truth values that aren't texts."""
+    return metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
 
-    rules = metadata.Template.of(SCHEMA)
-    rows = [(k, rules.index_type(k), json.dumps(v)) for k, v in rules.defaults().items()]
-    keys = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(r, ("key", "index_type", "default_value")))) for r in rows))
-    return t.documents.select(F.inline(keys)).distinct()
 
+_VALID = "doc_id % 50 <> 0 AND doc_id % 3 <> 1"
+_KIND = "CASE doc_id % 4 WHEN 0 THEN 'Report' WHEN 1 THEN 'Báo cáo' WHEN 2 THEN 'Letter' ELSE 'other' END"
 
 
-@query("k12_finish_metadata")
+@query("k12_finish_metadata", f"""SELECT doc_id, {_VALID} AS is_valid, CASE WHEN doc_id % 50 = 0 THEN 'not JSON' WHEN doc_id % 3 = 1 THEN 'year: invalid' ELSE '' END AS errors, {_VALID} AS extracted,
+ CASE WHEN {_VALID} THEN {_KIND} ELSE 'other' END AS kind, CASE WHEN {_VALID} AND doc_id % 3 = 0 THEN '2001' ELSE '0' END AS year, CASE WHEN {_VALID} AND doc_id % 5 <> 0 THEN 'n' || doc_id ELSE '' END AS note FROM documents""")
 def _(t):
-    raw = metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
-    found = raw.select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
-    return found.select("doc_id", "m.*")
+    m = typed(t).select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
+    at = lambda k: F.get_json_object("m.json", f"$.{k}").alias(k)
+    return m.select("doc_id", "m.is_valid", "m.errors", "m.extracted", at("kind"), at("year"), at("note"))
 
 
-@query("h15_normalize_enum", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Report' WHEN 1 THEN 'Báo cáo' WHEN 2 THEN 'Letter' ELSE 'other' END AS kind, 'Boss' AS role FROM documents WHERE doc_id % 50 <> 0 AND doc_id % 3 = 0""")
+@query("h15_normalize_enum", f"SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 4 = 3 THEN '' ELSE {_KIND} END AS kind, CASE WHEN doc_id % 50 <> 0 THEN 'Boss' END AS role FROM documents")
 def _(t):
-    raw = metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
-    m = raw.filter("doc_id % 3 = 0 and doc_id % 50 <> 0").select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
-    return m.select("doc_id", F.get_json_object("m.json", "$.kind").alias("kind"), F.get_json_object("m.json", "$.who.role").alias("role"))
+    m = metadata_raw(t).select("doc_id", metadata.normalize_enum(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("j"))
+    return m.select("doc_id", F.get_json_object("j", "$.kind").alias("kind"), F.get_json_object("j", "$.who.role").alias("role"))
 
 
-@query("h16_coerce_required", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2001' ELSE '0' END AS year, CASE doc_id % 4 WHEN 3 THEN 'other' ELSE 'set' END AS kind FROM documents WHERE doc_id % 50 <> 0 AND doc_id % 3 <> 1""")
+@query("h16_coerce_required", """SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN '2001' WHEN 1 THEN '2002' ELSE '0' END END AS year, CASE WHEN doc_id % 50 <> 0 THEN CASE doc_id % 4 WHEN 0 THEN 'report' WHEN 1 THEN 'BAO CAO' WHEN 2 THEN 'Letter' ELSE 'other' END END AS kind FROM documents""")
 def _(t):
-    raw = metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
-    m = raw.filter("doc_id % 3 <> 1 and doc_id % 50 <> 0").select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
-    kind = F.get_json_object("m.json", "$.kind")
-    return m.select("doc_id", F.get_json_object("m.json", "$.year").alias("year"), F.when(kind == "other", "other").otherwise("set").alias("kind"))
+    m = metadata_raw(t).select("doc_id", metadata.coerce_required(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("j"))
+    return m.select("doc_id", F.get_json_object("j", "$.year").alias("year"), F.get_json_object("j", "$.kind").alias("kind"))
 
 
-@query("h19_flatten_payload", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2001' ELSE '0' END AS year, 'A' AS who_name, '["x","y"]' AS tags FROM documents WHERE doc_id % 50 <> 0 AND doc_id % 3 <> 1""")
+@query("h19_flatten_payload", """SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN '2001' WHEN 1 THEN '2002' END END AS year, CASE WHEN doc_id % 50 <> 0 THEN 'A' END AS who_name, CASE WHEN doc_id % 50 <> 0 THEN '["x","y"]' END AS tags,
+ CASE WHEN doc_id % 50 <> 0 THEN doc_id % 9 || '.5' END AS amount, CASE WHEN doc_id % 50 <> 0 THEN 'true' END AS ok FROM documents""")
 def _(t):
-    raw = metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
-    m = raw.filter("doc_id % 3 <> 1 and doc_id % 50 <> 0").select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
-    at = lambda k: F.get_json_object("m.payload", f"$['{k}']")
-    return m.select("doc_id", at("year").alias("year"), at("who.name").alias("who_name"), at("tags").alias("tags"))
+    m = metadata_raw(t).select("doc_id", metadata.flatten_payload(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("j"))
+    at = lambda k: F.get_json_object("j", f"$['{k}']")
+    return m.select("doc_id", at("year").alias("year"), at("who.name").alias("who_name"), at("tags").alias("tags"), at("amount").alias("amount"), at("ok").alias("ok"))
 
 
-@query("h20_validate_metadata", """SELECT doc_id, doc_id % 50 <> 0 AND doc_id % 3 <> 1 AS is_valid, CASE WHEN doc_id % 50 = 0 THEN 'not JSON' WHEN doc_id % 3 = 1 THEN 'year: invalid' ELSE '' END AS errors FROM documents""")
+@query("h20_validate_metadata", """SELECT doc_id, false AS is_valid, CASE WHEN doc_id % 50 = 0 THEN 'not JSON' ELSE array_to_string(list_filter([CASE WHEN doc_id % 4 <> 2 THEN 'kind: invalid' END, CASE WHEN doc_id % 3 <> 0 THEN 'year: invalid' END,
+ 'ok: invalid', 'amount: invalid', 'who.role: invalid'], lambda v: v IS NOT NULL), '; ') END AS errors FROM documents""")
 def _(t):
-    raw = metadata_raw(t).withColumn("json", F.regexp_replace(F.regexp_replace("json", '"amount":"([^"]*)"', '"amount":$1'), '"ok":"true"', '"ok":true'))
-    m = raw.select("doc_id", metadata.finish_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
+    m = metadata_raw(t).select("doc_id", metadata.validate_metadata(F.lit("t"), F.col("json"), {"t": SCHEMA}).alias("m"))
     return m.select("doc_id", "m.is_valid", "m.errors")
 
 
-@query("k18_read_documents", """SELECT d.id, CASE WHEN d.is_deleted THEN 'not found' WHEN d.dataset_id % 3 = 0 THEN 'denied' ELSE 'ok' END AS outcome, CASE WHEN NOT d.is_deleted AND d.dataset_id % 3 <> 0 THEN coalesce(d.summary, d.qa_summary) END AS content FROM document d
- UNION ALL SELECT -1 - c_custkey, 'not found', NULL FROM customer""", "document")
+@query("k18_read_documents", f"""WITH {_ACCESSIBLE}, r AS (SELECT id AS request_id, id, id % 50 AS user_id, CASE id % 3 WHEN 0 THEN 'Summary' WHEN 1 THEN 'fullcontent' ELSE 'x' END AS kind FROM document UNION ALL SELECT -1 - c_custkey, -1 - c_custkey, 1, 'summary' FROM customer),
+ j AS (SELECT r.*, d.id IS NOT NULL AS there, a.user_id IS NOT NULL AS may, summary, qa_summary, ocr_content FROM r LEFT JOIN document d ON d.id = r.id AND NOT d.is_deleted LEFT JOIN accessible a ON a.user_id = r.user_id AND a.dataset_id = d.dataset_id)
+ SELECT request_id, id, CASE WHEN NOT there THEN 'not found' WHEN NOT may THEN 'denied' ELSE 'ok' END AS outcome, CASE WHEN there AND may THEN CASE lower(kind) WHEN 'summary' THEN coalesce(summary, qa_summary) WHEN 'fullcontent' THEN ocr_content END END AS content FROM j""", "document dataset access_share user_department")
 def _(t):
-    from docfoundry.operators.access import active
-    from docfoundry.operators.upkeep import resolve_content
+    from docfoundry.operators import access
 
-    asked = t.document.select("id").union(t.customer.select(-1 - F.col("c_custkey")))
-    docs = active(t.document).withColumn("_there", F.lit(True))
-    may = t.dataset.select(F.col("id").alias("dataset_id")).filter("dataset_id % 3 <> 0").withColumn("_may", F.lit(True))
-    j = asked.join(docs, "id", "left").join(may, "dataset_id", "left")
-    outcome = F.when(F.col("_there").isNull(), "not found").when(F.col("_may").isNull(), "denied").otherwise("ok")
-    content = F.when(outcome == "ok", resolve_content(F.lit("summary"), F.col("summary"), F.col("qa_summary"), F.col("ocr_content")))
-    return j.select("id", outcome.alias("outcome"), content.alias("content"))
+    kind = F.element_at(F.array(F.lit("Summary"), F.lit("fullcontent"), F.lit("x")), (F.col("id") % 3 + 1).cast("int"))
+    known = t.document.select(F.col("id").alias("request_id"), "id", (F.col("id") % 50).alias("user_id"), kind.alias("content_type"))
+    unknown = t.customer.select((-1 - F.col("c_custkey")).alias("request_id"), (-1 - F.col("c_custkey")).alias("id"), F.lit(1).cast("long").alias("user_id"), F.lit("summary").alias("content_type"))
+    return access.read_documents(known.union(unknown), t.document, access.accessible_datasets(t.dataset, t.access_share, t.user_department))

@@ -28,7 +28,7 @@ def _(t):
 
 
 @query("a7_export_artifacts", """SELECT id, 'ocr-markdown' AS kind, 'file' || (id % 700) || '.md' AS name FROM document WHERE ocr_content IS NOT NULL UNION ALL SELECT id, 'chunks-markdown', 'file' || (id % 700) || '_Chunks.json' FROM document WHERE id % 2 = 0
- UNION ALL SELECT id, 'summary', 'file' || (id % 700) || '_Summary.md' FROM document WHERE summary IS NOT NULL""", "document")
+ UNION ALL SELECT id, 'summary', 'file' || (id % 700) || '_Summary.md' FROM document WHERE summary IS NOT NULL UNION ALL SELECT id, 'original', file_name FROM document WHERE id % 3 <> 0""", "document")
 def _(t):
-    d = t.document.withColumn("chunks", F.when(F.col("id") % 2 == 0, "[]"))
-    return files.export_artifacts(d).select(F.col("doc_id").alias("id"), "kind", "name")
+    d = t.document.withColumn("chunks", F.when(F.col("id") % 2 == 0, "[]")).withColumn("object_key", F.when(F.col("id") % 3 != 0, F.concat(F.lit("in/"), "file_name")))
+    return files.export_artifacts(d).unionByName(files.export_artifacts(d, "original")).select(F.col("doc_id").alias("id"), "kind", "name")

@@ -37,9 +37,7 @@ def _(t):
 
 @query("f6_folder_listing", "SELECT id, parent_id, row_number() OVER (PARTITION BY dataset_id, parent_id ORDER BY item_type, sort_order, name, id) AS place FROM dataset_item", "dataset_item")
 def _(t):
-    items = t.dataset_item.withColumn("folder", F.struct("dataset_id", "parent_id"))
-    ranked = paging.newest_per(items, "folder", [F.col("item_type"), F.col("sort_order"), F.col("name"), F.col("id")], 1 << 30)
-    return ranked.select("id", "parent_id", F.col("rank").cast("long").alias("place"))
+    return paging.folder_listing(t.dataset_item).select("id", "parent_id", F.col("place").cast("long").alias("place"))
 
 
 @query("f7_recent_threads", """SELECT user_id, conv_id, rank FROM (SELECT conv_id % 20 AS user_id, conv_id, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id DESC) AS rank FROM conversations WHERE turn = 0 AND text ILIKE '%on%') x WHERE rank <= 20""")
@@ -62,20 +60,20 @@ def _(t):
 
 
 @query("k19_trash_items", f"""WITH {_HIDDEN} SELECT 'Dataset' AS kind, id FROM dataset WHERE is_deleted UNION ALL
- SELECT item_type, id FROM dataset_item WHERE is_deleted AND id NOT IN (SELECT id FROM hidden) AND dataset_id NOT IN (SELECT id FROM dataset WHERE is_deleted)""", "dataset dataset_item")
+ SELECT item_type, i.id FROM dataset_item i LEFT JOIN hidden x ON x.id = i.id LEFT JOIN dataset d ON d.id = i.dataset_id AND d.is_deleted WHERE i.is_deleted AND x.id IS NULL AND d.id IS NULL""", "dataset dataset_item")
 def _(t):
     return tree.trash(t.dataset, t.dataset_item)
 
 
-@query("k20_soft_delete", """WITH t AS (SELECT id, document_id FROM dataset_item WHERE id % 10 = 4) SELECT 'item' AS kind, id, is_deleted OR id IN (SELECT id FROM t) AS is_deleted FROM dataset_item
- UNION ALL SELECT 'document', id, is_deleted OR id IN (SELECT document_id FROM t WHERE document_id IS NOT NULL) FROM document""", "dataset_item document")
+@query("k20_soft_delete", """WITH t AS (SELECT id, document_id FROM dataset_item WHERE id % 10 = 4) SELECT 'item' AS kind, i.id, is_deleted OR t.id IS NOT NULL AS is_deleted FROM dataset_item i LEFT JOIN t ON t.id = i.id
+ UNION ALL SELECT 'document', d.id, is_deleted OR t.id IS NOT NULL FROM document d LEFT JOIN t ON t.document_id = d.id""", "dataset_item document")
 def _(t):
     items, docs = tree.set_deleted(t.dataset_item, t.document, t.dataset_item.filter("id % 10 = 4"), True)
     return items.selectExpr("'item' as kind", "id", "is_deleted").union(docs.selectExpr("'document' as kind", "id", "is_deleted"))
 
 
-@query("k20_restore", """WITH t AS (SELECT id, document_id FROM dataset_item WHERE id % 10 = 4) SELECT 'item' AS kind, id, is_deleted AND id NOT IN (SELECT id FROM t) AS is_deleted FROM dataset_item
- UNION ALL SELECT 'document', id, is_deleted AND id NOT IN (SELECT document_id FROM t WHERE document_id IS NOT NULL) FROM document""", "dataset_item document")
+@query("k20_restore", """WITH t AS (SELECT id, document_id FROM dataset_item WHERE id % 10 = 4) SELECT 'item' AS kind, i.id, is_deleted AND t.id IS NULL AS is_deleted FROM dataset_item i LEFT JOIN t ON t.id = i.id
+ UNION ALL SELECT 'document', d.id, is_deleted AND t.id IS NULL FROM document d LEFT JOIN t ON t.document_id = d.id""", "dataset_item document")
 def _(t):
     items, docs = tree.set_deleted(t.dataset_item, t.document, t.dataset_item.filter("id % 10 = 4"), False)
     return items.selectExpr("'item' as kind", "id", "is_deleted").union(docs.selectExpr("'document' as kind", "id", "is_deleted"))

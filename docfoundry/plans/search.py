@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from docfoundry.operators import access, points, search
 
 from .registry import query
+from .relations import _ACCESSIBLE
 
 _GRAMS = """list_distinct(flatten(list_transform(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"""
 _SIM = """WITH q AS (SELECT query_id, text, {q} AS g FROM name_query), n AS (SELECT id, name, {n} AS g FROM name_corpus),
  p AS (SELECT query_id, id, text, name, len(list_intersect(q.g, n.g)) AS k, len(q.g) AS nq, len(n.g) AS nn FROM q, n),
- s AS (SELECT query_id, id, text, name, k / (nq + nn - k) AS similarity FROM p)""".format(q=_GRAMS.format(x="text"), n=_GRAMS.format(x="name"))
+ s AS (SELECT query_id, id, text, name, k, k / (nq + nn - k) AS similarity FROM p)""".format(q=_GRAMS.format(x="text"), n=_GRAMS.format(x="name"))
 
 
-@query("h9_trigram_similarity", f"{_SIM} SELECT query_id, id, round(similarity, 4) AS similarity FROM s WHERE id % 50 = 0", "name_query name_corpus")
+@query("h9_trigram_similarity", f"{_SIM} SELECT query_id, id, round(similarity, 4) AS similarity FROM s WHERE k > 0", "name_query name_corpus")
 def _(t):
-    pairs = t.name_query.join(t.name_corpus.filter("id % 50 = 0"), F.lit(True))
+    # pairs without a trigram in common have a similarity of 0, and are not listed
+    pairs = search.trigram_join(t.name_query, t.name_corpus, 1e-9).select("query_id", "id").join(t.name_query, "query_id").join(t.name_corpus, "id")
     return pairs.select("query_id", "id", F.round(search.trigram_similarity(F.col("text"), F.col("name")), 4).alias("similarity"))
 
 
@@ -36,11 +38,11 @@ def _(t):
 
 
 def requests(t):
-    return t.embeddings.filter("vec_id % 97 = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("vector"))
+    return t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("vector"))
 
 
 _SCORES = """s AS (SELECT r.vec_id AS request_id, p.point_id, p.document_id, p.dataset_id, p.chunk_type, p.content, p.content_full, p.document_type, p.year, p.score_value, p.flag,
- list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(p.vector AS DOUBLE[])) AS score FROM embeddings r, point p WHERE r.vec_id % 97 = 0)"""
+ list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(p.vector AS DOUBLE[])) AS score FROM embeddings r, point p WHERE r.vec_id % 50 = 0)"""
 
 
 @query(
@@ -64,13 +66,18 @@ def _(t):
 
 @query(
     "h21_metadata_filter",
-    "SELECT point_id FROM point WHERE document_type = 'report' AND year = 2008 UNION ALL SELECT point_id FROM point WHERE score_value >= 0.25 AND score_value <= 0.5 AND NOT flag",
+    """SELECT point_id FROM point WHERE document_type = 'report' AND year = 2008 UNION ALL SELECT point_id FROM point WHERE score_value >= 0.25 AND score_value <= 0.5 AND NOT flag
+    UNION ALL SELECT point_id FROM point WHERE score_value = 0.25 UNION ALL SELECT point_id FROM point WHERE point_id % 5 = 3 OR point_id % 7 = 3""",
     "point",
 )
 def _(t):
     p = t.point.withColumn("score_value", F.col("score_value").cast("double"))
     a = p.filter(search.metadata_filter({"document_type": "report", "year": 2008}))
-    return a.union(p.filter(search.metadata_filter({"score_value": (0.25, 0.5), "flag": False}))).select("point_id")
+    b = p.filter(search.metadata_filter({"score_value": (0.25, 0.5), "flag": False}))
+    c = p.filter(search.metadata_filter({"score_value": 0.25}))
+    tags = p.withColumn("tags", F.array(F.col("point_id") % 5, F.col("point_id") % 7))
+    d = tags.filter(search.metadata_filter({"tags": 3}, ("tags",))).drop("tags")
+    return a.union(b).union(c).union(d).select("point_id")
 
 
 @query(
@@ -79,43 +86,55 @@ def _(t):
     round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS euclid FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 )
 def _(t):
-    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    gap = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    x, y = F.col("x"), F.col("y")
-    return pairs.select("vec_id", F.round(dot(x, y) / F.sqrt(dot(x, x) * dot(y, y)), 4).alias("cosine"), F.round(dot(x, y), 4).alias("dot"), F.round(F.sqrt(gap), 4).alias("euclid"))
+    pairs = t.embeddings.select("vec_id", "embedding").join(t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    return pairs.select("vec_id", *(F.round(search.distance(k, F.col("embedding"), F.col("other")), 4).alias(k) for k in search.DISTANCES))
+
+
+def accessible(t):
+    return access.accessible_datasets(t.dataset, t.access_share, t.user_department)
+
+
+def asking(t):
+    """requests() of users; every other one for two datasets, which not all of them may see."""
+    return requests(t).withColumn("user_id", (F.col("request_id") / 50).cast("long") % 50)
+
+
+def wanting(asked):
+    n = (F.col("request_id") / 50).cast("long")
+    return asked.filter("request_id % 100 = 0").select("request_id", F.explode(F.array(n % 9 + 1, n % 7 + 1)).alias("dataset_id"))
+
+
+_USER = "CAST(floor(request_id / 50) AS BIGINT)"
+_GRANTED = f"""{_ACCESSIBLE}, wants AS (SELECT request_id, user_id, unnest([{_USER} % 9 + 1, {_USER} % 7 + 1]) AS dataset_id FROM asked WHERE request_id % 100 = 0),
+ barred AS (SELECT DISTINCT request_id FROM wants WHERE (user_id, dataset_id) NOT IN (SELECT (user_id, dataset_id) FROM accessible)),
+ granted AS (SELECT DISTINCT request_id, dataset_id FROM wants WHERE request_id NOT IN (SELECT request_id FROM barred) UNION ALL SELECT request_id, dataset_id FROM asked JOIN accessible a ON a.user_id = asked.user_id WHERE request_id % 100 <> 0)"""
 
 
 @query(
     "k16_vector_search",
-    f"""WITH {_SCORES}, a AS (SELECT DISTINCT s.* FROM s JOIN dataset d ON d.id = s.dataset_id WHERE NOT d.is_deleted AND (d.id + s.request_id) % 3 <> 0 AND document_type <> 'memo' AND year >= 2003),
+    f"""WITH {_SCORES}, asked AS (SELECT vec_id AS request_id, CAST(floor(vec_id / 50) AS BIGINT) % 50 AS user_id FROM embeddings WHERE vec_id % 50 = 0), {_GRANTED},
+    a AS (SELECT s.* FROM s JOIN granted g ON g.request_id = s.request_id AND g.dataset_id = s.dataset_id WHERE document_type <> 'memo' AND year >= 2003),
     k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, point_id) AS rank FROM a WHERE score >= 0.05), e AS (SELECT *, row_number() OVER (PARTITION BY request_id, document_id ORDER BY rank) AS n FROM k WHERE rank <= 10)
     SELECT e.request_id, e.document_id, e.point_id, round(e.score, 4) AS score, CASE WHEN chunk_type = 'summary' THEN content_full ELSE content END AS content, coalesce(d.file_name, '') AS file_name FROM e LEFT JOIN document d ON d.id = e.document_id WHERE n = 1""",
-    "point dataset document",
+    "point dataset document access_share user_department",
 )
 def _(t):
-    asked = requests(t)
-    sets = access.active(t.dataset).select(F.col("id").alias("dataset_id"))
-    allowed = t.point.select("dataset_id").distinct().join(sets, "dataset_id").join(asked.select("request_id"), (F.col("dataset_id") + F.col("request_id")) % 3 != 0).select("request_id", "dataset_id")
+    asked = asking(t)
+    allowed = search.granted(asked, wanting(asked), accessible(t))
     seen = t.point.filter("document_type <> 'memo'")
     return search.vector_search(asked, seen, t.document, allowed, {"year": (2003, None)}, threshold=0.05).withColumn("score", F.round("score", 4))
 
 
 @query(
     "k17_name_search",
-    f"""{_SIM}, a AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS rank FROM s WHERE (query_id + id) % 3 = 0 AND (similarity >= 0.3 OR contains(lower(name), lower(text))))
-    SELECT query_id, id, CAST(rank AS INT) AS rank FROM a WHERE rank <= 20""",
-    "name_query name_corpus",
+    f"""{_SIM}, asked AS (SELECT query_id AS request_id, user_id FROM name_query), {_GRANTED},
+    a AS (SELECT s.query_id, s.id, row_number() OVER (PARTITION BY s.query_id ORDER BY round(similarity, 9) DESC, s.id) AS rank FROM s JOIN name_corpus c ON c.id = s.id JOIN granted g ON g.request_id = s.query_id AND g.dataset_id = c.dataset_id
+    WHERE similarity >= 0.3 OR contains(lower(s.name), lower(s.text))) SELECT query_id, id, CAST(rank AS INT) AS rank FROM a WHERE rank <= 20""",
+    "name_query name_corpus dataset access_share user_department",
 )
 def _(t):
-    # requests see names of their own third: three searches over disjoint parts
-    out = None
-    for part in range(3):
-        q, n = t.name_query.filter(F.col("query_id") % 3 == part), t.name_corpus.filter(F.col("id") % 3 == (3 - part) % 3)
-        found = search.name_search(q, n)
-        out = found if out is None else out.unionByName(found)
-    return out.select("query_id", "id", "rank")
+    asked = t.name_query.withColumnRenamed("query_id", "request_id")
+    return search.name_search(t.name_query, t.name_corpus, allowed=search.granted(asked, wanting(asked), accessible(t))).select("query_id", "id", "rank")
 
 
 _UUID = "substr(md5(CAST(o_orderkey AS STRING)), 1, 8) || '-' || substr(md5(CAST(o_orderkey AS STRING)), 9, 4) || '-4000-8000-' || substr(md5(CAST(o_orderkey AS STRING)), 13, 12)"
@@ -156,8 +175,7 @@ def _(t):
 def _(t):
     old = t.point.select("point_id", "document_id", "content")
     new = old.filter("document_id % 5 = 0 and point_id % 2 = 0").select((F.col("point_id") + 1000000).alias("point_id"), "document_id", F.lit("new").alias("content"))
-    whole = new.select("document_id").distinct()
-    return points.reindex_points(old.join(whole, "document_id", "left_semi").unionByName(old.join(whole, "document_id", "left_anti")), new).select("point_id", "content")
+    return points.reindex_points(old, new).select("point_id", "content")
 
 
 @query("k15_update_payload", """SELECT point_id, CASE WHEN document_id % 3 = 0 THEN 'new' ELSE document_type END AS document_type, CAST(year AS STRING) AS year, CASE WHEN document_id % 3 = 0 THEN 'x' END AS extra FROM point""", "point")

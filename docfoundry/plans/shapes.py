@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from docfoundry.functions import text
 from docfoundry.operators import chunking, questions
 
+from .documents import _KIND, SCHEMA, typed
 from .registry import query
-from .structure import LIMIT, both, ocr_document, ocr_page
+from .structure import _BOTH, _NL, _OCR, _SECTIONS, LIMIT, both, ocr_document, ocr_page
 
 
 def sections(t):
@@ -20,21 +21,25 @@ def names(t):
 
 
 def model_response(t):
-    """(id, text): turns of conversations with an answer at the end, a tag before it, or nothing."""
-    end = F.element_at(F.array(F.lit(" Yes."), F.lit(" no"), F.lit("<think>x"), F.lit("")), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
-    return t.conversations.select("conv_id", "turn", F.concat("text", end).alias("text"))
+    """(conv_id, turn, text): turns of conversations with an answer at the end, a tag before it, end marks, or nothing."""
+    end = F.element_at(F.array(F.lit(" Yes.<|return|>"), F.lit(" NO"), F.lit("<Think>no, then yes<think>"), F.lit("")), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    return t.conversations.select("conv_id", "turn", F.concat(F.lit("<|return|>"), "text", end).alias("text"))
 
 
-@query("h22_extract_choice", r"""SELECT conv_id, turn, CASE WHEN regexp_matches(r, '(?i)\bno\b') AND (NOT regexp_matches(r, '(?i)\byes\b')) THEN 'no' WHEN regexp_matches(r, '(?i)\byes\b') THEN 'Yes' END AS choice
- FROM (SELECT conv_id, turn, 'a b ' || CASE (conv_id + turn) % 4 WHEN 0 THEN ' Yes.' WHEN 1 THEN ' NO' WHEN 2 THEN 'no, then yes' ELSE 'x' END AS r FROM conversations) x""")
+_RESPONSE = "r AS (SELECT conv_id, turn, text, text || CASE (conv_id + turn) % 4 WHEN 0 THEN ' Yes.<|return|>' WHEN 1 THEN ' NO' WHEN 2 THEN '<Think>no, then yes<think>' ELSE '' END AS r FROM conversations)"
+
+
+@query("h22_extract_choice", rf"""WITH {_RESPONSE}, p AS (SELECT conv_id, turn, CASE WHEN regexp_matches(r, '(?i)\byes\b') THEN length(regexp_extract(r, '(?is)^(.*)\byes\b', 1)) ELSE -1 END AS y, CASE WHEN regexp_matches(r, '(?i)\bno\b') THEN length(regexp_extract(r, '(?is)^(.*)\bno\b', 1)) ELSE -1 END AS n FROM r)
+ SELECT conv_id, turn, CASE WHEN y > n THEN 'Yes' WHEN n > y THEN 'no' END AS choice FROM p""")
 def _(t):
-    end = F.element_at(F.array(F.lit(" Yes."), F.lit(" NO"), F.lit("no, then yes"), F.lit("x")), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
-    return t.conversations.select("conv_id", "turn", text.extract_choice(F.concat(F.lit("a b "), end), ["Yes", "no"]).alias("choice"))
+    # the whole word furthest right among all of a turn's text
+    return model_response(t).select("conv_id", "turn", text.extract_choice(F.substring("text", 11, 1 << 30), ["Yes", "no"]).alias("choice"))
 
 
-@query("h23_clean_response", r"""SELECT conv_id, turn, trim(text || CASE (conv_id + turn) % 4 WHEN 0 THEN ' Yes.' WHEN 1 THEN ' no' WHEN 2 THEN 'x' ELSE '' END, ' ' || chr(10) || chr(9) || chr(13)) AS text FROM conversations""")
+@query("h23_clean_response", rf"""WITH {_RESPONSE} SELECT conv_id, turn, trim(replace(regexp_replace(r, '(?i)<think>', '', 'g'), '<|return|>', ''), ' ' || chr(10) || chr(9) || chr(13)) AS thought, trim(replace(r, '<|return|>', ''), ' ' || chr(10) || chr(9) || chr(13)) AS plain FROM r""")
 def _(t):
-    return model_response(t).select("conv_id", "turn", text.clean_response(F.col("text")).alias("text"))
+    r = F.col("text")
+    return model_response(t).select("conv_id", "turn", text.clean_response(r, thinking=True).alias("thought"), text.clean_response(r).alias("plain"))
 
 
 @query("h24_repair_json", """SELECT conv_id, turn, text, 'C:\\dir' AS path FROM conversations""")
@@ -44,19 +49,33 @@ def _(t):
     return fixed.select("conv_id", "turn", *(F.from_json("j", "text string, path string")[c].alias(c) for c in ("text", "path")))
 
 
-@query("d13_summary_merge_lists")
+_LABEL = "CASE WHEN title <> '' THEN title ELSE 'Section ' || section END"
+_LISTS = f"""{_SECTIONS}, lists AS (SELECT doc_id, string_agg('- ' || {_LABEL}, {_NL} ORDER BY section) AS outline, string_agg('## ' || {_LABEL} || {_NL} || content, {_NL} || {_NL} ORDER BY section) AS bodies, CAST(count(*) AS INT) AS n FROM sections GROUP BY 1)"""
+
+
+@query("d13_summary_merge_lists", f"WITH {_LISTS} SELECT * FROM lists")
 def _(t):
     return questions.summary_merge_lists(sections(t))
 
 
-@query("k8_summary_prompts")
+@query("k8_summary_prompts", f"""WITH {_LISTS}, named AS (SELECT s.*, n, CASE WHEN doc_id % 7 <> 0 THEN 'f' || doc_id ELSE 'SummaryDocument' END AS name FROM sections s JOIN lists USING (doc_id))
+ SELECT doc_id, section, 'Summarise ' || CASE WHEN n > 1 THEN name || '[' || {_LABEL} || ']' ELSE name END || ':' || {_NL} || content AS prompt FROM named
+ UNION ALL SELECT doc_id, 0, 'Merge these summaries.' || {_NL} || outline || {_NL} || {_NL} || bodies FROM lists WHERE n > 1""")
 def _(t):
     return questions.summary_prompts(sections(t), names(t)).select("doc_id", "section", "prompt").union(questions.merge_prompts(sections(t)).select("doc_id", F.lit(0), "prompt"))
 
 
-@query("k9_qa_prompts")
+_ASKED = f"""q AS (SELECT doc_id, place, type, path, content, list_last(string_split(path, ' --> ')) AS title, CASE WHEN doc_id % 7 <> 0 AND doc_id < 1000000000 THEN 'f' || doc_id ELSE '' END AS f, CASE WHEN doc_id % 3 = 0 AND doc_id < 1000000000 THEN 's' || doc_id ELSE '' END AS s FROM merged)"""
+
+
+@query("k9_qa_prompts", f"""WITH RECURSIVE {_BOTH}, {_ASKED} SELECT 'text' AS form, doc_id, place, 'Ask about this part of ' || f || '.' || {_NL} || s || {_NL} || content AS prompt FROM q WHERE type <> 'Table'
+ UNION ALL SELECT 'table', doc_id, place, 'Ask about the table ' || title || ' (' || path || ') of ' || f || '.' || {_NL} || s || {_NL} || content FROM q WHERE type = 'Table'
+ UNION ALL SELECT 'combined', doc_id, place, 'Ask about ' || title || ' (' || path || ') of ' || f || '.' || {_NL} || s || {_NL} || content FROM q""")
 def _(t):
-    return questions.qa_prompts(both(t))
+    chunks, files = both(t), names(t)
+    briefs = t.documents.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("summary"))
+    asked = [questions.qa_prompts(chunks, form, files, briefs).select(F.lit(form).alias("form"), "doc_id", "place", "prompt") for form in questions.FORMS]
+    return asked[0].union(asked[1]).union(asked[2])
 
 
 @query("k10_metadata_prompts", """SELECT doc_id, 'Schema:' || chr(10) || '{"p":' || (doc_id % 3) || '}' || chr(10) || chr(10) || 'Text:' || chr(10) || trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS prompt FROM documents WHERE doc_id % 4 <> 3 AND text <> ''""")
@@ -72,31 +91,74 @@ def responses(t):
     return tables.select("doc_id", "place", F.when(F.col("place") % 5 == 0, "sorry").otherwise(body).alias("text"))
 
 
-@query("k11_parse_qa_responses")
+@query("k11_parse_qa_responses", f"WITH RECURSIVE {_BOTH} SELECT doc_id, place, CAST(CASE WHEN place % 5 = 0 THEN 0 ELSE 2 END AS INT) AS n, CASE WHEN place % 5 <> 0 THEN 'Q' || place || {_NL} || '?' END AS first FROM merged WHERE type = 'Table'")
 def _(t):
     return questions.parse_qa_responses(responses(t)).select("doc_id", "place", F.size("qas").alias("n"), F.get("qas", F.lit(0))["question"].alias("first"))
 
 
-@query("k13_qa_table")
+@query("k13_qa_table", f"""WITH RECURSIVE {_BOTH}, m AS (SELECT doc_id, place FROM merged WHERE type = 'Table' AND place % 5 <> 0) SELECT doc_id, place, 'Q' || place || {_NL} || '?' AS question, 'C:\\d' AS answer, 'c' AS category, 't' AS qa_type FROM m
+ UNION ALL SELECT doc_id, place, 'R', 'b', NULL, NULL FROM m""")
 def _(t):
     return questions.exploded_qas(questions.qa_table(both(t), questions.parse_qa_responses(responses(t))))
 
 
-@query("a8_chunks_to_json")
+@query("a8_chunks_to_json", f"WITH RECURSIVE {_BOTH} SELECT doc_id, place, chunk_index, type, tokens, path, content FROM merged")
 def _(t):
     return questions.chunks_from_json(questions.chunks_to_json(both(t)))
 
 
-@query("k23_index_documents")
+_PAD = "lpad(CAST(doc_id AS STRING), 36, '0')"
+
+
+@query(
+    "k23_index_documents",
+    f"""WITH RECURSIVE {_BOTH}, c AS (SELECT *, {_PAD} AS document_id, lpad(lower(hex(place)), 8, '0') AS h, CASE WHEN needs_summary THEN CASE WHEN place % 2 = 0 THEN 'cached ' || place WHEN place % 3 = 0 THEN 'made ' || place END END AS summary FROM merged),
+    k AS (SELECT *, CASE WHEN type = 'Table' THEN 'table' WHEN summary IS NOT NULL THEN 'summary' ELSE 'text' END AS kind FROM c)
+    SELECT substr(document_id, 1, 28) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS point_id, kind AS chunk_type, CASE WHEN kind = 'summary' THEN summary ELSE content END AS content, CASE WHEN kind = 'summary' THEN content END AS content_full,
+    CASE WHEN doc_id < 1000000000 THEN CASE WHEN doc_id % 2 = 0 THEN 'cached' WHEN doc_id % 50 <> 0 AND doc_id % 3 <> 1 THEN {_KIND} ELSE 'other' END END AS kind FROM k
+    UNION ALL SELECT 'old' || c_custkey, 'text', 'kept', NULL, NULL FROM customer UNION ALL SELECT 'stale' || doc_id, 'text', 'gone', NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM merged)""",
+)
+def _(t):
+    """Chunks and metadata of documents to points; summaries and metadata that are cached are used again, points of documents with chunks
+    replaced."""
+    from docfoundry.operators import points
+
+    padded = lambda c: F.lpad(c.cast("string"), 36, "0").alias("document_id")
+    chunks = both(t).select(padded(F.col("doc_id")), (F.col("doc_id") % 9).alias("dataset_id"), F.col("place").alias("chunk_index"), "type", "needs_summary", "content")
+    wanted = chunks.filter("needs_summary").select("document_id", "chunk_index")
+    cached = wanted.filter("chunk_index % 2 = 0").withColumn("summary", F.concat(F.lit("cached "), F.col("chunk_index").cast("string")))
+    made = wanted.filter("chunk_index % 3 = 0").withColumn("text", F.concat(F.lit(" made "), F.col("chunk_index").cast("string"), F.lit("<|return|>")))
+    raw = typed(t).select(padded(F.col("doc_id")), F.lit("t").alias("template"), "json")
+    known = t.documents.filter("doc_id % 2 = 0").select(padded(F.col("doc_id")), F.lit('{"kind":"cached"}').alias("payload"))
+    stale = t.documents.select(F.concat(F.lit("stale"), F.col("doc_id").cast("string")).alias("point_id"), padded(F.col("doc_id")), F.lit("gone").alias("content"))
+    kept = t.customer.select(F.concat(F.lit("old"), F.col("c_custkey").cast("string")).alias("point_id"), F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("document_id"), F.lit("kept").alias("content"))
+    old = stale.union(kept).select("point_id", "document_id", F.lit(0).cast("long").alias("dataset_id"), F.lit("text").alias("chunk_type"), "content", F.lit(None).cast("string").alias("content_full"), F.array(F.lit(0.0).cast("float")).alias("vector"), F.create_map().cast("map<string,string>").alias("payload"))
+    found = points.index_documents(chunks, cached, made, raw, known, {"t": SCHEMA}, old, lambda x: F.array(F.length(x).cast("float")))
+    return found.select("point_id", "chunk_type", "content", "content_full", F.try_element_at("payload", F.lit("kind")).alias("kind"))
+
+
+@query("a1_ocr_pages", """WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CAST(i AS INT) AS page_index, array_to_string(l[i * 6 + 1 : i * 6 + 6], chr(10)) || chr(10) || '![p](k.jpg)' AS markdown, 1 AS n_images
+ FROM (SELECT doc_id, l, unnest(range(0, CAST(ceil(len(l) / 6.0) AS BIGINT))) AS i FROM x) y""")
 def _(t):
-    from docfoundry.operators.points import build_points
+    """Pages written as files of JSON lists, one for each document, and read again."""
+    from docfoundry.sources.files import read_ocr_pages, scratch_folder
 
-    chunks = both(t).select(F.lpad(F.col("doc_id").cast("string"), 36, "0").alias("document_id"), (F.col("doc_id") % 9).alias("dataset_id"), F.col("place").alias("chunk_index"), "type", "needs_summary", F.when(F.col("needs_summary"), F.substring("content", 1, 40)).alias("summary"), "content")
-    payloads = t.documents.select(F.lpad(F.col("doc_id").cast("string"), 36, "0").alias("document_id"), F.create_map(F.lit("lang"), "lang").alias("payload"))
-    points = build_points(chunks, payloads, lambda x: F.array(F.length(x).cast("float")))
-    return points.select("point_id", "dataset_id", "chunk_type", "content_full", F.try_element_at("payload", F.lit("lang")).alias("lang"))
+    folder = scratch_folder(t.spark, "pages")
+    page = F.struct("page_index", "markdown", "images")
+    packed = ocr_page(t).groupBy("doc_id").agg(F.to_json(F.collect_list(page)).alias("value"))
+    packed.repartition("doc_id").write.partitionBy("doc_id").text(folder)
+    pages = read_ocr_pages(t.spark, f"{folder}/*/*.txt")
+    return pages.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "page_index", "markdown", F.size("images").alias("n_images"))
 
 
-@query("a1_ocr_pages", "SELECT count(*) AS n_pages, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(range(0, CAST(ceil(len(string_split(text, chr(10))) / 6.0) AS BIGINT))) AS i FROM documents) x")
+@query("a9_write_points", "SELECT dataset_id, count(*) AS n, CAST(sum(point_id) AS BIGINT) AS ids FROM point GROUP BY 1", "point")
 def _(t):
-    return ocr_page(t).agg(F.count("*").alias("n_pages"), F.countDistinct("doc_id").alias("n_docs"))
+    """Points written by dataset, two datasets written again, and read."""
+    from docfoundry.operators.points import write_points
+    from docfoundry.sources.files import scratch_folder
+
+    folder = scratch_folder(t.spark, "points")
+    p = t.point.select("point_id", "document_id", "dataset_id", "content")
+    write_points(p.withColumn("point_id", F.when(F.col("dataset_id") < 2, 0).otherwise(F.col("point_id")).cast("long")), folder)
+    write_points(p.filter("dataset_id < 2"), folder)
+    return t.spark.read.parquet(folder).groupBy(F.col("dataset_id").cast("int").alias("dataset_id")).agg(F.count("*").alias("n"), F.sum("point_id").alias("ids"))

@@ -41,13 +41,27 @@ def _(t):
     return attached(t).select("event_id", "document_id")
 
 
+@query("i2_count_unmatched", f"WITH {_E} SELECT type AS event_type, count(*) AS n_events, count(*) FILTER (user_id % 5 = 0) AS n_dropped FROM e GROUP BY 1")
+def _(t):
+    return ev.count_unmatched(attached(t))
+
+
+@query("i3_apply_results", f"""WITH {_E}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e WHERE user_id % 5 <> 0), x AS (SELECT user_id, min(n) FILTER (type IN ('GetMarkdown', 'Failed')) AS z, max(n) AS m FROM f GROUP BY 1),
+ s AS (SELECT f.user_id, CASE type WHEN 'GetMarkdown' THEN 'Succeeded' WHEN 'Failed' THEN 'Failed' ELSE 'Processing' END AS to_status, 'text of ' || event_id AS body FROM f JOIN x ON x.user_id = f.user_id AND f.n = coalesce(x.z, x.m))
+ SELECT d.id, coalesce(to_status, d.status) AS status, is_ocred OR coalesce(to_status = 'Succeeded', false) AS is_ocred, CASE WHEN to_status = 'Succeeded' THEN body ELSE ocr_content END AS ocr_content, CASE WHEN to_status = 'Succeeded' THEN NULL ELSE summary END AS summary,
+ CASE WHEN to_status = 'Succeeded' THEN NULL ELSE qa_summary END AS qa_summary FROM document d LEFT JOIN s ON s.user_id = d.id""", "document")
+def _(t):
+    events = attached(t).withColumn("data", F.concat(F.lit("text of "), F.col("event_id").cast("string")))
+    return ev.apply_results(t.document, events).select("id", "status", "is_ocred", "ocr_content", "summary", "qa_summary")
+
+
 @query("i3_job_state", f"""WITH {_E}, f AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (type IN ('GetMarkdown', 'Failed')) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM e WHERE user_id % 5 <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
  SELECT user_id AS document_id, CASE arg_max(type, n) WHEN 'GetMarkdown' THEN 'Succeeded' WHEN 'Failed' THEN 'Failed' ELSE 'Processing' END AS status, arg_max(type, n) = 'GetMarkdown' AS is_ocred, CAST(count(*) AS INT) AS n_events FROM f WHERE ended = 0 GROUP BY 1""")
 def _(t):
     return ev.job_state(attached(t))
 
 
-@query("i4_save_logs", f"WITH {_E} SELECT user_id AS document_id, CAST(max(event_id) AS STRING) AS last FROM e WHERE event_id % 3 = 0 AND user_id % 5 <> 0 GROUP BY 1")
+@query("i4_save_logs", f"WITH {_E} SELECT user_id AS document_id, CAST(arg_max(event_id, (ts, event_id)) AS STRING) AS last FROM e WHERE event_id % 3 = 0 AND user_id % 5 <> 0 GROUP BY 1")
 def _(t):
     logs = F.to_json(F.array(F.struct(F.col("event_id").cast("string").alias("message"), F.lit(1.0).alias("processingTime"))))
     e = attached(t).filter("document_id is not null").withColumns({"event_type": F.lit("SaveLog"), "data": F.when(F.col("event_id") % 3 == 0, logs).otherwise("[]")})
@@ -87,3 +101,28 @@ def _(t):
  SELECT task_id, max(CASE WHEN n = 1 THEN 's' END) AS status, CAST(max(CASE WHEN n = 1 THEN event_id % 7 END) AS INT) AS done, 7 AS total, round(sum(value), 2) AS seconds FROM l GROUP BY 1""")
 def _(t):
     return progress_report(valid(t)).withColumn("seconds", F.round("seconds", 2))
+
+
+@query("a10_read_ocr_events", f"WITH {_E} SELECT true AS is_valid, event_id, task_id, type AS event_type FROM e UNION ALL SELECT false, NULL, NULL, NULL FROM events WHERE event_id % 41 = 0")
+def _(t):
+    """The events as files, read as a stream, parsed, and written by it."""
+    from docfoundry.sources.files import read_ocr_events, scratch_folder
+
+    folder = scratch_folder(t.spark, "events")
+    raw(t).write.json(f"{folder}/in")
+    found = ev.parse_events(read_ocr_events(t.spark, f"{folder}/in")).select("is_valid", "event_id", "task_id", "event_type")
+    found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out")
+
+
+@query("i4_upsert_logs", f"WITH {_E} SELECT user_id AS document_id, CAST(arg_max(event_id, (ts, event_id)) AS STRING) AS last FROM e WHERE event_id % 3 = 0 AND user_id % 5 <> 0 GROUP BY 1")
+def _(t):
+    """The log lists in two batches, the later events first, and the first batch once more."""
+    from docfoundry.sources.files import scratch_folder
+
+    folder = scratch_folder(t.spark, "logs")
+    logs = F.to_json(F.array(F.struct(F.col("event_id").cast("string").alias("message"), F.lit(1.0).alias("processingTime"))))
+    e = attached(t).filter("document_id is not null").withColumns({"event_type": F.lit("SaveLog"), "data": F.when(F.col("event_id") % 3 == 0, logs).otherwise("[]")})
+    for batch, rest in ((0, 1), (1, 0), (0, 1)):
+        ev.upsert_logs(e.filter(F.col("event_id") % 2 == rest), batch, folder)
+    return ev.read_logs(t.spark, folder).select("document_id", F.col("logs")[0]["message"].alias("last"))

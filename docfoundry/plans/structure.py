@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -318,7 +320,9 @@ def _(t):
     """WITH p AS (SELECT doc_id, ceil(len(string_split(text, chr(10))) / 6.0) AS k FROM documents) SELECT doc_id, CAST(k AS BIGINT) AS n_pages, CAST(k AS BIGINT) AS n_images FROM p""",
 )
 def _(t):
-    return ocr_page(t).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.size("images")).alias("n_images"))
+    from docfoundry.sources.files import page_image_totals
+
+    return page_image_totals(ocr_page(t))
 
 
 @query("h3_dice", f"WITH p AS (SELECT a.p_partkey AS id, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) SELECT id, round({dice_sql('x', 'y')}, 4) AS dice FROM p")
@@ -361,24 +365,29 @@ def _(t):
     return t.part.select(F.col("p_partkey").alias("id"), tables.continuation_decision(F.col("p_size") / 100.0, F.col("p_size") / 50.0).alias("continues"))
 
 
-@query("h11_html_table_info", """SELECT page_id, CAST(3 AS INT) AS column_count, 'Key|Value|Note' AS header, CAST(1 + page_id % 4 AS INT) AS row_count FROM pages""")
+@query("h11_html_table_info", f"""SELECT doc_id, CAST(3 AS INT) AS column_count, lang || '|' || source || '|Note' AS header, CAST(len(string_split(text, {_NL})) AS INT) AS row_count FROM documents""")
 def _(t):
-    row = "<tr><td>a</td><td><table><tr><th>n</th><td>1</td><td>2</td><td>3</td></tr></table></td><TD x='1'>c</TD></tr>"
-    html = F.concat(F.lit("<table class='t'><tr><th>Key</th><th> Value </th><th>Note</th></tr>"), F.repeat(F.lit(row), (1 + F.col("page_id") % 4).cast("int")), F.lit("</table>"))
-    info = t.pages.select("page_id", tables.html_table_info(html).alias("i"))
-    return info.select("page_id", "i.column_count", F.array_join("i.header_cells", "|").alias("header"), "i.row_count")
+    """A table of each document: its lines as rows, each with a table in a cell."""
+    row = lambda x: F.concat(F.lit("<tr><td>"), F.translate(x, "<>", "()"), F.lit("</td><td><table><tr><th>n</th><td>1</td><td>2</td><td>3</td></tr></table></td><TD x='1'>c</TD></tr>"))
+    head = F.concat(F.lit("<table class='t'><tr><th>"), "lang", F.lit("</th><th> "), "source", F.lit(" </th><th>Note</th></tr>"))
+    html = F.concat(head, F.array_join(F.transform(F.split("text", "\n"), row), ""), F.lit("</table>"))
+    info = t.documents.select("doc_id", tables.html_table_info(html).alias("i"))
+    return info.select("doc_id", "i.column_count", F.array_join("i.header_cells", "|").alias("header"), "i.row_count")
 
 
-@query("h10_strip_nested_tables", "SELECT page_id, '<table>b' || page_id || 'd</table><table>f</table>' AS html FROM pages")
+@query("h10_strip_nested_tables", "SELECT doc_id, '<table>' || text || lang || '</table><table>f</table>' AS html FROM documents")
 def _(t):
-    html = F.concat(F.lit("a<TABLE x='1'>b"), F.col("page_id").cast("string"), F.lit("<table><tr>c</tr></table>d</table>e<table>f</table>g"))
-    return t.pages.select("page_id", tables.strip_nested_tables(html).alias("html"))
+    html = F.concat(F.lit("a<TABLE x='1'>"), "text", F.lit("<table><tr>"), "source", F.lit("</tr></table>"), "lang", F.lit("</table>e<table>f</table>g"))
+    return t.documents.select("doc_id", tables.strip_nested_tables(html).alias("html"))
 
 
-@query("h25_is_trivial", "SELECT page_id, page_id % 4 < 3 AS trivial FROM pages")
+@query("h25_is_trivial", f"""WITH x AS (SELECT doc_id, list_filter(string_split(text, {_NL}), lambda x: NOT (trim(x) = '' OR regexp_matches(x, '^ {{0,3}}#{{1,6}}([ \\t]|$)') OR regexp_matches(x, '^ {{0,3}}((-[ \\t]*){{3,}}|(_[ \\t]*){{3,}}|([*][ \\t]*){{3,}})$'))) AS l FROM documents)
+ SELECT doc_id, true AS headed, true AS in_html, len(l) = 0 AS plain FROM x""")
 def _(t):
-    content = F.element_at(F.array(F.lit("# a"), F.lit("# a\n\n---\n## b"), F.lit("<div>\nx\n</div>\n\n# c"), F.lit("# a\ntext")), (F.col("page_id") % 4 + 1).cast("int"))
-    return t.pages.select("page_id", chunking.is_trivial(content).alias("trivial"))
+    lines_of = lambda f: F.array_join(F.transform(F.split("text", "\n"), f), "\n")
+    headed = lines_of(lambda x: F.concat(F.lit("## "), x))
+    in_html = F.concat(F.lit("<div>\n"), lines_of(lambda x: F.when(F.trim(x) == "", "-").otherwise(x)), F.lit("\n\n---\n# b"))
+    return t.documents.select("doc_id", *(chunking.is_trivial(c).alias(k) for k, c in {"headed": headed, "in_html": in_html, "plain": F.col("text")}.items()))
 
 
 @query("e10_line_state", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
@@ -389,17 +398,22 @@ def _(t):
     return found.select("doc_id", "n", (F.col("kind") == "code").alias("is_code"))
 
 
-@query("a4_load_tables", "SELECT 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation")
+_LOADED = ("nation", "documents", "lineitem", "conversations")
+
+
+@query("a4_load_tables", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in _LOADED))
 def _(t):
     from docfoundry.sources.files import load_tables
 
-    found = load_tables(t.spark, t.sf_dir, ["region", "nation"])
+    found = load_tables(t.spark, t.sf_dir, list(_LOADED))
     counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in found.items()]
-    return counts[0].unionByName(counts[1])
+    return reduce(DataFrame.unionByName, counts)
 
 
-@query("a5_list_objects")
+@query("a5_list_objects", "SELECT name AS key, true AS has_size FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('benchmark')) v(name)")
 def _(t):
+    """The tables that are one file each, as objects of a store."""
     from docfoundry.sources.files import list_objects
 
-    return list_objects(t.spark, t.sf_dir).select(F.substring_index("key", "/", -1).alias("key"), "size")
+    found = list_objects(t.spark, t.sf_dir).select(F.regexp_extract("key", r"/([a-z]+)\.parquet$", 1).alias("key"), (F.col("size") > 0).alias("has_size"))
+    return found.filter(~F.col("key").isin("", "documents", "embeddings", "pages", "labels", "conversations"))

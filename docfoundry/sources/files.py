@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +72,35 @@ def validate_files(files: DataFrame) -> DataFrame:
 
 
 def export_artifacts(documents: DataFrame, scope: str = "all") -> DataFrame:
-    """(doc_id, kind, name, body) of what a document has: its Markdown, chunks, summary; only what isn't empty."""
+    """(doc_id, kind, name, body) of what a document has: its Markdown, chunks, summary; only what isn't empty. Of `original`, the body is
+    the object key where its bytes lie, and the name the file's own."""
     base = F.regexp_replace("file_name", r"\.[^.]*$", "")
     every = {"ocr-markdown": (".md", "ocr_content"), "chunks-markdown": ("_Chunks.json", "chunks"), "summary": ("_Summary.md", "summary")}
+    if scope == "original":
+        return documents.filter("coalesce(object_key, '') <> ''").select(F.col("id").alias("doc_id"), F.lit(scope).alias("kind"), F.col("file_name").alias("name"), F.col("object_key").alias("body"))
+    if scope not in ("all", *every):
+        raise ValueError(f"no such scope: {scope}")
     wanted = every if scope == "all" else {k: v for k, v in every.items() if k == scope}
     parts = F.array(*(F.struct(F.lit(k).alias("kind"), F.concat(base, F.lit(end)).alias("name"), F.col(c).alias("body")) for k, (end, c) in wanted.items()))
     return documents.select(F.col("id").alias("doc_id"), F.inline(parts)).filter("body is not null and body <> ''")
+
+
+def page_image_totals(pages: DataFrame) -> DataFrame:
+    """(doc_id, n_pages, n_images) of the pages of each document."""
+    return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.size("images")).alias("n_images"))
+
+
+def read_ocr_events(spark: SparkSession, source: str, kafka: dict | None = None) -> DataFrame:
+    """A stream of (data, ts): JSON lines of a folder as files come, or with Kafka options the values of a topic, `source`."""
+    if kafka:
+        return spark.readStream.format("kafka").options(subscribe=source, **kafka).load().select(F.col("value").cast("string").alias("data"), F.col("timestamp").alias("ts"))
+    return spark.readStream.schema("data string, ts timestamp").json(source)
+
+
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder in spark.checkpoint.dir, or where that is unset in the warehouse; on a local master a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        local = spark.sparkContext.master.startswith("local[")
+        base = f"file://{tempfile.mkdtemp(prefix='docfoundry-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/{tag}-{uuid.uuid4().hex}"

@@ -71,8 +71,8 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
         ("document",),
         """SELECT id, CASE WHEN id % 2 = 0 THEN concat('in/file', CAST(id AS STRING), '.pdf') ELSE concat('File', CAST(id AS STRING), '.PDF') END AS object_key, status, file_size, is_deleted, created_at FROM {document}""",
     ),
-    "name_corpus": (("part",), "SELECT p_partkey AS id, concat(p_name, ' ', p_brand, ' ', p_type) AS name FROM {part}"),
-    "name_query": (("part",), "SELECT p_partkey AS query_id, CASE WHEN p_partkey % 200 = 0 THEN p_name ELSE substring(p_name, 2, 100) END AS text FROM {part} WHERE p_partkey % 100 = 0"),
+    "name_corpus": (("part",), "SELECT p_partkey AS id, concat(p_name, ' ', p_brand, ' ', p_type) AS name, p_partkey % 40 + 1 AS dataset_id FROM {part}"),
+    "name_query": (("part",), "SELECT p_partkey AS query_id, CASE WHEN p_partkey % 100 = 0 THEN p_name ELSE substring(p_name, 2, 100) END AS text, CAST(floor(p_partkey / 50) AS BIGINT) % 50 AS user_id FROM {part} WHERE p_partkey % 50 = 0"),
     "point": (
         ("embeddings",),
         """SELECT vec_id AS point_id, CAST(floor(vec_id / 4) AS BIGINT) AS document_id, label AS dataset_id, embedding AS vector,

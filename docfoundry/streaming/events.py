@@ -4,7 +4,7 @@ save job_state_stream(), whose twin on batches is job_state()."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -37,6 +37,11 @@ def attach_document(events: DataFrame, tasks: DataFrame) -> DataFrame:
     return events.join(tasks.select("task_id", "document_id"), "task_id", "left")
 
 
+def count_unmatched(attached: DataFrame) -> DataFrame:
+    """(event_type, n_events, n_dropped) of attach_document()'s events: those of unknown tasks are dropped."""
+    return attached.groupBy("event_type").agg(F.count("*").alias("n_events"), F.count_if(F.col("document_id").isNull()).alias("n_dropped"))
+
+
 def _mapped():
     return F.create_map(*(F.lit(x) for kv in STATUS.items() for x in kv))
 
@@ -56,6 +61,24 @@ def job_state(events: DataFrame) -> DataFrame:
     return found.select("document_id", "status", (F.col("status") == "Succeeded").alias("is_ocred"), "n_events")
 
 
+def apply_results(documents: DataFrame, events: DataFrame) -> DataFrame:
+    """documents (id, status, is_ocred, ocr_content, summary, qa_summary, ..) after their events: a job's state becomes the status; where it
+    succeeded, the text that came with the event that ended it replaces the content, and both summaries are cleared."""
+    seen = events.withColumn("_to", F.try_element_at(_mapped(), "event_type")).filter("_to is not null and document_id is not null")
+    order = F.struct("ts", "event_id")
+    text = seen.filter(F.col("_to").isin(*FINAL)).groupBy("document_id").agg(F.min_by(F.struct(F.col("data").alias("text")), order).alias("_end"))
+    state = job_state(events).select(F.col("document_id").alias("id"), F.col("status").alias("_status")).join(text.withColumnRenamed("document_id", "id"), "id", "left")
+    done = F.coalesce(F.col("_status") == "Succeeded", F.lit(False))
+    joined = documents.join(state, "id", "left")
+    return joined.withColumns({
+        "status": F.coalesce("_status", "status"),
+        "is_ocred": done | F.col("is_ocred"),
+        "ocr_content": F.when(done, F.col("_end.text")).otherwise(F.col("ocr_content")),
+        "summary": F.when(~done, F.col("summary")),
+        "qa_summary": F.when(~done, F.col("qa_summary")),
+    }).drop("_status", "_end")
+
+
 def job_state_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
     """job_state() of a stream, as updates: state by document, dropped after `idle` without events."""
     minutes = int(pd.Timedelta(idle).total_seconds() * 1000)
@@ -90,8 +113,18 @@ def save_logs(events: DataFrame) -> DataFrame:
 
 
 def upsert_logs(batch: DataFrame, batch_id: int, path: str) -> None:
-    """A foreachBatch sink: each batch's lists, by batch, so that a repeated batch writes the same files again."""
-    save_logs(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    """A foreachBatch sink: each batch's last lists with their place in time, by batch, so that a repeated batch writes the same files again;
+    read_logs() has the latest of all."""
+    logs = F.from_json("data", "array<struct<message:string,processingTime:double>>")
+    found = batch.filter("event_type = 'SaveLog'").withColumn("logs", logs).filter("size(logs) > 0")
+    order = F.struct("ts", "event_id")
+    last = found.groupBy("document_id").agg(F.max_by("logs", order).alias("logs"), F.max(order).alias("at"))
+    last.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(document_id, logs): of what upsert_logs() wrote, the latest list of each document."""
+    return spark.read.parquet(path).groupBy("document_id").agg(F.max_by("logs", "at").alias("logs"))
 
 
 def notifications(events: DataFrame) -> DataFrame:
