@@ -157,15 +157,31 @@ _BOTH = f"""{_OCR_DOCS}, {_PLACED}, {_SPANS}, all_docs AS (SELECT doc_id, text F
 _SECTIONS = f"""{_OCR_DOCS}, {parts_sql('ocr_docs', '{tokens} > ' + str(LIMIT))}, sections AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INT) AS section, content, path, list_last(string_split(path, ' --> ')) AS title, CAST(tokens AS BIGINT) AS tokens FROM frag WHERE keep AND (NOT blank OR tokens > 0))"""
 
 
+def mixed_lines(t) -> DataFrame:
+    """ocr_document() with lines of all kinds: a list item, quote, rule, table, HTML block, fenced code and underlined title now and then."""
+    put = lambda x, i: F.when(i % 29 == 4, F.concat(F.lit("- "), x)).when(i % 29 == 7, F.concat(F.lit("> "), x)).when(i % 29 == 10, F.lit("* * *")).when(i % 29 == 13, F.concat(F.lit("| a | b |\n|---|---|\n| 1 |"), x, F.lit("|\n"))).when(i % 29 == 16, F.concat(F.lit("<div>\n"), x, F.lit("\n"))).when(i % 29 == 19, F.lit("```\n# no heading\n```")).when(i % 29 == 22, F.lit("Title\n====")).otherwise(x)
+    each = ocr_document(t).select("doc_id", F.split("text", "\n").alias("l"))
+    return each.select("doc_id", F.array_join(F.transform("l", put), "\n").alias("text"))
+
+
 @query(
     "k1_classify_lines",
-    f"""WITH {_OCR}, x AS (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}}([ \\t]|$)') THEN 'heading' ELSE 'other' END AS class FROM opened)
-    SELECT doc_id, CAST(n AS INT) AS n, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, class,
-    CASE WHEN class = 'heading' THEN CAST(length(regexp_extract(line, '^#+')) AS INT) ELSE 0 END AS level, CAST(len(regexp_extract_all(line, '[^ \\t\\n\\r\\f\\v]+')) AS BIGINT) AS tokens FROM x""",
+    f"""WITH {_OCR}, put AS (SELECT doc_id, list_transform(l, lambda x, i: CASE (i - 1) % 29 WHEN 4 THEN '- ' || x WHEN 7 THEN '> ' || x WHEN 10 THEN '* * *' WHEN 13 THEN '| a | b |' || {_NL} || '|---|---|' || {_NL} || '| 1 |' || x || '|' || {_NL} WHEN 16 THEN '<div>' || {_NL} || x || {_NL} WHEN 19 THEN '```' || {_NL} || '# no heading' || {_NL} || '```' WHEN 22 THEN 'Title' || {_NL} || '====' ELSE x END) AS l FROM ocr),
+    parts AS (SELECT doc_id, array_to_string(l, {_NL}) AS text FROM put), o AS (SELECT doc_id, unnest(string_split(text, {_NL})) AS line, generate_subscripts(string_split(text, {_NL}), 1) AS n FROM parts),
+    f AS (SELECT *, sum(CASE WHEN line = '```' THEN 1 ELSE 0 END) OVER w AS fences FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    c AS (SELECT *, line = '```' OR fences % 2 = 1 AS code FROM f), b AS (SELECT *, NOT code AND trim(line, ' ' || chr(9) || chr(13)) = '' AS blank, NOT code AND regexp_matches(line, '^ {{0,3}}<[A-Za-z/!?]') AS tag FROM c),
+    h AS (SELECT *, NOT code AND NOT blank AND coalesce(max(CASE WHEN tag THEN n END) OVER w > coalesce(max(CASE WHEN blank THEN n END) OVER w, 0), false) AS html FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    bar AS (SELECT *, NOT code AND NOT html AND contains(line, '|') AS bar FROM h),
+    run AS (SELECT *, CASE WHEN bar AND NOT coalesce(lag(bar) OVER w, false) THEN coalesce(lead(bar AND line = '|---|---|') OVER w, false) END AS opens, lead(line) OVER w AS below FROM bar WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    k AS (SELECT *, CASE WHEN code THEN 'code' WHEN blank THEN 'blank' WHEN html THEN 'html' WHEN bar AND last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) THEN 'table' WHEN regexp_matches(line, '^ {{0,3}}#{{1,6}}([ \t]|$)') THEN 'heading'
+    WHEN regexp_matches(line, '^ {{0,3}}((-[ \t]*){{3,}}|(_[ \t]*){{3,}}|([*][ \t]*){{3,}})$') THEN 'rule' WHEN regexp_matches(line, '^ {{0,3}}([-*+]|[0-9]{{1,9}}[.)])([ \t]|$)') THEN 'list' WHEN regexp_matches(line, '^ {{0,3}}>') THEN 'quote' ELSE 'paragraph' END AS k0 FROM run),
+    t AS (SELECT *, k0 = 'paragraph' AND coalesce(regexp_matches(below, '^ {{0,3}}(=+|-+)[ \t]*$'), false) AND NOT regexp_matches(line, '^ {{0,3}}(=+|-+)[ \t]*$') AS title FROM k),
+    u AS (SELECT *, coalesce(lag(title) OVER (PARTITION BY doc_id ORDER BY n), false) AS under FROM t)
+    SELECT doc_id, CAST(n AS INT) AS n, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1 AS BIGINT) AS "start", CASE WHEN title OR under THEN 'heading' ELSE k0 END AS kind,
+    CAST(CASE WHEN title THEN CASE WHEN contains(below, '=') THEN 1 ELSE 2 END WHEN k0 = 'heading' THEN length(regexp_extract(trim(line), '^#+')) ELSE 0 END AS INT) AS level, CAST(len(regexp_extract_all(line, '[^ \t\n\r\f\v]+')) AS BIGINT) AS tokens FROM u""",
 )
 def _(t):
-    found = lines.classify_lines(ocr_document(t))
-    return found.select("doc_id", "n", "start", F.when(F.col("kind").isin("blank", "heading"), F.col("kind")).otherwise("other").alias("class"), "level", "tokens")
+    return lines.classify_lines(mixed_lines(t)).select("doc_id", "n", "start", "kind", "level", "tokens")
 
 
 @query("k2_text_chunks", f"WITH {_OCR_DOCS}, {chunks_sql('ocr_docs', LIMIT)} SELECT * FROM chunk")
@@ -309,7 +325,7 @@ def _(t):
 @query(
     "k7_top_level_sections",
     f"""WITH {_OCR}, x AS (SELECT *, regexp_matches(line, '^#[ \\t]') AS head FROM opened), s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section, n = max(n) OVER (PARTITION BY doc_id) AS is_last FROM x)
-    SELECT doc_id, CAST(section AS INT) AS section, string_agg(line || CASE WHEN is_last THEN '' ELSE chr(10) END, '' ORDER BY n) AS content, min(CASE WHEN head THEN line END) AS title FROM s WHERE section > 0 GROUP BY 1, 2""",
+    SELECT doc_id, CAST(section AS INT) AS section, string_agg(line || CASE WHEN is_last THEN '' ELSE chr(10) END, '' ORDER BY n) AS content, min(CASE WHEN head THEN line END) AS title, min(CASE WHEN head THEN line END) AS path FROM s WHERE section > 0 GROUP BY 1, 2""",
 )
 def _(t):
     return chunking.top_level_sections(ocr_document(t)).withColumn("section", F.col("section").cast("int"))
