@@ -6,6 +6,8 @@ Lines are first brought together to sections, each a heading with what follows i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,14 +103,14 @@ def _with_waiting(fragments: DataFrame) -> DataFrame:
     return taken.select("doc_id", "n", "own.*", "waiting")
 
 
-def text_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, depth: int = DEPTH) -> DataFrame:
+def text_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, depth: int = DEPTH, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """(doc_id, chunk_index, type, needs_summary, tokens, path, content, start, end) of texts cut where headings are, level by level,
     as long as a part has max_tokens or more. Texts without a line other than headings, HTML and rules have no chunk."""
-    return chunks_of_lines(classify_lines(docs), max_tokens, depth)
+    return chunks_of_lines(classify_lines(docs, counter), max_tokens, depth, counter)
 
 
-def chunks_of_lines(lines: DataFrame, max_tokens: int = MAX_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """text_chunks() of lines that are classified already."""
+def chunks_of_lines(lines: DataFrame, max_tokens: int = MAX_TOKENS, depth: int = DEPTH, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
+    """text_chunks() of lines that are classified already, with the same counter of tokens."""
     over = F.col("tokens") >= max_tokens
     pieces = _fragments(_sections(lines), lambda tokens: tokens >= max_tokens, depth).withColumn("is_chunk", ~F.col("blank") & (over | ~F.col("trivial")))
     taken = _with_waiting(pieces)
@@ -122,7 +124,7 @@ def chunks_of_lines(lines: DataFrame, max_tokens: int = MAX_TOKENS, depth: int =
         index.alias("chunk_index"),
         F.when(over, "Summary").otherwise("Text").alias("type"),
         over.alias("needs_summary"),
-        (F.col("tokens") + F.coalesce(count_tokens(prefix), F.lit(0))).alias("tokens"),
+        (F.col("tokens") + F.coalesce(counter(prefix), F.lit(0))).alias("tokens"),
         "path",
         F.when(some, F.concat(prefix, F.lit("\n"), "content")).otherwise(F.col("content")).alias("content"),
         F.coalesce(ahead, "start").alias("start"),
@@ -130,10 +132,10 @@ def chunks_of_lines(lines: DataFrame, max_tokens: int = MAX_TOKENS, depth: int =
     )
 
 
-def summary_sections(docs: DataFrame, limit: int = SUMMARY_TOKENS, depth: int = DEPTH) -> DataFrame:
+def summary_sections(docs: DataFrame, limit: int = SUMMARY_TOKENS, depth: int = DEPTH, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """(doc_id, section, content, path, title, tokens): the whole text up to `limit` tokens, else its parts; what stands before the first
     heading of a level that is cut is left out."""
-    kept = _fragments(_sections(classify_lines(docs)), lambda tokens: tokens > limit, depth).filter("keep and (not blank or tokens > 0)")
+    kept = _fragments(_sections(classify_lines(docs, counter)), lambda tokens: tokens > limit, depth).filter("keep and (not blank or tokens > 0)")
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")).alias("section"), "content", "path", F.substring_index("path", " --> ", -1).alias("title"), "tokens")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +57,14 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"start": (F.sum(length).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)) - length).cast("long"), "is_last": F.lead("n").over(by_doc).isNull()})
 
 
-def classify_lines(docs: DataFrame) -> DataFrame:
+def classify_lines(docs: DataFrame, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """(doc_id, n, start, line, is_last, kind, level, head, tokens): kind is heading, table, html, rule, list, code, quote, paragraph or
     blank; level that of a heading, at its first line, else 0; head the text of a heading, at its first line.
 
     A fence opens code up to a fence of its own mark; four blanks after a blank line or a heading open code too, unless a list goes on.
     A line that begins with a tag opens HTML up to a blank line; lines with bars are a table if the second of them is a row of dashes;
-    a row of = or - below a line of text makes both a heading (of a longer paragraph, its last line).
+    a row of = or - below a line of text makes both a heading (of a longer paragraph, its last line). counter: tokens of a text, such that
+    those of lines add up; an Arrow function of a tokenizer serves too.
     """
     by_doc = Window.partitionBy("doc_id").orderBy("n")
     so_far = by_doc.rowsBetween(Window.unboundedPreceding, 0)
@@ -99,7 +102,7 @@ def classify_lines(docs: DataFrame) -> DataFrame:
     found = F.when(F.col("_title") | F.col("_below"), "heading").when(flush, F.col("kind")).otherwise(goes_on)
     level = F.when(F.col("_title"), F.when(F.col("under").contains("="), 1).otherwise(2)).when(F.col("kind") == "heading", marks).otherwise(0)
     head = F.when(F.col("_title"), F.concat(line, F.lit("\n"), "under")).when(F.col("kind") == "heading", line)
-    return rows.select("doc_id", "n", "start", "line", "is_last", found.alias("kind"), level.alias("level"), head.alias("head"), count_tokens(line).alias("tokens"))
+    return rows.select("doc_id", "n", "start", "line", "is_last", found.alias("kind"), level.alias("level"), head.alias("head"), counter(line).alias("tokens"))
 
 
 def heading_path(lines: DataFrame) -> DataFrame:

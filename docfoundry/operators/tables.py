@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,7 +222,7 @@ def table_title(lines: DataFrame) -> DataFrame:
     return lines.withColumn("title", F.coalesce(F.last(F.when(F.col("kind").isin("heading", "quote"), F.trim(F.coalesce("head", "line"))), ignorenulls=True).over(earlier), F.lit("")))
 
 
-def table_chunks(lines: DataFrame, policy: str = "split", answers: DataFrame | None = None) -> DataFrame:
+def table_chunks(lines: DataFrame, policy: str = "split", answers: DataFrame | None = None, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """(doc_id, table_index, title, path, tokens, content, start, end): one chunk for each segment of tables, from the first one's start to
     the last one's end, with what stands between.
 
@@ -253,7 +255,7 @@ def table_chunks(lines: DataFrame, policy: str = "split", answers: DataFrame | N
         F.get("b", s["first"].cast("int") - 1)["start"].alias("start"),
         F.get("b", s["last"].cast("int") - 1)["end"].alias("end"),
     ))
-    return found.select("doc_id", F.inline(made)).select("doc_id", "table_index", "title", "path", count_tokens(F.col("content")).alias("tokens"), "content", "start", "end")
+    return found.select("doc_id", F.inline(made)).select("doc_id", "table_index", "title", "path", counter(F.col("content")).alias("tokens"), "content", "start", "end")
 
 
 def remove_tables(lines: DataFrame) -> DataFrame:

@@ -48,3 +48,25 @@ def test_every_fiftieth_vector_is_asked(spark):
     asked = [(r["request_id"], r["vector"]) for r in q.collect()]
     want = best(asked, [(r["point_id"], r["vector"], 0) for r in t.point.collect()], lambda r, d: True, 10, 0.3)
     assert len(want) == 40 and {r: [s for _, s in x] for r, x in got.items()} == {r: [s for _, s in x] for r, x in want.items()}
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [1.0], [nan, 0.0], [inf, 0.0], [None, 1.0], [0.0, 0.0]]
+    ask = spark.createDataFrame([(1, [1.0, 0.0]), *((10 + i, v) for i, v in enumerate(odd))], "request_id long, vector array<double>")
+    have = spark.createDataFrame([(1, 1, [2.0, 0.1]), *((20 + i, 2, v) for i, v in enumerate(odd))], "point_id long, document_id long, vector array<double>")
+    got = search.vector_top_k(ask, have).select("request_id", "point_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (12, 22)]
+
+
+def test_a_request_for_a_forbidden_dataset_gets_nothing(spark):
+    asked = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9)], "request_id long, user_id long")
+    wanted = spark.createDataFrame([(1, 100), (2, 100), (2, 300)], "request_id long, dataset_id long")
+    accessible = spark.createDataFrame([(7, 100), (7, 200), (8, 300)], "user_id long, dataset_id long")
+    assert sorted(map(tuple, search.granted(asked, wanted, accessible).collect())) == [(1, 100), (3, 300)]
+
+
+def test_conditions_on_payloads(spark):
+    p = spark.createDataFrame([(1, 0.5, ["a", "b"]), (2, 0.25, []), (3, None, None)], "id long, x double, tags array<string>")
+    ids = lambda c: [r["id"] for r in p.filter(search.metadata_filter(c, ("tags",))).collect()]
+    assert ids({"x": 0.5}) == [1] and ids({"tags": "b"}) == [1] and ids({"x": (None, 0.3)}) == [2] and ids({}) == [1, 2, 3]

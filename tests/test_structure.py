@@ -121,6 +121,13 @@ def test_text_chunks(docs, texts, limit):
         assert got.get(i, []) == want, repr(t)
 
 
+def test_another_counter_of_tokens(spark):
+    docs = spark.createDataFrame([(1, "# a\nbb cc\n# d\nee")], "doc_id long, text string")
+    letters = lambda text: F.length(F.regexp_replace(text, r"\s", "")).cast("long")
+    got = [(r["content"], r["tokens"]) for r in chunking.text_chunks(docs, 6, counter=letters).orderBy("chunk_index").collect()]
+    assert got == [("# a\nbb cc\n", 6), ("# d\nee", 4)]
+
+
 @pytest.mark.parametrize("limit", [6, 25])
 def test_summary_sections(docs, texts, limit):
     got = {}
