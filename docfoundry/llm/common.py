@@ -61,7 +61,11 @@ class Scratch:
     def keep(self, df: DataFrame, tag: str, rows: int | None = None, per_file: int = 50_000, narrow: bool = False) -> DataFrame:
         return materialise(df, tag, rows, per_file, self.folder, narrow)
 
-    def drop(self) -> None:
+    def drop(self, collect: bool = True) -> None:
+        """Delete the tables. What was computed from them and written needs neither them nor the shuffles before; of those, Spark's cleaner
+        removes the files once the driver's plans are collected, which is asked for here: by itself it would not be soon."""
+        if collect:
+            self.spark._jvm.System.gc()
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -135,7 +139,7 @@ _INV = [np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 18)
         for kept, base in ((_POW, _R), (_INV, pow(_R, -1, 1 << 64))):
             out = np.full(m, base, np.uint64)
             out[0] = 1
@@ -166,12 +170,12 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def blocks(texts: pa.Array, size: int = 1 << 17):
-    """(first row, bytes, offsets) of runs of texts of about `size` bytes; a longer text is a block of its own, whole."""
+def blocks(texts: pa.Array, size: int = 1 << 17, rows: int = 256):
+    """(first row, bytes, offsets) of runs of texts of about `size` bytes, `rows` at most; a longer text is a block of its own, whole."""
     data, off = as_bytes(texts)
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1), i + rows)
         yield i, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

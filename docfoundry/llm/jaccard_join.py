@@ -321,7 +321,7 @@ def block_links(outside: DataFrame, members: DataFrame, body: DataFrame, bands:
     return both.groupBy("main", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def linked_sets(docs: DataFrame, known: DataFrame, n: int, bands: Bands, rows: int, scratch: C.Scratch, part_words: int = 1_000_000, rounds: int = 3, picks: int = 8, few_pairs: int = 64) -> DataFrame:
+def linked_sets(docs: DataFrame, known: DataFrame, n: int, bands: Bands, rows: int, scratch: C.Scratch, part_words: int = 500_000, rounds: int = 3, picks: int = 8, few_pairs: int = 64) -> DataFrame:
     """(node, root) of every set that is similar to another one, directly or over others.
 
     known: (node, n, free, first_id, copies), one row for each set; rows: the number of documents.
@@ -337,8 +337,11 @@ def linked_sets(docs: DataFrame, known: DataFrame, n: int, bands: Bands, rows: i
         return with_sizes.filter(f"{bands.den} * least(n_a, n_b) >= {bands.num} * greatest(n_a, n_b)").select("a", "b")
 
     def check(pairs: DataFrame) -> DataFrame:
-        body = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, known, n, rows, scratch)
-        return scratch.keep(verified(pairs, body, bands), "links", rows)
+        own = C.Scratch(docs.sparkSession)
+        body = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, known, n, rows, own)
+        found = scratch.keep(verified(pairs, body, bands), "links", rows)
+        own.drop()
+        return found
 
     tried = links = None
     placed = prefix.withColumn("root", F.col("node"))

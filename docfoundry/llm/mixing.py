@@ -102,6 +102,16 @@ def rate(posteriors: Column, rates: Rates) -> Column:
     return of(posteriors)
 
 
+def rate_of_text(text: Column, model: Domains, rates: Rates) -> Column:
+    """The rate of a text, in one function: one worker a task."""
+
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(rates(model.posteriors(b, off)) for _, b, off in C.blocks(texts))]))
+
+    return of.asNondeterministic()(text)
+
+
 def solve(members: DataFrame, names: list[str], targets: dict[str, float] | None, power: float, most: int, near: float) -> Rates:
     """Projected-gradient steps over members (n_tokens, posteriors) until every domain is within `near` of its target.
 
@@ -186,7 +196,7 @@ def apply_mix(docs: DataFrame, labelled: DataFrame, key: str = "mix", **options)
     Posteriors are taken from the text once more: ids needn't be unique, so a join with the members would shuffle whole texts.
     """
     model, _, rates = fit(docs, labelled, **options)
-    r = rate(membership(F.col("text"), model).getField("posteriors"), rates)
+    r = rate_of_text(F.col("text"), model, rates)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     times = docs.select(whole.alias("d"), r.alias("r")).select("d", copies(F.col("d.doc_id"), F.col("r"), key).alias("k")).filter("k > 0")
     return times.select("d", F.explode(F.sequence(F.lit(1), F.col("k")))).select("d.*")

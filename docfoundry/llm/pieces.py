@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding by a table of distinct chunks.
+"""SentencePiece encoding and decoding by tables of distinct chunks, one in each worker, bounded and refilled.
 
 No piece of the model holds a whitespace marker after another character, nor a newline. So the segmentation of a text is the
 concatenation of those of its chunks, each a run of markers with what follows, or a newline with what follows.
@@ -111,13 +111,18 @@ def round_trip(text: Column, path: str | None = None) -> Column:
 
 
 def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids and decoded of every document, one row for each row; extra columns are not read."""
+    """doc_id, ids and decoded of every document, one row for each row.
+
+    Texts are taken whole. A null or empty text has no ids and decodes to an empty one; a null id stays null; repeated rows are encoded
+    alike. Extra columns, whatever their names, are not read; an empty table gives none back.
+    """
     p = bounded_batches(docs).select("doc_id", round_trip(F.col("text"), path).alias("p"))
     return p.select("doc_id", "p.ids", "p.decoded")
 
 
 def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 of every document, and ids if asked for."""
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 of every document, and ids if asked for; rows and
+    odd texts as in tokens()."""
     t = tokens(docs, path)
     return t.select(
         "doc_id",

@@ -102,7 +102,8 @@ def judge(text: Column, model: Model, least_words: int = 20, repeat_percent: int
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, the counts, base_failed, kept and score of every document, one row for each row.
 
-    Rows with a null id stay, with that null. Extra columns are not read.
+    Rows with a null id stay, with that null; a null or empty text has no words and fails; texts are taken whole; repeated rows are judged
+    alike. Extra columns, whatever their names, are not read; an empty table gives none back.
     """
     docs = C.bounded_batches(docs)
     q = docs.select("doc_id", judge(F.col("text"), train(docs, labels), **options).alias("q"))
@@ -110,9 +111,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that quality_rules() keeps, with all their columns."""
+    """The documents that quality_rules() keeps, with all their columns, whatever their names. Null and empty texts go; null ids and
+    repeated rows stay if their texts do."""
     if "text" not in docs.columns:
         raise ValueError("documents need a column text")
-    tag = "_quality"
     docs = C.bounded_batches(docs)
-    return docs.withColumn(tag, judge(F.col("text"), train(docs, labels), **options)).filter(F.col(f"{tag}.kept")).drop(tag)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    judged = docs.select(whole.alias("d"), judge(F.col("text"), train(docs, labels), **options).alias("q"))
+    return judged.filter("q.kept").select("d.*")

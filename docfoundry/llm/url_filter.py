@@ -85,7 +85,9 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     """page_id, host, path, rule (null where none fits), verdict and score of every page, one row for each row.
 
     labelled (host, path, block) trains the model; without it, the pages that a rule reaches do, other than those with
-    crc32(page_id) mod 5 = 0. A null url has an empty host and path, like one without `://`; the model judges it.
+    crc32(page_id) mod 5 = 0. A null url has an empty host and path, like one without `://`; the model judges it. A null page_id stays
+    null; repeated rows are judged alike; urls are taken whole. Extra columns, whatever their names, are not read; an empty table gives
+    none back.
     """
     rules = RULES if rules is None else rules
     host, path = host_and_path(F.col("url"))

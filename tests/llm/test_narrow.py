@@ -54,6 +54,26 @@ def test_quality_rules(spark):
         assert 0 <= q["score"] <= 1 and q["kept"] == (not q["base_failed"] and q["score"] >= 0.3)
 
 
+def test_columns_with_clashing_names_stay(spark):
+    docs = documents(spark).withColumns({"_quality": F.lit("mine"), "q": F.lit(1), "d": F.lit(2), "kept": F.lit(False), "a.b": F.lit(3)})
+    kept = quality_rules.keep_good(docs, common.table(spark, SF, "labels"))
+    assert kept.columns == docs.columns and kept.filter("_quality = 'mine' and q = 1 and d = 2 and not kept and `a.b` = 3").count() == kept.count() > 100
+
+
+@pytest.mark.parametrize("operator", [licences.licence_scan, pieces.digests, surrogates.pii, surrogates.replace_in])
+def test_empty_tables_and_more_columns(spark, operator):
+    one = spark.createDataFrame([(1, "cc by", "x", 5)], "doc_id long, text string, words string, ids int")
+    assert operator(one.limit(0)).count() == 0
+    plain, more = operator(one.select("doc_id", "text")).collect(), operator(one).collect()
+    assert len(more) == 1 and all(more[0][c] == plain[0][c] for c in plain[0].asDict())
+
+
+def test_url_filter_of_nothing_and_with_more_columns(spark):
+    pages = spark.createDataFrame([(None, None, 1), (1, "http://a.com/x", 2)], "page_id long, url string, host int")
+    assert url_filter.url_filter(pages.limit(0)).count() == 0
+    assert sorted((r["page_id"] or 0, r["host"], r["rule"]) for r in url_filter.url_filter(pages).collect()) == [(0, "", None), (1, "a.com", "com/")]
+
+
 def test_held_out_quality(spark):
     labels = common.table(spark, SF, "labels")
     for f, least in ((quality_rules.quality_rules, 0.93), (quality_qda.quality_classifier, 0.97)):
@@ -164,6 +184,27 @@ def test_urls(spark):
         assert g["verdict"] == (max(fits)[2] if fits else "block" if g["score"] >= 0.5 else "allow")
 
 
+def test_url_scores_against_a_plain_model(spark):
+    import xxhash
+
+    w = url_filter.Weights([float(x) for x in np.random.default_rng(2).normal(size=256)], -0.3)
+    pages = common.table(spark, SF, "pages").select("url")
+    host, path = url_filter.host_and_path(F.col("url"))
+    rows = pages.select(host.alias("h"), path.alias("p"), url_filter.block_score(host, path, w).alias("s")).collect()
+
+    def buckets(tag, text):
+        marked, seed = f"^{text}$", xxhash.xxh64_intdigest(tag.encode(), seed=42)
+        for k in (3, 4):
+            for i in range(len(marked) - k + 1):
+                h = xxhash.xxh64_intdigest(marked[i : i + k].encode(), seed=seed)
+                yield (h - (1 << 64) * (h >> 63)) % 256
+
+    assert len(rows) > 100
+    for r in rows:
+        z = w.intercept + sum(w.by_bucket[b] for b in {*buckets("h", r["h"]), *buckets("p", r["p"])})
+        assert abs(r["s"] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_url_model_learns_held_out_pages(spark):
     r = url_filter.url_filter(common.table(spark, "/root/testdata/sf0.1", "pages")).filter("rule is not null and crc32(cast(page_id as string)) % 5 = 0").toPandas()
     assert common.auc((r.verdict == "block").astype(int).values, r.score.values) >= 0.95

@@ -24,6 +24,22 @@ def test_stages(spark):
     groups = jaccard_join.jaccard_join(given[names[1]])
     assert ids(names[2]) == {r[0] for r in groups.filter("component_id is null or doc_id = component_id").select("doc_id").collect()}
     assert ids(names[3]) == ids(names[2]) and given[names[3]].count() == given[names[2]].count()
-    assert surrogates.pii(given[names[3]]).count() == given[names[3]].count()
+    found = surrogates.pii(given[names[2]])
+    assert found.count() == given[names[3]].count() and surrogates.collisions(found).count() == 0
     assert ids(names[4]) <= ids(names[3])
     assert docs.count() == given[names[4]].count() and {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} == set(docs.columns)
+
+
+def test_stages_on_odd_rows_and_nothing(spark):
+    good = " ".join(f"word{i} of the house on the hill" for i in range(12))
+    rows = [(1, None), (2, ""), (3, good), (3, good), (None, good), (4, good + " and more"), (5, "x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0 if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for empty in (False, True):
+        for name, stage in corpus_pipeline.STAGES:
+            given = docs.limit(0) if empty else docs
+            out = common.materialise(stage(spark, given, SF), "odd")
+            assert not empty or out.count() == 0, name
+            if not empty and name == "n-gram Jaccard join":
+                assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(0, good), (1, ""), (2, ""), (3, good), (5, "x")])
+            if not empty and name in ("PII", "SentencePiece encoding and decoding"):
+                assert out.count() == len(rows)
