@@ -38,16 +38,20 @@ def bounded_batches(df: DataFrame, rows: int = 500, size: str = "4m") -> DataFra
 def materialise(df: DataFrame, tag: str, rows: int | None = None, per_file: int = 50_000, folder: str | None = None, narrow: bool = False) -> DataFrame:
     """df as a table in the shared folder: computed once, compressed, and still there when executors are lost.
 
-    rows: about how many rows to expect at most. A table that needs fewer files of `per_file` rows than there are shuffle partitions is
-    brought together first, so that it doesn't become a file for each of them: by a shuffle of its rows, or where `narrow` says that
-    only a scan comes before, by larger tasks.
+    rows: about how many rows to expect at most. A table that needs fewer files of `per_file` rows than there are shuffle partitions must
+    not become a file for each of them. Where `narrow` says that only a scan comes before, its tasks are made larger; else adaptive
+    execution brings partitions together, or where that is off, a shuffle of the rows.
     """
     path = f"{folder or shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    conf = df.sparkSession.conf
+    adaptive = all(conf.get(f"spark.sql.adaptive.{k}", "true") == "true" for k in ("enabled", "coalescePartitions.enabled"))
     files = None if rows is None else max(1, -(-rows // per_file))
-    if files is not None and files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        few = df.coalesce(files) if narrow else df.repartition(files)
-    else:
+    if files is None or files >= int(conf.get("spark.sql.shuffle.partitions")):
         few = df
+    elif narrow:
+        few = df.coalesce(files)
+    else:
+        few = df if adaptive else df.repartition(files)
     few.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
