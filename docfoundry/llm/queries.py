@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, licences, mixing, pieces, quality_qda, quality_rules, surrogates, training_order, url_filter, vector_forest
+from . import byte_pairs, jaccard_join, licences, mixing, pieces, quality_qda, quality_rules, spelling, surrogates, training_order, url_filter, vector_codes, vector_forest
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +76,9 @@ QUERIES = {
         op8_sentencepiece,
         op9_surrogates,
         op10_licence_scan,
+        op11_spelling_variants,
+        op12_byte_pairs,
+        op13_vector_codes,
     )
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -106,5 +121,25 @@ def _licence_sql() -> str:
     coalesce(a.labels, '') AS labels, CAST(CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(m.share, 0.0) END AS DOUBLE) AS score FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
-#: op1, op3, op4, op6, op7, op8 and op9 rest on ciphers, trained models or a tokenizer, which SQL doesn't have: tests hold them to brute force.
-ORACLES: dict[str, str] = {"op2_jaccard_join": _jaccard_sql(), "op5_vector_forest": _vector_sql(), "op10_licence_scan": _licence_sql()}
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every entry is compared with every part here; nothing is left out by sums."""
+    steps, dist = [], "CAST(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    nearest = f"SELECT p.vec_id, p.k, arg_min(c.j, ({dist}, c.j)) AS j, min({dist}) AS d FROM p JOIN c{{r}} c ON c.k = p.k GROUP BY p.vec_id, p.k"
+    for r in range(rounds):
+        steps.append(f"a{r} AS ({nearest.format(r=r)})")
+        steps.append(f"s{r} AS (SELECT k, j, i, sum(x) AS s, count(*) AS n FROM (SELECT a.k, a.j, unnest(range(1, len(p.v) + 1)) AS i, unnest(p.v) AS x FROM a{r} a JOIN p ON p.vec_id = a.vec_id AND p.k = a.k) y GROUP BY ALL)")
+        steps.append(f"m{r} AS (SELECT k, j, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY ALL)")
+        steps.append(f"c{r + 1} AS (SELECT c.k, c.j, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.k = c.k AND m.j = c.j)")
+    return f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT vec_id, k, v[k * len(v) // {parts} + 1 : (k + 1) * len(v) // {parts}] AS v FROM e CROSS JOIN range({parts}) r(k)),
+    c0 AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS j, v FROM p WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT {entries})),
+    {", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in steps)}, z AS ({nearest.format(r=rounds)}),
+    o AS (SELECT e.vec_id, e.label, string_agg(lpad(lower(to_hex(z.j)), 2, '0'), '' ORDER BY z.k) AS code, CAST(sum(z.d) AS BIGINT) AS error FROM e JOIN z ON z.vec_id = e.vec_id GROUP BY ALL),
+    h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY k, j)) AS h FROM c{rounds})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM o CROSS JOIN h"""
+
+
+#: op1, op3, op4, op6, op7, op8, op9 and op12 rest on ciphers, trained models or a tokenizer, op11 on a checksum, which SQL doesn't have: tests
+#: hold them to brute force.
+ORACLES: dict[str, str] = {"op2_jaccard_join": _jaccard_sql(), "op5_vector_forest": _vector_sql(), "op10_licence_scan": _licence_sql(), "op13_vector_codes": _codes_sql()}
