@@ -93,23 +93,34 @@ def join_weighted(left: DataFrame, right: DataFrame, key: str, weight: str, n: i
 _BITS = 1 << 27  #: of a bitmap of ids: 16 MB
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be none of df's columns, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def select_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id", keep: bool = True, broadcast_rows: int = 200_000) -> DataFrame:
     """docs whose `column` is among the one column of ids, distinct and written; or, with keep=False, the others, nulls among them.
 
     Few ids are broadcast. Of more, a bitmap of hashes of bounded size is, so that only documents whose bit is set are shuffled to be
-    compared with the ids themselves.
+    compared with the ids themselves. Columns of docs may have any names, and come back as they are.
     """
-    ids = ids.toDF("_id")
-    how = "left_semi" if keep else "left_anti"
+    wanted, spot, bucket, bits, may = fresh(docs, "wanted", "spot", "bucket", "bits", "may")
+    ids, columns = ids.toDF(wanted), [F.col(f"`{c}`") for c in docs.columns]
+    how, own = "left_semi" if keep else "left_anti", F.col(f"`{column}`")
     if ids.count() <= broadcast_rows:
-        return docs.join(F.broadcast(ids), F.col(column) == F.col("_id"), how)
+        return docs.join(F.broadcast(ids), own == F.col(wanted), how)
     place = lambda c: F.pmod(F.xxhash64(c, F.lit(29)), F.lit(_BITS))
-    maps = ids.select(place("_id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_map"))
-    bit = "(cast(conv(hex(substring(_map, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bitmap_bit_position(_p) % 8 as int)) & 1"
-    marked = docs.withColumn("_p", place(column)).join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_bucket"), "left")
-    marked = marked.withColumn("_may", F.col(column).isNotNull() & F.coalesce(F.expr(bit) == 1, F.lit(False)))
-    may = marked.filter("_may").select(docs.columns).join(ids, F.col(column) == F.col("_id"), how)
-    return may if keep else may.unionByName(marked.filter("not _may").select(docs.columns))
+    maps = ids.select(place(F.col(wanted)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
+    bit = f"(cast(conv(hex(substring({bits}, cast(bitmap_bit_position({spot}) div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bitmap_bit_position({spot}) % 8 as int)) & 1"
+    marked = docs.withColumn(spot, place(own)).join(F.broadcast(maps), F.bitmap_bucket_number(spot) == F.col(bucket), "left")
+    marked = marked.withColumn(may, own.isNotNull() & F.coalesce(F.expr(bit) == 1, F.lit(False)))
+    found = marked.filter(F.col(may)).select(columns).join(ids, own == F.col(wanted), how)
+    return found if keep else found.unionByName(marked.filter(~F.col(may)).select(columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,7 +44,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pii(table(spark, sf_dir, "documents"))
+    return surrogates.pii(table(spark, sf_dir, "documents"), check=True)
 
 
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

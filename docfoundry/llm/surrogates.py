@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from hashlib import blake2b
-from math import isqrt, prod
+from hashlib import blake2b, shake_256
+from math import ceil, isqrt, prod
 from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialise
 
 # Given names by script and gender, honorifics by gender.
 GIVEN = {
@@ -65,7 +65,7 @@ KINDS = {
     "hex": r"(?<![0-9A-Za-z])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
     "card": r"(?<![\w.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![\w-])(?!\.[0-9])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w]|\.[0-9])",
+    "ip": r"(?<![\w.])(?<!ersion )(?<!ersion: )(?<!elease )(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w]|\.[0-9])",
     "phone": r"(?<![\w.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{3,4}){2}(?!\w)|(?<![\w.])\+[0-9]{1,3}[ .-]?[0-9]{1,3}(?:[ .-][0-9]{2}){4}(?!\w)|(?<![\w.])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!\w)",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "name": rf"\b{_TITLE}\.?(?: {_TITLE}\.?)* (?!{_TITLE}\b)(?P<name>{'|'.join(f'(?:(?:{p}|{i}) ){{0,2}}{p}' for p, i in zip(_PARTS, _INITIALS))})(?!\w)",
@@ -78,8 +78,13 @@ _HINT = re.compile(rf"[0-9]{{2}}|@|[=:]|\b(?:{_TITLE})\b|\b{_CUES}|\b(?:{_GIVEN}
 _WORD = re.compile(rf"(?<!\w)(?:(?:{'|'.join(_PARTS)})(?!\w)|{'|'.join(_INITIALS)})")
 
 
-def _round(key: bytes, tweak: str, k: int, x: int) -> int:
-    return int.from_bytes(blake2b(f"{tweak}|{k}|{x}".encode(), key=key, digest_size=16).digest(), "big")
+_BLOCK = 256  # characters that are permuted at once; longer values are cut into blocks
+
+
+def _round(key: bytes, tweak: str, k: int, x: int, size: int) -> int:
+    """A keyed number for x, wider by 128 bits than range(size), so that its remainders reach all of it alike."""
+    said = f"{tweak}|{k}|{x:x}|{size:x}".encode()
+    return int.from_bytes(shake_256(len(key).to_bytes(2, "big") + key + said).digest(16 + (size.bit_length() + 7) // 8), "big")
 
 
 def permute(x: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -91,9 +96,9 @@ def permute(x: int, size: int, key: bytes, tweak: str, back: bool = False) -> in
         for k in reversed(range(6)) if back else range(6):
             sign = -1 if back else 1
             if k % 2:
-                right = (right + sign * _round(key, tweak, k, left)) % b
+                right = (right + sign * _round(key, tweak, k, left, b)) % b
             else:
-                left = (left + sign * _round(key, tweak, k, right)) % a
+                left = (left + sign * _round(key, tweak, k, right, a)) % a
         x = left * b + right
         if x < size:
             return x
@@ -103,7 +108,7 @@ def moved(x: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size) without a fixed point, for any size over 1."""
     if size < 2:
         return x
-    step = 1 + _round(key, tweak, 99, size) % (size - 1)
+    step = 1 + _round(key, tweak, 99, 0, size) % (size - 1)
     return permute((permute(x, size, key, tweak) + step) % size, size, key, tweak, back=True)
 
 
@@ -118,14 +123,28 @@ def _class(c: str, hexadecimal: bool, sounds: bool) -> str:
 
 
 def shaped(s: str, key: bytes, tweak: str, hexadecimal: bool = False, sounds: bool = False) -> str:
-    """s with each character replaced by one of its class, case kept; distinct texts of one shape stay distinct."""
+    """s with each character replaced by one of its class, case kept; distinct texts of one shape stay distinct.
+
+    A long text is cut into blocks of like length. Each is permuted under the shape of the whole and under what stood before it, so the
+    blocks can be told one after the other, and no two texts share an image.
+    """
     kinds = [_class(c, hexadecimal, sounds) for c in s]
+    shape = blake2b(".".join(k[:2] or c.lower() for c, k in zip(s, kinds)).encode(), key=key, digest_size=16).hexdigest()
+    step = ceil(len(s) / ceil(len(s) / _BLOCK)) if s else 1
+    before, out = blake2b(key=key, digest_size=16), []
+    for at in range(0, len(s), step):
+        out.append(_block(s[at : at + step], kinds[at : at + step], key, f"{tweak}|{shape}|{before.hexdigest() if at else ''}"))
+        before.update(s[at : at + step].encode())
+    return "".join(out)
+
+
+def _block(s: str, kinds: list[str], key: bytes, tweak: str) -> str:
     size = prod(len(k) for k in kinds if k)
     x = 0
     for c, k in zip(s, kinds):
         if k:
             x = x * len(k) + k.index(c.lower())
-    y = moved(x, size, key, f"{tweak}|{'.'.join(k[:2] or c.lower() for c, k in zip(s, kinds))}")
+    y = moved(x, size, key, tweak)
     out = []
     for c, k in zip(reversed(s), reversed(kinds)):
         if not k:
@@ -274,14 +293,21 @@ def pseudonymise(text: Column, key: str) -> Column:
     return done.asNondeterministic()(text)
 
 
-def pii(docs: DataFrame, key: str = "corpus key") -> DataFrame:
+def pii(docs: DataFrame, key: str = "corpus key", check: bool = False) -> DataFrame:
     """doc_id, text with surrogates, n_entities and entities of every document, one row for each row.
 
     Texts are taken whole. A null text stays null and an empty one empty, both without entities; a null id stays null; repeated rows get
-    the same surrogates. Extra columns, whatever their names, are not read; an empty table gives none back.
+    the same surrogates. Extra columns, whatever their names, are not read; an empty table gives none back. With `check` the rows are
+    written to the shared folder first, and it is an error if collisions() finds any among them.
     """
     p = bounded_batches(docs).select("doc_id", pseudonymise(F.col("text"), key).alias("p"))
-    return p.select("doc_id", "p.text", F.size("p.entities").alias("n_entities"), "p.entities")
+    p = p.select("doc_id", "p.text", F.size("p.entities").alias("n_entities"), "p.entities")
+    if not check:
+        return p
+    p = materialise(p, "surrogates")
+    if faults := collisions(p).limit(10).collect():
+        raise RuntimeError(f"surrogates collide: {faults}")
+    return p
 
 
 def replace_in(docs: DataFrame, key: str = "corpus key") -> DataFrame:
