@@ -3,7 +3,9 @@
 A word's letters are a binary vector: one place for each letter and each time it occurs. One replaced letter changes two places, one
 inserted or deleted letter one place. Places are dealt to parts by a hash; two vectors that differ in at most k places agree in all parts
 but k, so they share the signature of those parts. Words of one length (k = 2) and of neighbouring lengths (k = 1) have signatures of
-their own. Signatures are joined by equality, and each pair is verified on the words themselves.
+their own. An edit also leaves the first half of the shorter word or the rest of it as it is, so each signature is taken once with either
+half: that keeps apart what only shares letters, and no signature gathers many words. Signatures are joined by equality, and each pair is
+verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -11,19 +13,18 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, mix
 
 _FIRST, _LAST = "À", "ÿ"
-PARTS = {2: 7, 1: 3}  #: by the number of places that may differ: 21 signatures for words of one length, 3 for neighbouring lengths
-HOT = 1000  #: words under one signature from which on it is joined with halves of the words
-SAME, SHORT, LONG = 0, 1, 2  #: what a row stands for: a word among those of its length, or the shorter or longer word of a pair
+PARTS = {2: 3, 1: 2}  #: by the number of places that may differ: 3 signatures for words of one length, 2 for neighbouring lengths
 
 
 def count_words(docs: DataFrame, least: int = 7, spoil: int = 31, held: int = 200_000) -> DataFrame:
@@ -79,68 +80,56 @@ def places(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return of, mix((points << np.uint64(32)) + again.astype(np.uint64) + np.uint64(77))
 
 
-def signatures(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, signature, role, sketch) of each row that a list of words gives; every word has one letter at least.
+def _halves(words: list[str], shorter: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the first half and of the rest, as many letters as the shorter word of a pair has; for the rest, counted from the end."""
+    firsts = [w[: n // 2] for w, n in zip(words, shorter.tolist())]
+    rests = [w[len(w) - (n - n // 2) :] for w, n in zip(words, shorter.tolist())]
+    return [np.array([int.from_bytes(blake2b(x.encode(), digest_size=8, person=side).digest(), "little") for x in xs], np.uint64) for side, xs in ((b"first", firsts), (b"rest", rests))]
 
-    Signatures hold the length of the shorter word of a pair. The sketch has a bit for each place, modulo 64, by parity: sketches of words
-    one edit apart differ in two bits at most.
+
+def signatures(words: list[str], longer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, signature, places that may differ) of each row that a list of words gives; every word has one letter at least.
+
+    Among neighbouring lengths a word is the shorter of a pair, or with `longer` the longer. Signatures hold the length of the shorter one.
+    Different ones may be equal by chance: that costs a comparison, no more.
     """
     of, h = places(words)
-    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    sketch = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts)
-    sizes = np.array([len(w) for w in words], np.uint64)
-    numbers = np.arange(len(words))
     rows = []
     for differ, n in PARTS.items():
+        sizes = np.array([len(w) for w in words], np.int64) - (longer and differ == 1)
+        halves = _halves(words, sizes)
         sums = np.zeros((len(words), n), np.uint64)
         np.add.at(sums, (of, (mix(h + np.uint64(n)) % np.uint64(n)).astype(np.int64)), h)
         for k, kept in enumerate(combinations(range(n), n - differ)):
-            for role, length in ((SAME, sizes),) if differ == 2 else ((SHORT, sizes), (LONG, sizes - np.uint64(1))):
-                key = mix(length + np.uint64(1000 * differ + k << 32))
-                for p in kept:
-                    key = mix(key + sums[:, p])
-                rows.append((numbers, key, np.full(len(words), role, np.int8), sketch))
+            key = mix(sizes.astype(np.uint64) + np.uint64((1000 * differ + k) << 32))
+            for p in kept:
+                key = mix(key + sums[:, p])
+            for half in halves:
+                rows.append((np.arange(len(words)), mix(key + half), np.full(len(words), differ, np.int8)))
     return tuple(np.concatenate(x) for x in zip(*rows))
 
 
-_ROW = "key long, role byte, sketch long, word string, n long"
-
+def _signed(words: DataFrame, longer: bool) -> DataFrame:
+    def sign(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 5000):
+                part = b.slice(at, 5000)
+                of, key, differ = signatures(part.column(0).to_pylist(), longer)
+                take = pa.array(of)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(differ), part.column(0).take(take), part.column(1).take(take)], ["key", "differ", "word", "n"])
 
-def _sign(batches):
-    for b in batches:
-        for at in range(0, b.num_rows, 5000):
-            part = b.slice(at, 5000)
-            of, key, role, sketch = signatures(part.column(0).to_pylist())
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role), pa.array(sketch[of].view(np.int64)), part.column(0).take(take), part.column(1).take(take)], ["key", "role", "sketch", "word", "n"])
+    return words.select("word", "n").mapInArrow(sign, "key long, differ byte, word string, n long")
 
 
-def near_pairs(words: DataFrame, hot: int = HOT) -> DataFrame:
+def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): each pair of words that differ by one inserted, deleted or replaced code point, once.
 
-    words: (word, n), words distinct and not empty. A signature of more than `hot` words is not joined as it is: of two words one edit
-    apart the first half of the letters is the same, or the rest is, so its words are joined by signature and half.
+    words: (word, n), words distinct and not empty. Each word gives ten rows to either side of the join.
     """
-    rows = words.select("word", "n").mapInArrow(_sign, _ROW)
-    rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1")
-    some = rows.filter(F.col("c") <= hot).drop("c")
-    size = F.char_length("word") - (F.col("role") == LONG).cast("int")  # of the shorter word of a pair
-    half = F.floor(size / 2).cast("int")
-    halves = F.array(F.xxhash64("key", F.lit(0), F.substring("word", F.lit(1), half)), F.xxhash64("key", F.lit(1), F.right("word", size - half)))
-    many = rows.filter(F.col("c") > hot).withColumn("key", F.explode(halves)).drop("c")
-    found = [_joined(x) for x in (some, many)]
-    return found[0].unionByName(found[1]).distinct()
-
-
-def _joined(rows: DataFrame) -> DataFrame:
-    a, b = rows.filter(F.col("role") != LONG).alias("a"), rows.filter(F.col("role") != SHORT).alias("b")
-    met = (
-        (F.col("a.key") == F.col("b.key"))
-        & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= 2)
-        & ((F.col("a.role") == SHORT) & (F.col("b.role") == LONG) | (F.col("a.role") == SAME) & (F.col("b.role") == SAME) & (F.col("a.word") < F.col("b.word")))
-        & (F.levenshtein("a.word", "b.word", 1) == 1)
-    )
-    return a.join(b, met).select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
+    a, b = _signed(words, False).alias("a"), _signed(words, True).alias("b")
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.differ") == F.col("b.differ")) & ((F.col("a.differ") == 1) | (F.col("a.word") < F.col("b.word")))
+    met = met & (F.levenshtein("a.word", "b.word", 1) == 1)
+    return a.join(b, met).select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n")).distinct()
 
 
 def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
@@ -153,7 +142,7 @@ def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
     return at.drop("moved")
 
 
-def spelling_variants(words: DataFrame, times: int = 10, hot: int = HOT) -> DataFrame:
+def spelling_variants(words: DataFrame, times: int = 10) -> DataFrame:
     """word, form, root, n, n_near, form_n of each row (word, n), words distinct.
 
     Two words are near if one inserted, deleted or replaced code point makes one the other. A word's form is its near word of largest n
@@ -162,7 +151,7 @@ def spelling_variants(words: DataFrame, times: int = 10, hot: int = HOT) -> Data
     """
     scratch = Scratch(words.sparkSession)
     words = scratch.keep(words.select("word", F.col("n").cast("long").alias("n")), "words")
-    found = near_pairs(words.filter("word <> ''"), hot)
+    found = near_pairs(words.filter("word <> ''"))
     ways = F.array(*(F.struct(F.col(x).alias("word"), F.col(y).alias("other"), F.col(f"{y}_n").alias("other_n")) for x, y in (("a", "b"), ("b", "a"))))
     both = found.select(F.explode(ways).alias("p")).select("p.*")
     first = F.min(F.struct((-F.coalesce("other_n", F.lit(-1))).alias("rank"), F.col("other").alias("form"), F.col("other_n").alias("form_n")))
