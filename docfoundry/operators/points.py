@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfoundry.functions.text import clean_response
+from docfoundry.sources.versions import merge, read_current
 
 from .metadata import finish_metadata
 
@@ -67,6 +68,22 @@ def write_points(points: DataFrame, path: str, files_per_dataset: int = 8) -> No
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(path)
 
 
+def replace_points(points: DataFrame, path: str, version: int, files_per_dataset: int = 8) -> bool:
+    """Replace the points of the documents in `points` in storage, whatever dataset they were in, as `version`; False if that is done already.
+
+    Points lie by dataset and bucket of their document. Only buckets that hold such documents, before or after, are written anew; files of
+    the others keep their names. `points` is read several times.
+    """
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(files_per_dataset)).cast("int")
+    return merge(points.withColumn("bucket", bucket), path, ["dataset_id", "bucket"], "document_id", version, elsewhere=True)
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame | None:
+    """The points that replace_points() has left; None before the first."""
+    found = read_current(spark, path)
+    return None if found is None else found.drop("bucket")
+
+
 def index_documents(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metadata: DataFrame, known: DataFrame, templates: dict[str, str], old: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
     """All points after the documents of `chunks` were indexed: the old ones of other documents, and these documents' new ones.
 

@@ -178,6 +178,20 @@ def _(t):
     return points.reindex_points(old, new).select("point_id", "content")
 
 
+@query("g5_replace_in_storage", """SELECT point_id, content, dataset_id FROM point WHERE document_id % 5 <> 0 UNION ALL SELECT point_id + 1000000, 'new', CASE WHEN document_id % 3 = 0 THEN (dataset_id + 1) % 10 ELSE dataset_id END FROM point WHERE document_id % 5 = 0 AND point_id % 2 = 0""", "point")
+def _(t):
+    """Points in storage; documents' points replaced there, some in another dataset, and the replacement sent twice."""
+    from docfoundry.sources.files import scratch_folder
+
+    folder = scratch_folder(t.spark, "store")
+    old = t.point.select("point_id", "document_id", F.col("dataset_id").cast("int").alias("dataset_id"), "content")
+    moved = F.when(F.col("document_id") % 3 == 0, (F.col("dataset_id") + 1) % 10).otherwise(F.col("dataset_id")).cast("int")
+    new = old.filter("document_id % 5 = 0 and point_id % 2 = 0").select((F.col("point_id") + 1000000).alias("point_id"), "document_id", moved.alias("dataset_id"), F.lit("new").alias("content"))
+    for version, rows in ((1, old), (2, new), (2, new)):
+        points.replace_points(rows, folder, version, files_per_dataset=4)
+    return points.read_points(t.spark, folder).select("point_id", "content", "dataset_id")
+
+
 @query("k15_update_payload", """SELECT point_id, CASE WHEN document_id % 3 = 0 THEN 'new' ELSE document_type END AS document_type, CAST(year AS STRING) AS year, CASE WHEN document_id % 3 = 0 THEN 'x' END AS extra FROM point""", "point")
 def _(t):
     p = t.point.withColumn("payload", F.create_map(F.lit("document_type"), "document_type", F.lit("year"), F.col("year").cast("string")))

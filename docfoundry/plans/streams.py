@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docfoundry.operators.questions import progress_report
+from docfoundry.sources.versions import merge, read_current
 from docfoundry.streaming import events as ev
+from docfoundry.streaming import state
 
 from .registry import query
 
@@ -126,3 +128,73 @@ def _(t):
     for batch, rest in ((0, 1), (1, 0), (0, 1)):
         ev.upsert_logs(e.filter(F.col("event_id") % 2 == rest), batch, folder)
     return ev.read_logs(t.spark, folder).select("document_id", F.col("logs")[0]["message"].alias("last"))
+
+
+def dealt(t, rows, folder, files=2):
+    """The rows as a stream of JSON files, dealt out of order, one file a micro-batch."""
+    rows.withColumn("file", F.pmod(F.xxhash64("data"), F.lit(files))).repartition(files, "file").write.partitionBy("file").json(f"{folder}/in")
+    return t.spark.readStream.schema("data string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(f"{folder}/in")
+
+
+def through(t, stream, folder, each, mode="append"):
+    """Run a stream over all there is, each micro-batch into a foreachBatch sink."""
+    stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def tasks(t):
+    return t.events.select("user_id").distinct().filter("user_id % 5 <> 0").select(F.col("user_id").cast("string").alias("task_id"), F.col("user_id").alias("document_id"))
+
+
+@query("i1_reject_sink", f"WITH {_E} SELECT 'valid' AS sink, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM e UNION ALL SELECT 'rejected', count(*), NULL FROM events WHERE event_id % 41 = 0")
+def _(t):
+    """One stream, two sinks; the first batch comes again."""
+    from docfoundry.sources.files import scratch_folder
+
+    folder = scratch_folder(t.spark, "split")
+    stream = ev.parse_events(dealt(t, raw(t), folder))
+
+    def split(batch, i):
+        for _ in range(2 if i == 0 else 1):
+            state.split_events(batch, i, f"{folder}/out")
+
+    through(t, stream, folder, split)
+    counts = [t.spark.read.parquet(f"{folder}/out/{sink}").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).select(F.lit(sink).alias("sink"), "n", "ids") for sink in ("valid", "rejected")]
+    return counts[0].union(counts[1])
+
+
+@query("i3_job_state_stream", f"""WITH {_E}, f AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (type IN ('GetMarkdown', 'Failed')) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM e WHERE user_id % 5 <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+ SELECT user_id AS document_id, CASE arg_max(type, n) WHEN 'GetMarkdown' THEN 'Succeeded' WHEN 'Failed' THEN 'Failed' ELSE 'Processing' END AS status, arg_max(type, n) = 'GetMarkdown' AS is_ocred, CAST(count(*) AS INT) AS n_events FROM f WHERE ended = 0 GROUP BY 1""")
+def _(t):
+    """Events out of order over several micro-batches; the last row of each document is kept in storage."""
+    from docfoundry.sources.files import scratch_folder
+
+    folder = scratch_folder(t.spark, "jobs")
+    stream = ev.attach_document(ev.parse_events(dealt(t, raw(t), folder)).filter("is_valid"), tasks(t))
+    put = lambda batch, i: merge(batch.withColumn("bucket", F.pmod("document_id", F.lit(4)).cast("int")), f"{folder}/out", ["bucket"], "document_id", i)
+    through(t, state.job_states(stream, "3650 days", "3650 days").drop("data"), folder, put, "update")
+    return read_current(t.spark, f"{folder}/out").select("document_id", "status", "is_ocred", "n_events")
+
+
+_LIVE = f"""{_E}, m AS (SELECT max(ts) AS now FROM e), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS quiet FROM e WHERE user_id % 5 <> 0 WINDOW w AS (PARTITION BY user_id, type ORDER BY ts, event_id)),
+ i AS (SELECT *, sum(quiet) OVER (PARTITION BY user_id, type ORDER BY ts, event_id) AS part FROM g), z AS (SELECT *, max(part) OVER (PARTITION BY user_id, type) AS last_part, max(ts) OVER (PARTITION BY user_id, type) AS last FROM i),
+ live AS (SELECT user_id AS document_id, type AS event_type, event_id, CAST(row_number() OVER (PARTITION BY user_id, type ORDER BY ts, event_id) AS INT) AS place FROM z, m WHERE part = last_part AND last >= now - INTERVAL 1 HOUR)"""
+
+
+@query("i6_live_history", f"WITH {_LIVE} SELECT * FROM live")
+def _(t):
+    """Histories as they stand after the last event: a silence of an hour ends one."""
+    e = attached(t).filter("document_id is not null")
+    now = valid(t).agg(F.max("ts")).first()[0]
+    return state.live_histories(e, F.lit(now))
+
+
+@query("i6_history_stream", f"WITH {_LIVE} SELECT * FROM live")
+def _(t):
+    """The same from the state of a stream."""
+    from docfoundry.sources.files import scratch_folder
+
+    folder = scratch_folder(t.spark, "history")
+    stream = ev.attach_document(ev.parse_events(dealt(t, raw(t), folder)).filter("is_valid"), tasks(t))
+    through(t, state.histories(stream, "3650 days"), folder, lambda batch, i: batch.write.format("noop").mode("overwrite").save())
+    now = valid(t).agg(F.max("ts")).first()[0]
+    return state.live_histories(state.read_histories(t.spark, f"{folder}/state"), F.lit(now))

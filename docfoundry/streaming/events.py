@@ -3,10 +3,10 @@ save job_state_stream(), whose twin on batches is job_state()."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from docfoundry.sources.versions import merge, read_current
 
 #: Event type to job status; the last three end a job.
 STATUS = {"Started": "Processing", "Processing": "Processing", "GetMarkdown": "Succeeded", "Failed": "Failed", "Canceled": "Canceled"}
@@ -46,13 +46,17 @@ def _mapped():
     return F.create_map(*(F.lit(x) for kv in STATUS.items() for x in kv))
 
 
+def attached_status(events: DataFrame) -> DataFrame:
+    """Events of known documents that change a job, with the status that they change it `to`."""
+    return events.withColumn("to", F.try_element_at(_mapped(), "event_type")).filter("to is not null and document_id is not null")
+
+
 def job_state(events: DataFrame) -> DataFrame:
     """(document_id, status, is_ocred, n_events): events in order up to the first that ends the job; later ones are dropped.
 
     A document's events meet its end in SPREAD parts, and only counts are brought together: no group is unbounded.
     """
-    seen = events.withColumn("to", F.try_element_at(_mapped(), "event_type")).filter("to is not null and document_id is not null")
-    seen = seen.select("document_id", F.struct("ts", "event_id", "to").alias("e"), F.pmod(F.xxhash64("event_id"), F.lit(SPREAD)).alias("_part"))
+    seen = attached_status(events).select("document_id", F.struct("ts", "event_id", "to").alias("e"), F.pmod(F.xxhash64("event_id"), F.lit(SPREAD)).alias("_part"))
     ends = seen.groupBy("document_id").agg(F.min(F.when(F.col("e.to").isin(*FINAL), F.col("e"))).alias("first"), F.max("e").alias("last"), F.count("*").alias("all"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))).alias("_part")
     stops = ends.filter("first is not null").select("document_id", "first", every)
@@ -79,24 +83,11 @@ def apply_results(documents: DataFrame, events: DataFrame) -> DataFrame:
     }).drop("_status", "_end")
 
 
-def job_state_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """job_state() of a stream, as updates: state by document, dropped after `idle` without events."""
-    minutes = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def update(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status, n = state.get if state.exists else (None, 0)
-        for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            if status not in FINAL:
-                status, n = row.to, n + 1
-        state.update((status, n))
-        state.setTimeoutDuration(minutes)
-        yield pd.DataFrame({"document_id": [key[0]], "status": [status], "is_ocred": [status == "Succeeded"], "n_events": [n]})
+def job_state_stream(events: DataFrame, idle: str = "30 days", delay: str = "1 hour") -> DataFrame:
+    """job_state() of a stream, as updates: state by document, dropped after `idle` without events; events come in any order in `delay`."""
+    from .state import job_states
 
-    seen = events.withColumn("to", F.try_element_at(_mapped(), "event_type")).filter("to is not null and document_id is not null")
-    return seen.groupBy("document_id").applyInPandasWithState(update, "document_id long, status string, is_ocred boolean, n_events int", "status string, n int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return job_states(events, delay, idle).drop("data")
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -112,19 +103,23 @@ def save_logs(events: DataFrame) -> DataFrame:
     return found.groupBy("document_id").agg(F.max_by("logs", F.struct("ts", "event_id")).alias("logs"))
 
 
-def upsert_logs(batch: DataFrame, batch_id: int, path: str) -> None:
-    """A foreachBatch sink: each batch's last lists with their place in time, by batch, so that a repeated batch writes the same files again;
-    read_logs() has the latest of all."""
+LOG_BUCKETS = 16
+
+
+def upsert_logs(batch: DataFrame, batch_id: int, path: str, buckets: int = LOG_BUCKETS) -> None:
+    """A foreachBatch sink: a document's last list of logs, by time, replaces the one it has in storage. Only buckets of documents in the
+    batch are written; a batch that comes again, or whose writer was killed, leaves one version of them."""
     logs = F.from_json("data", "array<struct<message:string,processingTime:double>>")
-    found = batch.filter("event_type = 'SaveLog'").withColumn("logs", logs).filter("size(logs) > 0")
-    order = F.struct("ts", "event_id")
-    last = found.groupBy("document_id").agg(F.max_by("logs", order).alias("logs"), F.max(order).alias("at"))
-    last.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    found = batch.filter("event_type = 'SaveLog' and document_id is not null").withColumn("logs", logs).filter("size(logs) > 0")
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int").alias("bucket")
+    new = found.select("document_id", "logs", F.struct("ts", "event_id").alias("at"), bucket)
+    last = lambda df: df.groupBy("document_id", "bucket").agg(F.max_by("logs", "at").alias("logs"), F.max("at").alias("at"))
+    merge(last(new), path, ["bucket"], "document_id", batch_id, combine=lambda old, new: last(old.unionByName(new)))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(document_id, logs): of what upsert_logs() wrote, the latest list of each document."""
-    return spark.read.parquet(path).groupBy("document_id").agg(F.max_by("logs", "at").alias("logs"))
+    """(document_id, logs) of what upsert_logs() has written."""
+    return read_current(spark, path).select("document_id", "logs")
 
 
 def notifications(events: DataFrame) -> DataFrame:
