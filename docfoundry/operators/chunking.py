@@ -78,6 +78,80 @@ def _fragments(sections: DataFrame, is_open, depth: int) -> DataFrame:
     return grouped.withColumn("path", F.concat_ws(" --> ", *titles)).select("doc_id", "n", "f.*", "size", "tokens", "trivial", "blank", "content", "path")
 
 
+def adds_up(counter: Callable[[Column], Column]) -> bool:
+    """Whether the tokens of lines add up to those of their text: so by default for count_tokens alone; a counter with an attribute
+    `adds_up` says for itself."""
+    return getattr(counter, "adds_up", counter is count_tokens)
+
+
+def _recounted(sections: DataFrame, is_open, depth: int, counter: Callable[[Column], Column]) -> DataFrame:
+    """_fragments() where each is counted on its own text, as sub-word counters need.
+
+    A row is a fragment with its sections in order, first the whole text; level by level those that are open are cut where sections of the
+    level begin, and only what a cut has changed is counted again. Rows meet their document once, before.
+    """
+    own = [c for c in sections.columns if c != "doc_id"]
+    s = F.sort_array(F.collect_list(F.struct(*own)))
+    rows = sections.groupBy("doc_id").agg(s.alias("s"))
+    text = F.array_join(F.transform("s", lambda x: x["content"]), "")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"tokens": F.coalesce(counter(text), F.lit(0)).cast("long"), "p": F.array(F.lit(0)), "q": F.array().cast("array<boolean>"), "heads": none, "begins": F.lit(0), "keep": F.lit(True)})
+    for k in _LEVELS:
+        if k > depth:
+            rows = rows.withColumns({"p": F.concat("p", F.array(F.element_at("p", -1))), "q": F.concat("q", F.array(F.lit(False)))})
+            continue
+        last = F.size("s")
+        begin = F.when(is_open(F.col("tokens")), F.filter(F.sequence(F.lit(0), last - 1), lambda i: F.get("s", i)["level"] == F.lit(k))).otherwise(F.array().cast("array<int>"))
+        # what stands before the first heading of the level is a piece too
+        begin = F.when((F.size(begin) == 0) | (F.get(begin, F.lit(0)) == 0), begin).otherwise(F.concat(F.array(F.lit(0)), begin))
+        rows = rows.withColumn("_at", begin).withColumn("_cut", F.size("_at") > 0)
+        piece = F.transform("_at", lambda b, i: F.struct(F.slice("s", b + 1, F.coalesce(F.get("_at", i + 1), F.size("s")) - b).alias("s"), (F.get("s", b)["level"] == k).alias("headed")))
+        whole = F.array(F.struct(F.col("s"), F.lit(False).alias("headed")))
+        rows = rows.withColumn("_piece", F.explode(F.when(F.col("_cut"), piece).otherwise(whole)))
+        headed, first = F.col("_piece.headed"), F.get("_piece.s", F.lit(0))
+        rows = rows.select(
+            "doc_id",
+            F.col("_piece.s").alias("s"),
+            "_cut",
+            "tokens",
+            F.concat("p", F.array(F.when(headed, first["n"]).otherwise(F.element_at("p", -1)))).alias("p"),
+            F.concat("q", F.array(headed)).alias("q"),
+            F.when(headed, F.concat("heads", F.array(first["head"]))).otherwise(F.col("heads")).alias("heads"),
+            F.when(headed, k).otherwise(F.when(F.col("_cut"), 0).otherwise(F.col("begins"))).alias("begins"),
+            (F.col("keep") & (headed | ~F.col("_cut"))).alias("keep"),
+        )
+        again = F.when(F.col("_cut"), text)
+        rows = rows.withColumn("tokens", F.when(F.col("_cut"), F.coalesce(counter(again), F.lit(0)).cast("long")).otherwise(F.col("tokens"))).drop("_cut")
+    first = F.get("s", F.lit(0))
+    # a part's preamble starts with its heading, so it begins at that level still
+    began = F.coalesce(*(F.when((first["level"] == k) & F.col("q")[k - 1], k) for k in _LEVELS), F.lit(0))
+    return rows.select(
+        "doc_id",
+        first["n"].alias("n"),
+        began.alias("begins"),
+        first["head"].alias("head"),
+        "p",
+        "q",
+        "keep",
+        first["start"].alias("start"),
+        F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("size"),
+        "tokens",
+        F.forall("s", lambda x: x["trivial"]).alias("trivial"),
+        F.forall("s", lambda x: x["blank"]).alias("blank"),
+        text.alias("content"),
+        F.array_join("heads", " --> ").alias("path"),
+    )
+
+
+def _cut_up(lines: DataFrame, is_open, depth: int, counter: Callable[[Column], Column]) -> DataFrame:
+    return _fragments(_sections(lines), is_open, depth) if adds_up(counter) else _recounted(_sections(lines), is_open, depth, counter)
+
+
+def _lines(docs: DataFrame, counter: Callable[[Column], Column]) -> DataFrame:
+    """Classified lines, counted where that is of use."""
+    return classify_lines(docs, counter if adds_up(counter) else count_tokens)
+
+
 def _with_waiting(fragments: DataFrame) -> DataFrame:
     """Fragments that are chunks with `waiting`: the headings (level, ahead, at, head, start) of parts without a chunk that they take.
 
@@ -105,28 +179,36 @@ def _with_waiting(fragments: DataFrame) -> DataFrame:
 
 def text_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, depth: int = DEPTH, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """(doc_id, chunk_index, type, needs_summary, tokens, path, content, start, end) of texts cut where headings are, level by level,
-    as long as a part has max_tokens or more. Texts without a line other than headings, HTML and rules have no chunk."""
-    return chunks_of_lines(classify_lines(docs, counter), max_tokens, depth, counter)
+    as long as a part has max_tokens or more. Texts without a line other than headings, HTML and rules have no chunk.
+
+    counter: tokens of a text. Unless it adds_up(), each part is counted on its own text, as is a chunk that headings were put before.
+    """
+    return chunks_of_lines(_lines(docs, counter), max_tokens, depth, counter)
 
 
 def chunks_of_lines(lines: DataFrame, max_tokens: int = MAX_TOKENS, depth: int = DEPTH, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
-    """text_chunks() of lines that are classified already, with the same counter of tokens."""
+    """text_chunks() of lines that are classified already, with the same counter of tokens if that adds_up()."""
     over = F.col("tokens") >= max_tokens
-    pieces = _fragments(_sections(lines), lambda tokens: tokens >= max_tokens, depth).withColumn("is_chunk", ~F.col("blank") & (over | ~F.col("trivial")))
+    pieces = _cut_up(lines, lambda tokens: tokens >= max_tokens, depth, counter).withColumn("is_chunk", ~F.col("blank") & (over | ~F.col("trivial")))
     taken = _with_waiting(pieces)
     some = F.size("waiting") > 0
     prefix = F.when(some, F.array_join(F.transform("waiting", lambda x: x["head"]), "\n"))
     ahead = F.array_min(F.transform(F.filter("waiting", lambda x: x["ahead"] == 1), lambda x: x["start"]))
     behind = F.array_max(F.transform(F.filter("waiting", lambda x: x["ahead"] == 0), lambda x: x["start"] + F.length(x["head"])))
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))
+    content = F.when(some, F.concat(prefix, F.lit("\n"), "content")).otherwise(F.col("content"))
+    if adds_up(counter):
+        total = F.col("tokens") + F.coalesce(counter(prefix), F.lit(0))
+    else:
+        total = F.when(some, F.coalesce(counter(F.when(some, content)), F.lit(0)).cast("long")).otherwise(F.col("tokens"))
     return taken.select(
         "doc_id",
         index.alias("chunk_index"),
         F.when(over, "Summary").otherwise("Text").alias("type"),
         over.alias("needs_summary"),
-        (F.col("tokens") + F.coalesce(counter(prefix), F.lit(0))).alias("tokens"),
+        total.alias("tokens"),
         "path",
-        F.when(some, F.concat(prefix, F.lit("\n"), "content")).otherwise(F.col("content")).alias("content"),
+        content.alias("content"),
         F.coalesce(ahead, "start").alias("start"),
         F.coalesce(behind, F.col("start") + F.col("size")).alias("end"),
     )
@@ -134,8 +216,8 @@ def chunks_of_lines(lines: DataFrame, max_tokens: int = MAX_TOKENS, depth: int =
 
 def summary_sections(docs: DataFrame, limit: int = SUMMARY_TOKENS, depth: int = DEPTH, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """(doc_id, section, content, path, title, tokens): the whole text up to `limit` tokens, else its parts; what stands before the first
-    heading of a level that is cut is left out."""
-    kept = _fragments(_sections(classify_lines(docs, counter)), lambda tokens: tokens > limit, depth).filter("keep and (not blank or tokens > 0)")
+    heading of a level that is cut is left out. counter: as in text_chunks()."""
+    kept = _cut_up(_lines(docs, counter), lambda tokens: tokens > limit, depth, counter).filter("keep and not blank")
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")).alias("section"), "content", "path", F.substring_index("path", " --> ", -1).alias("title"), "tokens")
 
 

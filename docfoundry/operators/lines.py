@@ -18,7 +18,7 @@ _INDENTED = r"^(?: {4}| {0,3}\t)"
 
 
 def count_tokens(text: Column) -> Column:
-    """Runs of characters that aren't white space. They add up over lines; a sub-word counter wouldn't."""
+    """Runs of characters that aren't white space. They add up over lines; with a sub-word counter chunking counts each part again."""
     return F.regexp_count(text, F.lit(r"\S+")).cast("long")
 
 
@@ -63,8 +63,8 @@ def classify_lines(docs: DataFrame, counter: Callable[[Column], Column] = count_
 
     A fence opens code up to a fence of its own mark; four blanks after a blank line or a heading open code too, unless a list goes on.
     A line that begins with a tag opens HTML up to a blank line; lines with bars are a table if the second of them is a row of dashes;
-    a row of = or - below a line of text makes both a heading (of a longer paragraph, its last line). counter: tokens of a text, such that
-    those of lines add up; an Arrow function of a tokenizer serves too.
+    a row of = or - below a line of text makes both a heading (of a longer paragraph, its last line). counter: tokens of a
+    text, taken of each line here.
     """
     by_doc = Window.partitionBy("doc_id").orderBy("n")
     so_far = by_doc.rowsBetween(Window.unboundedPreceding, 0)
