@@ -28,26 +28,97 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
 
 
-def trigram_join(queries: DataFrame, names: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(query_id, id, similarity) of the pairs with a similarity of `least` or more: an equality join on single trigrams, counted."""
-    q = queries.select("query_id", trigrams(F.col("text")).alias("g")).withColumn("nq", F.size("g"))
-    n = names.select("id", trigrams(F.col("name")).alias("g")).withColumn("nn", F.size("g"))
-    shared = q.withColumn("t", F.explode("g")).drop("g").join(n.withColumn("t", F.explode("g")).drop("g"), "t").groupBy("query_id", "id", "nq", "nn").agg(F.count("*").alias("k"))
-    return shared.withColumn("similarity", F.col("k") / (F.col("nq") + F.col("nn") - F.col("k"))).filter(F.col("similarity") >= least).select("query_id", "id", "similarity")
+BUCKETS = 4096  #: of trigrams by hash, whose counts order them; what a plan carries of the corpus is as large
+CROWD = 20_000  #: names under one trigram from which on they are dealt to several groups
+_BAND = 1.25  # sizes within a band differ by this factor at most
 
 
-def holding(queries: DataFrame, names: DataFrame) -> DataFrame:
+class _Frequency:
+    """How many names have the trigrams of each bucket: a bound on the names of a trigram, and an order of trigrams, rare ones first."""
+
+    def __init__(self, grams: DataFrame, crowd: int):
+        """grams: one column of arrays, one row a name."""
+        bucket = F.explode(F.transform(grams.columns[0], self._bucket)).alias("b")
+        counts = dict(grams.select(bucket).groupBy("b").count().collect())
+        # one text, which is folded to an array when the plan is made
+        self.counts = F.split(F.lit(",".join(str(min(counts.get(i, 0), (1 << 31) - 1)) for i in range(BUCKETS))), ",").cast("array<int>")
+        self.crowd = crowd
+
+    @staticmethod
+    def _bucket(gram: Column) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+    def of(self, gram: Column) -> Column:
+        return F.get(self.counts, self._bucket(gram))
+
+    def ordered(self, grams: Column) -> Column:
+        """An array of trigrams, the rarest first; every side of a join has the same order."""
+        return F.transform(F.array_sort(F.transform(grams, lambda x: F.struct(self.of(x).alias("n"), x.alias("x")))), lambda y: y["x"])
+
+    def groups(self, gram: Column) -> Column:
+        """Into how many groups the names with a trigram are dealt, so that none has more than about `crowd`."""
+        return F.floor(self.of(gram) / self.crowd).cast("int") + 1
+
+    def dealt(self, rows: DataFrame, gram: str, key: str) -> DataFrame:
+        """Rows of names, each with the group of its trigram that it falls in, by a hash of the key."""
+        return rows.withColumn("_group", F.pmod(F.xxhash64(key), self.groups(F.col(gram))).cast("int"))
+
+    def every(self, rows: DataFrame, gram: str) -> DataFrame:
+        """Rows of queries, one for each group of their trigram."""
+        return rows.withColumn("_group", F.explode(F.sequence(F.lit(0), self.groups(F.col(gram)) - 1)))
+
+
+def _band(size: Column) -> Column:
+    return F.floor(F.log(size) / F.log(F.lit(_BAND))).cast("int")
+
+
+def trigram_join(queries: DataFrame, names: DataFrame, least: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
+    """(query_id, id, similarity) of the pairs with a similarity of `least` or more, above 0.
+
+    Two sets of sizes m and n that are as similar share s = least / (1 + least) * (m + n) trigrams, so the first m - s + 1 of the one and of
+    the other, rarest first, have one in common. Only these are joined, names under frequent trigrams in groups; sizes too far apart never
+    meet, and queries know the sizes of names by band, which makes s larger. What met is compared once, exactly. Null texts are like none;
+    rows that share an id are pairs of their own.
+    """
+    q = queries.select("query_id", trigrams(F.col("text")).alias("g")).filter("size(g) > 0").withColumn("nq", F.size("g"))
+    n = names.select("id", trigrams(F.col("name")).alias("g")).filter("size(g) > 0").withColumn("nn", F.size("g"))
+    often = _Frequency(n.select("g"), crowd)
+    slack = 1e-9
+    shared = lambda x, y: F.greatest(F.ceil((x + y) * (least / (1 + least)) - slack), F.lit(1)).cast("int")
+    first = lambda size, s: F.slice(often.ordered(F.col("g")), F.lit(1), F.greatest(size - s + 1, F.lit(0)))
+    # a name's partner has least * nn trigrams at the fewest
+    have = n.select("id", "nn", _band(F.col("nn")).alias("band"), F.explode(first(F.col("nn"), shared(F.col("nn"), F.col("nn") * least))).alias("t"))
+    lowest, highest = (F.col("nq") * least if least > 1e-3 else F.lit(1.0)), (F.col("nq") / least if least > 1e-3 else F.lit(1e9))
+    bands = F.sequence(F.greatest(_band(F.greatest(lowest, F.lit(1.0))) - 1, F.lit(0)), F.least(_band(highest) + 1, _band(F.lit(1e6))))
+    ask = q.withColumn("band", F.explode(bands))
+    smallest = F.greatest(F.pow(F.lit(_BAND), F.col("band")) - slack, lowest)
+    ask = ask.select("query_id", "nq", "band", F.explode(first(F.col("nq"), shared(F.col("nq"), smallest))).alias("t"))
+    have, ask = often.dealt(have, "t", "id"), often.every(ask, "t")
+    fits = (F.col("nn") + slack >= F.col("nq") * least) & (F.col("nq") + slack >= F.col("nn") * least)
+    met = ask.join(have, ["t", "band", "_group"]).filter(fits).select("query_id", "id").distinct()
+    both = met.join(n.select("id", F.col("g").alias("gn"), "nn"), "id").join(q, "query_id")
+    k = F.size(F.array_intersect("g", "gn"))
+    return both.withColumn("similarity", k / (F.col("nq") + F.col("nn") - k)).filter((F.col("similarity") >= least) & (F.col("similarity") > 0)).select("query_id", "id", "similarity")
+
+
+def holding(queries: DataFrame, names: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(query_id, id) of names that contain the query's text, whatever the case; % and _ in it are wildcards.
 
-    A text of three characters or more without wildcards is looked up by its first trigram; others go against all names.
+    A text with three characters or more in a row is looked up by the rarest of its trigrams, names under a frequent one in groups; others
+    go against all names.
     """
     q = queries.withColumn("t", F.lower("text"))
     n = names.select("id", F.lower("name").alias("n"))
-    plain = (F.length("t") >= 3) & ~F.col("t").rlike("[%_\\\\]")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") - 2), lambda i: F.col("n").substr(i, F.lit(3))))
-    indexed = n.filter(F.length("n") >= 3).withColumn("g", F.explode(grams))
-    quick = q.filter(plain).withColumn("g", F.substring("t", 1, 3)).join(indexed, "g").filter(F.col("n").contains(F.col("t"))).select("query_id", "id")
-    odd = q.filter(~plain)
+    in_row = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: x.substr(i, F.lit(3)))
+    runs = F.filter(F.split("t", "[%_]"), lambda x: F.length(x) >= 3)
+    q = q.withColumn("_grams", F.when(F.col("t").contains("\\"), F.array().cast("array<string>")).otherwise(F.flatten(F.transform(runs, in_row))))
+    indexed = n.filter(F.length("n") >= 3).withColumn("_grams", F.array_distinct(in_row(F.col("n"))))
+    often = _Frequency(indexed.select("_grams"), crowd)
+    ask = often.every(q.filter("size(_grams) > 0").withColumn("g", F.get(often.ordered(F.col("_grams")), F.lit(0))).select("query_id", "t", "g"), "g")
+    have = often.dealt(indexed.select("id", "n", F.explode("_grams").alias("g")), "g", "id")
+    like = F.when(F.col("t").rlike("[%_]"), F.like("n", F.concat(F.lit("%"), F.col("t"), F.lit("%")))).otherwise(F.col("n").contains(F.col("t")))
+    quick = ask.join(have, ["g", "_group"]).filter(like).select("query_id", "id")
+    odd = q.filter("size(_grams) = 0").select("query_id", "t")
     slow = n.join(odd, F.like("n", F.concat(F.lit("%"), F.col("t"), F.lit("%")))).select("query_id", "id")
     return quick.unionByName(slow).distinct()
 
@@ -115,15 +186,9 @@ def sound(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
 
 
-def vector_top_k(requests: DataFrame, points: DataFrame, k: int = 10, threshold: float = 0.3, distance: str = "cosine", allowed: DataFrame | None = None, block: int = 1000) -> DataFrame:
-    """(request_id, point_id, document_id, score, rank): the k best points of each request, exactly, for any number of requests.
-
-    Requests are dealt by a hash of their ids into blocks of about `block`, points into blocks of four times that. Each pair of blocks
-    meets in one group by an equality join on both block numbers and keeps the k best of its points for a request; those few rows are
-    ranked. allowed: (request_id, dataset_id) pairs outside of which a request sees nothing. Vectors that are not sound() find nothing
-    and are not found; vectors of different lengths never meet.
-    """
-    requests, points = (df.filter(sound(F.col("vector"))) for df in (requests, points))
+def _by_blocks(requests: DataFrame, points: DataFrame, k: int, threshold: float, distance: str, allowed: DataFrame | None, block: int) -> DataFrame:
+    """The k best points of each request, and more: requests are dealt by a hash of their ids into blocks of about `block`, points into blocks
+    of four times that. Each pair of blocks meets in one group by an equality join on both block numbers."""
     n_asked, n_points = (max(1, ceil(df.count() / size)) for df, size in ((requests, block), (points, 4 * block)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -150,7 +215,9 @@ def vector_top_k(requests: DataFrame, points: DataFrame, k: int = 10, threshold:
             row = np.repeat(np.arange(len(who)), who.value_lengths().to_numpy(zero_copy_only=False))
             own, column = np.unique(ids, return_inverse=True)
             may = np.zeros((len(s), len(own)), bool)
-            may[row, np.searchsorted(own, who.flatten().to_numpy(zero_copy_only=False))] = True
+            seer = who.flatten().to_numpy(zero_copy_only=False)
+            here = np.isin(seer, own)  # others of the block have vectors of another length
+            may[row[here], np.searchsorted(own, seer[here])] = True
             may = may[:, column]
             s = np.where(may, s, -np.inf)
         point = np.array(have.column("point_id"))
@@ -163,7 +230,124 @@ def vector_top_k(requests: DataFrame, points: DataFrame, k: int = 10, threshold:
         rows = have.select(["point_id", "document_id"]).take(pa.array(at))
         return pa.Table.from_arrays([pa.array(of), *rows.columns, pa.array(scores)], ["request_id", "point_id", "document_id", "score"]).cast(schema)
 
-    found = p.groupBy("_asked", "_block", "_size").cogroup(q.groupBy("_asked", "_block", "_size")).applyInArrow(best, "request_id long, point_id long, document_id long, score double")
+    return p.groupBy("_asked", "_block", "_size").cogroup(q.groupBy("_asked", "_block", "_size")).applyInArrow(best, _FOUND)
+
+
+_FOUND = "request_id long, point_id long, document_id long, score double"
+MOST_BYTES = 64 << 20  #: of request vectors, and of granted pairs, that each task over points may be handed
+MOST_DATASETS = 10_000  #: of granted datasets that partitions of points are picked by one by one
+
+
+_NO_DOCUMENT = -(1 << 63)
+
+
+class _Best:
+    """The k best points so far of each of some requests, whose vectors have one length."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.score = np.full((len(ids), 0), -np.inf)
+        self.point = self.document = np.zeros((len(ids), 0), np.int64)
+
+    def add(self, rows: np.ndarray, score: np.ndarray, point: np.ndarray, document: np.ndarray) -> None:
+        """score: (requests `rows`, points)."""
+        if score.shape[1] > self.k:  # only points among the k best of their batch, and those level with the last of them, can matter
+            least = np.partition(score, -self.k, axis=1)[:, -self.k]
+            near = (score >= least[:, None]).any(axis=0)
+            score, point, document = score[:, near], point[near], document[near]
+        wide = lambda x: np.broadcast_to(x, score.shape)
+        all_score = np.concatenate([self.score[rows], score], axis=1)
+        all_point = np.concatenate([self.point[rows], wide(point)], axis=1)
+        all_document = np.concatenate([self.document[rows], wide(document)], axis=1)
+        order = np.lexsort((all_point, -all_score), axis=1)[:, : self.k]
+        width = max(self.score.shape[1], order.shape[1])
+        for name, kept, fill in (("score", all_score, -np.inf), ("point", all_point, 0), ("document", all_document, 0)):
+            have = getattr(self, name)
+            if have.shape[1] < width:
+                have = np.concatenate([have, np.full((len(self.ids), width - have.shape[1]), fill, have.dtype)], axis=1)
+            have[rows, : order.shape[1]] = np.take_along_axis(kept, order, axis=1)
+            have[rows, order.shape[1] :] = fill
+            setattr(self, name, have)
+
+
+def _in_place(points: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int, threshold: float, distance: str, may: dict[int, np.ndarray] | None) -> DataFrame:
+    """The k best points of each request in each task over points, which stay where they are.
+
+    asked: by length of vectors, (ids, matrix) of the requests. may: for each dataset the ids of requests that may look into it, sorted.
+    """
+    score = DISTANCES[distance]
+    columns = ["point_id", "document_id", "vector", *(["dataset_id"] if may is not None else [])]
+
+    def search(batches):
+        best = {size: _Best(ids, vectors, k) for size, (ids, vectors) in asked.items()}
+        seers = {} if may is None else {(d, size): np.flatnonzero(np.isin(b.ids, who)) for d, who in may.items() for size, b in best.items()}
+        for batch in batches:
+            sizes = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
+            groups = [(None, np.arange(batch.num_rows))]
+            if may is not None:
+                datasets = batch.column("dataset_id").to_numpy(zero_copy_only=False)
+                groups = [(d, np.flatnonzero(datasets == d)) for d in np.unique(datasets[~np.isnan(datasets)] if datasets.dtype.kind == "f" else datasets)]
+            for d, own in groups:
+                for size, b in best.items():
+                    at = own[sizes[own] == size]
+                    rows = np.arange(len(b.ids)) if may is None else seers.get((int(d), size), np.zeros(0, np.int64))
+                    for first in range(0, len(at), 2000) if len(rows) else ():
+                        some = batch.take(pa.array(at[first : first + 2000]))
+                        x = some.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(some.num_rows, -1)
+                        ids = [some.column(c).to_numpy(zero_copy_only=False) for c in ("point_id", "document_id")]
+                        for r in range(0, len(rows), 1000):
+                            part = rows[r : r + 1000]
+                            b.add(part, score(x, b.vectors[part]).T, *ids)
+        for b in best.values():
+            row, column = np.nonzero(b.score >= threshold)
+            document = b.document[row, column]
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids[row]), pa.array(b.point[row, column]), pa.array(document, mask=document == _NO_DOCUMENT), pa.array(b.score[row, column])], ["request_id", "point_id", "document_id", "score"])
+
+    own = points.filter("point_id is not null")
+    return own.select(F.col("point_id").cast("long").alias("point_id"), F.coalesce(F.col("document_id").cast("long"), F.lit(_NO_DOCUMENT)).alias("document_id"), *columns[2:]).mapInArrow(search, _FOUND)
+
+
+def _bounded_requests(requests: DataFrame, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]] | None:
+    """By length of vectors, (ids, matrix) of all requests; None if they take more than `most` bytes."""
+    if (requests.agg(F.sum(8 * F.size("vector") + 16)).first()[0] or 0) > most:
+        return None
+    by: dict[int, list] = {}
+    for r in requests.filter("request_id is not null").select("request_id", "vector").collect():
+        by.setdefault(len(r["vector"]), []).append((r["request_id"], r["vector"]))
+    return {size: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], float)) for size, rows in by.items()}
+
+
+def _bounded_grants(allowed: DataFrame, most: int) -> dict[int, np.ndarray] | None:
+    """For each dataset the requests that may look into it; None if the pairs take more than `most` bytes."""
+    pairs = allowed.select(F.col("request_id").cast("long").alias("r"), F.col("dataset_id").cast("long").alias("d")).filter("r is not null and d is not null").distinct()
+    rows = pairs.limit(most // 16 + 1).collect()
+    if len(rows) > most // 16:
+        return None
+    by: dict[int, list[int]] = {}
+    for r, d in rows:
+        by.setdefault(d, []).append(r)
+    return {d: np.array(sorted(rs), np.int64) for d, rs in by.items()}
+
+
+def vector_top_k(requests: DataFrame, points: DataFrame, k: int = 10, threshold: float = 0.3, distance: str = "cosine", allowed: DataFrame | None = None, block: int = 1000, most: int = MOST_BYTES) -> DataFrame:
+    """(request_id, point_id, document_id, score, rank): the k best points of each request, exactly, for any number of requests.
+
+    Requests whose vectors and grants take `most` bytes at most are handed to each task over points: points aren't moved, and each task
+    sends the k best that it has for a request. With grants only the datasets that anyone may see are read, so that points that lie by
+    dataset are pruned. More requests meet points in blocks, see _by_blocks(). allowed: (request_id, dataset_id) pairs outside of which a
+    request sees nothing. Vectors that are not sound() find nothing and are not found; vectors of different lengths never meet; repeated
+    points are all found.
+    """
+    requests, points = requests.filter(sound(F.col("vector"))), points.filter(sound(F.col("vector")))
+    asked = _bounded_requests(requests, most)
+    counted = allowed is not None and points.schema["dataset_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    may = _bounded_grants(allowed, most) if counted and asked is not None else None
+    if asked is None or allowed is not None and may is None:
+        found = _by_blocks(requests, points, k, threshold, distance, allowed, block)
+    else:
+        if may is not None and len(may) <= MOST_DATASETS:
+            points = points.filter(F.col("dataset_id").isin(sorted(may)))
+        found = _in_place(points, asked, k, threshold, distance, may)
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "point_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -1,6 +1,7 @@
 """Vector search against plain numpy."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docfoundry.operators import search
@@ -70,3 +71,84 @@ def test_conditions_on_payloads(spark):
     p = spark.createDataFrame([(1, 0.5, ["a", "b"]), (2, 0.25, []), (3, None, None)], "id long, x double, tags array<string>")
     ids = lambda c: [r["id"] for r in p.filter(search.metadata_filter(c, ("tags",))).collect()]
     assert ids({"x": 0.5}) == [1] and ids({"tags": "b"}) == [1] and ids({"x": (None, 0.3)}) == [2] and ids({}) == [1, 2, 3]
+
+
+def test_points_stay_where_they_are(spark, tmp_path):
+    from docfoundry.operators.points import read_points, replace_points
+
+    rng = np.random.default_rng(11)
+    asked = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=9).tolist()) for i in range(20)]
+    rows = [(i, None if i % 50 == 0 else i // 3, rng.normal(size=9 if i % 4 == 0 else 6).tolist(), i % 7) for i in range(3000)]
+    q = spark.createDataFrame(asked, "request_id long, vector array<float>")
+    p = spark.createDataFrame(rows, "point_id long, document_id long, vector array<float>, dataset_id int").repartition(6)
+    allowed = q.select("request_id", F.explode(F.array(F.lit(1), F.lit(4), F.lit(9))).alias("dataset_id")).filter("(request_id + dataset_id) % 3 <> 0")
+    every = lambda df: sorted((r["request_id"], r["rank"], r["point_id"], r["document_id"] is None or r["document_id"], round(r["score"], 9)) for r in df.collect())
+    for grants in (None, allowed):
+        for kind in search.DISTANCES:
+            options = {"k": 5, "threshold": -9.0, "distance": kind, "allowed": grants}
+            near, far = search.vector_top_k(q, p, **options), search.vector_top_k(q, p, most=0, block=50, **options)
+            assert every(near) == every(far) and near.count() > 300
+    plan = search.vector_top_k(q, p, allowed=allowed)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+    # of stored points only the granted datasets' files are read, and no vector is shuffled
+    replace_points(p.filter("document_id is not null"), str(tmp_path / "points"), 1)
+    stored = read_points(spark, str(tmp_path / "points"))
+    top = search.vector_top_k(q, stored, allowed=allowed, k=3)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "FileScan parquet" in line and "vector" in line)
+    assert "dataset_id" in scan.split("PartitionFilters: [", 1)[1].split("PushedFilters")[0] and " IN (1,4,9)" in scan
+    assert not any("vector" in line for line in plan.split("\n") if "Exchange" in line)
+    assert every(top) == every(search.vector_top_k(q, p.filter("document_id is not null"), allowed=allowed, k=3))
+
+
+def py_grams(text):
+    import re
+
+    return {f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", (text or "").lower()) for i in range(len(w) + 1)}
+
+
+def names_at_random(seed, n):
+    import random
+
+    r = random.Random(seed)
+    words = ["steel", "Steel plate", "copper", "tin", "brushed", "a", "x1", "été", "small", "smell", "polished", "standard", "50%", "under_score"]
+    return [" ".join(r.choice(words) for _ in range(r.choice([0, 1, 2, 3, 5, 9, 30]))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("least, crowd", [(0.3, 20_000), (0.3, 3), (0.7, 5), (1.0, 5), (1e-9, 7)])
+def test_trigram_join_loses_no_pair(spark, least, crowd):
+    have, ask = names_at_random(1, 250), names_at_random(2, 60)
+    n = spark.createDataFrame([*enumerate(have), (999, None)], "id long, name string").repartition(5)
+    q = spark.createDataFrame([*enumerate(ask), (999, None)], "query_id long, text string")
+    want = {}
+    for i, a in enumerate(ask):
+        for j, b in enumerate(have):
+            x, y = py_grams(a), py_grams(b)
+            s = len(x & y) / len(x | y) if x | y else 0
+            if s >= least and s > 0:
+                want[i, j] = round(s, 9)
+    got = search.trigram_join(q, n, least, crowd).collect()
+    assert {(r["query_id"], r["id"]): round(r["similarity"], 9) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("crowd", [20_000, 2])
+def test_holding_with_wildcards_and_short_texts(spark, crowd):
+    import re
+
+    have = [*names_at_random(3, 200), "a\\b", "50% off"]
+    ask = ["steel", "STEEL p", "pl_te", "st%br", "a", "", "%", "el_", "50%", "tin tin", "zzz", "été", "%ass%", "under_score"]
+    n = spark.createDataFrame([*enumerate(have), (999, None)], "id long, name string").repartition(5)
+    q = spark.createDataFrame([*enumerate(ask), (999, None)], "query_id long, text string")
+    as_pattern = lambda t: re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in t.lower()), re.S)
+    want = {(i, j) for i, t in enumerate(ask) for j, x in enumerate(have) if as_pattern(t).search(x.lower())}
+    assert {(r["query_id"], r["id"]) for r in search.holding(q, n, crowd).collect()} == want
+
+
+def test_crowded_trigrams_are_joined_in_groups(spark):
+    n = spark.range(4000).select("id", F.concat(F.lit("common "), F.col("id").cast("string")).alias("name"))
+    q = spark.createDataFrame([(1, "common 17")], "query_id long, text string")
+    often = search._Frequency(n.select(search.trigrams(F.col("name")).alias("g")), 500)
+    rows = often.dealt(n.select("id", F.lit("com").alias("t")), "t", "id").groupBy("_group").count().collect()
+    assert len(rows) >= 8 and max(r["count"] for r in rows) < 1000
+    assert often.every(q.withColumn("t", F.lit("com")), "t").count() == len(rows)
+    assert (1, 17) in {(r["query_id"], r["id"]) for r in search.trigram_join(q, n, crowd=500).collect()}
