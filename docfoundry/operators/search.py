@@ -68,6 +68,18 @@ class _Frequency:
         return rows.withColumn("_group", F.explode(F.sequence(F.lit(0), self.groups(F.col(gram)) - 1)))
 
 
+def _codes(grams: Column) -> Column:
+    """Trigrams as numbers, 21 bits for each character: as distinct as they are, and quicker to compare."""
+    code = lambda x, i: F.ascii(F.substring(x, i, 1)).cast("long")
+    return F.transform(grams, lambda x: F.shiftleft(code(x, 1), 42) + F.shiftleft(code(x, 2), 21) + code(x, 3))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores, if it has fewer partitions than there are: so for a small table of one file, never for a large one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _band(size: Column) -> Column:
     return F.floor(F.log(size) / F.log(F.lit(_BAND))).cast("int")
 
@@ -80,8 +92,8 @@ def trigram_join(queries: DataFrame, names: DataFrame, least: float = SIMILAR, c
     meet, and queries know the sizes of names by band, which makes s larger. What met is compared once, exactly. Null texts are like none;
     rows that share an id are pairs of their own.
     """
-    q = queries.select("query_id", trigrams(F.col("text")).alias("g")).filter("size(g) > 0").withColumn("nq", F.size("g"))
-    n = names.select("id", trigrams(F.col("name")).alias("g")).filter("size(g) > 0").withColumn("nn", F.size("g"))
+    q = queries.select("query_id", _codes(trigrams(F.col("text"))).alias("g")).filter("size(g) > 0").withColumn("nq", F.size("g"))
+    n = spread(names.select("id", "name")).select("id", _codes(trigrams(F.col("name"))).alias("g")).filter("size(g) > 0").withColumn("nn", F.size("g"))
     often = _Frequency(n.select("g"), crowd)
     slack = 1e-9
     shared = lambda x, y: F.greatest(F.ceil((x + y) * (least / (1 + least)) - slack), F.lit(1)).cast("int")
@@ -108,7 +120,7 @@ def holding(queries: DataFrame, names: DataFrame, crowd: int = CROWD) -> DataFra
     go against all names.
     """
     q = queries.withColumn("t", F.lower("text"))
-    n = names.select("id", F.lower("name").alias("n"))
+    n = spread(names.select("id", "name")).select("id", F.lower("name").alias("n"))
     in_row = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: x.substr(i, F.lit(3)))
     runs = F.filter(F.split("t", "[%_]"), lambda x: F.length(x) >= 3)
     q = q.withColumn("_grams", F.when(F.col("t").contains("\\"), F.array().cast("array<string>")).otherwise(F.flatten(F.transform(runs, in_row))))
@@ -128,16 +140,16 @@ def name_search(queries: DataFrame, names: DataFrame, top: int = 20, allowed: Da
 
     allowed: (request_id, dataset_id) from granted(), request_id being a query's; names (with dataset_id) elsewhere aren't found.
     """
-    texts = queries.select("query_id", "text")
-    near, held = trigram_join(queries, names), holding(queries, names)
+    pairs = trigram_join(queries, names).unionByName(holding(queries, names).withColumn("similarity", F.lit(None).cast("double")))
+    pairs = pairs.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
+    own = names.select("id", "name", *(["dataset_id"] if allowed is not None else []))
+    found = pairs.join(own, "id").join(queries.select("query_id", "text"), "query_id")
     if allowed is not None:
-        may = allowed.select(F.col("request_id").alias("query_id"), "dataset_id")
-        seen = lambda pairs: pairs.join(names.select("id", "dataset_id"), "id").join(may, ["query_id", "dataset_id"], "left_semi").drop("dataset_id")
-        near, held = seen(near).select("query_id", "id", "similarity"), seen(held).select("query_id", "id")
-    found = held.join(near, ["query_id", "id"], "left_anti").join(texts, "query_id").join(names.select("id", "name"), "id")
-    rest = found.select("query_id", "id", trigram_similarity(F.col("name"), F.col("text")).alias("similarity"))
+        found = found.join(allowed.select(F.col("request_id").alias("query_id"), "dataset_id"), ["query_id", "dataset_id"], "left_semi")
+    # what only contains the text hasn't been compared yet
+    found = found.select("query_id", "id", F.coalesce("similarity", trigram_similarity(F.col("name"), F.col("text"))).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
-    return near.unionByName(rest).withColumn("rank", rank).filter(F.col("rank") <= top)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
 def metadata_filter(conditions: dict, lists: tuple[str, ...] = ()) -> Column:
