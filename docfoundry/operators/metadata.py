@@ -6,8 +6,8 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from unicodedata import category, normalize
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,87 +177,259 @@ def template_rules(templates: DataFrame) -> DataFrame:
     return rows.select("template_id", "key", pick(INDEX_TYPES, indexed, F.lit("keyword")).alias("index_type"), default.alias("default_value"))
 
 
-def _per_row(kind: str, known: dict[str, Template], of: Callable) -> Callable:
-    """An Arrow function of (template name, JSON text); of(template, node) gets what parsed. Null for an unknown template or null text."""
+# --- values as VARIANT: rules of a template, a bounded set on the driver, become conditions on columns -----------------------------
 
-    @F.arrow_udf(kind)
-    def run(names: pa.Array, texts: pa.Array) -> pa.Array:
-        out = []
-        for name, raw in zip(names.to_pylist(), texts.to_pylist()):
-            t = known.get(name or "")
-            out.append(None if t is None or raw is None else of(t, raw))
-        return pa.array(out, pa.struct([("is_valid", pa.bool_()), ("errors", pa.string())]) if kind.startswith("struct") else pa.string())
+_NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+_DEPTH = 6  # levels of objects that flatten_payload() takes apart, and of lists that normalize_enum() looks into
+_MAP, _LIST = "map<string,variant>", "array<variant>"
 
-    return run
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def _dump(node) -> str:
-    return json.dumps(node, ensure_ascii=False, sort_keys=True)
 
+def _kind(x: Column) -> Column:
+    """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID (JSON's null), OBJECT or ARRAY; null where there is no value."""
+    return F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0)
 
-def _rewritten(template: Column, text: Column, templates: dict[str, str], change: Callable) -> Column:
-    def of(t: Template, raw: str) -> str:
-        try:
-            return _dump(change(t, json.loads(raw)))
-        except ValueError:
-            return raw
 
-    return _per_row("string", {k: Template.of(v) for k, v in templates.items()}, of)(template, text)
+def _as(x: Column, kind: str) -> Column:
+    return F.try_variant_get(x, "$", kind)
+
+
+def _json(value) -> Column:
+    return F.parse_json(F.lit(json.dumps(value)))
+
+
+def _pick(table: dict[str, str], key: Column) -> Column:
+    """The entry of a small table; null without one."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key) if table else F.lit(None).cast("string")
+
+
+def _letters() -> tuple[str, str]:
+    """Letters that are one letter with marks when they are taken apart, and those letters: a rule of Unicode, as a table for translate()."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2FA1E)):
+        bare = "".join(x for x in normalize("NFD", c) if category(x) != "Mn")
+        if len(bare) == 1 and bare != c:
+            pairs.append((c, bare))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _BARE = _letters()
+
+
+def fold(text: Column) -> Column:
+    """Text without marks and in lower case, by built-in functions; equal to fold_text() on composed text."""
+    return F.lower(F.regexp_replace(F.translate(text, _MARKED, _BARE), r"\p{Mn}", ""))
+
+
+def _is(x: Column, kind: str) -> Column:
+    k = _kind(x)
+    if kind == "integer":
+        return k.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | k.isin(*_NUMBERS) & F.coalesce(_as(x, "double") % 1 == 0, F.lit(False))
+    return {"string": k == "STRING", "boolean": k == "BOOLEAN", "array": k == "ARRAY", "object": k == "OBJECT", "null": k == "VOID", "number": k.isin(*_NUMBERS)}.get(kind, F.lit(True))
+
+
+def _fits(x: Column, spec: dict, other: Column) -> Column:
+    """Whether a value meets one branch of a property; `other`: whether the text "other" may stand for an enum value."""
+    out, string = F.lit(True), _kind(x) == "STRING"
+    if types := _types(spec):
+        any_type = F.lit(False)
+        for t in types:
+            any_type = any_type | _is(x, t)
+        out = out & any_type
+    if "enum" in spec:
+        texts = [v for v in spec["enum"] if isinstance(v, str)]
+        numbers = [float(v) for v in spec["enum"] if isinstance(v, (int, float)) and not isinstance(v, bool)]
+        rest = [json.dumps(v, separators=(",", ":"), ensure_ascii=False) for v in spec["enum"] if v is None or isinstance(v, (bool, list, dict))]
+        listed = string & _as(x, "string").isin(texts) | string & other & (_as(x, "string") == "other")
+        if numbers:
+            listed = listed | _kind(x).isin(*_NUMBERS) & _as(x, "double").isin(numbers)
+        out = out & (listed | ~string & F.to_json(x).isin(rest) if rest else listed)
+    text, least, most = _as(x, "string"), spec.get("minLength", 0), spec.get("maxLength", 1 << 60)
+    shape = _SHAPES.get(spec.get("format", ""))
+    if shape or least or "maxLength" in spec:
+        well = F.char_length(text).between(least, most)
+        if shape:
+            well = well & text.rlike(rf"\A(?:{shape})\z")
+        out = out & (~string | well)
+    return F.coalesce(out, F.lit(False))
+
+
+def _errors(x: Column, text: Column, schema: dict, patched: Callable[[str], Column] = lambda k: F.lit(False)) -> Column:
+    """What is wrong with a value, in order: required keys that lack, unknown keys as they come in the text, then by property."""
+    specs, required = schema.get("properties", {}), schema.get("required", [])
+    none = F.array().cast("array<string>")
+
+    def of(own: Column) -> Column:
+        there = lambda k: F.coalesce(F.map_contains_key(own, F.lit(k)), F.lit(False))
+        parts = [F.array(*(F.when(~there(k), F.lit(f"{k}: required")) for k in required)) if required else none]
+        if schema.get("additionalProperties") is False:
+            keys = F.coalesce(F.array_distinct(F.json_object_keys(text)), none)
+            strange = F.filter(keys, lambda k: ~k.isin(list(specs))) if specs else keys
+            parts.append(F.transform(strange, lambda k: F.concat(k, F.lit(": unknown"))))
+        for k, spec in specs.items():
+            value = F.try_element_at(own, F.lit(k))
+            fits = F.lit(False)
+            for b in spec.get("oneOf") or [spec]:
+                fits = fits | _fits(value, b, patched(k))
+            found = F.when(there(k) & ~fits, F.array(F.lit(f"{k}: invalid")))
+            if "properties" in spec:
+                inner = _errors(value, F.get_json_object(text, f"$['{k}']"), spec)
+                found = found.when(_kind(value) == "OBJECT", F.transform(inner, lambda e: F.concat(F.lit(f"{k}."), e)))  # noqa: B023
+            parts.append(found.otherwise(none))
+        return F.array_compact(F.concat(*parts))
+
+    return F.when(_kind(x) == "OBJECT", _let(_as(x, _MAP), of)).otherwise(F.array(F.lit("not an object")))
+
+
+def _normalised(x: Column, t: Template, spec: dict, prefix: str = "", depth: int = _DEPTH) -> Column:
+    """x with texts that equal an enum value but for case and marks replaced by it; what has no enum below it stays as it is."""
+    below = {}
+    for name, own in spec.get("properties", {}).items():
+        key = f"{prefix}.{name}" if prefix else name
+        if any(k == key or k.startswith(f"{key}.") for k in t.enums):
+            below[name] = (key, own)
+    if not below or not depth:
+        return x
+
+    def one(name: str, v: Column) -> Column:
+        key, own = below[name]
+        text = F.coalesce(_pick(t.enums.get(key, {}), fold(_as(v, "string"))), _as(v, "string")).cast("variant")
+        return F.when(_kind(v) == "STRING", text).otherwise(_normalised(v, t, own, key, depth - 1))
+
+    def inside(k: Column, v: Column) -> Column:
+        out = F.when(F.lit(False), v)
+        for name in below:
+            out = out.when(k == name, one(name, v))
+        return out.otherwise(v)
+
+    changed = F.to_variant_object(F.transform_values(_as(x, _MAP), inside))
+    items = F.to_variant_object(F.transform(_as(x, _LIST), lambda v: F.when(_kind(v) == "STRING", v).otherwise(_normalised(v, t, spec, prefix, depth - 1))))
+    return F.when(_kind(x) == "OBJECT", changed).when(_kind(x) == "ARRAY", items).otherwise(x)
+
+
+def _coerced(x: Column, t: Template) -> Column:
+    """x with required fields that are there but null or empty set to their defaults."""
+    required, specs = set(t.schema.get("required", [])), t.schema.get("properties", {})
+    filled = {k: _json(t.default(specs[k])) for k in specs if k in required}
+    if not filled:
+        return x
+
+    def inside(k: Column, v: Column) -> Column:
+        blank = (_kind(v) == "VOID") | (_kind(v) == "STRING") & (_as(v, "string") == "")
+        out = F.when(F.lit(False), v)
+        for name, default in filled.items():
+            out = out.when((k == name) & blank, default)
+        return out.otherwise(v)
+
+    return F.when(_kind(x) == "OBJECT", F.to_variant_object(F.transform_values(_as(x, _MAP), inside))).otherwise(x)
+
+
+def _entries(x: Column, path: Column, t: Template, depth: int = _DEPTH) -> Column:
+    """[(key, value)] of the payload of x: nulls and empty lists left out, texts turned into what the schema says where they parse."""
+    pair = lambda value: F.array(F.struct(path.alias("key"), value.alias("value")))
+    none = F.array().cast("array<struct<key:string,value:variant>>")
+    k, text = _kind(x), _as(x, "string")
+    kind = F.coalesce(_pick(t.types, path), F.lit(""))
+    word = F.lower(F.trim(text))
+    typed = (
+        F.when((kind == "integer") & text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("bigint").cast("variant"))
+        .when((kind == "number") & text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.trim(text).try_cast("double").cast("variant"))
+        .when((kind == "boolean") & word.isin("true", "false"), (word == "true").cast("variant"))
+    )
+    scalars = F.filter(_as(x, _LIST), lambda v: _kind(v).isin("STRING", "BOOLEAN", *_NUMBERS))
+    out = F.when(k == "VOID", none).when(k == "STRING", pair(F.coalesce(typed, x))).when(k == "ARRAY", F.when(F.size(scalars) > 0, pair(F.to_variant_object(scalars))).otherwise(none))
+    if depth:
+        inner = lambda e: _entries(e["value"], F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), t, depth - 1)
+        out = out.when(k == "OBJECT", F.flatten(F.transform(F.map_entries(_as(x, _MAP)), inner)))
+    return out.otherwise(pair(x))
+
+
+def _payload(x: Column, t: Template) -> Column:
+    """The payload of x as JSON; of keys that come twice by their dots the last counts."""
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"]))
+    return _let(_entries(x, F.lit(""), t), lambda es: F.to_json(F.map_from_entries(last(es))))
+
+
+def _of_template(template: Column, templates: dict[str, str], of: Callable[[Template], Column], unknown: Column) -> Column:
+    """What `of` makes of each template, for rows of that template."""
+    out = F.when(F.lit(False), unknown)
+    for name, text in templates.items():
+        out = out.when(template == name, of(Template.of(text)))
+    return out.otherwise(unknown)
+
+
+def _rewritten(template: Column, text: Column, templates: dict[str, str], change: Callable[[Column, Template], Column]) -> Column:
+    def of(t: Template) -> Column:
+        return _let(F.try_parse_json(text), lambda v: F.when(v.isNull(), text).otherwise(change(v, t)))
+
+    return _of_template(template, templates, of, F.lit(None).cast("string"))
 
 
 def normalize_enum(template: Column, text: Column, templates: dict[str, str]) -> Column:
-    """The JSON text with texts that equal an enum value but for case and marks replaced by it; bad JSON as it is."""
-    return _rewritten(template, text, templates, lambda t, node: t.normalised(node))
+    """The JSON text with texts that equal an enum value but for case and marks replaced by it; bad JSON as it is.
+
+    Here and below: built-in functions only; null for an unknown template or a null text; a text with a key twice in one object is bad
+    JSON. templates: schema text by name, a bounded set, whose rules become part of the plan.
+    """
+    return _rewritten(template, text, templates, lambda v, t: F.to_json(_normalised(v, t, t.schema)))
 
 
 def coerce_required(template: Column, text: Column, templates: dict[str, str]) -> Column:
     """The JSON text with required fields that are there but null or empty set to their defaults; bad JSON as it is."""
-    return _rewritten(template, text, templates, lambda t, node: t.coerced(node) if isinstance(node, dict) else node)
+    return _rewritten(template, text, templates, lambda v, t: F.to_json(_coerced(v, t)))
 
 
 def flatten_payload(template: Column, text: Column, templates: dict[str, str]) -> Column:
-    """The payload by dotted path, as JSON; bad JSON as it is."""
-    return _rewritten(template, text, templates, lambda t, node: t.flat(node))
+    """The payload by dotted path, as JSON; bad JSON as it is. Objects below the sixth level stay whole."""
+    return _rewritten(template, text, templates, _payload)
 
 
 def validate_metadata(template: Column, text: Column, templates: dict[str, str]) -> Column:
     """A struct (is_valid, errors) of a JSON text against its template's schema."""
+    unknown = F.lit(None).cast("struct<is_valid:boolean,errors:string>")
 
-    def of(t: Template, raw: str) -> dict:
-        try:
-            errors = t.errors(json.loads(raw))
-        except ValueError:
-            errors = ["not JSON"]
-        return {"is_valid": not errors, "errors": "; ".join(errors)}
+    def of(t: Template) -> Column:
+        found = _let(F.try_parse_json(text), lambda v: F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(_errors(v, text, t.schema)))
+        return _let(found, lambda e: F.when(text.isNotNull(), F.struct((F.size(e) == 0).alias("is_valid"), F.array_join(e, "; ").alias("errors"))))
 
-    return _per_row("struct<is_valid:boolean,errors:string>", {k: Template.of(v) for k, v in templates.items()}, of)(template, text)
+    return _of_template(template, templates, of, unknown)
 
 
 def finish_metadata(template: Column, text: Column, templates: dict[str, str]) -> Column:
     """A struct for each response: json (checked metadata, or the template's defaults), is_valid, extracted, errors, payload (JSON).
 
-    Enum values are normalised, required blanks filled, the rest checked; what isn't valid gives way to the defaults. templates:
-    schema text by name, a bounded set; a row of another template, or null text, is not extracted and has null json.
+    Enum values are normalised, required blanks filled, the rest checked; what isn't valid gives way to the defaults. A row of another
+    template, or null text, is not extracted and has null json.
     """
-    known = {k: Template.of(v) for k, v in templates.items()}
 
-    def one(name: str | None, raw: str | None) -> dict:
-        t = known.get(name or "")
-        if t is None or raw is None:
-            return {"json": None, "is_valid": False, "extracted": False, "errors": "no template" if t is None else "no response", "payload": None}
-        try:
-            node = t.normalised(json.loads(raw))
-            filled = t.coerced(node) if isinstance(node, dict) else node
-            errors = t.errors(filled, frozenset(k for k in filled if filled[k] == "other" and node[k] != "other") if isinstance(filled, dict) else frozenset())
-        except ValueError:
-            filled, errors = None, ["not JSON"]
-        final = t.defaults() if errors else filled
-        dump = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True)
-        return {"json": dump(final), "is_valid": not errors, "extracted": final != t.defaults(), "errors": "; ".join(errors), "payload": dump(t.flat(final))}
+    def row(j: Column, valid: Column, extracted: Column, errors: Column, payload: Column) -> Column:
+        return F.struct(j.alias("json"), valid.alias("is_valid"), extracted.alias("extracted"), errors.alias("errors"), payload.alias("payload"))
+
+    no, null = F.lit(False), F.lit(None).cast("string")
+
+    def of(t: Template) -> Column:
+        defaults = json.dumps(t.defaults())
+
+        def checked(node: Column) -> Column:
+            def filled(x: Column) -> Column:
+                said = lambda v, k: F.coalesce(_as(F.try_element_at(_as(v, _MAP), F.lit(k)), "string"), F.lit(""))
+                put = lambda k: (said(x, k) == "other") & (said(node, k) != "other")
+                errors = F.when(x.isNull(), F.array(F.lit("not JSON"))).otherwise(_errors(x, text, t.schema, put))
+
+                def ended(e: Column) -> Column:
+                    plain = F.parse_json(F.lit(defaults))
+                    final = lambda f: row(F.to_json(f), F.size(e) == 0, F.to_json(f) != F.to_json(plain), F.array_join(e, "; "), _payload(f, t))
+                    return _let(F.when(F.size(e) > 0, plain).otherwise(x), final)
+
+                return _let(errors, ended)
+
+            return _let(_coerced(node, t), filled)
 
-    @F.arrow_udf("struct<json:string,is_valid:boolean,extracted:boolean,errors:string,payload:string>")
-    def finish(names: pa.Array, texts: pa.Array) -> pa.Array:
-        kind = pa.struct([("json", pa.string()), ("is_valid", pa.bool_()), ("extracted", pa.bool_()), ("errors", pa.string()), ("payload", pa.string())])
-        return pa.array([one(a, b) for a, b in zip(names.to_pylist(), texts.to_pylist())], kind)
+        made = _let(F.try_parse_json(text), lambda v: _let(_normalised(v, t, t.schema), checked))
+        return F.when(text.isNull(), row(null, no, no, F.lit("no response"), null)).otherwise(made)
 
-    return finish(template, text)
+    return _of_template(template, templates, of, row(null, no, no, F.lit("no template"), null))
