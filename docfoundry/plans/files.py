@@ -32,3 +32,22 @@ def _(t):
 def _(t):
     d = t.document.withColumn("chunks", F.when(F.col("id") % 2 == 0, "[]")).withColumn("object_key", F.when(F.col("id") % 3 != 0, F.concat(F.lit("in/"), "file_name")))
     return files.export_artifacts(d).unionByName(files.export_artifacts(d, "original")).select(F.col("doc_id").alias("id"), "kind", "name")
+
+
+@query("a7_written_artifacts", """SELECT id, 'ocr-markdown' AS kind, 'file' || (id % 700) || '.md' AS name, ocr_content AS body FROM document WHERE ocr_content IS NOT NULL AND ocr_content <> '' UNION ALL SELECT id, 'summary', 'file' || (id % 700) || '_Summary.md', summary FROM document WHERE summary IS NOT NULL AND summary <> ''""", "document")
+def _(t):
+    """Artefacts written by kind, one kind written again, and read."""
+    folder = files.scratch_folder(t.spark, "artifacts")
+    found = files.export_artifacts(t.document.withColumn("chunks", F.lit(None).cast("string")))
+    files.write_artifacts(found, folder)
+    files.write_artifacts(found.filter("kind = 'summary'"), folder)
+    return t.spark.read.parquet(folder).select(F.col("doc_id").alias("id"), "kind", "name", "body")
+
+
+@query("a5_stored_objects", "SELECT lang AS key, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY 1")
+def _(t):
+    """Texts written to a store by language, and the objects found there with their sizes."""
+    folder = files.scratch_folder(t.spark, "objects")
+    t.documents.filter("text is not null and lang is not null").select("lang", "text").write.partitionBy("lang").text(folder)
+    objects = files.list_objects(t.spark, folder).withColumn("key", F.regexp_extract("key", "/lang=([^/]+)/", 1))
+    return objects.filter("key <> ''").groupBy("key").agg(F.sum("size").alias("size"))

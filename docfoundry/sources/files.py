@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +49,40 @@ def load_tables(spark: SparkSession, source: str, names: list[str], jdbc: dict |
 
 
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(key, size, modified) of all files below a path; contents aren't read."""
+    """(key, size, modified) of all files below a path that hold a byte at least: Spark lists no empty ones. Contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("path").alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def read_heads(objects: DataFrame, n: int = 16) -> DataFrame:
+    """objects (key, ..) with head: the first n bytes of each file, of which no more is read, however large it is.
+
+    Each task opens the files of its own rows, in any store that pyarrow knows (local, HDFS, S3, GCS); for another one binaryFile's content
+    serves, which reads files whole. A null key, or a file that isn't there any more, has a null head.
+    """
+    kept = [f for f in objects.schema.fields if f.name != "head"]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+    def read(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            heads = []
+            for key in b.column("key").to_pylist():
+                head = None
+                if key is not None:
+                    store, path = fs.FileSystem.from_uri(quote(key, safe=":/") if ":" in key else f"file://{quote(key)}")
+                    try:
+                        with store.open_input_stream(path, buffer_size=0) as f:
+                            head = f.read(n)
+                    except FileNotFoundError:
+                        pass
+                heads.append(head)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.binary())], [*b.schema.names, "head"])
+
+    return objects.select(*(f"`{f.name}`" for f in kept)).mapInArrow(read, f"{types}, head binary")
+
+
 def file_error(name: Column, content: Column) -> Column:
     """Null for a file whose first bytes fit its extension, else what is wrong."""
     ext = F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
@@ -85,6 +116,13 @@ def export_artifacts(documents: DataFrame, scope: str = "all") -> DataFrame:
     return documents.select(F.col("id").alias("doc_id"), F.inline(parts)).filter("body is not null and body <> ''")
 
 
+def write_artifacts(artifacts: DataFrame, path: str, files_per_kind: int = 16) -> None:
+    """Write export_artifacts() below path, a folder for each kind, in whose files artefacts stand whole, by name; kinds that come replace
+    what was there, others stay. A kind's rows are dealt to several tasks."""
+    dealt = artifacts.repartition(F.col("kind"), F.pmod(F.xxhash64("doc_id"), F.lit(files_per_kind)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
+
+
 def page_image_totals(pages: DataFrame) -> DataFrame:
     """(doc_id, n_pages, n_images) of the pages of each document."""
     return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.size("images")).alias("n_images"))
