@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docfoundry.functions import text
 from docfoundry.operators import chunking, questions
+from docfoundry.sources.files import kept as kept_table
 
 from .documents import _KIND, SCHEMA, typed
 from .registry import query
@@ -72,7 +73,7 @@ _ASKED = f"""q AS (SELECT doc_id, place, type, path, content, list_last(string_s
  UNION ALL SELECT 'table', doc_id, place, 'Ask about the table ' || title || ' (' || path || ') of ' || f || '.' || {_NL} || s || {_NL} || content FROM q WHERE type = 'Table'
  UNION ALL SELECT 'combined', doc_id, place, 'Ask about ' || title || ' (' || path || ') of ' || f || '.' || {_NL} || s || {_NL} || content FROM q""")
 def _(t):
-    chunks, files = both(t), names(t)
+    chunks, files = kept_table(both(t), "chunks"), names(t)
     briefs = t.documents.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("summary"))
     asked = [questions.qa_prompts(chunks, form, files, briefs).select(F.lit(form).alias("form"), "doc_id", "place", "prompt") for form in questions.FORMS]
     return asked[0].union(asked[1]).union(asked[2])
@@ -85,21 +86,22 @@ def _(t):
     return questions.metadata_prompts(docs, schemas)
 
 
-def responses(t):
-    tables = both(t).filter("type = 'Table'").select("doc_id", "place")
+def responses(chunks):
+    tables = chunks.filter("type = 'Table'").select("doc_id", "place")
     body = F.concat(F.lit('<think>[{"question":"Q'), F.col("place").cast("string"), F.lit('\n?","answer":"C:\\d","category":"c","qa_type":"t"},{"question":"R","answer":"b"}]'))
     return tables.select("doc_id", "place", F.when(F.col("place") % 5 == 0, "sorry").otherwise(body).alias("text"))
 
 
 @query("k11_parse_qa_responses", f"WITH RECURSIVE {_BOTH} SELECT doc_id, place, CAST(CASE WHEN place % 5 = 0 THEN 0 ELSE 2 END AS INT) AS n, CASE WHEN place % 5 <> 0 THEN 'Q' || place || {_NL} || '?' END AS first FROM merged WHERE type = 'Table'")
 def _(t):
-    return questions.parse_qa_responses(responses(t)).select("doc_id", "place", F.size("qas").alias("n"), F.get("qas", F.lit(0))["question"].alias("first"))
+    return questions.parse_qa_responses(responses(both(t))).select("doc_id", "place", F.size("qas").alias("n"), F.get("qas", F.lit(0))["question"].alias("first"))
 
 
 @query("k13_qa_table", f"""WITH RECURSIVE {_BOTH}, m AS (SELECT doc_id, place FROM merged WHERE type = 'Table' AND place % 5 <> 0) SELECT doc_id, place, 'Q' || place || {_NL} || '?' AS question, 'C:\\d' AS answer, 'c' AS category, 't' AS qa_type FROM m
  UNION ALL SELECT doc_id, place, 'R', 'b', NULL, NULL FROM m""")
 def _(t):
-    return questions.exploded_qas(questions.qa_table(both(t), questions.parse_qa_responses(responses(t))))
+    chunks = kept_table(both(t), "chunks")
+    return questions.exploded_qas(questions.qa_table(chunks, questions.parse_qa_responses(responses(chunks))))
 
 
 @query("a8_chunks_to_json", f"WITH RECURSIVE {_BOTH} SELECT doc_id, place, chunk_index, type, tokens, path, content FROM merged")
@@ -124,7 +126,7 @@ def _(t):
     from docfoundry.operators import points
 
     padded = lambda c: F.lpad(c.cast("string"), 36, "0").alias("document_id")
-    chunks = both(t).select(padded(F.col("doc_id")), (F.col("doc_id") % 9).alias("dataset_id"), F.col("place").alias("chunk_index"), "type", "needs_summary", "content")
+    chunks = kept_table(both(t), "chunks").select(padded(F.col("doc_id")), (F.col("doc_id") % 9).alias("dataset_id"), F.col("place").alias("chunk_index"), "type", "needs_summary", "content")
     wanted = chunks.filter("needs_summary").select("document_id", "chunk_index")
     cached = wanted.filter("chunk_index % 2 = 0").withColumn("summary", F.concat(F.lit("cached "), F.col("chunk_index").cast("string")))
     made = wanted.filter("chunk_index % 3 = 0").withColumn("text", F.concat(F.lit(" made "), F.col("chunk_index").cast("string"), F.lit("<|return|>")))

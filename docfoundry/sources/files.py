@@ -142,3 +142,10 @@ def scratch_folder(spark: SparkSession, tag: str) -> str:
         local = spark.sparkContext.master.startswith("local[")
         base = f"file://{tempfile.mkdtemp(prefix='docfoundry-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in a scratch_folder(), so that what reads it several times computes it once, executors lost or not."""
+    folder = scratch_folder(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
