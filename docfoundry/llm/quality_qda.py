@@ -90,7 +90,9 @@ def score(text: Column, model: Discriminant) -> Column:
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = 8000) -> DataFrame:
     """doc_id, held_out, score and predicted of every document, one row for each row.
 
-    held_out: crc32(doc_id as text) mod 5 is 0 (false for a null id). Only text goes into a score: copies score alike.
+    held_out: crc32(doc_id as text) mod 5 is 0 (false for a null id). Only text goes into a score: copies score alike. Texts are taken
+    whole; a null text is scored as an empty one, which has a score too; null ids and repeated rows stay. Extra columns, whatever their
+    names, are not read. An empty table gives no rows; without labels of both classes every text scores the share of label 1.
     """
     docs = C.bounded_batches(docs)
     scored = docs.select("doc_id", score(F.col("text"), train(docs, labels, rows)).alias("score"))

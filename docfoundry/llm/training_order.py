@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 from hashlib import blake2b
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -177,14 +178,19 @@ def training_order(docs: DataFrame, key: str = "epoch 0", length: int = 1024, pe
 def write_shards(ordered: DataFrame, folder: str) -> None:
     """Write what training_order() gave: folder/shard=i holds one file of records, each closed by a newline byte.
 
-    Spark's own text writer and its commit protocol write the bytes: to any store that Spark reaches, once, though tasks be retried.
+    Spark's own text writer and its commit protocol write the bytes: to any store that Spark reaches, once, though tasks be retried. A
+    folder that exists already is an error, as in all of Spark's writers.
     """
     lines = ordered.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))
     lines.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(folder)
 
 
 def read_slots(spark: SparkSession, folder: str, first: int, count: int, length: int = 1024, per_shard: int = 8192, width: int = 2) -> DataFrame:
-    """(slot, record) of the slots from `first` on, `count` of them or as many as there are: only their shards are opened."""
+    """(slot, record) of the slots from `first` on, `count` of them or as many as there are.
+
+    Only their shards are opened, and of those only the bytes of these slots are read: the stride gives their place. Files are opened by
+    the tasks, in any store that pyarrow knows (local, HDFS, S3, GCS).
+    """
     stride = length * width + 1
     shards = [f"{folder}/shard={i}" for i in range(first // per_shard, (first + max(count, 1) - 1) // per_shard + 1)]
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -192,10 +198,24 @@ def read_slots(spark: SparkSession, folder: str, first: int, count: int, length:
     if not there or count < 1:
         return spark.createDataFrame([], "slot long, record binary")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there)
-    shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
-    at = files.select("content", shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("length") / stride).cast("long") - 1)).alias("i"))
-    slot = F.col("shard") * per_shard + F.col("i")
-    return at.filter((slot >= first) & (slot < first + count)).select(slot.alias("slot"), F.substring("content", (F.col("i") * stride + 1).cast("int"), F.lit(stride - 1)).alias("record"))
+    start = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long") * per_shard
+    begin, end = F.greatest(start, F.lit(first)), F.least(start + (F.col("length") / stride).cast("long"), F.lit(first + count))
+    wanted = files.select("path", start.alias("start"), begin.alias("begin"), end.alias("end")).filter("begin < end")
+
+    def read(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            for name, start, begin, end in zip(*(c.to_pylist() for c in b.columns)):
+                store, at = fs.FileSystem.from_uri(quote(name, safe=":/"))
+                with store.open_input_file(at) as f:
+                    f.seek((begin - start) * stride)
+                    for slot in range(begin, end, 1000):
+                        n = min(1000, end - slot)
+                        got = f.read(n * stride)
+                        yield pa.RecordBatch.from_arrays([pa.array(range(slot, slot + n), pa.int64()), pa.array([got[i * stride : (i + 1) * stride - 1] for i in range(n)], pa.binary())], ["slot", "record"])
+
+    return wanted.mapInArrow(read, "slot long, record binary")
 
 
 def ids_of(record: Column, width: int = 2) -> Column:
