@@ -434,3 +434,23 @@ def _(t):
 
     found = list_objects(t.spark, t.sf_dir).select(F.regexp_extract("key", r"/([a-z]+)\.parquet$", 1).alias("key"), (F.col("size") > 0).alias("has_size"))
     return found.filter(~F.col("key").isin("", "documents", "embeddings", "pages", "labels", "conversations"))
+
+
+def quarter(text):
+    """A counter that doesn't add up over lines: a quarter of the characters, rounded up."""
+    return F.ceil(F.length(text) / 4)
+
+
+# in SQL characters add up, so limits are theirs: of n tokens or more has a text of 4 * n - 3 characters or more
+_LENGTHS = (_TOKENS.format(x="line"), "length(whole)")
+_QUARTER = "CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens"
+
+
+@query("k2_recounted_chunks", f'WITH {_OCR_DOCS}, {chunks_sql("ocr_docs", 4 * LIMIT - 3).replace(*_LENGTHS)} SELECT doc_id, chunk_index, type, needs_summary, {_QUARTER}, path, content, "start", "end" FROM chunk')
+def _(t):
+    return chunking.text_chunks(ocr_document(t), LIMIT, counter=quarter)
+
+
+@query("k6_recounted_sections", f"""WITH {_OCR_DOCS}, {parts_sql("ocr_docs", "{tokens} > " + str(4 * LIMIT)).replace(*_LENGTHS)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INT) AS section, content, path, {_QUARTER} FROM frag WHERE keep AND NOT blank""")
+def _(t):
+    return chunking.summary_sections(ocr_document(t), LIMIT, counter=quarter).drop("title")
