@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfoundry.functions.text import clean_response
+from docfoundry.sources.files import kept
 from docfoundry.sources.versions import merge, read_current
 
 from .metadata import finish_metadata
@@ -84,13 +85,12 @@ def read_points(spark: SparkSession, path: str) -> DataFrame | None:
     return None if found is None else found.drop("bucket")
 
 
-def index_documents(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metadata: DataFrame, known: DataFrame, templates: dict[str, str], old: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
-    """All points after the documents of `chunks` were indexed: the old ones of other documents, and these documents' new ones.
+def new_points(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metadata: DataFrame, known: DataFrame, templates: dict[str, str], embedder: Callable[[Column], Column]) -> DataFrame:
+    """build_points() of chunks (document_id, dataset_id, chunk_index, type, needs_summary, content).
 
-    chunks: (document_id, dataset_id, chunk_index, type, needs_summary, content). A chunk that needs a summary takes the cached one
-    (document_id, chunk_index, summary), else the response to its prompt (document_id, chunk_index, text), cleaned; without either it is
-    indexed as text. Payloads are those known (document_id, payload as JSON), else what finish_metadata() makes of the responses
-    (document_id, template, json).
+    A chunk that needs a summary takes the cached one (document_id, chunk_index, summary), else the response to its prompt (document_id,
+    chunk_index, text), cleaned; without either it is indexed as text. Payloads are those known (document_id, payload as JSON), else what
+    finish_metadata() makes of the responses (document_id, template, json).
     """
     key = ["document_id", "chunk_index"]
     answers = responses.select(*key, F.nullif(clean_response(F.col("text"), thinking=True), F.lit("")).alias("_made"))
@@ -98,4 +98,15 @@ def index_documents(chunks: DataFrame, cached: DataFrame, responses: DataFrame,
     summed = summed.withColumn("summary", F.when(F.col("needs_summary"), F.coalesce("_cached", "_made"))).drop("_cached", "_made")
     fresh = metadata.join(known.select("document_id"), "document_id", "left_anti").select("document_id", finish_metadata(F.col("template"), F.col("json"), templates)["payload"].alias("payload"))
     payloads = known.select("document_id", "payload").unionByName(fresh).select("document_id", F.from_json("payload", "map<string,string>").alias("payload"))
-    return reindex_points(old, build_points(summed, payloads, embedder).select(old.columns))
+    return build_points(summed, payloads, embedder)
+
+
+def index_documents(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metadata: DataFrame, known: DataFrame, templates: dict[str, str], old: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
+    """All points after the documents of `chunks` were indexed: the old ones of other documents, and new_points()."""
+    return reindex_points(old, new_points(chunks, cached, responses, metadata, known, templates, embedder).select(old.columns))
+
+
+def index_in_storage(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metadata: DataFrame, known: DataFrame, templates: dict[str, str], path: str, version: int, embedder: Callable[[Column], Column]) -> bool:
+    """new_points(), computed once, in the place of the documents' old ones in storage; see replace_points()."""
+    made = kept(new_points(chunks, cached, responses, metadata, known, templates, embedder), "points")
+    return replace_points(made, path, version)

@@ -112,19 +112,15 @@ def _(t):
 _PAD = "lpad(CAST(doc_id AS STRING), 36, '0')"
 
 
-@query(
-    "k23_index_documents",
-    f"""WITH RECURSIVE {_BOTH}, c AS (SELECT *, {_PAD} AS document_id, lpad(lower(hex(place)), 8, '0') AS h, CASE WHEN needs_summary THEN CASE WHEN place % 2 = 0 THEN 'cached ' || place WHEN place % 3 = 0 THEN 'made ' || place END END AS summary FROM merged),
+_INDEXED = f"""WITH RECURSIVE {_BOTH}, c AS (SELECT *, {_PAD} AS document_id, lpad(lower(hex(place)), 8, '0') AS h, CASE WHEN needs_summary THEN CASE WHEN place % 2 = 0 THEN 'cached ' || place WHEN place % 3 = 0 THEN 'made ' || place END END AS summary FROM merged),
     k AS (SELECT *, CASE WHEN type = 'Table' THEN 'table' WHEN summary IS NOT NULL THEN 'summary' ELSE 'text' END AS kind FROM c)
     SELECT substr(document_id, 1, 28) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS point_id, kind AS chunk_type, CASE WHEN kind = 'summary' THEN summary ELSE content END AS content, CASE WHEN kind = 'summary' THEN content END AS content_full,
     CASE WHEN doc_id < 1000000000 THEN CASE WHEN doc_id % 2 = 0 THEN 'cached' WHEN doc_id % 50 <> 0 AND doc_id % 3 <> 1 THEN {_KIND} ELSE 'other' END END AS kind FROM k
-    UNION ALL SELECT 'old' || c_custkey, 'text', 'kept', NULL, NULL FROM customer UNION ALL SELECT 'stale' || doc_id, 'text', 'gone', NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM merged)""",
-)
-def _(t):
-    """Chunks and metadata of documents to points; summaries and metadata that are cached are used again, points of documents with chunks
-    replaced."""
-    from docfoundry.operators import points
+    UNION ALL SELECT 'old' || c_custkey, 'text', 'kept', NULL, NULL FROM customer UNION ALL SELECT 'stale' || doc_id, 'text', 'gone', NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM merged)"""
+
 
+def indexing(t):
+    """What index_documents() takes, but for the embedder: chunks, cached summaries, responses, metadata, known payloads, templates, old points."""
     padded = lambda c: F.lpad(c.cast("string"), 36, "0").alias("document_id")
     chunks = kept_table(both(t), "chunks").select(padded(F.col("doc_id")), (F.col("doc_id") % 9).alias("dataset_id"), F.col("place").alias("chunk_index"), "type", "needs_summary", "content")
     wanted = chunks.filter("needs_summary").select("document_id", "chunk_index")
@@ -135,10 +131,39 @@ def _(t):
     stale = t.documents.select(F.concat(F.lit("stale"), F.col("doc_id").cast("string")).alias("point_id"), padded(F.col("doc_id")), F.lit("gone").alias("content"))
     kept = t.customer.select(F.concat(F.lit("old"), F.col("c_custkey").cast("string")).alias("point_id"), F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("document_id"), F.lit("kept").alias("content"))
     old = stale.union(kept).select("point_id", "document_id", F.lit(0).cast("long").alias("dataset_id"), F.lit("text").alias("chunk_type"), "content", F.lit(None).cast("string").alias("content_full"), F.array(F.lit(0.0).cast("float")).alias("vector"), F.create_map().cast("map<string,string>").alias("payload"))
-    found = points.index_documents(chunks, cached, made, raw, known, {"t": SCHEMA}, old, lambda x: F.array(F.length(x).cast("float")))
+    return chunks, cached, made, raw, known, {"t": SCHEMA}, old
+
+
+def _embed(text):
+    return F.array(F.length(text).cast("float"))
+
+
+def _shown(found):
     return found.select("point_id", "chunk_type", "content", "content_full", F.try_element_at("payload", F.lit("kind")).alias("kind"))
 
 
+@query("k23_index_documents", _INDEXED)
+def _(t):
+    """Chunks and metadata of documents to points; summaries and metadata that are cached are used again, points of documents with chunks
+    replaced."""
+    from docfoundry.operators import points
+
+    return _shown(points.index_documents(*indexing(t), _embed))
+
+
+@query("k23_index_in_storage", _INDEXED)
+def _(t):
+    """The same with the old points in storage, where the new ones take their place."""
+    from docfoundry.operators import points
+    from docfoundry.sources.files import scratch_folder
+
+    folder = scratch_folder(t.spark, "index")
+    *made, old = indexing(t)
+    points.replace_points(old, folder, 1, files_per_dataset=4)
+    points.index_in_storage(*made, folder, 2, _embed)
+    return _shown(points.read_points(t.spark, folder))
+
+
 @query("a1_ocr_pages", """WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CAST(i AS INT) AS page_index, array_to_string(l[i * 6 + 1 : i * 6 + 6], chr(10)) || chr(10) || '![p](k.jpg)' AS markdown, 1 AS n_images
  FROM (SELECT doc_id, l, unnest(range(0, CAST(ceil(len(l) / 6.0) AS BIGINT))) AS i FROM x) y""")
 def _(t):
