@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import kept
+
 VERSION = "version"
 
 
@@ -63,7 +65,9 @@ def merge(new: DataFrame, path: str, by: list[str], key: str, version: int, comb
         keys = new.select(key).distinct()
         if elsewhere:
             touched = touched.unionByName(old.select(key, *by).join(keys, key, "left_semi").select(*by))
-        theirs = old.join(touched.distinct(), by, "left_semi").select(new.columns)
+        # written before the folders of a killed writer are replaced, which the listing of the old rows may still hold
+        touched = kept(touched.distinct(), "touched")
+        theirs = old.join(touched, by, "left_semi").select(new.columns)
         rows = combine(theirs, new) if combine else theirs.join(keys, key, "left_anti").unionByName(new)
     elif combine:
         rows = combine(new.limit(0), new)
