@@ -71,12 +71,24 @@ def rewrite_image_links(markdown: Column, keys: Column, prefix: Column) -> Colum
     return F.aggregate(F.array_sort(keys), markdown, one)
 
 
-def extract_choice(text: Column, choices: list[str]) -> Column:
-    """The choice that a response names: all of it, else the whole word furthest right, else the last token that is one; else null."""
+WORD = r"\p{L}\p{Mn}\p{Nd}\p{Pc}"  #: characters of words in any script
+ASCII_WORD = "0-9A-Za-z_"
+
+
+def _whole(word: str, of: str) -> str:
+    """A pattern of a whole word, said by its characters, since what \\b stands for differs between engines and versions of Java."""
+    edge = f"(?:(?<=[{of}])(?![{of}])|(?<![{of}])(?=[{of}]))"
+    return f"{edge}{re.escape(word)}{edge}"
+
+
+def extract_choice(text: Column, choices: list[str], word: str = WORD) -> Column:
+    """The choice that a response names: all of it, else the whole word furthest right, else the last token that is one; else null.
+
+    word: the characters that words are made of, as in a regular expression's brackets."""
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
     exact = F.coalesce(*(F.when(F.lower(trimmed) == c.lower(), c) for c in choices))
     # the text up to the last whole word that is this choice tells where it stands
-    place = [F.length(F.regexp_extract(text, rf"(?is)^(.*)\b{re.escape(c)}\b", 1)) + F.when(text.rlike(rf"(?i)\b{re.escape(c)}\b"), 1).otherwise(-1) for c in choices]
+    place = [F.length(F.regexp_extract(text, f"(?is)^(.*){_whole(c, word)}", 1)) + F.when(text.rlike(f"(?i){_whole(c, word)}"), 1).otherwise(-1) for c in choices]
     ranked = F.array_max(F.array(*(F.when(p > 0, F.struct(p.alias("at"), F.lit(-i).alias("i"), F.lit(c).alias("c"))) for i, (p, c) in enumerate(zip(place, choices)))))
     parts = F.reverse(F.filter(F.split(trimmed, _SEPARATORS), lambda x: x != ""))
     known = F.filter(parts, lambda x: F.lower(x).isin(*(c.lower() for c in choices)))
