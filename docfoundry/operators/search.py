@@ -7,9 +7,12 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docfoundry.sources.files import kept
+
 from .access import denied
 
 SIMILAR = 0.3
@@ -246,8 +249,8 @@ def _by_blocks(requests: DataFrame, points: DataFrame, k: int, threshold: float,
 
 
 _FOUND = "request_id long, point_id long, document_id long, score double"
-MOST_BYTES = 64 << 20  #: of request vectors, and of granted pairs, that each task over points may be handed
-MOST_DATASETS = 10_000  #: of granted datasets that partitions of points are picked by one by one
+MOST_BYTES = 16 << 20  #: of request vectors, and of granted pairs, that each task over points may be handed
+MOST_DATASETS = 10_000  #: of granted datasets that partitions of points are picked by one by one, and of granted pairs that are taken as they come
 
 
 _NO_DOCUMENT = -(1 << 63)
@@ -323,22 +326,33 @@ def _bounded_requests(requests: DataFrame, most: int) -> dict[int, tuple[np.ndar
     """By length of vectors, (ids, matrix) of all requests; None if they take more than `most` bytes."""
     if (requests.agg(F.sum(8 * F.size("vector") + 16)).first()[0] or 0) > most:
         return None
-    by: dict[int, list] = {}
-    for r in requests.filter("request_id is not null").select("request_id", "vector").collect():
-        by.setdefault(len(r["vector"]), []).append((r["request_id"], r["vector"]))
-    return {size: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], float)) for size, rows in by.items()}
-
-
-def _bounded_grants(allowed: DataFrame, most: int) -> dict[int, np.ndarray] | None:
-    """For each dataset the requests that may look into it; None if the pairs take more than `most` bytes."""
-    pairs = allowed.select(F.col("request_id").cast("long").alias("r"), F.col("dataset_id").cast("long").alias("d")).filter("r is not null and d is not null").distinct()
-    rows = pairs.limit(most // 16 + 1).collect()
-    if len(rows) > most // 16:
+    rows = requests.filter("request_id is not null").select(F.col("request_id").cast("long").alias("request_id"), F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
+    sizes = pc.list_value_length(rows.column("vector")).to_numpy()
+    by = {}
+    for size in np.unique(sizes).tolist():
+        own = rows.filter(pa.array(sizes == size)).combine_chunks()
+        by[size] = own.column("request_id").to_numpy(), np.concatenate([x.flatten().to_numpy() for x in own.column("vector").chunks]).reshape(-1, size)
+    return by
+
+
+def _grants(allowed: DataFrame, points: DataFrame) -> DataFrame:
+    """Distinct (request_id, dataset_id), computed once; of many pairs, those whose datasets have points, which may be few among all that
+    users see."""
+    pairs = allowed.select("request_id", "dataset_id").filter("request_id is not null and dataset_id is not null")
+    if pairs.limit(MOST_DATASETS + 1).count() > MOST_DATASETS:
+        pairs = pairs.join(points.select("dataset_id").distinct(), "dataset_id", "left_semi")
+    return kept(pairs.distinct(), "grants")
+
+
+def _bounded_grants(grants: DataFrame, most: int) -> dict[int, np.ndarray] | None:
+    """For each dataset the requests that may look into it, from _grants(); None if the pairs take more than `most` bytes."""
+    if grants.count() > most // 16:
         return None
-    by: dict[int, list[int]] = {}
-    for r, d in rows:
-        by.setdefault(d, []).append(r)
-    return {d: np.array(sorted(rs), np.int64) for d, rs in by.items()}
+    pairs = grants.select(F.col("request_id").cast("long").alias("r"), F.col("dataset_id").cast("long").alias("d")).toArrow()
+    r, d = (pairs.column(c).to_numpy() for c in ("r", "d"))
+    order = np.lexsort((r, d))
+    datasets, first = np.unique(d[order], return_index=True)
+    return dict(zip(datasets.tolist(), np.split(r[order], first[1:]))) if len(datasets) else {}
 
 
 def vector_top_k(requests: DataFrame, points: DataFrame, k: int = 10, threshold: float = 0.3, distance: str = "cosine", allowed: DataFrame | None = None, block: int = 1000, most: int = MOST_BYTES) -> DataFrame:
@@ -350,6 +364,7 @@ def vector_top_k(requests: DataFrame, points: DataFrame, k: int = 10, threshold:
     request sees nothing. Vectors that are not sound() find nothing and are not found; vectors of different lengths never meet; repeated
     points are all found.
     """
+    allowed = None if allowed is None else _grants(allowed, points)
     requests, points = requests.filter(sound(F.col("vector"))), points.filter(sound(F.col("vector")))
     asked = _bounded_requests(requests, most)
     counted = allowed is not None and points.schema["dataset_id"].dataType.typeName() in ("byte", "short", "integer", "long")

@@ -152,3 +152,21 @@ def test_crowded_trigrams_are_joined_in_groups(spark):
     assert len(rows) >= 8 and max(r["count"] for r in rows) < 1000
     assert often.every(q.withColumn("t", F.lit("com")), "t").count() == len(rows)
     assert (1, 17) in {(r["query_id"], r["id"]) for r in search.trigram_join(q, n, crowd=500).collect()}
+
+
+def test_few_datasets_have_points(spark, monkeypatch):
+    """Grants of datasets without points aren't collected, and don't count among what tasks may be handed."""
+    rng = np.random.default_rng(5)
+    asked = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(20)], "request_id long, vector array<double>")
+    points = spark.createDataFrame([(i, i, rng.normal(size=4).tolist(), i % 3) for i in range(90)], "point_id long, document_id long, vector array<double>, dataset_id int")
+    allowed = asked.select("request_id", F.explode(F.sequence(F.lit(1), F.lit(5000))).alias("dataset_id"))
+    most = 20 * (8 * 4 + 16)
+    got = []
+    bounded = search._bounded_grants
+    monkeypatch.setattr(search, "_bounded_grants", lambda *a: got.append(bounded(*a)) or got[-1])
+    top = search.vector_top_k(asked, points, k=5, threshold=-9.0, allowed=allowed.unionByName(allowed), most=most)
+    assert "CoGroup" not in top._jdf.queryExecution().executedPlan().toString()
+    assert {d: who.tolist() for d, who in got[0].items()} == {1: list(range(20)), 2: list(range(20))}
+    vectors = {r["request_id"]: r["vector"] for r in asked.collect()}
+    want = best(list(vectors.items()), [(r["point_id"], r["vector"], r["dataset_id"]) for r in points.collect()], lambda r, d: d in (1, 2), 5, -9.0)
+    assert found(top) == want
