@@ -87,23 +87,55 @@ def _band(size: Column) -> Column:
     return F.floor(F.log(size) / F.log(F.lit(_BAND))).cast("int")
 
 
+def distinct_texts(rows: DataFrame, column: str) -> DataFrame:
+    """(text, tid): each text of a column once, in lower case, with a number of its own; computed once. Null texts are none."""
+    return kept(rows.filter(F.col(column).isNotNull()).select(F.lower(column).alias("text")).distinct().withColumn("tid", F.monotonically_increasing_id()), "texts")
+
+
+def _who(rows: DataFrame, key: str, column: str, texts: DataFrame, *more: str) -> DataFrame:
+    """(key, tid, ..) of the rows that have a text of distinct_texts(), each row on its own."""
+    return rows.filter(F.col(key).isNotNull()).select(key, F.lower(column).alias("text"), *more).join(texts, "text").drop("text")
+
+
 def trigram_join(queries: DataFrame, names: DataFrame, least: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
     """(query_id, id, similarity) of the pairs with a similarity of `least` or more, above 0.
 
+    Texts that many rows share are compared once, and found pairs of texts dealt out to the rows that have them, which is a plain join on
+    the text's number. Null texts are like none; rows that share an id are pairs of their own.
+    """
+    asked, named = distinct_texts(queries, "text"), distinct_texts(names, "name")
+    found = similar_texts(asked, named, least, crowd).join(_who(queries, "query_id", "text", asked).withColumnRenamed("tid", "asked"), "asked")
+    # rows come out of the last join, which AQE doesn't see when it puts partitions together
+    dealt = found.repartition(4 * names.sparkSession.sparkContext.defaultParallelism, "tid")
+    return dealt.join(_who(names, "id", "name", named), "tid").select("query_id", "id", "similarity")
+
+
+PREFIXES = 0.05  #: similarity from which on few of a text's trigrams need to be joined; below, all are, and counted
+
+
+def similar_texts(asked: DataFrame, named: DataFrame, least: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
+    """(asked, tid, similarity) of pairs of distinct_texts() with a similarity of `least` or more, above 0.
+
     Two sets of sizes m and n that are as similar share s = least / (1 + least) * (m + n) trigrams, so the first m - s + 1 of the one and of
     the other, rarest first, have one in common. Only these are joined, names under frequent trigrams in groups; sizes too far apart never
-    meet, and queries know the sizes of names by band, which makes s larger. What met is compared once, exactly. Null texts are like none;
-    rows that share an id are pairs of their own.
+    meet, and queries know the sizes of names by band, which makes s larger. What met is compared once, exactly. Where `least` is so small
+    that nearly all trigrams would be joined, all are, and a pair's rows are counted.
     """
-    q = queries.select("query_id", _codes(trigrams(F.col("text"))).alias("g")).filter("size(g) > 0").withColumn("nq", F.size("g"))
-    n = spread(names.select("id", "name")).select("id", _codes(trigrams(F.col("name"))).alias("g")).filter("size(g) > 0").withColumn("nn", F.size("g"))
+    q = spread(asked).select(F.col("tid").alias("query_id"), _codes(trigrams(F.col("text"))).alias("g")).filter("size(g) > 0").withColumn("nq", F.size("g"))
+    n = spread(named).select(F.col("tid").alias("id"), _codes(trigrams(F.col("text"))).alias("g")).filter("size(g) > 0").withColumn("nn", F.size("g"))
     often = _Frequency(n.select("g"), crowd)
+    enough = (F.col("similarity") >= least) & (F.col("similarity") > 0)
+    if least < PREFIXES:
+        have, ask = often.dealt(n.select("id", "nn", F.explode("g").alias("t")), "t", "id"), often.every(q.select("query_id", "nq", F.explode("g").alias("t")), "t")
+        met = ask.join(have, ["t", "_group"]).groupBy("query_id", "id", "nq", "nn").agg(F.count("*").alias("k"))
+        both = met.withColumn("similarity", F.col("k") / (F.col("nq") + F.col("nn") - F.col("k")))
+        return both.filter(enough).select(F.col("query_id").alias("asked"), F.col("id").alias("tid"), "similarity")
     slack = 1e-9
     shared = lambda x, y: F.greatest(F.ceil((x + y) * (least / (1 + least)) - slack), F.lit(1)).cast("int")
     first = lambda size, s: F.slice(often.ordered(F.col("g")), F.lit(1), F.greatest(size - s + 1, F.lit(0)))
     # a name's partner has least * nn trigrams at the fewest
     have = n.select("id", "nn", _band(F.col("nn")).alias("band"), F.explode(first(F.col("nn"), shared(F.col("nn"), F.col("nn") * least))).alias("t"))
-    lowest, highest = (F.col("nq") * least if least > 1e-3 else F.lit(1.0)), (F.col("nq") / least if least > 1e-3 else F.lit(1e9))
+    lowest, highest = F.col("nq") * least, F.col("nq") / least
     bands = F.sequence(F.greatest(_band(F.greatest(lowest, F.lit(1.0))) - 1, F.lit(0)), F.least(_band(highest) + 1, _band(F.lit(1e6))))
     ask = q.withColumn("band", F.explode(bands))
     smallest = F.greatest(F.pow(F.lit(_BAND), F.col("band")) - slack, lowest)
@@ -113,7 +145,7 @@ def trigram_join(queries: DataFrame, names: DataFrame, least: float = SIMILAR, c
     met = ask.join(have, ["t", "band", "_group"]).filter(fits).select("query_id", "id").distinct()
     both = met.join(n.select("id", F.col("g").alias("gn"), "nn"), "id").join(q, "query_id")
     k = F.size(F.array_intersect("g", "gn"))
-    return both.withColumn("similarity", k / (F.col("nq") + F.col("nn") - k)).filter((F.col("similarity") >= least) & (F.col("similarity") > 0)).select("query_id", "id", "similarity")
+    return both.withColumn("similarity", k / (F.col("nq") + F.col("nn") - k)).filter(enough).select(F.col("query_id").alias("asked"), F.col("id").alias("tid"), "similarity")
 
 
 def holding(queries: DataFrame, names: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -142,17 +174,31 @@ def name_search(queries: DataFrame, names: DataFrame, top: int = 20, allowed: Da
     """(query_id, id, similarity, rank): names that contain the text or are similar, the nearest first, `top` for each query.
 
     allowed: (request_id, dataset_id) from granted(), request_id being a query's; names (with dataset_id) elsewhere aren't found.
+
+    Texts that many rows share are compared once. Rows with one text (in one dataset) stand together in a query's order but for ties, so the
+    `top` best of these groups, by their smallest ids, hold all rows that it can list, and only their `top` smallest ids are dealt out.
     """
-    pairs = trigram_join(queries, names).unionByName(holding(queries, names).withColumn("similarity", F.lit(None).cast("double")))
-    pairs = pairs.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
-    own = names.select("id", "name", *(["dataset_id"] if allowed is not None else []))
-    found = pairs.join(own, "id").join(queries.select("query_id", "text"), "query_id")
-    if allowed is not None:
-        found = found.join(allowed.select(F.col("request_id").alias("query_id"), "dataset_id"), ["query_id", "dataset_id"], "left_semi")
+    asked, named = distinct_texts(queries, "text"), distinct_texts(names, "name")
+    held = holding(asked.select(F.col("tid").alias("query_id"), "text"), named.select(F.col("tid").alias("id"), F.col("text").alias("name")))
+    held = held.select(F.col("query_id").alias("asked"), F.col("id").alias("tid"), F.lit(None).cast("double").alias("similarity"))
+    pairs = similar_texts(asked, named).unionByName(held).groupBy("asked", "tid").agg(F.max("similarity").alias("similarity"))
     # what only contains the text hasn't been compared yet
-    found = found.select("query_id", "id", F.coalesce("similarity", trigram_similarity(F.col("name"), F.col("text"))).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top)
+    bare = pairs.filter("similarity is null").drop("similarity").join(named, "tid").join(asked.select(F.col("tid").alias("asked"), F.col("text").alias("_asked")), "asked")
+    pairs = pairs.filter("similarity is not null").unionByName(bare.select("asked", "tid", trigram_similarity(F.col("text"), F.col("_asked")).alias("similarity")))
+
+    by = ["tid", *(["dataset_id"] if allowed is not None else [])]
+    own = _who(names, "id", "name", named, *by[1:])
+    groups = own.groupBy(*by).agg(F.min("id").alias("_first"))
+    least = own.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("_n") <= top).drop("_n")
+    who = _who(queries, "query_id", "text", asked).withColumnRenamed("tid", "asked")
+    ranked = lambda df, key, of: df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("similarity", 9)), of))).filter(F.col("rank") <= top)
+    found = pairs.join(groups, "tid")
+    if allowed is None:
+        found = ranked(ranked(found, "asked", "_first").drop("rank").join(least, by), "asked", "id").drop("rank").join(who, "asked")
+    else:
+        found = found.join(who, "asked").join(_grants(allowed, names).withColumnRenamed("request_id", "query_id"), ["query_id", "dataset_id"], "left_semi")
+        found = ranked(found, "query_id", "_first").drop("rank").join(least, by)
+    return ranked(found.select("query_id", "id", "similarity"), "query_id", "id")
 
 
 def metadata_filter(conditions: dict, lists: tuple[str, ...] = ()) -> Column:

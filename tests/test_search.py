@@ -170,3 +170,30 @@ def test_few_datasets_have_points(spark, monkeypatch):
     vectors = {r["request_id"]: r["vector"] for r in asked.collect()}
     want = best(list(vectors.items()), [(r["point_id"], r["vector"], r["dataset_id"]) for r in points.collect()], lambda r, d: d in (1, 2), 5, -9.0)
     assert found(top) == want
+
+
+@pytest.mark.parametrize("limited", [False, True])
+def test_texts_of_many_rows_are_compared_once(spark, limited):
+    """Copies, in other cases too, find and are found each on their own, in the order of their ids among equals."""
+    import re
+
+    have = [(i, x.upper() if i % 3 else x, i % 4) for i, x in enumerate(names_at_random(8, 40) * 12)] + [(900, None, 1), (None, "steel", 1)]
+    ask = [(i, x if i % 2 else x.title()) for i, x in enumerate(names_at_random(9, 12) * 3)] + [(99, None)]
+    n = spark.createDataFrame(have, "id long, name string, dataset_id int").repartition(4)
+    q = spark.createDataFrame(ask, "query_id long, text string")
+    assert search.distinct_texts(n, "name").count() == len({x.lower() for _, x, _ in have if x is not None})
+    may = {(i, d) for i, _ in ask for d in range(4) if (i + d) % 3}
+    allowed = spark.createDataFrame(sorted(may), "request_id long, dataset_id int") if limited else None
+    pattern = lambda t: re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in t.lower()), re.S)
+    want = set()
+    for i, a in ask:
+        rows = []
+        for j, b, d in have:
+            if a is None or b is None or j is None or limited and (i, d) not in may:
+                continue
+            x, y = py_grams(a), py_grams(b)
+            s = len(x & y) / len(x | y) if x | y else 0.0
+            if s >= 0.3 or pattern(a).search(b.lower()):
+                rows.append((-round(s, 9), j))
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(sorted(rows)[:20])}
+    assert {tuple(r) for r in search.name_search(q, n, allowed=allowed).select("query_id", "id", "rank").collect()} == want
