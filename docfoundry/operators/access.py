@@ -5,9 +5,13 @@ Masks are bits: 1 read, 2 update, 4 delete, 8 share. An owner has all of them.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docfoundry.sources.files import kept
+
 READ, UPDATE, DELETE, SHARE, FULL = 1, 2, 4, 8, 15
 
 
@@ -30,41 +34,66 @@ def _dataset_shares(shares: DataFrame) -> DataFrame:
     return shares.filter("dataset_item_id is null")
 
 
-def accessible_datasets(datasets: DataFrame, shares: DataFrame, memberships: DataFrame, users: DataFrame | None = None, admins: list[int] | None = None, include_deleted: bool = False) -> DataFrame:
-    """(user_id, dataset_id), distinct: owned, shared to the user, of a department that the user manages, shared to a department of
-    the user's; all of them for an admin. Department shares meet memberships once for each (dataset, department)."""
-    found = active(datasets, include_deleted)
-    direct = _dataset_shares(shares)
-    by_department = direct.filter("department_id is not null").select("dataset_id", "department_id").distinct()
-    managed = memberships.filter("role = 'Manager'").select("user_id", "department_id")
-    ids = found.select(F.col("id").alias("dataset_id"))
+#: Pairs of a user and a dataset that are grouped in one task. They compress so well that AQE, which goes by bytes, would put far more together.
+PAIRS = 1_000_000
+
+
+def _grouped_shares(shares: DataFrame) -> DataFrame:
+    """(dataset_id, user_id, department_id, mask): what each user and each department is given of a dataset; computed once."""
+    named = _dataset_shares(shares).filter("dataset_id is not null and (user_id is not null or department_id is not null)")
+    return kept(named.groupBy("dataset_id", "user_id", "department_id").agg(F.bit_or("mask").alias("mask")), "shares")
+
+
+def _members(memberships: DataFrame) -> DataFrame:
+    """Memberships in storage, so that Spark knows how few they are before it deals datasets by department."""
+    return kept(memberships.select("user_id", "department_id", "role").distinct(), "members")
+
+
+def _joined(of: DataFrame, members: DataFrame) -> int:
+    """How many rows a join by department has."""
+    n = members.groupBy("department_id").agg(F.count("*").alias("m"))
+    return of.groupBy("department_id").count().join(n, "department_id").agg(F.sum(F.col("count") * F.col("m"))).first()[0] or 0
+
+
+def _sources(found: DataFrame, shares: DataFrame, memberships: DataFrame) -> tuple[DataFrame, int]:
+    """(user_id, dataset_id, mask) by every way there is, with repeats: owners, managers of a dataset's department, shares to users and to
+    departments; and into how many partitions they are dealt by dataset, with about PAIRS each."""
+    given, members = _grouped_shares(shares), _members(memberships)
+    managers = members.filter("role = 'Manager'").select("user_id", "department_id").distinct()
+    members = members.select("user_id", "department_id").distinct()
+    of = found.select(F.col("id").alias("dataset_id"), "department_id", "owner_user_id")
+    to_users, to_departments = given.filter("user_id is not null"), given.filter("department_id is not null").select("dataset_id", "department_id", "mask")
     parts = [
-        found.select(F.col("owner_user_id").alias("user_id"), F.col("id").alias("dataset_id")),
-        direct.filter("user_id is not null").select("user_id", "dataset_id").distinct().join(ids, "dataset_id", "left_semi").select("user_id", "dataset_id"),
-        managed.join(found.select("department_id", F.col("id").alias("dataset_id")), "department_id").select("user_id", "dataset_id"),
-        by_department.join(ids, "dataset_id", "left_semi").join(memberships.select("user_id", "department_id"), "department_id").select("user_id", "dataset_id"),
+        of.select(F.col("owner_user_id").alias("user_id"), "dataset_id", F.lit(FULL).alias("mask")),
+        managers.join(of, "department_id").select("user_id", "dataset_id", F.lit(READ).alias("mask")),
+        to_users.join(of.select("dataset_id"), "dataset_id", "left_semi").select("user_id", "dataset_id", "mask"),
+        to_departments.join(of.select("dataset_id"), "dataset_id", "left_semi").join(members, "department_id").select("user_id", "dataset_id", "mask"),
     ]
-    if admins:
-        parts.append(ids.select(F.explode(F.lit(admins).cast("array<bigint>")).alias("user_id"), "dataset_id"))
+    rows = of.count() + _joined(of, managers) + to_users.count() + _joined(to_departments, members)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.filter("user_id is not null").distinct()
+    usual = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(usual, ceil(rows / PAIRS))
+    return out, n
+
+
+def accessible_datasets(datasets: DataFrame, shares: DataFrame, memberships: DataFrame, users: DataFrame | None = None, admins: list[int] | None = None, include_deleted: bool = False) -> DataFrame:
+    """(user_id, dataset_id), distinct: owned, shared to the user, of a department that the user manages, shared to a department of
+    the user's; all of them for an admin. Department shares meet memberships once for each (dataset, department)."""
+    found = active(datasets, include_deleted)
+    out, n = _sources(found, shares, memberships)
+    out = out.select("user_id", "dataset_id")
+    if admins:
+        out = out.unionByName(found.select(F.explode(F.lit(admins).cast("array<bigint>")).alias("user_id"), F.col("id").alias("dataset_id")))
+    out = out.filter("user_id is not null").repartition(n, "dataset_id", "user_id").distinct()
     return out if users is None else out.join(users.select("user_id").distinct(), "user_id", "left_semi")
 
 
 def effective_permissions(datasets: DataFrame, shares: DataFrame, memberships: DataFrame) -> DataFrame:
     """(user_id, dataset_id, mask) of every pair with any permission: 15 for the owner, else what all sources add up to."""
-    direct = _dataset_shares(shares)
-    by_department = direct.filter("department_id is not null").groupBy("dataset_id", "department_id").agg(F.bit_or("mask").alias("mask"))
-    of = datasets.select(F.col("id").alias("dataset_id"), "department_id", "owner_user_id")
-    found = (
-        of.select(F.col("owner_user_id").alias("user_id"), "dataset_id", F.lit(FULL).alias("mask"))
-        .unionByName(memberships.filter("role = 'Manager'").join(of, "department_id").select("user_id", "dataset_id", F.lit(READ).alias("mask")))
-        .unionByName(direct.filter("user_id is not null").select("user_id", "dataset_id", "mask"))
-        .unionByName(by_department.join(memberships.select("user_id", "department_id"), "department_id").select("user_id", "dataset_id", "mask"))
-    )
-    return found.join(of.select("dataset_id"), "dataset_id", "left_semi").groupBy("user_id", "dataset_id").agg(F.bit_or("mask").alias("mask"))
+    out, n = _sources(datasets, shares, memberships)
+    return out.repartition(n, "dataset_id", "user_id").groupBy("user_id", "dataset_id").agg(F.bit_or("mask").alias("mask"))
 
 
 def effective_item_permissions(permissions: DataFrame, items: DataFrame, shares: DataFrame) -> DataFrame:
@@ -77,8 +106,15 @@ def effective_item_permissions(permissions: DataFrame, items: DataFrame, shares:
 
 
 def accessible_documents(items: DataFrame, accessible: DataFrame) -> DataFrame:
-    """(user_id, document_id) of items in datasets that the user may see."""
-    return items.filter("document_id is not null").select("dataset_id", "document_id").join(accessible, "dataset_id").select("user_id", "document_id").distinct()
+    """(user_id, document_id) of items in datasets that the user may see.
+
+    accessible: distinct, as accessible_datasets() gives it. So only documents of several datasets can come twice, and only their rows are
+    compared."""
+    placed = items.filter("document_id is not null").groupBy("document_id").agg(F.collect_set("dataset_id").alias("_in"))
+    each = placed.select("document_id", F.explode("_in").alias("dataset_id"), (F.size("_in") > 1).alias("_several"))
+    found = each.join(accessible, "dataset_id").select("user_id", "document_id", "_several")
+    again = found.filter("_several").select("user_id", "document_id").distinct()
+    return found.filter("not _several").select("user_id", "document_id").unionByName(again)
 
 
 def denied(requested: DataFrame, accessible: DataFrame) -> DataFrame:

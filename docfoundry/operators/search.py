@@ -434,6 +434,7 @@ def first_point_per_document(top: DataFrame) -> DataFrame:
 def granted(requests: DataFrame, wanted: DataFrame, accessible: DataFrame) -> DataFrame:
     """(request_id, dataset_id) that requests (request_id, user_id) may look into: the datasets that they want (request_id, dataset_id), or
     without any all that are accessible (user_id, dataset_id). A request for a dataset that its user may not see gets nothing at all."""
+    accessible = kept(accessible.join(requests.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "dataset_id"), "accessible")
     asked = wanted.join(requests.select("request_id", "user_id"), "request_id")
     rejected = denied(asked, accessible).select("request_id").distinct()
     named = asked.join(rejected, "request_id", "left_anti").select("request_id", "dataset_id").distinct()
