@@ -21,6 +21,20 @@ def read_ocr_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.inline(F.from_json("value", PAGE)))
 
 
+def pack_ocr_pages(pages: DataFrame, path: str) -> None:
+    """Write pages (doc_id, page_index, markdown, images) below path, a document a line with its list of pages, many to a file: with a file
+    for each document, stores spend their time on names and opens."""
+    page = F.struct("page_index", "markdown", "images")
+    packed = pages.groupBy("doc_id").agg(F.collect_list(page).alias("pages"))
+    packed.select(F.to_json(F.struct("doc_id", "pages")).alias("value")).write.text(path)
+
+
+def read_packed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, page_index, markdown, images) of what pack_ocr_pages() wrote."""
+    lines = spark.read.text(path).select(F.from_json("value", f"struct<doc_id:bigint,pages:{PAGE}>").alias("d"))
+    return lines.select("d.doc_id", F.inline("d.pages"))
+
+
 def assemble_document(pages: DataFrame) -> DataFrame:
     """(doc_id, text): pages in order, each with its footer."""
     body = F.concat("markdown", F.lit("\nPage "), (F.col("page_index") + 1).cast("string"), F.lit("\n\n---\n"))

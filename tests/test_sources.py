@@ -57,3 +57,16 @@ def test_options_of_other_sources(spark):
     got = files.read_ocr_events(Session, "events", {"kafka.bootstrap.servers": "h:9", "startingOffsets": "earliest"})
     assert got.columns == ["data", "ts"] and got.first()["data"] == '{"a":1}'
     assert Session.readStream.asked == {"format": "kafka", "subscribe": "events", "kafka.bootstrap.servers": "h:9", "startingOffsets": "earliest"}
+
+
+def test_packed_pages_are_read_as_files_of_lists_are(spark, tmp_path):
+    rows = [(d, i, f"line\n\"{d}\" é {i}", {"k.jpg": "x"}) for d in range(7) for i in reversed(range(3))] + [(8, 0, None, None)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_index int, markdown string, images map<string,string>").repartition(3)
+    files.pack_ocr_pages(pages, str(tmp_path / "packed"))
+    got = files.read_packed_pages(spark, str(tmp_path / "packed"))
+    key = lambda r: (r[0], r[1])
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(rows, key=key)
+    # few files, however many documents
+    files.pack_ocr_pages(spark.range(500).selectExpr("id as doc_id", "0 as page_index", "'x' as markdown", "map('k', 'v') as images"), str(tmp_path / "many"))
+    assert files.read_packed_pages(spark, str(tmp_path / "many")).count() == 500
+    assert len(list((tmp_path / "many").glob("part-*"))) <= 8
