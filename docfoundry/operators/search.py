@@ -431,15 +431,23 @@ def first_point_per_document(top: DataFrame) -> DataFrame:
     return top.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def granted(requests: DataFrame, wanted: DataFrame, accessible: DataFrame) -> DataFrame:
+def granted(requests: DataFrame, wanted: DataFrame, accessible: DataFrame, holding: DataFrame | None = None) -> DataFrame:
     """(request_id, dataset_id) that requests (request_id, user_id) may look into: the datasets that they want (request_id, dataset_id), or
-    without any all that are accessible (user_id, dataset_id). A request for a dataset that its user may not see gets nothing at all."""
-    accessible = kept(accessible.join(requests.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "dataset_id"), "accessible")
+    without any all that are accessible (user_id, dataset_id). A request for a dataset that its user may not see gets nothing at all.
+
+    holding: (dataset_id) with anything to be found; others, which may be most of what users see, are left out unless a request names them.
+    """
+    needed = accessible.join(requests.select("user_id").distinct(), "user_id", "left_semi")
+    if holding is not None:
+        holding = kept(holding.select("dataset_id").distinct(), "holding")
+        needed = needed.join(holding.unionByName(wanted.select(F.col("dataset_id").cast(holding.schema["dataset_id"].dataType))).distinct(), "dataset_id", "left_semi")
+    accessible = kept(needed.select("user_id", "dataset_id"), "accessible")
     asked = wanted.join(requests.select("request_id", "user_id"), "request_id")
     rejected = denied(asked, accessible).select("request_id").distinct()
     named = asked.join(rejected, "request_id", "left_anti").select("request_id", "dataset_id").distinct()
     free = requests.select("request_id", "user_id").join(wanted.select("request_id").distinct(), "request_id", "left_anti")
-    return named.unionByName(free.join(accessible, "user_id").select("request_id", "dataset_id"))
+    seen = accessible if holding is None else accessible.join(holding, "dataset_id", "left_semi")
+    return named.unionByName(free.join(seen, "user_id").select("request_id", "dataset_id"))
 
 
 def vector_search(requests: DataFrame, points: DataFrame, documents: DataFrame, allowed: DataFrame, conditions: dict | None = None, **options) -> DataFrame:

@@ -119,7 +119,7 @@ _GRANTED = f"""{_ACCESSIBLE}, wants AS (SELECT request_id, user_id, unnest([{_US
 )
 def _(t):
     asked = asking(t)
-    allowed = search.granted(asked, wanting(asked), accessible(t))
+    allowed = search.granted(asked, wanting(asked), accessible(t), t.point)
     seen = t.point.filter("document_type <> 'memo'")
     return search.vector_search(asked, seen, t.document, allowed, {"year": (2003, None)}, threshold=0.05).withColumn("score", F.round("score", 4))
 
@@ -133,7 +133,7 @@ def _(t):
 )
 def _(t):
     asked = t.name_query.withColumnRenamed("query_id", "request_id")
-    return search.name_search(t.name_query, t.name_corpus, allowed=search.granted(asked, wanting(asked), accessible(t))).select("query_id", "id", "rank")
+    return search.name_search(t.name_query, t.name_corpus, allowed=search.granted(asked, wanting(asked), accessible(t), t.name_corpus)).select("query_id", "id", "rank")
 
 
 _UUID = "substr(md5(CAST(o_orderkey AS STRING)), 1, 8) || '-' || substr(md5(CAST(o_orderkey AS STRING)), 9, 4) || '-4000-8000-' || substr(md5(CAST(o_orderkey AS STRING)), 13, 12)"

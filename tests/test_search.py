@@ -197,3 +197,11 @@ def test_texts_of_many_rows_are_compared_once(spark, limited):
                 rows.append((-round(s, 9), j))
         want |= {(i, j, k + 1) for k, (_, j) in enumerate(sorted(rows)[:20])}
     assert {tuple(r) for r in search.name_search(q, n, allowed=allowed).select("query_id", "id", "rank").collect()} == want
+
+
+def test_grants_of_datasets_that_hold_anything(spark):
+    asked = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "request_id long, user_id long")
+    wanted = spark.createDataFrame([(1, 100), (2, 300)], "request_id long, dataset_id long")
+    accessible = spark.createDataFrame([(7, 100), (8, 300), (8, 400), (9, 400)], "user_id long, dataset_id long")
+    holding = spark.createDataFrame([(400,), (400,), (None,)], "dataset_id int")
+    assert sorted(map(tuple, search.granted(asked, wanted, accessible, holding).collect())) == [(1, 100), (3, 400)]
