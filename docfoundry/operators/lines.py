@@ -40,12 +40,21 @@ def _marked_lines(text: Column) -> Column:
     return F.when(text.rlike(_FENCE), F.flatten(F.transform(between, part))).otherwise(plain(F.split(text, "\n")))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by doc_id to twice as many tasks as spark.sql.shuffle.partitions says.
+
+    Lines with their marks are many times as large as what is shuffled, by whose size adaptive execution would give a task more than it
+    can sort in memory. (To just as many tasks, Spark would leave the exchange out where rows come by doc_id already, and put tasks together.)
+    """
+    return rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, n, start, line, is_last, code, under): lines from 1, with the place of their first character. Null texts have none.
 
-    code: within a fenced block; under: the next line if that underlines a title, else null.
+    code: within a fenced block; under: the next line if that underlines a title, else null. Whole texts are dealt out, not their lines.
     """
-    each = docs.filter("text is not null").select("doc_id", "text", _marked_lines(F.col("text")).alias("l"))
+    each = dealt(docs.filter("text is not null").select("doc_id", "text")).select("doc_id", "text", _marked_lines(F.col("text")).alias("l"))
     below = lambda i: F.get("l", i + 1)["line"]
     marked = F.transform("l", lambda x, i: F.struct(x["line"].alias("line"), x["code"].alias("code"), F.when(below(i).rlike(_UNDERLINE), below(i)).alias("under")))
     unmarked = F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["code"].alias("code"), F.lit(None).cast("string").alias("under")))

@@ -250,7 +250,7 @@ def _(t):
 def both_kinds(t) -> tuple[DataFrame, DataFrame]:
     """Text chunks and table chunks of documents and of documents full of tables."""
     docs = ocr_document(t).select(F.col("doc_id"), "text").unionByName(table_document(t).select((F.col("doc_id") + 10**9).alias("doc_id"), "text"))
-    found = kept(lines.classify_lines(docs), "lines")
+    found = lines.dealt(kept(lines.classify_lines(docs), "lines"))
     return chunking.chunks_of_lines(found, LIMIT), tables.table_chunks(found, "merge")
 
 

@@ -316,3 +316,16 @@ def test_table_documents_keep_every_table(spark):
     assert max(want.values()) > 12 and max(r["n"] for r in got) == 12
     assert {c: sum(r["n"] for r in got if r["customer"] == c) for c in want} == want
     assert tables.tables_of(lines.classify_lines(structure.table_document(t))).count() == t.orders.count()
+
+
+def test_lines_come_in_tasks_that_adaptive_execution_leaves_alone(spark):
+    """By the size of texts alone, adaptive execution put the lines of many documents into one task, whose sorts spilled."""
+    docs = spark.range(64).groupBy(F.col("id").alias("doc_id")).agg(F.lit("| a |\n|---|\n| 1 |\nb").alias("text"))
+    found = lines.classify_lines(docs)
+    assert found.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [p for p in plan.split("\n") if "Exchange" in p]
+    assert exchanges and all("line#" not in p for p in exchanges)
+    assert found.count() == 64 * 4
+    for made in (tables.remove_tables(found), chunking._sections(found), tables.table_chunks(found)):
+        assert made.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
