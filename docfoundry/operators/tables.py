@@ -173,17 +173,24 @@ def strip_nested_tables(html: Column) -> Column:
 def html_table_info(html: Column) -> Column:
     """The same struct of an HTML table: a header if there is any th; its cells are those of the first row that has one. Spans don't count."""
     # fixed values: the patterns of rows, cells and headers
-    outer = strip_nested_tables(html)
-    has = outer.rlike(r"(?i)<th[\s>]")
-    rows = F.regexp_extract_all(outer, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<(?:td|th)[^>]*>(.*?)</(?:td|th)>"), F.lit(1)), lambda c: F.trim(c))
-    heads = F.filter(rows, lambda r: r.rlike(r"(?i)<th[^>]*>"))
-    return F.struct(
-        F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(cells(r)))), F.lit(0)).alias("column_count"),
-        F.when(has & (F.size(heads) > 0), cells(heads[0])).alias("header_cells"),
-        has.alias("has_header"),
-        F.when(has, F.greatest(F.size(rows) - 1, F.lit(0))).otherwise(F.size(rows)).alias("row_count"),
-    )
+
+    def of_rows(x: Column) -> Column:
+        has, rows = x["has"], x["rows"]
+        head = F.get(F.filter(rows, lambda r: r.rlike(r"(?i)<th[^>]*>")), F.lit(0))
+        return F.struct(
+            F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(cells(r)))), F.lit(0)).alias("column_count"),
+            F.when(has, cells(head)).alias("header_cells"),
+            has.alias("has_header"),
+            F.when(has, F.greatest(F.size(rows) - 1, F.lit(0))).otherwise(F.size(rows)).alias("row_count"),
+        )
+
+    def found(outer: Column) -> Column:
+        rows = F.regexp_extract_all(outer, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+        return F.struct(outer.rlike(r"(?i)<th[\s>]").alias("has"), rows.alias("rows"))
+
+    # nested tables are stripped once, and rows are found once, however often the struct names them
+    return _one(F.transform(F.transform(F.array(strip_nested_tables(html)), found), of_rows))
 
 
 def _blocks(lines: DataFrame) -> DataFrame:

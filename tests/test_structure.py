@@ -329,3 +329,13 @@ def test_lines_come_in_tasks_that_adaptive_execution_leaves_alone(spark):
     assert found.count() == 64 * 4
     for made in (tables.remove_tables(found), chunking._sections(found), tables.table_chunks(found)):
         assert made.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_nested_tables_are_stripped_once(spark):
+    """Each field of the struct named the stripped text anew, and each name stripped it again."""
+    inner = "<table><tr><td>x</td><td>y</td><td>z</td></tr></table>"
+    texts = [f"<table><tr><th>a</th><th>b{inner}</th></tr><tr><td>1</td></tr></table>", "<table><tr><td>1</td></tr></table>", "<table><th>no row</table>", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, html string").select("i", tables.html_table_info(F.col("html")).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("|</table>)") == 1
+    got = {r.i: tuple(r.t) for r in df.collect()}
+    assert got == {0: (2, ["a", "b"], True, 1), 1: (1, None, False, 1), 2: (0, None, True, 0), 3: (0, None, False, 0), 4: (0, None, None, None)}
