@@ -130,10 +130,11 @@ def _(t):
     return ev.read_logs(t.spark, folder).select("document_id", F.col("logs")[0]["message"].alias("last"))
 
 
-def dealt(t, rows, folder, files=2):
-    """The rows as a stream of JSON files, dealt out of order, one file a micro-batch."""
-    rows.withColumn("file", F.pmod(F.xxhash64("data"), F.lit(files))).repartition(files, "file").write.partitionBy("file").json(f"{folder}/in")
-    return t.spark.readStream.schema("data string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(f"{folder}/in")
+def dealt(t, rows, folder, batches=2):
+    """The rows as a stream of JSON files, dealt out of order, in so many micro-batches; files grow in number, not in size, with the input."""
+    n = batches * int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, F.xxhash64("data")).write.json(f"{folder}/in")
+    return t.spark.readStream.schema("data string, ts timestamp").option("maxFilesPerTrigger", n // batches).json(f"{folder}/in")
 
 
 def through(t, stream, folder, each, mode="append"):

@@ -191,3 +191,14 @@ def test_logs_of_later_batches_win_by_time(spark, tmp_path):
         ev.upsert_logs(spark.createDataFrame(batches[i], EVENT), i, path)
     assert sorted((r["document_id"], [x["message"] for x in r["logs"]]) for r in ev.read_logs(spark, path).collect()) == [(1, ["late"]), (2, ["c"])]
     assert versions.vacuum(spark, path) >= 0 and ev.read_logs(spark, path).count() == 2
+
+
+def test_streamed_files_grow_in_number(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from docfoundry.plans import streams
+
+    rows = spark.range(5000).selectExpr("cast(id as string) as data", "timestamp'2024-01-01' as ts")
+    batches = []
+    streams.through(None, streams.dealt(SimpleNamespace(spark=spark), rows, str(tmp_path)), str(tmp_path), lambda b, i: batches.append(b.count()))
+    assert len(list((tmp_path / "in").glob("*.json"))) == 2 * 8 and len([n for n in batches if n]) == 2 and sum(batches) == 5000
