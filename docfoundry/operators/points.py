@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfoundry.functions.text import clean_response
-from docfoundry.sources.files import kept
 from docfoundry.sources.versions import merge, read_current
 
 from .metadata import finish_metadata
@@ -73,7 +72,7 @@ def replace_points(points: DataFrame, path: str, version: int, files_per_dataset
     """Replace the points of the documents in `points` in storage, whatever dataset they were in, as `version`; False if that is done already.
 
     Points lie by dataset and bucket of their document. Only buckets that hold such documents, before or after, are written anew; files of
-    the others keep their names. `points` is read several times.
+    the others keep their names.
     """
     bucket = F.pmod(F.xxhash64("document_id"), F.lit(files_per_dataset)).cast("int")
     return merge(points.withColumn("bucket", bucket), path, ["dataset_id", "bucket"], "document_id", version, elsewhere=True)
@@ -108,5 +107,4 @@ def index_documents(chunks: DataFrame, cached: DataFrame, responses: DataFrame,
 
 def index_in_storage(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metadata: DataFrame, known: DataFrame, templates: dict[str, str], path: str, version: int, embedder: Callable[[Column], Column]) -> bool:
     """new_points(), computed once, in the place of the documents' old ones in storage; see replace_points()."""
-    made = kept(new_points(chunks, cached, responses, metadata, known, templates, embedder), "points")
-    return replace_points(made, path, version)
+    return replace_points(new_points(chunks, cached, responses, metadata, known, templates, embedder), path, version)

@@ -52,12 +52,14 @@ def merge(new: DataFrame, path: str, by: list[str], key: str, version: int, comb
     """Put the rows of `new` in the place of those with their keys, as `version`; False if that version is committed already.
 
     by: partition columns, of few values; `combine` makes a touched partition's rows from the old and the new ones, instead. With
-    `elsewhere` keys may have rows in other partitions than the new ones: those go too. `new` is read several times.
+    `elsewhere` keys may have rows in other partitions than the new ones: those go too. `new` is computed once: as a micro-batch it may
+    come from a stateful operator, which would run again for each time that it is read.
     """
     spark = new.sparkSession
     marks = _marks(spark, path)
     if marks is not None and marks.filter(F.col(VERSION) == version).limit(1).count():
         return False
+    new = kept(new, "new")
     touched = new.select(*by)
     old = read_current(spark, path)
     rows = new

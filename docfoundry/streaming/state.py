@@ -45,49 +45,43 @@ class JobState(StatefulProcessor):
         self.settled = handle.getValueState("settled", self.SETTLED)
         self.waiting = handle.getListState("waiting", self.WAITING)
 
-    def _settle(self, settled: tuple, waiting: pd.DataFrame, watermark: int) -> tuple[tuple, pd.DataFrame]:
-        past = waiting["at"] // 1000 <= watermark
-        if past.any():
-            done = waiting[past]
-            last = done.iloc[-1]
-            settled = (last["to"], settled[1] + len(done), int(last["at"]), last["data"] if last["to"] in FINAL else None)
-            waiting = waiting[~past]
-        return settled, waiting
-
-    def _keep(self, settled: tuple, waiting: pd.DataFrame) -> None:
+    def _settle(self, settled: tuple, waiting: list[tuple], watermark: int) -> tuple[tuple, list[tuple]]:
+        past = sum(at // 1000 <= watermark for at, *_ in waiting)  # in order of time
+        if past:
+            at, _, to, data = waiting[past - 1]
+            settled = (to, settled[1] + past, at, data if to in FINAL else None)
+        return settled, waiting[past:]
+
+    def _keep(self, settled: tuple, waiting: list[tuple]) -> None:
         """Write the state back, and wake up when the next event can be settled or the job has been idle for long."""
         self.settled.update(settled)
-        if len(waiting):
-            self.waiting.put([(int(r[0]), int(r[1]), r[2], r[3]) for r in waiting.itertuples(index=False)])
-            self.handle.registerTimer(int(waiting["at"].iloc[0]) // 1000 + 1)
+        if waiting:
+            self.waiting.put(waiting)
+            self.handle.registerTimer(waiting[0][0] // 1000 + 1)
         else:
             self.waiting.clear()
             self.handle.registerTimer(settled[2] // 1000 + self.idle)
 
-    def _held(self) -> tuple[tuple, pd.DataFrame]:
+    def _held(self) -> tuple[tuple, list[tuple]]:
         settled = tuple(self.settled.get()) if self.settled.exists() else (None, 0, 0, None)
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        return settled, pd.DataFrame(rows, columns=["at", "event_id", "to", "data"])
+        return settled, [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
 
     def handleInputRows(self, key, rows, timerValues):
         settled, waiting = self._held()
-        new = pd.concat(list(rows))[["at", "event_id", "to", "data"]]
+        new = [(int(at), int(i), to, data) for r in rows for at, i, to, data in zip(r["at"], r["event_id"], r["to"], r["data"].where(r["data"].notna(), None))]
         if settled[0] in FINAL:
             return
-        both = (pd.concat([waiting, new]) if len(waiting) else new).sort_values(["at", "event_id"], kind="stable")
-        ends = both["to"].isin(FINAL).to_numpy()
-        if ends.any():  # what comes after the first end never counts
-            both = both.iloc[: int(ends.argmax()) + 1]
-        both = both.astype(object).where(both.notna(), None)
-        settled, waiting = self._settle(settled, both, timerValues.getCurrentWatermarkInMs())
+        both = sorted([*waiting, *new], key=lambda x: x[:2])
+        end = next((i for i, x in enumerate(both) if x[2] in FINAL), len(both))  # what comes after the first end never counts
+        settled, waiting = self._settle(settled, both[: end + 1], timerValues.getCurrentWatermarkInMs())
         self._keep(settled, waiting)
-        last = (waiting["to"].iloc[-1], waiting["data"].iloc[-1]) if len(waiting) else (settled[0], settled[3])
-        yield pd.DataFrame({"document_id": [key[0]], "status": [last[0]], "is_ocred": [last[0] == "Succeeded"], "n_events": [settled[1] + len(waiting)], "data": [last[1] if last[0] in FINAL else None]})
+        status, data = waiting[-1][2:] if waiting else (settled[0], settled[3])
+        yield pd.DataFrame({"document_id": [key[0]], "status": [status], "is_ocred": [status == "Succeeded"], "n_events": [settled[1] + len(waiting)], "data": [data if status in FINAL else None]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         settled, waiting = self._held()
         settled, waiting = self._settle(settled, waiting, timerValues.getCurrentWatermarkInMs())
-        if not len(waiting) and settled[2] // 1000 + self.idle <= timerValues.getCurrentWatermarkInMs():
+        if not waiting and settled[2] // 1000 + self.idle <= timerValues.getCurrentWatermarkInMs():
             self.settled.clear()
             self.waiting.clear()
         else:

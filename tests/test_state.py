@@ -193,6 +193,22 @@ def test_logs_of_later_batches_win_by_time(spark, tmp_path):
     assert versions.vacuum(spark, path) >= 0 and ev.read_logs(spark, path).count() == 2
 
 
+def test_a_merge_computes_its_rows_once(spark, tmp_path):
+    from docfoundry.sources import versions
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = lambda n: spark.range(n).selectExpr("id as document_id", "id % 2 as bucket").mapInPandas(counted, "document_id long, bucket long")
+    for version, n in ((0, 10), (1, 6)):  # as micro-batches of a stateful operator, which would run again
+        versions.merge(rows(n), str(tmp_path / "m"), ["bucket"], "document_id", version)
+    assert seen.value == 16 and versions.read_current(spark, str(tmp_path / "m")).count() == 10
+
+
 def test_streamed_files_grow_in_number(spark, tmp_path):
     from types import SimpleNamespace
 
