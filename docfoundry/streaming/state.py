@@ -4,7 +4,7 @@ are dealt to micro-batches; timers on the watermark settle what can't change any
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -68,7 +68,7 @@ class JobState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         settled, waiting = self._held()
-        new = [(int(at), int(i), to, data) for r in rows for at, i, to, data in zip(r["at"], r["event_id"], r["to"], r["data"].where(r["data"].notna(), None))]
+        new = [(r["at"], r["event_id"], r["to"], r["data"]) for r in rows]
         if settled[0] in FINAL:
             return
         both = sorted([*waiting, *new], key=lambda x: x[:2])
@@ -76,7 +76,7 @@ class JobState(StatefulProcessor):
         settled, waiting = self._settle(settled, both[: end + 1], timerValues.getCurrentWatermarkInMs())
         self._keep(settled, waiting)
         status, data = waiting[-1][2:] if waiting else (settled[0], settled[3])
-        yield pd.DataFrame({"document_id": [key[0]], "status": [status], "is_ocred": [status == "Succeeded"], "n_events": [settled[1] + len(waiting)], "data": [data if status in FINAL else None]})
+        yield Row(document_id=key[0], status=status, is_ocred=status == "Succeeded", n_events=settled[1] + len(waiting), data=data if status in FINAL else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         settled, waiting = self._held()
@@ -102,7 +102,7 @@ def job_states(events: DataFrame, delay: str = "1 hour", idle: str = "30 days")
     use_state_store(events.sparkSession)
     seen = attached_status(events).withWatermark("ts", delay)
     seen = seen.select("document_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "to", F.when(F.col("to").isin(*FINAL), F.col("data")).alias("data"))
-    return seen.groupBy("document_id").transformWithStateInPandas(JobState(_millis(idle)), JobState.OUT, "Update", "EventTime")
+    return seen.groupBy("document_id").transformWithState(JobState(_millis(idle)), JobState.OUT, "Update", "EventTime")
 
 
 def apply_job_states(documents: DataFrame, states: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ class History(StatefulProcessor):
     """The notifications of one document and type, until an hour has gone by without a further one."""
 
     ENTRY = "at long, event_id long"
-    OUT = "document_id long, event_type string, event_id long, ts timestamp"
+    OUT = "document_id long, event_type string, event_id long, at long"
 
     def __init__(self, hold: int):
         self.hold = hold
@@ -152,11 +152,11 @@ class History(StatefulProcessor):
         self.handle.registerTimer(end // 1000 + self.hold + 1)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows))
+        new = [(r["at"], r["event_id"]) for r in rows]
         held = [tuple(r) for r in self.entries.get()] if self.entries.exists() else []
-        held = sorted([*held, *zip(new["at"].tolist(), new["event_id"].tolist())])
+        held = sorted([*held, *new])
         self._keep(self._drop(held, timerValues.getCurrentWatermarkInMs()))
-        yield pd.DataFrame({"document_id": key[0], "event_type": key[1], "event_id": new["event_id"], "ts": new["ts"]})
+        yield from (Row(document_id=key[0], event_type=key[1], event_id=i, at=at) for at, i in new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         held = [tuple(r) for r in self.entries.get()] if self.entries.exists() else []
@@ -172,7 +172,8 @@ def histories(events: DataFrame, delay: str = "10 minutes", hold: str = "1 hour"
     read_histories() reads. A history ends with `hold` of silence, as of the watermark, which runs `delay` behind the events."""
     use_state_store(events.sparkSession)
     seen = events.filter("document_id is not null").withWatermark("ts", delay).select("document_id", "event_type", "ts", F.unix_micros("ts").alias("at"), "event_id")
-    return seen.groupBy("document_id", "event_type").transformWithStateInPandas(History(_millis(hold)), History.OUT, "Append", "EventTime")
+    found = seen.groupBy("document_id", "event_type").transformWithState(History(_millis(hold)), History.OUT, "Append", "EventTime")
+    return found.select("document_id", "event_type", "event_id", F.timestamp_micros("at").alias("ts"))
 
 
 def read_histories(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -218,3 +218,18 @@ def test_streamed_files_grow_in_number(spark, tmp_path):
     batches = []
     streams.through(None, streams.dealt(SimpleNamespace(spark=spark), rows, str(tmp_path)), str(tmp_path), lambda b, i: batches.append(b.count()))
     assert len(list((tmp_path / "in").glob("*.json"))) == 2 * 8 and len([n for n in batches if n]) == 2 and sum(batches) == 5000
+
+
+def test_histories_take_rows_one_by_one():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    held, timers = [], []
+    entries = SimpleNamespace(exists=lambda: bool(held), get=lambda: iter(held), put=lambda x: held.__setitem__(slice(None), x), clear=held.clear)
+    h = state.History(1000)
+    h.init(SimpleNamespace(getListState=lambda *_: entries, registerTimer=timers.append))
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    out = [r for batch in ([Row(at=5_000, event_id=2)], [Row(at=3_000, event_id=1)]) for r in h.handleInputRows((7, "a"), iter(batch), now)]
+    assert [(r["document_id"], r["event_type"], r["event_id"], r["at"]) for r in out] == [(7, "a", 2, 5_000), (7, "a", 1, 3_000)]
+    assert held == [(3_000, 1), (5_000, 2)] and timers == [1006, 1006]
