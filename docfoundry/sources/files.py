@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -158,6 +160,18 @@ def scratch_folder(spark: SparkSession, tag: str) -> str:
     return f"{base}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def held(df: DataFrame, tag: str) -> Iterator[DataFrame]:
+    """kept(), deleted afterwards: for sinks of streams, which would leave a copy of every micro-batch."""
+    spark, folder = df.sparkSession, scratch_folder(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(folder)
+    try:
+        yield spark.read.schema(df.schema).parquet(folder)
+    finally:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in a scratch_folder(), so that what reads it several times computes it once, executors lost or not."""
     folder = scratch_folder(df.sparkSession, tag)

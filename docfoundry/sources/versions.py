@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import kept
+from .files import held, kept
 
 VERSION = "version"
 
@@ -59,7 +59,13 @@ def merge(new: DataFrame, path: str, by: list[str], key: str, version: int, comb
     marks = _marks(spark, path)
     if marks is not None and marks.filter(F.col(VERSION) == version).limit(1).count():
         return False
-    new = kept(new, "new")
+    with held(new, "new") as once:
+        _replace(once, path, by, key, version, combine, elsewhere)
+    return True
+
+
+def _replace(new: DataFrame, path: str, by: list[str], key: str, version: int, combine: Callable[[DataFrame, DataFrame], DataFrame] | None, elsewhere: bool) -> None:
+    spark = new.sparkSession
     touched = new.select(*by)
     old = read_current(spark, path)
     rows = new
@@ -76,7 +82,6 @@ def merge(new: DataFrame, path: str, by: list[str], key: str, version: int, comb
     spread = rows.withColumn(VERSION, F.lit(version).cast("long")).repartition(*by)
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, VERSION).parquet(path)
     _commit(touched.distinct(), path, version)
-    return True
 
 
 def _commit(touched: DataFrame, path: str, version: int) -> None:

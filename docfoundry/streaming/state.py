@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from docfoundry.sources.files import kept
+from docfoundry.sources.files import held
 
 from .events import FINAL, STATUS, attached_status
 
@@ -200,6 +200,6 @@ def live_histories(entries: DataFrame, now, hold: str = "1 hour") -> DataFrame:
 def split_events(batch: DataFrame, batch_id: int, path: str) -> None:
     """A foreachBatch sink for parse_events(): valid rows below <path>/valid, the others below <path>/rejected, each in a folder of the batch's
     own, so that a batch that comes again writes the same rows in the same place."""
-    found = kept(batch, "batch")  # in storage: a micro-batch may be larger than the executors' memory
-    for name, rows in (("valid", found.filter("is_valid")), ("rejected", found.filter("not is_valid"))):
-        rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+    with held(batch, "batch") as found:  # in storage: a micro-batch may be larger than the executors' memory
+        for name, rows in (("valid", found.filter("is_valid")), ("rejected", found.filter("not is_valid"))):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
