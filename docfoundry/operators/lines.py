@@ -12,7 +12,7 @@ _FENCE = r"(?dm)^ {0,3}(```|~~~)"
 _FENCED = r"(?dm)^ {0,3}(?:(`{3,})[^`\n]*|(~{3,})[^\n]*)$(?s:.*?)(?:^ {0,3}(?:\1`*|\2~*)[ \t\r]*$|\z)"
 _HTML = r"^ {0,3}<[A-Za-z/!?]"
 _DELIMITER = r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$"
-_UNDERLINE = r"^ {0,3}(=+|-+)[ \t\r]*$"
+_UNDERLINE = r"^ {0,3}(=+|-+)[ \t\r]*\z"
 _SOME_UNDERLINE = r"(?dm)^ {0,3}(=+|-+)[ \t\r]*$"
 _INDENTED = r"^(?: {4}| {0,3}\t)"
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import block_lists
 from .lines import count_tokens
 
 #: Similarities at or over and at or under which no one is asked.
@@ -83,37 +84,50 @@ _ITEM = "struct<table_index:int,column_count:int,cells:array<struct<x:string,g:a
 _STEP = "struct<table_index:int,segment:int,min_score:double,max_score:double,method:string,merged:boolean,refs:array<int>,scores:array<double>>"
 
 
-def _folded(items: Column, policy: str) -> Column:
-    """An array of _STEP for an array of _ITEM in order."""
-    start = F.struct(F.array().cast(f"array<{_ITEM}>").alias("refs"), F.array().cast(f"array<{_STEP}>").alias("out"), F.lit(0).alias("segment"))
+def _folded(items: Column, policy: str, brief: bool = False) -> Column:
+    """An array of _STEP for a column of _ITEM in order; brief: only the places, from 1, of items that open a segment.
+
+    Of the items compared with, the fold holds places alone: items themselves would be copied at every step.
+    """
+    out = "array<int>" if brief else f"array<{_STEP}>"
+    start = F.struct(F.array().cast("array<int>").alias("refs"), F.array().cast(out).alias("out"), F.lit(0).alias("segment"), F.lit(0).alias("at"))
 
     def fold(acc: Column, t: Column) -> Column:
-        seen = F.struct(acc.alias("acc"), t.alias("t"), F.transform(acc["refs"], lambda r: _table_similarity(r, t, prepared_similarity(r["cells"], t["cells"]))).alias("scores"))
-        return _one(F.transform(F.array(seen), step))  # scores are made once, and used several times
+        against = lambda r: _table_similarity(r, t, prepared_similarity(r["cells"], t["cells"]))
+        seen = F.struct(acc.alias("acc"), t.alias("t"), F.transform(acc["refs"], lambda r: against(F.get(items, r - 1))).alias("scores"))
+        return _one(F.transform(F.array(seen), decided))  # scores are made once, and used several times
 
-    def step(s: Column) -> Column:
+    def decided(s: Column) -> Column:
         acc, t, scores = s["acc"], s["t"], s["scores"]
-        least, most = F.array_min(scores), F.array_max(scores)
-        sure = F.when(F.size(scores) > 0, continuation_decision(least, most))
+        sure = F.when(F.size(scores) > 0, continuation_decision(F.array_min(scores), F.array_max(scores)))
         asked = F.coalesce(F.lower(F.trim(t["answer"])).startswith("y"), F.lit(policy == "merge"))
-        first = acc["segment"] == 0
-        merged = ~first & F.coalesce(sure, asked)
-        segment = F.when(merged, acc["segment"]).otherwise(acc["segment"] + 1)
-        method = F.when(first, "first").when(sure.isNotNull(), "heuristic").otherwise("grey")
-        own = F.when(t["has_header"], F.array(t)).otherwise(F.array().cast(f"array<{_ITEM}>"))
-        done = F.struct(
-            t["table_index"].alias("table_index"),
-            segment.alias("segment"),
-            F.round(F.when(~first, least), 4).alias("min_score"),
-            F.round(F.when(~first, most), 4).alias("max_score"),
-            method.alias("method"),
-            merged.alias("merged"),
-            F.transform(acc["refs"], lambda r: r["table_index"]).alias("refs"),
-            F.transform(scores, lambda x: F.round(x, 4)).alias("scores"),
-        )
-        return F.struct(F.when(merged, F.concat(acc["refs"], own)).otherwise(own).cast(f"array<{_ITEM}>").alias("refs"), F.array_append(acc["out"], done.cast(_STEP)).cast(f"array<{_STEP}>").alias("out"), segment.cast("int").alias("segment"))
+        merged = (acc["segment"] > 0) & F.coalesce(sure, asked)
+        return _one(F.transform(F.array(F.struct(s.alias("s"), sure.alias("sure"), merged.alias("merged"))), step))
 
-    return F.aggregate(items.cast(f"array<{_ITEM}>"), start, fold, lambda acc: acc["out"])
+    def step(d: Column) -> Column:
+        acc, t, scores, merged = d["s"]["acc"], d["s"]["t"], d["s"]["scores"], d["merged"]
+        at = acc["at"] + 1
+        segment = F.when(merged, acc["segment"]).otherwise(acc["segment"] + 1)
+        own = F.when(t["has_header"], F.array(at)).otherwise(F.array().cast("array<int>"))
+        refs = F.when(merged, F.concat(acc["refs"], own)).otherwise(own)
+        if brief:
+            done = F.when(merged, acc["out"]).otherwise(F.array_append(acc["out"], at))
+        else:
+            first = acc["segment"] == 0
+            shown = F.struct(
+                t["table_index"].alias("table_index"),
+                segment.alias("segment"),
+                F.round(F.when(~first, F.array_min(scores)), 4).alias("min_score"),
+                F.round(F.when(~first, F.array_max(scores)), 4).alias("max_score"),
+                F.when(first, "first").when(d["sure"].isNotNull(), "heuristic").otherwise("grey").alias("method"),
+                merged.alias("merged"),
+                F.transform(acc["refs"], lambda r: F.get(items, r - 1)["table_index"]).alias("refs"),
+                F.transform(scores, lambda x: F.round(x, 4)).alias("scores"),
+            )
+            done = F.array_append(acc["out"], shown.cast(_STEP))
+        return F.struct(refs.alias("refs"), done.cast(out).alias("out"), segment.cast("int").alias("segment"), at.alias("at"))
+
+    return F.aggregate(items, start, fold, lambda acc: acc["out"])
 
 
 def table_decisions(tables: DataFrame, policy: str = "split", answers: DataFrame | None = None) -> DataFrame:
@@ -128,7 +142,7 @@ def table_decisions(tables: DataFrame, policy: str = "split", answers: DataFrame
     else:
         rows = rows.withColumn("answer", F.lit(None).cast("string"))
     info = F.struct("table_index", "column_count", "cells", "has_header", "answer")
-    docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(info)).alias("tables"))
+    docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(info)).cast(f"array<{_ITEM}>").alias("tables"))
     return docs.select("doc_id", F.inline(_folded(F.col("tables"), policy)))
 
 
@@ -149,8 +163,12 @@ def _cells(row: Column) -> Column:
 
 def pipe_table_info(lines: Column) -> Column:
     """A struct (column_count, header_cells, has_header, row_count) of an array of a pipe table's lines: a header, dashes, rows."""
-    head = _cells(lines[0])
-    return F.struct(F.size(head).alias("column_count"), head.alias("header_cells"), F.lit(True).alias("has_header"), F.greatest(F.size(lines) - 2, F.lit(0)).alias("row_count"))
+    return _pipe_info(lines[0], F.size(lines))
+
+
+def _pipe_info(first: Column, n_lines: Column) -> Column:
+    # cells are found once, however often the struct names them
+    return _one(F.transform(F.array(_cells(first)), lambda head: F.struct(F.size(head).alias("column_count"), head.alias("header_cells"), F.lit(True).alias("has_header"), F.greatest(n_lines - 2, F.lit(0)).alias("row_count"))))
 
 
 def strip_nested_tables(html: Column) -> Column:
@@ -212,8 +230,12 @@ def _blocks(lines: DataFrame) -> DataFrame:
 def _with_info(blocks: DataFrame) -> DataFrame:
     """Blocks with info: the table that they hold, else null; text: their lines joined."""
     b = blocks.withColumn("text", F.array_join("lines", "\n"))
-    info = F.when(F.col("kind") == "table", pipe_table_info(F.col("lines"))).when((F.col("kind") == "html") & F.ltrim("text").rlike("(?i)^<table"), html_table_info(F.col("text")))
-    return b.withColumn("info", info).drop("lines")
+    return b.withColumn("info", _info(F.col("kind"), F.col("text"), F.size("lines"))).drop("lines")
+
+
+def _info(kind: Column, text: Column, n_lines: Column) -> Column:
+    pipe = _pipe_info(F.substring_index(text, "\n", 1), n_lines)
+    return F.when(kind == "table", pipe).when((kind == "html") & F.ltrim(text).rlike("(?i)^<table"), html_table_info(text))
 
 
 def tables_of(lines: DataFrame) -> DataFrame:
@@ -240,18 +262,28 @@ def table_chunks(lines: DataFrame, policy: str = "split", answers: DataFrame | N
     title = F.coalesce(F.last(F.when(F.col("kind").isin("heading", "quote"), F.col("head")), ignorenulls=True).over(so_far), F.lit(""))
     b = _with_info(_blocks(lines)).withColumn("title", title)
     docs = b.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("run", "start", "end", "title", "text"))).alias("b"), F.sort_array(F.collect_list(F.when(F.col("info").isNotNull(), F.struct("run", "info")))).alias("t"))
-    docs = docs.filter("size(t) > 0")
+    return _segments(docs.filter("size(t) > 0"), policy, answers, counter)
+
+
+def document_table_chunks(docs: DataFrame, policy: str = "split", answers: DataFrame | None = None, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
+    """table_chunks() of texts (doc_id, text), without rows of lines."""
+    found = block_lists(docs).filter(F.exists("b", lambda x: x["kind"].isin("table", "html")))
+    info = F.transform("b", lambda x, i: F.struct((i + 1).alias("run"), _info(x["kind"], x["text"], x["n_lines"]).alias("info")))
+    return _segments(found.withColumn("t", F.filter(info, lambda x: x["info"].isNotNull())), policy, answers, counter)
+
+
+def _segments(docs: DataFrame, policy: str, answers: DataFrame | None, counter: Callable[[Column], Column]) -> DataFrame:
+    """table_chunks() of documents (doc_id, b, t): their blocks, and which of them are tables."""
     if answers is None:
         docs = docs.withColumn("a", F.create_map().cast("map<int,string>"))
     else:
         each = answers.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("table_index").cast("int"), "answer"))).alias("a"))
         docs = docs.join(each, "doc_id", "left").withColumn("a", F.coalesce("a", F.create_map().cast("map<int,string>")))
     items = F.transform("t", lambda x, i: F.struct((i + 1).alias("table_index"), x["info"]["column_count"].alias("column_count"), prepared(x["info"]["header_cells"]).alias("cells"), x["info"]["has_header"].alias("has_header"), F.try_element_at("a", i + 1).alias("answer")))
-    steps = docs.withColumn("steps", _folded(items, policy))
+    steps = docs.withColumn("items", items.cast(f"array<{_ITEM}>")).withColumn("opens", _folded(F.col("items"), policy, brief=True))
     # a segment lasts from a table that doesn't go on to the table before the next such
-    opens = F.filter("steps", lambda s: ~s["merged"])
     at = lambda i: F.get("t", i - 1)["run"]
-    spans = F.transform(opens, lambda s, i: F.struct(s["segment"].alias("segment"), at(s["table_index"]).alias("first"), at(F.coalesce(F.get(opens, i + 1)["table_index"] - 1, F.size("t"))).alias("last")))
+    spans = F.transform("opens", lambda o, i: F.struct((i + 1).alias("segment"), at(o).alias("first"), at(F.coalesce(F.get("opens", i + 1) - 1, F.size("t"))).alias("last")))
     found = steps.withColumn("spans", spans)
     runs = lambda s: F.slice("b", s["first"].cast("int"), (s["last"] - s["first"] + 1).cast("int"))
     made = F.transform("spans", lambda s: F.struct(
@@ -262,7 +294,8 @@ def table_chunks(lines: DataFrame, policy: str = "split", answers: DataFrame | N
         F.get("b", s["first"].cast("int") - 1)["start"].alias("start"),
         F.get("b", s["last"].cast("int") - 1)["end"].alias("end"),
     ))
-    return found.select("doc_id", F.inline(made)).select("doc_id", "table_index", "title", "path", counter(F.col("content")).alias("tokens"), "content", "start", "end")
+    # without outer all of this would be made a second time, to leave out documents without a segment
+    return found.select("doc_id", F.inline_outer(made)).filter(F.col("table_index").isNotNull()).select("doc_id", "table_index", "title", "path", counter(F.col("content")).alias("tokens"), "content", "start", "end")
 
 
 def remove_tables(lines: DataFrame) -> DataFrame:

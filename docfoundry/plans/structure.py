@@ -64,7 +64,7 @@ def table_document(t) -> DataFrame:
     head = F.concat(F.lit("| "), F.array_join("header_cells", " | "), F.lit(" |\n|"), F.repeat(F.lit("---|"), F.col("column_count")))
     rows = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest("row_count", F.lit(1))), lambda i: F.concat(F.lit("| "), i.cast("string"), F.repeat(F.lit(" | x"), F.col("column_count") - 1), F.lit(" |"))), "\n")
     page = F.concat(F.lit("## Section "), F.col("table_index").cast("string"), F.lit("\n\nText before.\n\n"), head, F.lit("\n"), rows)
-    pages = F.array_sort(F.collect_list(F.struct("table_index", page.alias("p"))))
+    pages = F.sort_array(F.collect_list(F.struct("table_index", page.alias("p"))))
     return m.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda x: x["p"]), "\n\n").alias("text"))
 
 
@@ -232,7 +232,7 @@ def _(t):
 
 @query("k3_table_chunks", f"WITH RECURSIVE {_PLACED}, {_SPANS} SELECT doc_id, segment AS table_index, '## Section ' || first AS title, '' AS path, CAST({_TOKENS.format(x='content')} AS BIGINT) AS tokens, content, CAST(\"start\" AS BIGINT) AS \"start\", CAST(\"end\" AS BIGINT) AS \"end\" FROM tchunk")
 def _(t):
-    return tables.table_chunks(lines.classify_lines(table_document(t)), "merge")
+    return tables.document_table_chunks(table_document(t), "merge")
 
 
 @query("d12_table_info", f"""WITH {_PLACED} SELECT doc_id, CAST(j AS INT) AS table_index, CAST("start" AS BIGINT) AS "start", CAST("start" + length(body) - 1 AS BIGINT) AS "end", CAST(first_n AS INT) AS first_n, CAST(first_n + k + 1 AS INT) AS last_n, CAST(len(h) AS INT) AS column_count,
