@@ -1,7 +1,7 @@
 """Chunks of Markdown texts along their headings.
 
-Lines meet their document once (one exchange by doc_id); all later windows and groups are by document or finer and need no other.
-Lines are first brought together to sections, each a heading with what follows it, so that the passes over levels see few rows.
+Texts are cut into sections, each a heading with what follows it, a list of them a document; levels are cut in these lists. Chunks meet
+their document in one exchange by doc_id; all later windows and groups are by document or finer and need no other.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import classify_lines, count_tokens
+from .blocks import DEPTH, section_lists
+from .lines import classify_lines, count_tokens, dealt
 
-DEPTH, MAX_TOKENS, SUMMARY_TOKENS = 5, 8192, 100_000
+MAX_TOKENS, SUMMARY_TOKENS = 8192, 100_000
 _TRIVIAL = ("heading", "html", "rule", "blank")
 _LEVELS = range(1, DEPTH + 1)
+#: the beginning of a line that isn't blank, a heading or a rule
+_TELLING = r"(?dm)^(?! *$)(?!(?<=\n)[ \t]*$)(?! {0,3}#{1,6}(?:[ \t]|[\r\u0085\u2028\u2029]?$))(?! {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}[\r\u0085\u2028\u2029]?$)"
 
 
 def _in_order(n: Column, text: Column, by: str = "") -> Column:
@@ -43,59 +46,40 @@ def _sections(lines: DataFrame) -> DataFrame:
     )
 
 
-def _parts(sections: DataFrame, is_open, depth: int) -> DataFrame:
-    """Sections with p0 .. p5, q1 .. q5 and keep: the part of each level that a section lies in, named by its first line, 0 for the whole text;
-    whether a heading of that level began it; and whether no cut level leaves the section before its first heading."""
-    rows = sections.withColumns({"p0": F.lit(0), "keep": F.lit(True)})
-    for k in _LEVELS:
-        part = Window.partitionBy("doc_id", f"p{k - 1}").orderBy("n")
-        all_of = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        mark = F.when(F.col("level") == k, F.col("n"))
-        cut = F.when(is_open(F.sum("tokens").over(all_of)), F.max(mark).over(part.rowsBetween(Window.unboundedPreceding, 0))) if k <= depth else F.lit(None).cast("int")
-        any_cut = is_open(F.sum("tokens").over(all_of)) & F.max(mark).over(all_of).isNotNull() if k <= depth else F.lit(False)
-        rows = rows.withColumns({f"q{k}": cut.isNotNull(), f"p{k}": F.coalesce(cut, f"p{k - 1}"), "_cut": any_cut})
-        rows = rows.withColumn("keep", F.col("keep") & (F.col(f"q{k}") | ~F.col("_cut"))).drop("_cut")
-    return rows
-
-
-def _fragments(sections: DataFrame, is_open, depth: int) -> DataFrame:
-    """(doc_id, n, begins, head, p, keep, start, size, tokens, trivial, blank, content, path): what is left uncut. begins: the level of the
-    part whose heading it starts with, 0 if there is none; p: the array p0 .. p5."""
-    rows = _parts(sections, is_open, depth)
-    began = F.coalesce(*(F.when((F.col("level") == k) & F.col(f"q{k}"), k) for k in _LEVELS), F.lit(0))
-    shape = F.struct(began.alias("begins"), "head", F.array(*(f"p{k}" for k in range(DEPTH + 1))).alias("p"), F.array(*(f"q{k}" for k in _LEVELS)).alias("q"), "keep", "start")
-    grouped = rows.groupBy("doc_id", f"p{DEPTH}").agg(
-        F.min_by(shape, "n").alias("f"),
-        F.min("n").alias("n"),
-        F.sum("size").alias("size"),
-        F.sum("tokens").alias("tokens"),
-        F.bool_and("trivial").alias("trivial"),
-        F.bool_and("blank").alias("blank"),
-        _in_order(F.col("n"), F.col("content")).alias("content"),
-    )
-    so_far = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    titles = [F.when(F.col("f.q")[k - 1], F.last(F.when(F.col("f.begins") == k, F.col("f.head")), ignorenulls=True).over(so_far)) for k in _LEVELS]
-    return grouped.withColumn("path", F.concat_ws(" --> ", *titles)).select("doc_id", "n", "f.*", "size", "tokens", "trivial", "blank", "content", "path")
-
-
 def adds_up(counter: Callable[[Column], Column]) -> bool:
     """Whether the tokens of lines add up to those of their text: so by default for count_tokens alone; a counter with an attribute
     `adds_up` says for itself."""
     return getattr(counter, "adds_up", counter is count_tokens)
 
 
-def _recounted(sections: DataFrame, is_open, depth: int, counter: Callable[[Column], Column]) -> DataFrame:
-    """_fragments() where each is counted on its own text, as sub-word counters need.
+def _listed(sections: DataFrame) -> DataFrame:
+    """(doc_id, s): the _sections() of each document in order."""
+    return sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*(c for c in sections.columns if c != "doc_id")))).alias("s"))
 
-    A row is a fragment with its sections in order, first the whole text; level by level those that are open are cut where sections of the
-    level begin, and only what a cut has changed is counted again. Rows meet their document once, before.
+
+def _section_lists(docs: DataFrame, counter: Callable[[Column], Column]) -> DataFrame:
+    """_listed() sections of texts, cut without rows of lines, and counted where that is of use."""
+    own = ("n", "level", "head", "start", "size", "trivial", "blank", "content")
+    tokens = counter if adds_up(counter) else count_tokens
+    return section_lists(docs).withColumn("s", F.transform("s", lambda x: F.struct(*(x[c].alias(c) for c in own), tokens(x["content"]).alias("tokens"))))
+
+
+def _fragments(sections: DataFrame, is_open, depth: int, counter: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, n, begins, head, p, q, keep, start, size, tokens, trivial, blank, content, path): what is left uncut of _listed() sections.
+    begins: the level of the part whose heading it starts with, 0 if there is none; p: the array p0 .. p5, the part of each level that it
+    lies in, named by its first line, 0 for the whole text; q: whether a heading of that level began the part; keep: whether no cut level
+    leaves the fragment before its first heading.
+
+    A row is a part with its sections in order, first the whole text; level by level those that are open are cut where sections of the
+    level begin. Tokens are summed, or, as sub-word counters need, what a cut has changed is counted again on its own text.
     """
-    own = [c for c in sections.columns if c != "doc_id"]
-    s = F.sort_array(F.collect_list(F.struct(*own)))
-    rows = sections.groupBy("doc_id").agg(s.alias("s"))
     text = F.array_join(F.transform("s", lambda x: x["content"]), "")
+    if adds_up(counter):
+        counted = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
+    else:
+        counted = F.coalesce(counter(text), F.lit(0)).cast("long")
     none = F.array().cast("array<string>")
-    rows = rows.withColumns({"tokens": F.coalesce(counter(text), F.lit(0)).cast("long"), "p": F.array(F.lit(0)), "q": F.array().cast("array<boolean>"), "heads": none, "begins": F.lit(0), "keep": F.lit(True)})
+    rows = sections.withColumns({"tokens": counted, "p": F.array(F.lit(0)), "q": F.array().cast("array<boolean>"), "heads": none, "begins": F.lit(0), "keep": F.lit(True)})
     for k in _LEVELS:
         if k > depth:
             rows = rows.withColumns({"p": F.concat("p", F.array(F.element_at("p", -1))), "q": F.concat("q", F.array(F.lit(False)))})
@@ -107,7 +91,8 @@ def _recounted(sections: DataFrame, is_open, depth: int, counter: Callable[[Colu
         rows = rows.withColumn("_at", begin).withColumn("_cut", F.size("_at") > 0)
         piece = F.transform("_at", lambda b, i: F.struct(F.slice("s", b + 1, F.coalesce(F.get("_at", i + 1), F.size("s")) - b).alias("s"), (F.get("s", b)["level"] == k).alias("headed")))
         whole = F.array(F.struct(F.col("s"), F.lit(False).alias("headed")))
-        rows = rows.withColumn("_piece", F.explode(F.when(F.col("_cut"), piece).otherwise(whole)))
+        # no list is empty; without outer they would be made a second time, to leave out empty ones
+        rows = rows.withColumn("_piece", F.explode_outer(F.when(F.col("_cut"), piece).otherwise(whole)))
         headed, first = F.col("_piece.headed"), F.get("_piece.s", F.lit(0))
         rows = rows.select(
             "doc_id",
@@ -120,8 +105,8 @@ def _recounted(sections: DataFrame, is_open, depth: int, counter: Callable[[Colu
             F.when(headed, k).otherwise(F.when(F.col("_cut"), 0).otherwise(F.col("begins"))).alias("begins"),
             (F.col("keep") & (headed | ~F.col("_cut"))).alias("keep"),
         )
-        again = F.when(F.col("_cut"), text)
-        rows = rows.withColumn("tokens", F.when(F.col("_cut"), F.coalesce(counter(again), F.lit(0)).cast("long")).otherwise(F.col("tokens"))).drop("_cut")
+        again = counted if adds_up(counter) else F.coalesce(counter(F.when(F.col("_cut"), text)), F.lit(0)).cast("long")
+        rows = rows.withColumn("tokens", F.when(F.col("_cut"), again).otherwise(F.col("tokens"))).drop("_cut")
     first = F.get("s", F.lit(0))
     # a part's preamble starts with its heading, so it begins at that level still
     began = F.coalesce(*(F.when((first["level"] == k) & F.col("q")[k - 1], k) for k in _LEVELS), F.lit(0))
@@ -143,15 +128,6 @@ def _recounted(sections: DataFrame, is_open, depth: int, counter: Callable[[Colu
     )
 
 
-def _cut_up(lines: DataFrame, is_open, depth: int, counter: Callable[[Column], Column]) -> DataFrame:
-    return _fragments(_sections(lines), is_open, depth) if adds_up(counter) else _recounted(_sections(lines), is_open, depth, counter)
-
-
-def _lines(docs: DataFrame, counter: Callable[[Column], Column]) -> DataFrame:
-    """Classified lines, counted where that is of use."""
-    return classify_lines(docs, counter if adds_up(counter) else count_tokens)
-
-
 def _with_waiting(fragments: DataFrame) -> DataFrame:
     """Fragments that are chunks with `waiting`: the headings (level, ahead, at, head, start) of parts without a chunk that they take.
 
@@ -167,12 +143,9 @@ def _with_waiting(fragments: DataFrame) -> DataFrame:
     to = F.when(same("_next", k - 1), F.col("_next.n")).when(same("_last", k - 1), F.col("_last.n"))
     heading = F.struct(k.alias("level"), same("_next", k - 1).cast("int").alias("ahead"), F.col("n").alias("at"), "head", "start")
     body = F.struct("start", "size", "tokens", "path", "content")
-    none = lambda c: F.lit(None).cast(placed.select(c.alias("x")).schema["x"].dataType)
-    moves = F.array(
-        F.when(F.col("is_chunk"), F.struct(F.col("n").alias("to"), body.alias("own"), none(heading).alias("w"))),
-        F.when(empty & to.isNotNull(), F.struct(to.alias("to"), none(body).alias("own"), heading.alias("w"))),
-    )
-    moved = placed.select("doc_id", F.inline(F.filter(moves, lambda x: x.isNotNull())))
+    # a fragment is a chunk, or its heading waits for one, or it is left out
+    moved = placed.withColumn("to", F.when(F.col("is_chunk"), F.col("n")).when(empty, to)).filter(F.col("to").isNotNull())
+    moved = moved.select("doc_id", "to", F.when(F.col("is_chunk"), body).alias("own"), F.when(~F.col("is_chunk"), heading).alias("w"))
     taken = moved.groupBy("doc_id", F.col("to").alias("n")).agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list("w")).alias("waiting"))
     return taken.select("doc_id", "n", "own.*", "waiting")
 
@@ -183,13 +156,17 @@ def text_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, depth: int = DEPT
 
     counter: tokens of a text. Unless it adds_up(), each part is counted on its own text, as is a chunk that headings were put before.
     """
-    return chunks_of_lines(_lines(docs, counter), max_tokens, depth, counter)
+    return _chunks(_section_lists(docs, counter), max_tokens, depth, counter)
 
 
 def chunks_of_lines(lines: DataFrame, max_tokens: int = MAX_TOKENS, depth: int = DEPTH, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """text_chunks() of lines that are classified already, with the same counter of tokens if that adds_up()."""
+    return _chunks(_listed(_sections(lines)), max_tokens, depth, counter)
+
+
+def _chunks(sections: DataFrame, max_tokens: int, depth: int, counter: Callable[[Column], Column]) -> DataFrame:
     over = F.col("tokens") >= max_tokens
-    pieces = _cut_up(lines, lambda tokens: tokens >= max_tokens, depth, counter).withColumn("is_chunk", ~F.col("blank") & (over | ~F.col("trivial")))
+    pieces = dealt(_fragments(sections, lambda tokens: tokens >= max_tokens, depth, counter).drop("q", "keep")).withColumn("is_chunk", ~F.col("blank") & (over | ~F.col("trivial")))
     taken = _with_waiting(pieces)
     some = F.size("waiting") > 0
     prefix = F.when(some, F.array_join(F.transform("waiting", lambda x: x["head"]), "\n"))
@@ -217,7 +194,7 @@ def chunks_of_lines(lines: DataFrame, max_tokens: int = MAX_TOKENS, depth: int =
 def summary_sections(docs: DataFrame, limit: int = SUMMARY_TOKENS, depth: int = DEPTH, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """(doc_id, section, content, path, title, tokens): the whole text up to `limit` tokens, else its parts; what stands before the first
     heading of a level that is cut is left out. counter: as in text_chunks()."""
-    kept = _cut_up(_lines(docs, counter), lambda tokens: tokens > limit, depth, counter).filter("keep and not blank")
+    kept = dealt(_fragments(_section_lists(docs, counter), lambda tokens: tokens > limit, depth, counter)).filter("keep and not blank")
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")).alias("section"), "content", "path", F.substring_index("path", " --> ", -1).alias("title"), "tokens")
 
 
@@ -260,18 +237,17 @@ def chunks_inside_tables(texts: DataFrame, tables: DataFrame) -> DataFrame:
 
 def is_trivial(content: Column) -> Column:
     """Whether every line of a content is blank, a heading, a rule or part of HTML."""
+    # most contents have no tag, and most of these a line that tells at once
     blocks = F.transform(F.split(content, r"\n[ \t]*(?=\n|$)"), lambda b: F.regexp_replace(b, r"(?s)(^|\n) {0,3}<[A-Za-z/!?].*$", ""))
     rest = F.flatten(F.transform(blocks, lambda b: F.split(b, "\n")))
-    return F.forall(rest, lambda x: (F.trim(x) == "") | x.rlike(r"^ {0,3}#{1,6}([ \t]|$)") | x.rlike(r"^ {0,3}([-*_])[ \t]*(\1[ \t]*){2,}$"))
+    tagged = F.forall(rest, lambda x: (F.trim(x) == "") | x.rlike(r"^ {0,3}#{1,6}([ \t]|$)") | x.rlike(r"^ {0,3}([-*_])[ \t]*(\1[ \t]*){2,}$"))
+    return F.when(content.contains("<"), tagged).otherwise(~content.rlike(_TELLING))
 
 
 def _joined(chunks: DataFrame, keep) -> DataFrame:
-    return chunks.groupBy("doc_id", "is_table", "_island").agg(
-        _in_order(F.col("chunk_index"), F.col("content"), "\n").alias("content"),
-        F.sum("tokens").alias("tokens"),
-        *(keep(c, "chunk_index").alias(c) for c in ("type", "needs_summary", "path", "start", "end")),
-        keep("chunk_index", "chunk_index").alias("chunk_index"),
-    )
+    own = F.struct("type", "needs_summary", "path", "start", "end", "chunk_index")
+    found = chunks.groupBy("doc_id", "is_table", "_island").agg(_in_order(F.col("chunk_index"), F.col("content"), "\n").alias("content"), F.sum("tokens").alias("tokens"), keep(own, "chunk_index").alias("own"))
+    return found.select("doc_id", "is_table", "content", "tokens", "own.*")
 
 
 def merge_inside_tables(chunks: DataFrame) -> DataFrame:
@@ -279,7 +255,7 @@ def merge_inside_tables(chunks: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "is_table").orderBy("chunk_index")
     t = _inside(chunks).withColumn("_first", F.row_number().over(w) == 1)
     t = t.withColumn("_island", F.sum((~F.col("inside") | F.col("_first")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return _joined(t, F.min_by).drop("_island")
+    return _joined(t, F.min_by)
 
 
 def merge_trivial_forward(chunks: DataFrame) -> DataFrame:
@@ -287,7 +263,7 @@ def merge_trivial_forward(chunks: DataFrame) -> DataFrame:
     ahead = Window.partitionBy("doc_id", "is_table").orderBy(F.desc("chunk_index"))
     t = chunks.withColumns({"_alone": ~F.col("is_table") & is_trivial(F.col("content")), "_last": F.row_number().over(ahead) == 1})
     t = t.withColumn("_island", F.sum((~F.col("_alone") | F.col("_last")).cast("int")).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
-    return _joined(t, F.max_by).drop("_island")
+    return _joined(t, F.max_by)
 
 
 def merge_and_reindex(texts: DataFrame, tables: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:

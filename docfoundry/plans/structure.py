@@ -280,7 +280,7 @@ def _(t):
 @query("c5_chunks_inside_tables", f"WITH RECURSIVE {_PLACED}, {_SPANS}, {chunks_sql('paged', 8)} SELECT c.doc_id, chunk_index FROM chunk c WHERE EXISTS (SELECT 1 FROM tchunk x WHERE x.doc_id = c.doc_id AND x.\"start\" <= c.\"start\" AND c.\"end\" <= x.\"end\")")
 def _(t):
     docs = table_document(t)
-    return chunking.chunks_inside_tables(chunking.text_chunks(docs, 8), tables.table_chunks(lines.classify_lines(docs), "merge"))
+    return chunking.chunks_inside_tables(chunking.text_chunks(docs, 8), tables.document_table_chunks(docs, "merge"))
 
 
 @query("e3_merge_inside_tables", f"""WITH RECURSIVE {_BOTH} SELECT doc_id, t AS is_table, chunk_index, CAST(tokens AS BIGINT) AS tokens, content FROM one""")
