@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfoundry.operators import chunking, lines, tables
-from docfoundry.sources.files import kept
 
 from .registry import query
 
@@ -250,8 +249,7 @@ def _(t):
 def both_kinds(t) -> tuple[DataFrame, DataFrame]:
     """Text chunks and table chunks of documents and of documents full of tables."""
     docs = ocr_document(t).select(F.col("doc_id"), "text").unionByName(table_document(t).select((F.col("doc_id") + 10**9).alias("doc_id"), "text"))
-    found = lines.dealt(kept(lines.classify_lines(docs), "lines"))
-    return chunking.chunks_of_lines(found, LIMIT), tables.table_chunks(found, "merge")
+    return chunking.text_chunks(docs, LIMIT), tables.document_table_chunks(docs, "merge")
 
 
 def union_of(t) -> DataFrame:
