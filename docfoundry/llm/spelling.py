@@ -121,12 +121,18 @@ def _signed(words: DataFrame, longer: bool) -> DataFrame:
     return words.select("word", "n").mapInArrow(sign, "key long, differ byte, word string, n long")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, for a join that is not to broadcast it. Spark sizes it by the compressed files it comes from, and what Arrow functions make of
+    rows as if they made one of each: a table that seems to take less than the 10 MB of a broadcast may take many times a driver's heap."""
+    return df.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): each pair of words that differ by one inserted, deleted or replaced code point, once.
 
     words: (word, n), words distinct and not empty. Each word gives ten rows to either side of the join.
     """
-    a, b = _signed(words, False).alias("a"), _signed(words, True).alias("b")
+    a, b = shuffled(_signed(words, False)).alias("a"), shuffled(_signed(words, True)).alias("b")
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.differ") == F.col("b.differ")) & ((F.col("a.differ") == 1) | (F.col("a.word") < F.col("b.word")))
     met = met & (F.levenshtein("a.word", "b.word", 1) == 1)
     return a.join(b, met).select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n")).distinct()
@@ -138,7 +144,7 @@ def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
     at = scratch.keep(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
     while at.filter("moved").limit(1).count():
         on = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        at = scratch.keep(at.drop("moved").join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        at = scratch.keep(shuffled(at.drop("moved")).join(shuffled(on), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
     return at.drop("moved")
 
 
@@ -157,10 +163,10 @@ def spelling_variants(words: DataFrame, times: int = 10) -> DataFrame:
     first = F.min(F.struct((-F.coalesce("other_n", F.lit(-1))).alias("rank"), F.col("other").alias("form"), F.col("other_n").alias("form_n")))
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), first.alias("first"))
     leads = F.col("first.form_n") >= times * F.col("n")
-    out = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), *(F.when(leads, F.col(f"first.{c}")).alias(c) for c in ("form", "form_n")))
+    out = shuffled(words).join(shuffled(near), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), *(F.when(leads, F.col(f"first.{c}")).alias(c) for c in ("form", "form_n")))
     out = scratch.keep(out, "forms")
     led = roots(out.filter("form is not null"), scratch)
-    return out.join(led, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return shuffled(out).join(shuffled(led), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def document_variants(docs: DataFrame, least: int = 7, occurrences: int = 2, spoil: int = 31, times: int = 10) -> DataFrame:

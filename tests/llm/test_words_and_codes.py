@@ -85,6 +85,16 @@ def test_pairs_come_once(spark):
     assert sorted(tuple(sorted(p)) for p in pairs) == [("abcdefg", "abcdefgh"), ("abcdefg", "abcdefhg"), ("abcdefgh", "abcdefghi"), ("abcdefgh", "bbcdefgh")]
 
 
+def test_words_are_never_broadcast(spark, tmp_path):
+    # in a file they look as small as a broadcast may be; ten rows a word wouldn't fit the driver
+    spark.createDataFrame([(f"{w}{e}", 2) for w in ("abcdefgh", "bcdefghi") for e in ("", "x", "yz")], "word string, n long").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    for df in (spelling.near_pairs(words), spelling.spelling_variants(words)):
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_variants_of_odd_documents(spark):
     rows = [(1, None, "x", 1), (2, "", "x", 1), (None, "Worthless worthles worthless", "x", 1), (3, "wörTERbuch wörterbuch " * 20, None, None), (3, "wörTERbuch wörterbuch " * 20, None, None), (4, "Wörterbuche wörterbuche ÀÀÀÀÀÀÀÀ×÷ àààààààà 1", "y", 2), (5, "q" * 1_000, "", 0), (6, ("q" * 999 + " ") * 2, "", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, word string, n long")
