@@ -97,20 +97,128 @@ def _who(rows: DataFrame, key: str, column: str, texts: DataFrame, *more: str) -
     return rows.filter(F.col(key).isNotNull()).select(key, F.lower(column).alias("text"), *more).join(texts, "text").drop("text")
 
 
-def trigram_join(queries: DataFrame, names: DataFrame, least: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
-    """(query_id, id, similarity) of the pairs with a similarity of `least` or more, above 0.
+def trigram_join(queries: DataFrame, names: DataFrame, least: float = SIMILAR, crowd: int = CROWD, digits: int | None = None) -> DataFrame:
+    """(query_id, id, similarity) of the pairs with a similarity of `least` or more, above 0, rounded to `digits` if given.
 
-    Texts that many rows share are compared once, and found pairs of texts dealt out to the rows that have them, which is a plain join on
-    the text's number. Null texts are like none; rows that share an id are pairs of their own.
+    Texts that many rows share are compared once, and found pairs of texts dealt out to the rows that have them: by a plain join on the
+    text's number, or where `least` is so small that most pairs are found, within the task that finds them, so that no pair is shuffled.
+    Null texts are like none; rows that share an id are pairs of their own.
     """
     asked, named = distinct_texts(queries, "text"), distinct_texts(names, "name")
-    found = similar_texts(asked, named, least, crowd).join(_who(queries, "query_id", "text", asked).withColumnRenamed("tid", "asked"), "asked")
+    if least < PREFIXES:
+        return _all_pairs(_owners(queries, "query_id", "text", asked), _owners(names, "id", "name", named), least, digits).toDF("query_id", "id", "similarity")
+    pairs = similar_texts(asked, named, least, crowd)
+    if digits is not None:
+        pairs = pairs.withColumn("similarity", F.round("similarity", digits))
+    found = pairs.join(_who(queries, "query_id", "text", asked).withColumnRenamed("tid", "asked"), "asked")
     # rows come out of the last join, which AQE doesn't see when it puts partitions together
     dealt = found.repartition(4 * names.sparkSession.sparkContext.defaultParallelism, "tid")
     return dealt.join(_who(names, "id", "name", named), "tid").select("query_id", "id", "similarity")
 
 
-PREFIXES = 0.05  #: similarity from which on few of a text's trigrams need to be joined; below, all are, and counted
+PREFIXES = 0.05  #: similarity from which on few of a text's trigrams need to be joined; below, blocks of texts are compared whole
+OWNERS = 1024  #: ids that one row of a text has at most
+TEXTS = 16_384, 2_048  #: rows of texts in a block of names, and of queries
+MOST_OWNERS = 1 << 20  #: ids in a block
+_ROWS, _ASKERS = 1 << 16, 64  # pairs in a row of lists that a task hands on, and queries in it
+
+
+def _grams(texts: DataFrame) -> DataFrame:
+    """(tid, g) of distinct_texts() that have trigrams."""
+    return spread(texts).select("tid", _codes(trigrams(F.col("text"))).alias("g")).filter("size(g) > 0")
+
+
+def _owners(rows: DataFrame, key: str, column: str, texts: DataFrame) -> DataFrame:
+    """(tid, part, ids, g): for each text of distinct_texts() its trigrams and the keys of the rows that have it, OWNERS to a row at most."""
+    number = F.row_number().over(Window.partitionBy("tid").orderBy(key))
+    each = _who(rows, key, column, texts).withColumn("part", F.floor((number - 1) / OWNERS))
+    return each.groupBy("tid", "part").agg(F.collect_list(key).alias("ids")).join(_grams(texts), "tid")
+
+
+def _packed(texts: DataFrame, size: int, least: int, name: str) -> DataFrame:
+    """_owners() in blocks of about `size` rows and MOST_OWNERS ids at most, a row each; in `least` blocks at the fewest."""
+    rows, ids = texts.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    n = max(least, ceil(rows / size), ceil(ids / MOST_OWNERS))
+    dealt = texts.withColumn("_block", F.pmod(F.xxhash64("tid", "part"), F.lit(n)).cast("int")).repartitionById(n, "_block")
+    # a block is what a task of the exchange has, which adaptive execution leaves alone
+    return dealt.groupBy("_block").agg(F.collect_list(F.struct("ids", "g")).alias(name)).select(name)
+
+
+def _all_pairs(asked: DataFrame, named: DataFrame, least: float, digits: int | None) -> DataFrame:
+    """(id of asked, id of named, similarity) of all pairs of _owners() with a similarity of `least` or more, above 0.
+
+    Most pairs are found, so their number is the work: each block of queries meets each block of names in one row. A task counts shared
+    trigrams through an index of its block of names, a query at a time, and hands on lists: some rows that ask, names, similarities. They
+    are opened as they are written: no pair is shuffled, and no task holds more than two blocks, a query's names in one, and some lists.
+    """
+    few = 4 * named.sparkSession.sparkContext.defaultParallelism
+    have, ask = _packed(kept(named, "names"), TEXTS[0], few, "n"), _packed(kept(asked, "queries"), TEXTS[1], 1, "q")
+    met = have.hint("shuffle_replicate_nl").crossJoin(ask.hint("shuffle_replicate_nl"))
+
+    def lists(rows: pa.Array, field: str) -> tuple[pa.Array, np.ndarray]:
+        """The values of a list field of structs, and n + 1 offsets."""
+        found = pc.struct_field(rows, field)
+        return found.flatten(), np.r_[0, np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))].astype(np.int64)
+
+    def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """first[0], .. first[0] + size[0] - 1, first[1], .."""
+        return np.arange(size.sum()) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size)
+
+    def compare(n: pa.Array, q: pa.Array):
+        """(query's number, places among the names' ids, similarities) of each query."""
+        (_, n_at), (n_codes, code_at), (q_codes, q_at) = lists(n, "ids"), lists(n, "g"), lists(q, "g")
+        n_sizes = np.diff(code_at)
+        n_codes, q_codes = (x.to_numpy(zero_copy_only=False) for x in (n_codes, q_codes))
+        order = np.argsort(n_codes, kind="stable")
+        codes, first, size = np.unique(n_codes[order], return_index=True, return_counts=True)
+        holder = np.repeat(np.arange(len(n)), n_sizes)[order]  # names by code
+        owned = np.diff(n_at)
+        for j in range(len(q)):
+            own = q_codes[q_at[j] : q_at[j + 1]]
+            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            at = at[codes[at] == own]
+            if not len(at):
+                continue
+            shared = np.bincount(np.concatenate([holder[first[i] : first[i] + size[i]] for i in at]), minlength=len(n))
+            hits = np.flatnonzero(shared)
+            k = shared[hits]
+            union = len(own) + n_sizes[hits] - k
+            similarity = k / union
+            enough = similarity >= least
+            if not enough.all():
+                hits, k, union, similarity = hits[enough], k[enough], union[enough], similarity[enough]
+            if digits is not None:  # halves up, in whole numbers as the division of them is exact where it matters
+                similarity = np.floor((2 * 10**digits * k + union) / (2 * union)) / 10**digits
+            yield j, ranges(n_at[hits], owned[hits]), np.repeat(similarity, owned[hits])
+
+    def batch_of(some: list[tuple[pa.Array, pa.Array, pa.Array]]) -> pa.RecordBatch:
+        listed = lambda xs: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in xs])].astype(np.int32)), pa.concat_arrays(xs))
+        return pa.RecordBatch.from_arrays([listed(xs) for xs in zip(*some)], ["askers", "ids", "similarity"])
+
+    def search(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                n, q = (batch.column(c).slice(r, 1).flatten() for c in ("n", "q"))
+                (ids, _), (askers, at), some, held = lists(n, "ids"), lists(q, "ids"), [], 0
+                for j, places, similarity in compare(n, q):
+                    wide = min(at[j + 1] - at[j], _ASKERS)
+                    step = _ROWS // wide
+                    for i in range(0, len(places), step):
+                        part = ids.take(pa.array(places[i : i + step])), pa.array(similarity[i : i + step])
+                        for k in range(at[j], at[j + 1], wide):
+                            some.append((askers.slice(k, min(wide, at[j + 1] - k)), *part))
+                            held += len(part[0])
+                            if held >= _ROWS:
+                                yield batch_of(some)
+                                some, held = [], 0
+                if some:
+                    yield batch_of(some)
+
+    kinds = (df.schema["ids"].dataType.simpleString() for df in (asked, named))
+    found = met.mapInArrow(search, "askers {}, ids {}, similarity array<double>".format(*kinds))
+    # Spark holds what it makes of one row: _ROWS pairs at most
+    each = found.select(F.explode("askers").alias("asked"), "ids", "similarity").select("asked", F.posexplode("ids").alias("place", "id"), "similarity")
+    return each.select("asked", "id", F.get("similarity", "place").alias("similarity"))
 
 
 def similar_texts(asked: DataFrame, named: DataFrame, least: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
@@ -119,17 +227,15 @@ def similar_texts(asked: DataFrame, named: DataFrame, least: float = SIMILAR, cr
     Two sets of sizes m and n that are as similar share s = least / (1 + least) * (m + n) trigrams, so the first m - s + 1 of the one and of
     the other, rarest first, have one in common. Only these are joined, names under frequent trigrams in groups; sizes too far apart never
     meet, and queries know the sizes of names by band, which makes s larger. What met is compared once, exactly. Where `least` is so small
-    that nearly all trigrams would be joined, all are, and a pair's rows are counted.
+    that nearly all trigrams would be joined, blocks of texts are compared whole.
     """
-    q = spread(asked).select(F.col("tid").alias("query_id"), _codes(trigrams(F.col("text"))).alias("g")).filter("size(g) > 0").withColumn("nq", F.size("g"))
-    n = spread(named).select(F.col("tid").alias("id"), _codes(trigrams(F.col("text"))).alias("g")).filter("size(g) > 0").withColumn("nn", F.size("g"))
+    if least < PREFIXES:
+        alone = lambda df: _grams(df).select("tid", F.lit(0).alias("part"), F.array("tid").alias("ids"), "g")
+        return _all_pairs(alone(asked), alone(named), least, None).toDF("asked", "tid", "similarity")
+    q = _grams(asked).withColumnRenamed("tid", "query_id").withColumn("nq", F.size("g"))
+    n = _grams(named).withColumnRenamed("tid", "id").withColumn("nn", F.size("g"))
     often = _Frequency(n.select("g"), crowd)
     enough = (F.col("similarity") >= least) & (F.col("similarity") > 0)
-    if least < PREFIXES:
-        have, ask = often.dealt(n.select("id", "nn", F.explode("g").alias("t")), "t", "id"), often.every(q.select("query_id", "nq", F.explode("g").alias("t")), "t")
-        met = ask.join(have, ["t", "_group"]).groupBy("query_id", "id", "nq", "nn").agg(F.count("*").alias("k"))
-        both = met.withColumn("similarity", F.col("k") / (F.col("nq") + F.col("nn") - F.col("k")))
-        return both.filter(enough).select(F.col("query_id").alias("asked"), F.col("id").alias("tid"), "similarity")
     slack = 1e-9
     shared = lambda x, y: F.greatest(F.ceil((x + y) * (least / (1 + least)) - slack), F.lit(1)).cast("int")
     first = lambda size, s: F.slice(often.ordered(F.col("g")), F.lit(1), F.greatest(size - s + 1, F.lit(0)))

@@ -18,12 +18,12 @@ _SIM = """WITH q AS (SELECT query_id, text, {q} AS g FROM name_query), n AS (SEL
 @query("h9_trigram_similarity", f"{_SIM} SELECT query_id, id, round(similarity, 4) AS similarity FROM s WHERE k > 0", "name_query name_corpus")
 def _(t):
     # pairs without a trigram in common have a similarity of 0, and are not listed
-    return search.trigram_join(t.name_query, t.name_corpus, 1e-9).withColumn("similarity", F.round("similarity", 4))
+    return search.trigram_join(t.name_query, t.name_corpus, 1e-9, digits=4)
 
 
 @query("c10_trigram_join", f"{_SIM} SELECT query_id, id, round(similarity, 4) AS similarity FROM s WHERE similarity >= 0.3", "name_query name_corpus")
 def _(t):
-    return search.trigram_join(t.name_query, t.name_corpus).withColumn("similarity", F.round("similarity", 4))
+    return search.trigram_join(t.name_query, t.name_corpus, digits=4)
 
 
 @query(

@@ -131,6 +131,30 @@ def test_trigram_join_loses_no_pair(spark, least, crowd):
     assert {(r["query_id"], r["id"]): round(r["similarity"], 9) for r in got} == want and len(got) == len(want)
 
 
+def test_no_pair_is_shuffled_where_most_are_found(spark, monkeypatch):
+    """Each block of queries meets each of names; texts of many rows are in several parts, similarities rounded half up."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    for k, v in {"OWNERS": 3, "TEXTS": (20, 7), "MOST_OWNERS": 50, "_ROWS": 16, "_ASKERS": 2}.items():
+        monkeypatch.setattr(search, k, v)
+    have, ask = names_at_random(1, 40) * 6 + names_at_random(4, 60), [*names_at_random(2, 30), *["steel tin"] * 9, "", "##"]
+    n = spark.createDataFrame([*((i // 2, x) for i, x in enumerate(have)), (None, "steel"), (999, None)], "id long, name string").repartition(3)
+    q = spark.createDataFrame([*((f"q{i}", x) for i, x in enumerate(ask)), (None, "steel"), ("q999", None)], "query_id string, text string")
+    want = []
+    for i, a in enumerate(ask):
+        for j, b in enumerate(have):
+            x, y = py_grams(a), py_grams(b)
+            if x & y:
+                want.append((f"q{i}", j // 2, float(Decimal(repr(len(x & y) / len(x | y))).quantize(Decimal("0.1"), ROUND_HALF_UP))))
+    found = search.trigram_join(q, n, 1e-9, digits=1)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and any(s == 0.1 for _, _, s in want)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    above = plan.split("CartesianProduct")[0]
+    assert "MapInArrow" in above and "Join" not in plan and "Exchange" not in above
+    none = search.trigram_join(q.limit(0), n, 1e-9), search.trigram_join(q, n.limit(0), 1e-9)
+    assert [df.count() for df in none] == [0, 0]
+
+
 @pytest.mark.parametrize("crowd", [20_000, 2])
 def test_holding_with_wildcards_and_short_texts(spark, crowd):
     import re
