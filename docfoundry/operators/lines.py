@@ -49,6 +49,20 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
+def left_joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left.join(right, on, "left") with rows dealt out by the first of `on` alone: what follows by that column needs no other exchange.
+
+    A join by several columns would deal rows out by all of them, and what follows by the first once more. Rows of both sides meet in
+    groups instead; keys may repeat, and null ones meet no one.
+    """
+    sides = {"_left": left, "_right": right}
+    others = {k: F.struct(*(c for c in df.columns if c not in on)).alias(k) for k, df in sides.items()}
+    rows = left.select(*on, others["_left"]).unionByName(right.dropna(subset=on).select(*on, others["_right"]), allowMissingColumns=True)
+    dealt = rows.repartition(2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), on[0])
+    met = dealt.groupBy(*on).agg(*(F.collect_list(k).alias(k) for k in sides)).select(*on, F.explode("_left").alias("_left"), "_right")
+    return met.select(*on, "_left", F.explode_outer("_right").alias("_right")).select(*on, "_left.*", "_right.*")
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, n, start, line, is_last, code, under): lines from 1, with the place of their first character. Null texts have none.
 

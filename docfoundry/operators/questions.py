@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfoundry.functions.text import clean_response, first_pages, repair_json
 
+from .lines import left_joined
+
 QA = "array<struct<question:string,answer:string,category:string,qa_type:string>>"
 
 
@@ -52,15 +55,20 @@ FORMS = {
 }
 
 
-def qa_prompts(chunks: DataFrame, form: str = "table", names: DataFrame | None = None, summaries: DataFrame | None = None, template: str | None = None) -> DataFrame:
+def qa_prompts(chunks: DataFrame, form: str | Iterable[str] = "table", names: DataFrame | None = None, summaries: DataFrame | None = None, template: str | None = None) -> DataFrame:
     """(doc_id, place, prompt) of the chunks that a form asks of; file names (doc_id, file_name) and summaries (doc_id, summary) are empty
-    where there are none."""
-    kinds, usual = FORMS[form]
-    rows = chunks.filter(F.col("type").isin(*kinds))
+    where there are none. Of several forms, (form, doc_id, place, prompt) of each: chunks are read, and meet names and summaries, once."""
+    forms = {f: FORMS[f] for f in ([form] if isinstance(form, str) else form)}
+    rows = chunks.filter(F.col("type").isin(*{k for kinds, _ in forms.values() for k in kinds}))
     for df, column in ((names, "file_name"), (summaries, "summary")):
         rows = rows.withColumn(column, F.lit("")) if df is None else rows.drop(column).join(df.select("doc_id", column), "doc_id", "left")
     title = F.col("title") if "title" in chunks.columns else F.substring_index("path", " --> ", -1)
-    return rows.select("doc_id", "place", fill(template or usual, F.col("file_name"), F.col("summary"), title, F.col("path"), F.col("content")).alias("prompt"))
+    values = F.col("file_name"), F.col("summary"), title, F.col("path"), F.col("content")
+    if isinstance(form, str):
+        return rows.select("doc_id", "place", fill(template or forms[form][1], *values).alias("prompt"))
+    asked = F.array(*(F.when(F.col("type").isin(*kinds), F.struct(F.lit(f).alias("form"), fill(template or usual, *values).alias("prompt"))) for f, (kinds, usual) in forms.items()))
+    # without outer the prompts would be made a second time, to leave out empty lists
+    return rows.select("doc_id", "place", F.inline_outer(asked)).filter("form is not null").select("form", "doc_id", "place", "prompt")
 
 
 def metadata_prompts(documents: DataFrame, schemas: DataFrame, template: str = "Schema:\n{0}\n\nText:\n{1}", pages: int = 10) -> DataFrame:
@@ -76,7 +84,7 @@ def parse_qa_responses(responses: DataFrame) -> DataFrame:
 
 def qa_table(chunks: DataFrame, qas: DataFrame) -> DataFrame:
     """(doc_id, chunks): a document's chunks in order, each with its questions, empty without."""
-    joined = chunks.join(qas, ["doc_id", "place"], "left").withColumn("qas", F.coalesce("qas", F.array().cast(QA)))
+    joined = left_joined(chunks.select("doc_id", "place", "type", "path", "content"), qas.select("doc_id", "place", "qas"), ["doc_id", "place"]).withColumn("qas", F.coalesce("qas", F.array().cast(QA)))
     each = F.struct("place", F.struct("type", "path", "content").alias("chunk"), "qas")
     return joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(each), lambda a, b: (a["place"] - b["place"]).cast("int")).alias("chunks"))
 

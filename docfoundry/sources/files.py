@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -172,8 +173,15 @@ def held(df: DataFrame, tag: str) -> Iterator[DataFrame]:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in a scratch_folder(), so that what reads it several times computes it once, executors lost or not."""
+def kept(df: DataFrame, tag: str, clean: bool = False) -> DataFrame:
+    """df as a table in a scratch_folder(), so that what reads it several times computes it once, executors lost or not.
+
+    clean: the shuffles that it was computed by, which are needed no more, go before the next ones stand beside them. Spark's cleaner removes
+    their files once the driver's plans are collected; that is asked for here, twice, as the first time only lets go of what holds them.
+    """
     folder = scratch_folder(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(folder)
+    for _ in range(2 * clean):
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.3)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
