@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docfoundry.functions.text import clean_response
 from docfoundry.sources.versions import merge, read_current
 
+from .lines import left_joined
 from .metadata import finish_metadata
 
 
@@ -44,9 +45,10 @@ def point_collisions(points: DataFrame) -> DataFrame:
     return points.groupBy("point_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def reindex_points(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All points after those of the documents in `new` were replaced."""
-    return old.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)
+def reindex_points(old: DataFrame, new: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """All points after those of the documents in `new` were replaced; documents: a table with the ids of these, if it takes less to read."""
+    of = (new if documents is None else documents).select("document_id").distinct()
+    return old.join(of, "document_id", "left_anti").unionByName(new)
 
 
 def update_payload(points: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -93,7 +95,9 @@ def new_points(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metad
     """
     key = ["document_id", "chunk_index"]
     answers = responses.select(*key, F.nullif(clean_response(F.col("text"), thinking=True), F.lit("")).alias("_made"))
-    summed = chunks.join(cached.select(*key, F.col("summary").alias("_cached")), key, "left").join(answers, key, "left")
+    summaries = cached.select(*key, F.col("summary").alias("_cached")).join(answers, key, "full")
+    # texts are dealt out once, by their documents, as payloads want them too
+    summed = left_joined(chunks.select(*key, "dataset_id", "type", "needs_summary", "content"), summaries, key)
     summed = summed.withColumn("summary", F.when(F.col("needs_summary"), F.coalesce("_cached", "_made"))).drop("_cached", "_made")
     fresh = metadata.join(known.select("document_id"), "document_id", "left_anti").select("document_id", finish_metadata(F.col("template"), F.col("json"), templates)["payload"].alias("payload"))
     payloads = known.select("document_id", "payload").unionByName(fresh).select("document_id", F.from_json("payload", "map<string,string>").alias("payload"))
@@ -102,7 +106,7 @@ def new_points(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metad
 
 def index_documents(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metadata: DataFrame, known: DataFrame, templates: dict[str, str], old: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
     """All points after the documents of `chunks` were indexed: the old ones of other documents, and new_points()."""
-    return reindex_points(old, new_points(chunks, cached, responses, metadata, known, templates, embedder).select(old.columns))
+    return reindex_points(old, new_points(chunks, cached, responses, metadata, known, templates, embedder).select(old.columns), chunks)
 
 
 def index_in_storage(chunks: DataFrame, cached: DataFrame, responses: DataFrame, metadata: DataFrame, known: DataFrame, templates: dict[str, str], path: str, version: int, embedder: Callable[[Column], Column]) -> bool:
