@@ -213,10 +213,10 @@ def top_level_sections(docs: DataFrame) -> DataFrame:
 
 def union_chunks(texts: DataFrame, tables: DataFrame) -> DataFrame:
     """Text chunks and table chunks in one table (doc_id, chunk_index, type, needs_summary, tokens, path, content, start, end, is_table);
-    a table's chunk_index is its table_index."""
+    a table's chunk_index is its table_index. Both come by document, so that what follows by it shuffles no text chunk again."""
     columns = ["doc_id", "chunk_index", "type", "needs_summary", "tokens", "path", "content", "start", "end", "is_table"]
     t = tables.withColumns({"chunk_index": F.col("table_index"), "type": F.lit("Table"), "needs_summary": F.lit(False), "is_table": F.lit(True)})
-    return texts.withColumn("is_table", F.lit(False)).select(columns).unionByName(t.select(columns))
+    return dealt(texts.withColumn("is_table", F.lit(False)).select(columns)).unionByName(dealt(t.select(columns)))
 
 
 def _inside(chunks: DataFrame) -> DataFrame:
